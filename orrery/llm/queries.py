@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.session import read_table
 
-from . import decontaminate, exact_dedup, secret_ledger, shuffle_shards
+from . import best_fit_packing, decontaminate, exact_dedup, maxent_lm, quality_bayes, secret_ledger, shuffle_shards, simhash_anchors, url_filter
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,29 @@ def op6_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_secret_ledger, op5_decontaminate, op6_shuffle_shards)}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_exact_dedup, op3_secret_ledger, op5_decontaminate, op6_shuffle_shards,
+        op7_best_fit_packing, op8_quality_bayes, op9_simhash_anchors, op10_maxent_lm,
+    )
+}
 
 ORACLE = {
     "op2_exact_dedup": """
