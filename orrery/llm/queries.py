@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.session import read_table
 
-from . import best_fit_packing, decontaminate, exact_dedup, maxent_lm, quality_bayes, secret_ledger, shuffle_shards, simhash_anchors, url_filter
+from . import best_fit_packing, decontaminate, exact_dedup, maxent_lm, quality_bayes, secret_ledger, shuffle_shards, simhash_anchors, suffix_dedup, url_filter
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -48,8 +52,8 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_exact_dedup, op3_secret_ledger, op5_decontaminate, op6_shuffle_shards,
-        op7_best_fit_packing, op8_quality_bayes, op9_simhash_anchors, op10_maxent_lm,
+        op1_url_filter, op2_exact_dedup, op3_secret_ledger, op4_suffix_dedup, op5_decontaminate,
+        op6_shuffle_shards, op7_best_fit_packing, op8_quality_bayes, op9_simhash_anchors, op10_maxent_lm,
     )
 }
 
