@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import scene, tables
+
+FLAGSHIP = "scene_pivots"
+QUERIES: dict = {**scene.QUERIES, **tables.QUERIES}
+ORACLE: dict = {**scene.ORACLE, **tables.ORACLE}
