@@ -8,7 +8,7 @@ drop windows that would stick out of the document, and what is left is verified
 Words: A-Z lower-cased, maximal runs of ASCII letters, digits and non-ASCII characters. A window is ``width`` consecutive words of an item, or the whole item if it is shorter.
 
 Defined cases: null and empty texts have no words, are never hit, and give no windows; null or repeated ids are rows of their
-own; items that share a window are all reported; an empty benchmark hits nothing; an empty table gives an empty result.
+own; items that share a window are all reported; an item without id hits words but is not listed; an empty benchmark hits nothing; an empty table gives an empty result.
 Very long texts are held as one array of words in one row.
 """
 
@@ -85,7 +85,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10)
     runs = runs.select("row", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("new"))
     hit = runs.groupBy("row").agg(F.sum("new").cast("long").alias("n_hit"))
     items = spans.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    full = rows.join(hit.join(items, "row"), "row", "left")
+    full = rows.join(hit.join(items, "row", "left"), "row", "left")
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return full.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), sha256_hex(listed).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
