@@ -65,8 +65,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     flagged = flag_repeats(digests, "text_sha256", repeated_cells(digests, "text_sha256", bits), bits, "again")
     alone = flagged.where(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = flagged.where("again").drop("again")
-    groups = again.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
-    # the hot groups' rows are the large side of this join, which adaptive execution splits
+    # a table of its own, so that the join has an exchange on both sides and adaptive execution can split hot groups
+    groups = durable(again.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size")), "groups")
     met = again.join(groups, "text_sha256").select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256")
     return alone.unionByName(met)
 
@@ -79,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bits = filter_bits(digests.count())
     cells = durable(repeated_cells(digests, "sha", bits), "bloom")
     flagged = flag_repeats(hashed, sha, cells, bits, flag)
-    last = flag_repeats(digests, "sha", cells, bits, "again").where("again").groupBy("sha").agg(F.max("doc_id").alias("last"))
+    last = durable(flag_repeats(digests, "sha", cells, bits, "again").where("again").groupBy("sha").agg(F.max("doc_id").alias("last")), "last")
     last = last.select(F.col("sha").alias(fresh(hashed, "last_sha")), F.col("last").alias(fresh(hashed, "last_id")))
     same = (F.col(sha) == last[last.columns[0]]) & F.col(id_col).eqNullSafe(last[last.columns[1]])
     stay = flagged.where(flag).join(last, same, "left_semi").dropDuplicates([sha, id_col])
