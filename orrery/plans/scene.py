@@ -11,6 +11,7 @@ from orrery.session import read_table
 
 #: The type of each label of the stand-in, and the statuses.
 TYPES = ("car", "truck", "bus", "trailer", "construction_vehicle", "pedestrian", "motorcycle", "bicycle", "traffic_cone", "barrier")
+STATUSES = ("moving", "parked", "standing")
 REACH = 12.0
 
 
@@ -51,18 +52,24 @@ universe AS (
   UNION ALL SELECT DISTINCT frame, 'L1', least(src::VARCHAR, dst::VARCHAR) || '|' || greatest(src::VARCHAR, dst::VARCHAR) FROM edges
   UNION ALL SELECT frame, 'L2', least(a::VARCHAR, c::VARCHAR) || '|' || mid || '|' || greatest(a::VARCHAR, c::VARCHAR) FROM pivots),
 asked AS (
-  SELECT frame, a::VARCHAR AS a, mid::VARCHAR AS b, c::VARCHAR AS c, (a * 7 + mid * 11 + c * 13) % 40 AS ord FROM pivots WHERE (a * 7 + mid * 11 + c * 13) % 40 < 3),
+  SELECT p.frame, p.a::VARCHAR AS a, p.mid::VARCHAR AS b, p.c::VARCHAR AS c, CASE m.status WHEN 'moving' THEN 0 WHEN 'parked' THEN 1 ELSE 2 END AS ord
+  FROM pivots p JOIN nodes m ON m.id = p.mid JOIN nodes x ON x.id = p.a JOIN nodes y ON y.id = p.c WHERE x.status = m.status AND y.status = m.status),
 hits AS (
   SELECT frame, ord, 'L0' AS level, unnest([a, b, c]) AS key FROM asked
   UNION ALL SELECT frame, ord, 'L1', unnest([least(a, b) || '|' || greatest(a, b), least(b, c) || '|' || greatest(b, c)]) FROM asked
   UNION ALL SELECT frame, ord, 'L2', least(a, c) || '|' || b || '|' || greatest(a, c) FROM asked)"""
 
 
-def _asked(edges: DataFrame) -> DataFrame:
-    """Stand-in for answered questions: a fixed share of all paths, in three rounds."""
-    paths = graph.pivot_universe(edges).withColumn("ord", (F.col("a") * 7 + F.col("pivot") * 11 + F.col("c") * 13) % 40).where("ord < 3")
+def _asked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stand-in for answered questions: the paths whose three nodes share a status, one round of questions for each status."""
+    paths = graph.pivot_universe(edges)
+    status = nodes.select("frame", "id", "status")
+    for end in ("a", "pivot", "c"):
+        paths = paths.join(status.select("frame", F.col("id").alias(end), F.col("status").alias(f"{end}_status")), ["frame", end])
+    order = F.array_position(F.array(*[F.lit(x) for x in STATUSES]), F.col("pivot_status")) - 1
     text = lambda c: F.col(c).cast("string")
-    return paths.select("frame", "ord", F.concat_ws("|", "a", "pivot", "c").alias("qid"), text("a").alias("a"), text("pivot").alias("b"), text("c").alias("c"))
+    asked = paths.where("a_status = pivot_status and c_status = pivot_status")
+    return asked.select("frame", order.alias("ord"), F.concat_ws("|", "a", "pivot", "c").alias("qid"), text("a").alias("a"), text("pivot").alias("b"), text("c").alias("c"))
 
 
 def scene_edges(spark, sf_dir):
@@ -146,24 +153,24 @@ def scene_sides(spark, sf_dir):
 
 def coverage_totals(spark, sf_dir):
     e = edges_of(spark, sf_dir)
-    return coverage.coverage_stats(coverage.universe(nodes_of(spark, sf_dir), e), coverage.cascade(_asked(e)))
+    return coverage.coverage_stats(coverage.universe(nodes_of(spark, sf_dir), e), coverage.cascade(_asked(nodes_of(spark, sf_dir), e)))
 
 
 def coverage_gaps(spark, sf_dir):
     e = edges_of(spark, sf_dir)
-    return coverage.uncovered(coverage.universe(nodes_of(spark, sf_dir), e), coverage.cascade(_asked(e))).groupBy("frame", "level").agg(F.count("*").alias("n"))
+    return coverage.uncovered(coverage.universe(nodes_of(spark, sf_dir), e), coverage.cascade(_asked(nodes_of(spark, sf_dir), e))).groupBy("frame", "level").agg(F.count("*").alias("n"))
 
 
 def coverage_curve(spark, sf_dir):
     e = edges_of(spark, sf_dir)
-    return coverage.coverage_curve(coverage.universe(nodes_of(spark, sf_dir), e), coverage.cascade(_asked(e)))
+    return coverage.coverage_curve(coverage.universe(nodes_of(spark, sf_dir), e), coverage.cascade(_asked(nodes_of(spark, sf_dir), e)))
 
 
 def gap_ranks(spark, sf_dir):
     e = edges_of(spark, sf_dir)
     text = lambda c: F.col(c).cast("string")
     gaps = graph.pivot_universe(e).select("frame", text("a").alias("a"), text("pivot").alias("b"), text("c").alias("c"))
-    n = coverage.new_counts(gaps, coverage.cascade(_asked(e).where("ord = 0")))
+    n = coverage.new_counts(gaps, coverage.cascade(_asked(nodes_of(spark, sf_dir), e).where("ord = 0")))
     c = F.col
     return n.groupBy(coverage.gap_tier(c("new_l0"), c("new_l1")).alias("tier"), coverage.gap_level(c("new_l0"), c("new_l1"), c("new_l2")).alias("level"), coverage.gap_score(c("new_l0"), c("new_l1")).alias("score")).agg(F.count("*").alias("n"))
 

@@ -40,7 +40,7 @@ def shortcut_join(spark, sf_dir):
 def subset_closure(spark, sf_dir):
     """Rows that a subset of customers needs in each dependent table."""
     c, o, li, p = _t(spark, sf_dir, "customer", "orders", "lineitem", "part")
-    got = relational.closure(c.where("c_custkey % 10 = 3"), [(o, "o_custkey", "c_custkey"), (li, "l_orderkey", "o_orderkey"), (p, "p_partkey", "l_partkey")])
+    got = relational.closure(c.where("c_mktsegment = 'BUILDING'"), [(o, "o_custkey", "c_custkey"), (li, "l_orderkey", "o_orderkey"), (p, "p_partkey", "l_partkey")])
     out = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in zip(("customer", "orders", "lineitem", "part"), got, strict=True)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
@@ -131,8 +131,8 @@ def as_of_join(spark, sf_dir):
 
 
 def interpolated(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 4 != 0, F.col("value")))
-    return relational.bracketed(e, "user_id", "us", "value").where("event_id % 4 = 0").select("event_id", F.round("filled", 4).alias("filled"))
+    e = _events(spark, sf_dir).withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
+    return relational.bracketed(e, "user_id", "us", "value").where("event_type = 'error'").select("event_id", F.round("filled", 4).alias("filled"))
 
 
 def past_slice(spark, sf_dir):
@@ -258,9 +258,9 @@ def greedy_detection(spark, sf_dir):
 def track_counts(spark, sf_dir):
     """CLEAR-MOT counts of noisy copies of ten tracks a scene."""
     e = read_table(spark, sf_dir, "events").withColumn("t", F.expr("event_id div 10"))
-    gt = e.select((F.col("t") % 20).alias("scene"), "t", F.lit("gt").alias("kind"), (F.col("event_id") % 10).alias("id"), (F.col("event_id") % 10 * 5.0).alias("x"), (F.col("t") * 0.1).alias("y"))
-    pred = gt.where("(t + id) % 7 <> 0").select("scene", "t", F.lit("pred").alias("kind"), ((F.col("id") + F.expr("t div 200")) % 10 + 100).alias("id"), (F.col("x") + 0.3).alias("x"), "y")
-    return metrics.track_events(gt.unionByName(pred), 2.0).select("scene", "tp", "fp", "fn", "switches", F.round("distance", 4).alias("distance"))
+    gt = e.select((F.col("t") % 20).alias("scene"), "t", F.lit("gt").alias("kind"), "event_type", (F.col("event_id") % 10).alias("id"), (F.col("event_id") % 10 * 5.0).alias("x"), (F.col("t") * 0.1).alias("y"))
+    pred = gt.where("event_type <> 'error'").select("scene", "t", F.lit("pred").alias("kind"), ((F.col("id") + F.expr("t div 200")) % 10 + 100).alias("id"), (F.col("x") + 0.3).alias("x"), "y")
+    return metrics.track_events(gt.drop("event_type").unionByName(pred), 2.0).select("scene", "tp", "fp", "fn", "switches", F.round("distance", 4).alias("distance"))
 
 
 # --- maps
@@ -276,8 +276,9 @@ def point_in_polygon(spark, sf_dir):
 
 
 def lane_groups(spark, sf_dir):
-    """Suppliers joined by lines of the same part, as lanes by connectors."""
-    li = read_table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").select("l_partkey", "l_suppkey").distinct()
+    """Suppliers joined by lines of the same part of the largest size, as lanes by connectors."""
+    li, p = _t(spark, sf_dir, "lineitem", "part")
+    li = li.join(p.where("p_size = 50"), F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "l_suppkey").distinct()
     first = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("a"))
     links = li.join(first, "l_partkey").where("l_suppkey <> a").select("a", F.col("l_suppkey").alias("b"))
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
@@ -308,7 +309,7 @@ ORACLE = {
         UNION ALL SELECT 'orders.customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem.orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
         UNION ALL SELECT 'lineitem.part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'lineitem.supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""",
     "shortcut_join": "SELECT r_name, n_name, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
-    "subset_closure": """WITH c AS (SELECT * FROM customer WHERE c_custkey % 10 = 3), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)), p AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM l))
+    "subset_closure": """WITH c AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)), p AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM l))
         SELECT 'customer' AS name, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l UNION ALL SELECT 'part', count(*) FROM p""",
     "category_stats": "SELECT p_brand, count(*) AS n, round(avg(p_size), 4) AS mean_p_size, round(stddev_pop(p_size), 4) AS std_p_size, round(avg(p_retailprice), 4) AS mean_p_retailprice, round(stddev_pop(p_retailprice), 4) AS std_p_retailprice FROM part GROUP BY 1",
     "decorated_orders": "SELECT o_orderkey, string_agg(l_linenumber::VARCHAR, '|' ORDER BY l_linenumber) AS lines, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS flags FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1",
@@ -327,10 +328,10 @@ ORACLE = {
     "session_rows": f"""WITH {_E}, n AS (SELECT user_id, us, CASE WHEN us - lag(us) OVER w > 7200000000 THEN 1 ELSE 0 END AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)), s AS (SELECT user_id, us, sum(b) OVER (PARTITION BY user_id ORDER BY us) AS session FROM n)
         SELECT user_id, session::BIGINT AS session, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY 1, 2""",
     "as_of_join": f"WITH {_E} SELECT p.event_id, round(c.value, 6) AS value FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.us >= c.us",
-    "interpolated": f"""WITH {_E}, k AS (SELECT event_id, user_id, us, CASE WHEN event_id % 4 <> 0 THEN value END AS v FROM e),
+    "interpolated": f"""WITH {_E}, k AS (SELECT event_id, event_type, user_id, us, CASE WHEN event_type <> 'error' THEN value END AS v FROM e),
         b AS (SELECT k.*, last_value(CASE WHEN v IS NOT NULL THEN us END IGNORE NULLS) OVER p AS t0, last_value(v IGNORE NULLS) OVER p AS v0, first_value(CASE WHEN v IS NOT NULL THEN us END IGNORE NULLS) OVER f AS t1, first_value(v IGNORE NULLS) OVER f AS v1 FROM k
           WINDOW p AS (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-        SELECT event_id, round(v0 + (v1 - v0) * ((us - t0) / (t1 - t0)), 4) AS filled FROM b WHERE event_id % 4 = 0""",
+        SELECT event_id, round(v0 + (v1 - v0) * ((us - t0) / (t1 - t0)), 4) AS filled FROM b WHERE event_type = 'error'""",
     "past_slice": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM e) SELECT a.event_id, coalesce(string_agg(b.event_id::VARCHAR, '|' ORDER BY b.us), '') AS past
         FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 3 AND a.i - 1 AND a.us - b.us <= 86400000000 GROUP BY 1""",
     "windows_tumbling": "SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
@@ -365,6 +366,6 @@ ORACLE = {
           round(coalesce(s / nullif(tp, 0), 0) * coalesce(tp / nullif(tp + 0.5 * (ng - tp) + 0.5 * (nt - tp), 0), 0), 6) AS pq FROM c""",
     "displacement": """WITH m AS (SELECT l_orderkey AS id, l_partkey % 3 AS mode, 1.0 / (1 + l_partkey % 3) AS p, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey AS t, l_quantity / 10 AS dist FROM lineitem), b AS (SELECT id, mode, max(p) AS p, avg(dist) AS ade, arg_max(dist, t) AS fde, max(dist) AS worst FROM m GROUP BY 1, 2),
         k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, mode) <= 2) SELECT id, round(min(ade), 6) AS min_ade, round(min(fde), 6) AS min_fde, min(worst) >= 2 AS missed FROM k GROUP BY 1""",
-    "lane_groups": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey % 50 = 0), f AS (SELECT p, min(s) AS a FROM l GROUP BY 1), e AS (SELECT a, s AS b FROM l JOIN f USING (p) WHERE s <> a), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    "lane_groups": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 50), f AS (SELECT p, min(s) AS a FROM l GROUP BY 1), e AS (SELECT a, s AS b FROM l JOIN f USING (p) WHERE s <> a), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r AS (SELECT a AS lane, a AS other FROM both_ways UNION SELECT r.lane, b.b FROM r JOIN both_ways b ON r.other = b.a) SELECT lane, min(other) AS "group" FROM r GROUP BY 1""",
 }
