@@ -151,7 +151,7 @@ def panoptic_quality(points: DataFrame, least_points: int = 1) -> DataFrame:
 
 def displacement_errors(modes: DataFrame, k: int, tolerance: float = 2.0) -> DataFrame:
     """id, min_ade, min_fde, missed over the k most probable modes (id, mode, p, t, dist: distance at each step)."""
-    by = modes.groupBy("id", "mode").agg(F.max("p").alias("p"), F.avg("dist").alias("ade"), F.max_by("dist", "t").alias("fde"), F.max("dist").alias("worst"))
+    by = modes.groupBy("id", "mode").agg(F.max("p").alias("p"), F.avg("dist").alias("ade"), F.max_by("dist", F.struct("t", "dist")).alias("fde"), F.max("dist").alias("worst"))
     top = by.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("p"), "mode"))).where(F.col("r") <= k)
     return top.groupBy("id").agg(F.round(F.min("ade"), 6).alias("min_ade"), F.round(F.min("fde"), 6).alias("min_fde"), (F.min("worst") >= tolerance).alias("missed"))
 

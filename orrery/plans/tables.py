@@ -243,7 +243,7 @@ def panoptic(spark, sf_dir):
 
 def displacement(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem")
-    modes = li.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 3).alias("mode"), (1.0 / (1 + F.col("l_partkey") % 3)).alias("p"), (F.col("l_linenumber") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("t"), (F.col("l_quantity") / 10).alias("dist"))
+    modes = li.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 3).alias("mode"), (1.0 / (1 + F.col("l_partkey") % 3)).alias("p"), F.col("l_linenumber").alias("t"), (F.col("l_quantity") / 10).alias("dist"))
     return metrics.displacement_errors(modes, 2)
 
 
@@ -364,7 +364,7 @@ ORACLE = {
         c AS (SELECT class, (SELECT count(*) FROM m WHERE m.class = x.class) AS tp, (SELECT count(*) FROM g WHERE g.class = x.class) AS ng, (SELECT count(*) FROM t WHERE t.class = x.class) AS nt, (SELECT coalesce(sum(iou), 0) FROM m WHERE m.class = x.class) AS s FROM (SELECT DISTINCT class FROM p) x)
         SELECT class, tp, ng - tp AS fp, nt - tp AS fn, round(coalesce(s / nullif(tp, 0), 0), 6) AS sq, round(coalesce(tp / nullif(tp + 0.5 * (ng - tp) + 0.5 * (nt - tp), 0), 0), 6) AS rq,
           round(coalesce(s / nullif(tp, 0), 0) * coalesce(tp / nullif(tp + 0.5 * (ng - tp) + 0.5 * (nt - tp), 0), 0), 6) AS pq FROM c""",
-    "displacement": """WITH m AS (SELECT l_orderkey AS id, l_partkey % 3 AS mode, 1.0 / (1 + l_partkey % 3) AS p, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey AS t, l_quantity / 10 AS dist FROM lineitem), b AS (SELECT id, mode, max(p) AS p, avg(dist) AS ade, arg_max(dist, t) AS fde, max(dist) AS worst FROM m GROUP BY 1, 2),
+    "displacement": """WITH m AS (SELECT l_orderkey AS id, l_partkey % 3 AS mode, 1.0 / (1 + l_partkey % 3) AS p, l_linenumber AS t, l_quantity / 10 AS dist FROM lineitem), b AS (SELECT id, mode, max(p) AS p, avg(dist) AS ade, arg_max(dist, t * 1000 + dist) AS fde, max(dist) AS worst FROM m GROUP BY 1, 2),
         k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, mode) <= 2) SELECT id, round(min(ade), 6) AS min_ade, round(min(fde), 6) AS min_fde, min(worst) >= 2 AS missed FROM k GROUP BY 1""",
     "lane_groups": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 50), f AS (SELECT p, min(s) AS a FROM l GROUP BY 1), e AS (SELECT a, s AS b FROM l JOIN f USING (p) WHERE s <> a), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r AS (SELECT a AS lane, a AS other FROM both_ways UNION SELECT r.lane, b.b FROM r JOIN both_ways b ON r.other = b.a) SELECT lane, min(other) AS "group" FROM r GROUP BY 1""",
