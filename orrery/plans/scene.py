@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import constraints, coverage, graph, patterns, spatial
+from orrery.operators import constraints, coverage, generate, graph, kinds, patterns, relational, spatial
 from orrery.session import read_table
 
 #: The type of each label of the stand-in, and the statuses.
@@ -290,6 +290,41 @@ def ask_approaching(spark, sf_dir):
     return n.where(G.is_approaching(*[F.col(c) for c in ("x", "y", "vx", "vy")])).groupBy("frame").agg(F.count("*").alias("n"))
 
 
+ASK = kinds.Ask(type="car", type2="truck", status="moving", status2="parked", direction="front", direction2="back", ref=CAR, ref2=PED, ego=patterns.Obj("bus"), one=patterns.Obj("trailer"), two=PED, within=8.0)
+
+
+def _kind(name: str):
+    def ask(spark, sf_dir):
+        return kinds.answer(name, *_graph(spark, sf_dir), ASK)
+
+    ask.__name__ = f"kind_{name}"
+    return ask
+
+
+def rank_labels(spark, sf_dir):
+    """How often each distance rank among the targets of one type occurs."""
+    u = edges_of(spark, sf_dir)
+    kind = Window.partitionBy("frame", "src", "dst_type")
+    ranked = u.select(F.row_number().over(kind.orderBy("dist", "dst")).alias("r"), F.count("*").over(kind).alias("k"))
+    return ranked.groupBy(constraints.rank_label(F.col("r"), F.col("k")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def signature_clusters(spark, sf_dir):
+    """Frames by the set of (type, direction) that they show."""
+    e = edges_of(spark, sf_dir)
+    signature = e.groupBy("frame").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("-", "dst_type", "dir4"))), "|").alias("signature"))
+    return signature.groupBy("signature").agg(F.count("*").alias("n"))
+
+
+def generated_questions(spark, sf_dir):
+    return generate.generated_questions(nodes_of(spark, sf_dir)).groupBy("kind", "answer").agg(F.count("*").alias("n"))
+
+
+def camera_counts(spark, sf_dir):
+    n = nodes_of(spark, sf_dir)
+    return relational.frequency(n.select(F.explode(generate.cameras_of(F.degrees(F.atan2("y", "x")))).alias("camera"), "type"), "camera", "type")
+
+
 _FRAMES = ", frames AS (SELECT DISTINCT frame FROM nodes)"
 _AHEAD = EDGES + _FRAMES + ", ahead AS (SELECT e.frame, n.id, n.type, n.status FROM edges e JOIN nodes n ON n.frame = e.frame AND n.id = e.dst WHERE e.src_type = 'car' AND e.dir6 = 'front')"
 
@@ -298,7 +333,8 @@ QUERIES = {
     for f in (
         scene_edges, scene_ttc, scene_filter, scene_induced, scene_two_hop, scene_pivots, scene_motifs, scene_signature, scene_siblings, scene_converge, scene_nearest, scene_heat_map, scene_groupings,
         scene_loose, scene_sides, coverage_totals, coverage_gaps, coverage_curve, gap_ranks, question_footprint, unique_methods, two_references, greedy_references, greedy_gaps, vector_neighbours, ask_exist, ask_count,
-        ask_count_rows, ask_both_directions, ask_chain, ask_status, ask_object, ask_comparison, ask_same_status, ask_other_type_same_status, ask_more, ask_nearest, ask_farthest, ask_types, ask_between, ask_verified, ask_approaching,
+        ask_count_rows, ask_both_directions, ask_chain, ask_status, ask_object, ask_comparison, ask_same_status, ask_other_type_same_status, ask_more, ask_nearest, ask_farthest, ask_types, ask_between, ask_verified, ask_approaching, rank_labels, signature_clusters, generated_questions, camera_counts,
+        *(_kind(k) for k in ("exists_direction_from_ref", "count_status_type", "count_within_distance", "compare_count_two_types_which", "compare_nearest_farthest_status", "is_facing_ego", "count_approaching", "distance_to_nearest_type")),
     )
 }
 
@@ -379,4 +415,23 @@ ORACLE = {
     "ask_verified": f"""WITH {_AHEAD}, x AS (SELECT frame, min(id) AS id FROM nodes WHERE type = 'bus' GROUP BY 1), g AS (SELECT frame, count(DISTINCT id) AS n, min(id) AS i FROM ahead GROUP BY 1)
         SELECT x.frame, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN n > 1 THEN 'many' WHEN i <> x.id THEN 'wrong' ELSE 'ok' END AS verdict FROM x LEFT JOIN g ON g.frame = x.frame""",
     "ask_approaching": f"WITH {NODES} SELECT frame, count(*) AS n FROM nodes WHERE -(x * vx + y * vy) > 0 GROUP BY 1",
+    "rank_labels": f"""WITH {EDGES}, r AS (SELECT row_number() OVER (PARTITION BY frame, src, dst_type ORDER BY dist, dst) AS r, count(*) OVER (PARTITION BY frame, src, dst_type) AS k FROM edges)
+        SELECT CASE WHEN r = 1 THEN 'nearest' WHEN r = k THEN 'farthest' WHEN r = 2 THEN '2nd-nearest' WHEN r = k - 1 THEN '2nd-farthest' ELSE r || '-th' END AS label, count(*) AS n FROM r GROUP BY 1""",
+    "signature_clusters": f"WITH {EDGES}, s AS (SELECT frame, string_agg(DISTINCT dst_type || '-' || dir4, '|' ORDER BY dst_type || '-' || dir4) AS signature FROM edges GROUP BY 1) SELECT signature, count(*) AS n FROM s GROUP BY 1",
+    "generated_questions": f"""WITH {NODES}, a AS (SELECT *, sqrt(x * x + y * y) AS d, degrees(atan2(y, x)) AS b FROM nodes), q AS (
+        SELECT 'distance' AS kind, CASE WHEN d < 2 THEN 'very_close' WHEN d < 10 THEN 'close' WHEN d < 30 THEN 'medium' ELSE 'far' END AS answer FROM a
+        UNION ALL SELECT 'sector', (['front','front_left','left','back_left','back','back_right','right','front_right'])[((ceil(((b + 22.5 + 360) % 360) / 45))::INT + 7) % 8 + 1] FROM a
+        UNION ALL SELECT 'moving', CASE WHEN status = 'moving' THEN 'yes' ELSE 'no' END FROM a UNION ALL SELECT 'approach', CASE WHEN -(x * vx + y * vy) > 0 THEN 'yes' ELSE 'no' END FROM a
+        UNION ALL SELECT 'count', least(count(*) FILTER (abs(b) <= 45), 5)::VARCHAR FROM a GROUP BY frame) SELECT kind, answer, count(*) AS n FROM q GROUP BY 1, 2""",
+    "camera_counts": f"""WITH {NODES}, b AS (SELECT type, degrees(atan2(y, x)) AS b FROM nodes), c(camera, lo, hi) AS (VALUES ('front', -30, 30), ('front_left', 30, 90), ('back_left', 90, 150), ('back', 150, -150), ('back_right', -150, -90), ('front_right', -90, -30))
+        SELECT camera, type, count(*) AS n FROM b, c WHERE CASE WHEN lo <= hi THEN b BETWEEN lo AND hi ELSE b >= lo OR b <= hi END GROUP BY 1, 2""",
+    "kind_exists_direction_from_ref": f"WITH {EDGES}{_FRAMES} SELECT frame, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.frame = f.frame AND src_type = 'car' AND dst_type = 'car' AND dir6 = 'front') THEN 'yes' ELSE 'no' END AS answer FROM frames f",
+    "kind_count_status_type": f"WITH {NODES} SELECT frame, (count(*) FILTER (type = 'car' AND status = 'moving'))::VARCHAR AS answer FROM nodes GROUP BY 1",
+    "kind_count_within_distance": f"WITH {NODES} SELECT frame, (count(*) FILTER (type = 'car' AND sqrt(x * x + y * y) <= 8))::VARCHAR AS answer FROM nodes GROUP BY 1",
+    "kind_compare_count_two_types_which": f"WITH {NODES} SELECT frame, CASE WHEN count(*) FILTER (type = 'truck') > count(*) FILTER (type = 'car') THEN 'second' ELSE 'first' END AS answer FROM nodes GROUP BY 1",
+    "kind_compare_nearest_farthest_status": f"""WITH {NODES}{_FRAMES}, m AS (SELECT frame, status, row_number() OVER (PARTITION BY frame ORDER BY sqrt(x * x + y * y), id) AS a, row_number() OVER (PARTITION BY frame ORDER BY sqrt(x * x + y * y) DESC, id) AS b FROM nodes WHERE type = 'car')
+        SELECT f.frame, CASE WHEN p.status IS NOT NULL THEN CASE WHEN p.status = q.status THEN 'yes' ELSE 'no' END END AS answer FROM frames f LEFT JOIN m p ON p.frame = f.frame AND p.a = 1 LEFT JOIN m q ON q.frame = f.frame AND q.b = 1""",
+    "kind_is_facing_ego": f"WITH {NODES} SELECT frame, CASE WHEN count(*) FILTER (type = 'trailer' AND abs(((yaw - degrees(atan2(-y, -x)) + 180) % 360 + 360) % 360 - 180) <= 45) > 0 THEN 'yes' ELSE 'no' END AS answer FROM nodes GROUP BY 1",
+    "kind_count_approaching": f"WITH {NODES} SELECT frame, (count(*) FILTER (type = 'car' AND -(x * vx + y * vy) > 0))::VARCHAR AS answer FROM nodes GROUP BY 1",
+    "kind_distance_to_nearest_type": f"WITH {NODES} SELECT frame, round(min(sqrt(x * x + y * y)) FILTER (type = 'car'), 4)::VARCHAR AS answer FROM nodes GROUP BY 1",
 }
