@@ -160,3 +160,48 @@ def accuracy(rows: DataFrame, hit: Column, *by: str) -> DataFrame:
     """Accuracy in percent for all rows and each prefix of ``by`` (nulls mark the coarser levels)."""
     out = rows.withColumn("_hit", hit.cast("int")).rollup(*by).agg(F.count("*").alias("n"), F.sum("_hit").cast("bigint").alias("hits"))
     return out.withColumn("accuracy", F.round(F.col("hits") * 100.0 / F.col("n"), 2))
+
+
+def panoptic_tracking(points: DataFrame, least_points: int = 1) -> DataFrame:
+    """class, switches, ptq, sptq: panoptic quality less identity switches, as counts and as the overlap that they lose.
+
+    points: scene, frame, class, truth, guess (instance ids kept over the frames of a scene; 0 is none). A switch is a true instance matched to another guess than when it was last matched.
+    """
+    whole = points.withColumn("_scene", F.col("scene")).withColumn("frame", F.struct("scene", "frame"))
+    pair = whole.groupBy("_scene", "frame", "class", "truth", "guess").agg(F.count("*").alias("both"))
+    truth = whole.where("truth <> 0").groupBy("frame", "class", "truth").agg(F.count("*").alias("nt"))
+    guess = whole.where("guess <> 0").groupBy("frame", "class", "guess").agg(F.count("*").alias("ng"))
+    met = pair.where("truth <> 0 and guess <> 0").join(truth, ["frame", "class", "truth"]).join(guess, ["frame", "class", "guess"]).withColumn("iou", F.col("both") / (F.col("nt") + F.col("ng") - F.col("both"))).where("iou > 0.5")
+    before = F.lag("guess").over(Window.partitionBy("_scene", "class", "truth").orderBy("frame"))
+    switched = met.withColumn("switched", F.coalesce(before != F.col("guess"), F.lit(False)))
+    by = switched.groupBy("class").agg(F.count_if("switched").alias("switches"), F.sum("iou").alias("s"), F.sum(F.when(F.col("switched"), F.col("iou")).otherwise(0.0)).alias("lost"))
+    quality = panoptic_quality(whole.drop("_scene", "scene"), least_points).select("class", "tp", "fp", "fn")
+    both = quality.join(by, "class", "left").fillna(0)
+    size = F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn")
+    ptq, sptq = (F.round(F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.col("s") - x), size), F.lit(0.0)), 6) for x in (F.col("switches"), F.col("lost")))
+    return both.select("class", "switches", ptq.alias("ptq"), sptq.alias("sptq"))
+
+
+def recall_thresholds(scored: DataFrame, by: str, score: str, order: str, hit: str, positives: DataFrame, steps: int = 40, least_recall: float = 0.1) -> DataFrame:
+    """by, recall, threshold: the score at which each of ``steps`` recalls is reached (null where never). positives: by, n."""
+    w = Window.partitionBy(by).orderBy(F.desc(score), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    curve = scored.withColumn("tp", F.sum(F.when(F.col(hit), 1).otherwise(0)).over(w)).join(positives, by).withColumn("r", F.col("tp") / F.col("n"))
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.round(F.lit(least_recall) + k * (1 - least_recall) / (steps - 1), 12)))
+    wanted = positives.select(by, at.alias("recall"))
+    reached = curve.groupBy(by, "r").agg(F.max(score).alias("s"))
+    # a bounded list of steps meets the points of its class
+    met = wanted.join(reached, by).where(F.col("r") >= F.col("recall") - 1e-12).groupBy(by, "recall").agg(F.max("s").alias("threshold"))
+    return wanted.join(met, [by, "recall"], "left")
+
+
+def tracking_summary(rows: DataFrame, worst_distance: float = 2.0) -> DataFrame:
+    """class, amota, amotp, mota and the counts at the best threshold, from one row for each class and threshold (class, threshold, motar, mota, motp, tp, fp, fn, switches; nulls where a recall is not reached)."""
+    best = F.max_by(F.struct("tp", "fp", "fn", "switches"), F.coalesce("mota", F.lit(-1.0)))
+    out = rows.groupBy("class").agg(F.round(F.avg(F.coalesce("motar", F.lit(0.0))), 6).alias("amota"), F.round(F.avg(F.coalesce("motp", F.lit(worst_distance))), 6).alias("amotp"), F.round(F.max("mota"), 6).alias("mota"), best.alias("b"))
+    return out.select("class", "amota", "amotp", "mota", "b.*")
+
+
+def detection_score(mean_ap: Column, *errors: Column) -> Column:
+    """(5 mAP + the sum of what each error leaves of one) / (5 + errors)."""
+    left = sum((F.greatest(F.lit(0.0), 1 - e) for e in errors), F.lit(0.0))
+    return (5 * mean_ap + left) / (5 + len(errors))
