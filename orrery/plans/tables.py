@@ -278,7 +278,17 @@ def point_in_polygon(spark, sf_dir):
 def lane_groups(spark, sf_dir):
     """Suppliers joined by lines of the same part of the largest size, as lanes by connectors."""
     li, p = _t(spark, sf_dir, "lineitem", "part")
-    li = li.join(p.where("p_size = 50"), F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "l_suppkey").distinct()
+    return _lanes(spark, li.join(p.where("p_size = 50"), F.col("l_partkey") == F.col("p_partkey")))
+
+
+def lane_groups_all(spark, sf_dir):
+    """Suppliers joined by lines of the same part, over all lines; recursive SQL is too slow for a twin."""
+    return _lanes(spark, read_table(spark, sf_dir, "lineitem"))
+
+
+def _lanes(spark, li):
+    """Components of the suppliers that lines of one part link."""
+    li = li.select("l_partkey", "l_suppkey").distinct()
     first = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("a"))
     links = li.join(first, "l_partkey").where("l_suppkey <> a").select("a", F.col("l_suppkey").alias("b"))
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
@@ -295,7 +305,7 @@ QUERIES = {
     for f in (
         fk_integrity, shortcut_join, subset_closure, category_stats, decorated_orders, grouping_levels, pricing_summary, top_orders, split_frames, set_operations, prev_next, velocity, fragments, session_rows, as_of_join, interpolated,
         past_slice, windows_tumbling, windows_session, props_json, timing_stats, majority_type, question_families, token_counts, vocabulary, accuracy_levels, status_inference, page_fields, pr_curve, average_precision, confusion_iou, mean_iou,
-        panoptic, displacement, greedy_detection, track_counts, point_in_polygon, lane_groups,
+        panoptic, displacement, greedy_detection, track_counts, point_in_polygon, lane_groups, lane_groups_all,
     )
 }
 
