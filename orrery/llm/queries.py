@@ -22,7 +22,7 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), passage=(240, 50))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Removal of repeated byte strings by difference-cover blockwise construction (operator 4).
 
-Every byte covered by a ``length``-byte string that also starts anywhere else is removed; strings are compared in the input as it is.
+Every byte covered by a ``length``-byte string that also starts anywhere else is removed; strings are compared in the input as it is. On request, passages are
+counted too: runs of bytes that repeated strings of a smaller length cover, with more than so many words.
 
-1. The texts stand in chunks of a few megabytes, written once in buckets by chunk, so that later joins by chunk move no text.
+1. The texts stand in chunks of a few megabytes.
 2. Cover sample: positions (in their document) whose remainder lies in a perfect difference cover of period v. Two equal strings of ``length`` bytes
    have a sample at the same distance from both starts, within v, and so equal names (hashes of the next length - v + 1 bytes) there. Each chunk sends
    its distinct names to name buckets; one bucket at a time is sorted, and names that other chunks hold too go back. A suffix
-   without a repeated name within reach is unique and goes no further.
+   without a repeated name within reach is unique and goes no further, and a document without other suffixes is done.
 3. The other suffixes go to suffix buckets: by the smallest hash of the short strings inside their first ``length`` bytes, which neighbours share, so a run of
-   suffixes travels as one piece of text, once from each chunk. One bucket at a time, the suffixes are sorted by a hash of their first ``length`` bytes, and ties are repeats
-   (confirmed by a second, independent hash).
-4. The runs of repeated starts go back to their chunk, where the covered bytes are removed.
+   suffixes travels as one piece of text, once from each chunk. One bucket at a time is sorted: first the blocks of a difference-cover sample of its
+   text get ranks (by doubling), then its suffixes are sorted by their first v bytes, and longer ties are broken by the ranks of the sample positions that
+   both suffixes have at the same distance, and by the last bytes, which those blocks don't reach. Suffixes that tie over all ``length`` bytes are repeats.
+4. The runs of repeated starts go back to the documents, where the covered bytes are removed.
 
-A chunk sends each name and each piece of text once, however often it holds it, so a passage in a third of all rows puts one row of every chunk into its bucket. Memory is bounded by a
-chunk, or by one bucket.
+A bucket above ``hot`` bytes of text is split: equal pieces of all chunks are merged by salted grouping first, and then the short strings that are
+frequent in such buckets are taken last in the choice of a bucket, so that a passage with ever different surroundings is dealt by these.
+Memory is bounded by a chunk, or by one bucket.
 
 Defined cases: null text is the empty text; texts shorter than ``length`` bytes are never cut; repeated rows and copies lose all bytes that a
 string covers; null ids are rows of their own; an empty table gives an empty result; other columns are ignored. A longer text than a chunk is a chunk of its own.
@@ -22,7 +25,6 @@ string covers; null ids are rows of their own; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,14 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, plain_text, shared_dir
+from .common import durable, plain_text
 
 #: Primitive polynomials over two elements, by degree.
 PRIMITIVE = {3: 0b1011, 6: 0b1000011, 9: 0b1000010001, 12: 0b1000001010011}
-#: Bytes of text in a chunk and in a bucket of chunks; names and rows in a bucket.
-CHUNK, CHUNK_BUCKET, NAME_BUCKET = 4 << 20, 32 << 20, 1 << 21
-#: Most suffixes in one piece of text, and bytes of text sorted at a time.
-PIECE, AT_ONCE = 1024, 4 << 20
+#: Bytes of text in a chunk; names in a bucket.
+CHUNK, NAME_BUCKET = 4 << 20, 1 << 19
+#: Most suffixes in one piece of text, bytes of text sorted at a time, bytes of a bucket that is split.
+PIECE, AT_ONCE, HOT = 1024, 2 << 20, 6 << 20
+#: For hot buckets: parts in which equal pieces are merged first; one piece of SAMPLE is read for its short strings, of which COMMON are taken last if LEAST pieces read have them.
+SALTS, SAMPLE, COMMON, LEAST = 64, 8, 1 << 16, 64
 
 
 @cache
@@ -113,8 +117,7 @@ def _key(names: np.ndarray) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """chunk, ids, sizes, data: documents side by side; a bucketed table in the shared folder."""
-    spark = docs.sparkSession
+    """chunk, ids, sizes, data: documents side by side."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", plain_text().cast("binary").alias("text"))
 
@@ -130,11 +133,7 @@ def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([base + k]), ids, sizes, pa.array([b"".join(texts[lo:hi])], pa.binary())], names=["chunk", "ids", "sizes", "data"])
                 k += 1
 
-    total = docs.agg(F.sum(F.octet_length(plain_text()).cast("bigint"))).first()[0] or 0
-    table = f"orrery_chunks_{uuid.uuid4().hex}"
-    made = rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, data binary")
-    made.write.bucketBy(max(8, -(-total // CHUNK_BUCKET)), "chunk").option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+    return durable(rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, data binary"), "chunks")
 
 
 def shared_names(chunks: DataFrame, length: int) -> DataFrame:
@@ -193,15 +192,31 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def suffix_pieces(text: np.ndarray, sizes: np.ndarray, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first suffix, suffixes, bucket key) of each run of suffixes that may be repeated."""
+def _shorts(text: np.ndarray, length: int) -> np.ndarray:
+    """31 bits of the hash of each short string."""
+    gram = max(4, min(16, length // 4))
+    h = _hasher(1)
+    return (h.strings(h.sums(text), np.arange(len(text) - gram + 1), gram) >> np.uint64(33)).astype(np.int32)
+
+
+def _runs(start: np.ndarray, key: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, suffixes, key) of each run of neighbours in ``start`` with one key, PIECE suffixes long at most; none crosses an edge."""
+    first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(key) != 0) | edge[1:]])
+    n = np.diff(np.r_[first, len(start)])
+    parts = -(-n // PIECE)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(start[first], parts) + nth * PIECE, np.minimum(PIECE, np.repeat(n, parts) - nth * PIECE), np.repeat(key[first].astype(np.int64), parts)
+
+
+def suffix_pieces(text: np.ndarray, sizes: np.ndarray, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first suffix, suffixes, bucket key, bytes to the end of the document) of each run of suffixes that may be repeated."""
     none = np.empty(0, np.int64)
     if len(text) < length:
-        return none, none, none
+        return none, none, none, none
     v, _ = difference_cover(length)
     at, names = _samples(text, sizes, length)
     if not len(at):
-        return none, none, none
+        return none, none, none, none
     key = _key(names)
     _, back, count = np.unique(names, return_inverse=True, return_counts=True)
     again = count[back] > 1
@@ -213,105 +228,282 @@ def suffix_pieces(text: np.ndarray, sizes: np.ndarray, shared: np.ndarray, lengt
     may = (np.cumsum(change[:-1]) > 0) & (left >= length)
     start = np.flatnonzero(may)
     if not len(start):
-        return none, none, none
-    gram = max(4, min(16, length // 4))
-    h = _hasher(1)
-    short = (h.strings(h.sums(text), np.arange(len(text) - gram + 1), gram) >> np.uint64(33)).astype(np.int32)
-    least = _sliding_least(short, length - gram + 1)[start]
-    first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(least) != 0) | (place[start[1:]] == 0)])
-    n = np.diff(np.r_[first, len(start)])
-    # very long runs of one key are cut
-    parts = -(-n // PIECE)
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    return np.repeat(start[first], parts) + nth * PIECE, np.minimum(PIECE, np.repeat(n, parts) - nth * PIECE), np.repeat(least[first].astype(np.int64), parts)
-
+        return none, none, none, none
+    short = _shorts(text, length)
+    least = _sliding_least(short, length - (len(text) - len(short)))[start]
+    first, n, key = _runs(start, least, place[start] == 0)
+    return first, n, key, left[first].astype(np.int64)
 
-def repeated_starts(chunks: DataFrame, names: DataFrame, length: int) -> DataFrame:
-    """chunk, start, n: runs of positions in the chunk's text at which a repeated string of ``length`` bytes starts."""
 
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for chunk, sizes, data in zip(*(left.column(c).to_pylist() for c in ("chunk", "sizes", "data")), strict=True):
-            text = np.frombuffer(data, np.uint8)
-            shared = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, "<u8") for x in right.column("names").to_pylist())]))
-            start, n, key = suffix_pieces(text, np.array(sizes, np.int64), shared, length)
-            if len(start):
-                h = _hasher(1)
-                _, one, back = np.unique(h.strings(h.sums(text), start, n + length - 1) ^ _mix(n.astype(np.uint64)), return_index=True, return_inverse=True)
-                order = np.argsort(back, kind="stable")
-                refs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(back))].astype(np.int32)), pa.array(start[order]))
-                pieces = [data[s : s + k] for s, k in zip(start[one].tolist(), (n[one] + length - 1).tolist(), strict=True)]
-                out.append(pa.table({"key": pa.array(key[one]), "chunk": pa.array(np.full(len(one), chunk)), "refs": refs, "piece": pa.array(pieces, pa.binary())}))
-        schema = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("refs", pa.list_(pa.int64())), ("piece", pa.binary())])
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
-
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        """Whole buckets: sort their suffixes, and give the runs of those that tie with another."""
-        chunk, refs, pieces = zip(*rows, strict=True)
-        size = np.array([len(p) for p in pieces])
-        n = size - length + 1
-        text = np.frombuffer(b"".join(pieces), np.uint8)
-        start = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        h = _hasher(1)
-        first = h.strings(h.sums(text), start, length)
-        times = np.repeat(np.array([len(r) for r in refs]), n)
-        value, back, count = np.unique(first, return_inverse=True, return_counts=True)
-        tie = np.flatnonzero((count[back] > 1) | (times > 1))
-        h = _hasher(2)
-        second = first[tie] * np.uint64(3) ^ h.strings(h.sums(text), start[tie], length)
-        value, back = np.unique(second, return_inverse=True)
+@cache
+def _distances(v: int, cover: tuple[int, ...]) -> np.ndarray:
+    """For remainders a and b, the least d for which a + d and b + d are both in the cover."""
+    inside = np.zeros(v, bool)
+    inside[list(cover)] = True
+    out = np.zeros((v, v), np.int64)
+    a, b = np.meshgrid(np.arange(v), np.arange(v), indexing="ij")
+    for d in range(v - 1, -1, -1):
+        out[inside[(a + d) % v] & inside[(b + d) % v]] = d
+    return out
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of the values of ``key``."""
+    order = np.argsort(key)
+    own = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]])
+    return out
+
+
+class Blocks:
+    """Ranks of the blocks of one bucket's text: of v bytes everywhere, of longer ones at the positions of a difference cover."""
+
+    def __init__(self, text: np.ndarray, depth: int):
+        """For comparisons of ``depth`` bytes or more."""
+        self.v, self.cover = difference_cover(next((m for m in (30, 10) if 6 * m <= 3 * depth), 1))
+        self.n = len(text)
+        size = 1 << min(3, self.v.bit_length() - 1)
+        padded = np.r_[text, np.zeros(8, np.uint8)]
+        word = np.zeros(self.n, np.uint64)
+        for k in range(size):
+            word = word << np.uint64(8) | padded[k : k + self.n]
+        rank = _ranked(word)
+        while size < self.v:
+            step = min(size, self.v - size)
+            rank = _ranked(self._pairs(rank, np.arange(self.n), step))
+            size += step
+        self.head = rank = rank.astype(np.int32)
+        inside = np.zeros(self.v, bool)
+        inside[list(self.cover)] = True
+        self.at = np.flatnonzero(inside[np.arange(self.n) % self.v])
+        self.sample = {self.v: rank}
+
+    def _pairs(self, rank: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+        return (rank[at].astype(np.int64) << 32) | (rank[np.minimum(at + step, self.n - 1)] + 1) * (at + step < self.n)
+
+    def ranks(self, size: int) -> np.ndarray:
+        """Ranks of the blocks of ``size`` bytes, a multiple of v, at the sample positions."""
+        if size not in self.sample:
+            known = max(k for k in self.sample if k <= size)
+            while known < size:
+                step = min(known, size - known)
+                out = np.zeros(self.n, np.int32)
+                out[self.at] = _ranked(self._pairs(self.sample[known], self.at, step))
+                known += step
+                self.sample[known] = out
+        return self.sample[size]
+
+    def equal(self, start: np.ndarray, depth: int) -> np.ndarray:
+        """A number for each of the suffixes at ``start``, equal for those that tie over ``depth`` bytes: sorted by their first v bytes, and longer ties by ranks."""
+        v = self.v
+        block = self.ranks(v * ((depth - v + 1) // v))
+        apart = _distances(v, self.cover)
+        tails = [self.head[start + depth - v], self.head[start + depth - min(2 * v, depth)]]
+        group = _ranked(self.head[start])
+        done = np.zeros(len(start), np.int64)
+        closed = 0
+        order = np.argsort(group, kind="stable")
+        while len(order):
+            own = group[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            size = np.diff(np.r_[first, len(order)])
+            pivot = np.repeat(order[first + size // 2], size)
+            a, b = start[order], start[pivot]
+            d = apart[a % v, b % v]
+            way = np.sign(block[a + d] - block[b + d])
+            for tail in reversed(tails):
+                way = np.where(way == 0, np.sign(tail[order] - tail[pivot]), way)
+            nth = np.repeat(np.arange(len(first)), size)
+            same = way == 0
+            done[order[same]] = closed + nth[same]
+            closed += len(first)
+            order, nth, way = order[~same], nth[~same], way[~same]
+            group[order] = 2 * nth + (way > 0)
+            order = order[np.argsort(group[order], kind="stable")]
+        return done
+
+
+def repeats(rows: list[tuple[bytes, int, int, int, bytes]], depths: tuple[int, ...]) -> pa.RecordBatch:
+    """Whole buckets of (piece_id, offset, n, times, piece): their suffixes are sorted, and the runs of those given that tie with another, by depth."""
+    ids, offset, n, times, pieces = zip(*rows, strict=True)
+    size, n = np.array([len(p) for p in pieces]), np.array(n)
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(np.cumsum(size) - size, n) + nth
+    reach = np.repeat(size, n) - nth
+    many, piece = np.repeat(np.array(times), n), np.repeat(np.arange(len(n)), n)
+    edge = np.r_[True, piece[1:] != piece[:-1]]
+    last = np.r_[edge[1:], True]
+    blocks = Blocks(text, depths[0])
+    some, out = np.arange(len(start)), []
+    for level, depth in enumerate(depths):
+        some = some[reach[some] >= depth]
         again = np.zeros(len(start), bool)
-        again[tie] = np.bincount(back, weights=times[tie], minlength=len(value))[back] > 1
-        piece = np.repeat(np.arange(len(n)), n)
-        edge = np.r_[True, piece[1:] != piece[:-1]]
+        if len(some):
+            same = blocks.equal(start[some], depth)
+            again[some] = np.bincount(same, weights=many[some])[same] > 1
         begin = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
-        stop = np.flatnonzero(again & (np.r_[edge[1:], True] | ~np.r_[again[1:], False])) + 1
+        stop = np.flatnonzero(again & (last | ~np.r_[again[1:], False])) + 1
         own = piece[begin]
-        offset = begin - (np.cumsum(n) - n)[own]
-        many = np.array([len(refs[p]) for p in own.tolist()], np.int64)
-        flat = np.array([r for p in own.tolist() for r in refs[p]], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(chunk)[own], many)), pa.array(flat + np.repeat(offset, many)), pa.array(np.repeat(stop - begin, many))], names=["chunk", "start", "n"])
+        out.append((own, np.array(offset)[own] + nth[begin], stop - begin, np.full(len(own), level)))
+        some = np.flatnonzero(again)  # a longer tie is one of these
+    own, begin, count, level = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in own.tolist()], pa.binary()), pa.array(begin), pa.array(count), pa.array(level.astype(np.int32))], names=["piece_id", "at", "many", "level"])
+
+
+def dealt_anew(pieces: DataFrame, depths: tuple[int, ...], hot: int) -> DataFrame:
+    """key, piece_id, offset, n, times, piece: the rows that meet by key. Pieces of buckets of more than ``hot`` bytes are merged, and cut and dealt by a rarer key."""
+    plain = pieces.select("key", "piece_id", F.lit(0).alias("offset"), "n", F.size("refs").cast("bigint").alias("times"), "piece")
+    large = durable(pieces.groupBy("key").agg(F.sum(F.octet_length("piece").cast("bigint")).alias("bytes")).where(F.col("bytes") > hot).select("key"), "hot")
+    if large.isEmpty():
+        return plain
+    one = pieces.join(large, "key", "left_semi").select("piece_id", F.pmod("chunk", F.lit(SALTS)).alias("salt"), "n", F.size("refs").cast("bigint").alias("times"), "piece")
+    same = F.first("n").alias("n"), F.sum("times").alias("times"), F.first("piece").alias("piece")
+    one = durable(one.groupBy("piece_id", "salt").agg(*same).groupBy("piece_id").agg(*same), "merged")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(_shorts(np.frombuffer(p, np.uint8), depths[0])) for p in b.column("piece").to_pylist()]
+            value, times = np.unique(np.concatenate([np.empty(0, np.int32), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times)], names=["short", "c"])
+
+    counts = one.where(F.pmod(F.xxhash64("piece_id"), F.lit(SAMPLE)) == 0).select("piece").mapInArrow(count, "short int, c bigint").groupBy("short").agg(F.sum("c").alias("c"))
+    common = np.sort(np.array([r.short for r in counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "short").limit(COMMON).collect()], np.int32))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, n, times, piece in zip(*(b.column(c).to_pylist() for c in ("piece_id", "n", "times", "piece")), strict=True):
+                short = _shorts(np.frombuffer(piece, np.uint8), depths[0]).astype(np.int64)
+                if len(common):
+                    short += (common[np.minimum(np.searchsorted(common, short), len(common) - 1)] == short).astype(np.int64) << 31
+                least = _sliding_least(short, depths[0] - (len(piece) - len(short)))[:n]
+                for s, k, key in zip(*(x.tolist() for x in _runs(np.arange(n), least, np.zeros(n, bool))), strict=True):
+                    out.append((key + (1 << 40), i, s, k, times, piece[s : s + k + depths[-1] - 1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
+
+    names = ["key", "piece_id", "offset", "n", "times", "piece"]
+    again = one.mapInArrow(deal, "key bigint, piece_id binary, offset int, n int, times bigint, piece binary")
+    return plain.join(large, "key", "left_anti").unionByName(again)
+
+
+def repeated_starts(pieces: DataFrame, depths: tuple[int, ...], hot: int = HOT) -> DataFrame:
+    """chunk, refs, at, many, level: at each of the positions ``refs`` + ``at`` of the chunk's text ``many`` neighbours start a repeated string of ``depths[level]`` bytes."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[tuple, list] = {}
         now, size = None, 0
         for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "chunk", "refs", "piece")), strict=True):
+            for key, i, offset, n, times, piece in zip(*(b.column(c).to_pylist() for c in ("key", "piece_id", "offset", "n", "times", "piece")), strict=True):
                 if key != now and size > AT_ONCE:
-                    yield found(held)
-                    held, size = [], 0
+                    yield repeats([tuple(x) for x in held.values()], depths)
+                    held, size = {}, 0
                 now = key
-                held.append(tuple(row))
-                size += len(row[2])
+                if own := held.get((i, offset)):
+                    own[3] += times
+                else:
+                    held[i, offset] = [i, offset, n, times, piece]
+                    size += len(piece)
         if held:
-            yield found(held)
+            yield repeats([tuple(x) for x in held.values()], depths)
+
+    dealt = dealt_anew(pieces, depths, hot)
+    met = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "piece_id binary, at bigint, many bigint, level int")
+    runs = durable(met, "repeats")  # a table of its own, so that adaptive execution can split a piece that very many chunks hold
+    return durable(pieces.select("piece_id", "chunk", "refs").join(runs, "piece_id").select("chunk", "refs", "at", "many", "level"), "starts")
 
-    sent = chunks.select("chunk", "sizes", "data").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(send, "key bigint, chunk bigint, refs array<bigint>, piece binary")
-    return durable(sent.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "chunk bigint, start bigint, n bigint"), "starts")
 
+def remove_repeats(docs: DataFrame, length: int = 400, passage: tuple[int, int] | None = None, with_text: bool = False, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for) of every document.
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for) of every document."""
+    ``passage`` (bytes, words), with fewer bytes than ``length``, adds n_passages: maximal runs of bytes covered by repeated strings of so many bytes, of more than so many words.
+    """
+    depths = (passage[0], length) if passage else (length,)
+    base, words = depths[0], passage[1] if passage else 0
     chunks = chunked(docs, chunk)
-    starts = repeated_starts(chunks, shared_names(chunks, length), length)
+    names = shared_names(chunks, base)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("piece_id", pa.binary()), ("refs", pa.list_(pa.int64())), ("n", pa.int32()), ("piece", pa.binary()), ("sizes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("data", pa.binary()), ("sha", pa.list_(pa.string()))])
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The pieces of a chunk; its documents that pieces come from (starts, data); the others, which are done (sha)."""
+        out = []
+        own_ids = left.column("ids").type
+        for row, (number, sizes, data) in enumerate(zip(*(left.column(c).to_pylist() for c in ("chunk", "sizes", "data")), strict=True)):
+            text, sizes = np.frombuffer(data, np.uint8), np.array(sizes, np.int64)
+            ids = left.column("ids").slice(row, 1).combine_chunks().flatten()
+            shared = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, "<u8") for x in right.column("names").to_pylist())]))
+            start, n, key, room = suffix_pieces(text, sizes, shared, base)
+            stop = np.cumsum(sizes)
+            met = np.full(len(sizes), with_text)
+            met[np.searchsorted(stop, start, "right")] = True
+            if len(start):
+                h, g = _hasher(1), _hasher(2)
+                extent = np.minimum(n + length - 1, room)
+                one, two = (x.strings(x.sums(text), start, extent) ^ _mix(n.astype(np.uint64)) for x in (h, g))
+                _, first, back = np.unique(one ^ _mix(two), return_index=True, return_inverse=True)
+                order = np.argsort(back, kind="stable")
+                refs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(back))].astype(np.int32)), pa.array(start[order]))
+                piece = [data[s : s + k] for s, k in zip(start[first].tolist(), extent[first].tolist(), strict=True)]
+                name = np.stack([one[first], two[first]], axis=1).astype("<u8").view(np.uint8).reshape(len(first), 16)
+                out.append(pa.table({"chunk": pa.array(np.full(len(first), number)), "key": pa.array(key[first]), "piece_id": pa.array([x.tobytes() for x in name], pa.binary()), "refs": refs, "n": pa.array(n[first].astype(np.int32)), "piece": pa.array(piece, pa.binary())}))
+            for chosen in (met, ~met):
+                if chosen.any():
+                    at = np.flatnonzero(chosen).tolist()
+                    texts = [data[stop[k] - sizes[k] : stop[k]] for k in at]
+                    more = {"starts": pa.array([[int(stop[k] - sizes[k]) for k in at]], pa.list_(pa.int64())), "data": pa.array([b"".join(texts)], pa.binary())} if chosen is met else {"sha": pa.array([[hashlib.sha256(t).hexdigest() for t in texts]], pa.list_(pa.string()))}
+                    listed = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), ids.take(pa.array(at)))
+                    out.append(pa.table({"chunk": pa.array([number]), "ids": listed.cast(own_ids), "sizes": pa.array([[int(sizes[k]) for k in at]], pa.list_(pa.int64()))} | more))
+        full = schema.insert(1, pa.field("ids", own_ids))
+        return pa.concat_tables([pa.table({f.name: t.column(f.name) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in full}, schema=full) for t in out]) if out else full.empty_table()
+
+    made = chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(send, f"chunk bigint, ids array<{kind}>, key bigint, piece_id binary, refs array<bigint>, n int, piece binary, sizes array<bigint>, starts array<bigint>, data binary, sha array<string>")
+    made = durable(made, "pieces")
+    starts = repeated_starts(made.where("key is not null").select("chunk", "key", "piece_id", "refs", "n", "piece"), depths, hot)
+    zero = F.lit(0).cast("bigint")
+    done = made.where("sha is not null").select(F.explode(F.arrays_zip("ids", "sizes", "sha")).alias("x"))
+    done = done.select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("x.sha").alias("kept_sha256"), *[zero.alias("n_passages")] * bool(passage))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").combine_chunks().flatten()
-        sizes = np.array(left.column("sizes").to_pylist()[0], np.int64)
-        data = left.column("data").to_pylist()[0]
+        sizes, first = (np.array([k for x in left.column(c).to_pylist() for k in x], np.int64) for c in ("sizes", "starts"))
+        data = b"".join(left.column("data").to_pylist())
         text = np.frombuffer(data, np.uint8)
-        begin, n = (right.column(c).to_numpy() for c in ("start", "n"))
-        change = np.bincount(begin, minlength=len(text) + 1) - np.bincount(begin + n + length - 1, minlength=len(text) + 1)
-        gone = np.cumsum(change)[:-1] > 0
         stop = np.cumsum(sizes)
         edge = np.zeros(len(text) + 1, bool)
         edge[stop - sizes] = True
-        sums = np.r_[0, np.cumsum(gone)]
-        heads = np.r_[0, np.cumsum(gone & (edge[:-1] | ~np.r_[False, gone[:-1]][: len(gone)]))]
+        refs = right.column("refs").combine_chunks()
+        count = np.diff(refs.offsets.to_numpy()) if right.num_rows else np.empty(0, np.int64)
+        at, many, level = (np.repeat(right.column(c).to_numpy(), count) for c in ("at", "many", "level"))
+        begin = refs.flatten().to_numpy() + at if right.num_rows else at
+        begin = begin - (first - stop + sizes)[np.searchsorted(first, begin, "right") - 1] if len(begin) else begin
+
+        def covered(deep: int) -> tuple[np.ndarray, np.ndarray]:
+            """(bytes that repeats of this level cover, first bytes of their runs)"""
+            a = begin[level == deep]
+            change = np.bincount(a, minlength=len(text) + 1) - np.bincount(a + many[level == deep] + depths[deep] - 1, minlength=len(text) + 1)
+            gone = np.cumsum(change)[:-1] > 0
+            return gone, gone & (edge[:-1] | ~np.r_[False, gone[:-1]][: len(gone)])
+
+        def by_document(x: np.ndarray) -> np.ndarray:
+            sums = np.r_[0, np.cumsum(x)]
+            return sums[stop] - sums[stop - sizes]
+
+        gone, heads = covered(len(depths) - 1)
         kept = [text[a:z][~gone[a:z]].tobytes() for a, z in zip((stop - sizes).tolist(), stop.tolist(), strict=True)]
-        out = {"doc_id": ids, "n_bytes": pa.array(sizes), "n_removed": pa.array(sums[stop] - sums[stop - sizes]), "n_spans": pa.array(heads[stop] - heads[stop - sizes]), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+        out = {"doc_id": ids, "n_bytes": pa.array(sizes), "n_removed": pa.array(by_document(gone)), "n_spans": pa.array(by_document(heads)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+        if passage:
+            inside, heads = covered(0)
+            ends = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
+            long = np.zeros(len(text), bool)
+            for a, z in zip(np.flatnonzero(heads).tolist(), ends.tolist(), strict=True):
+                long[a] = len(data[a:z].split()) > words
+            out["n_passages"] = pa.array(by_document(long))
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
-    met = chunks.groupBy("chunk").cogroup(starts.groupBy("chunk"))
-    return met.applyInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
+    columns = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", n_passages bigint" * bool(passage)
+    open_docs = made.where("starts is not null").select("chunk", "ids", "sizes", "starts", "data")
+    met = open_docs.groupBy("chunk").cogroup(starts.groupBy("chunk")).applyInArrow(cut, columns + ", kept binary" * with_text)
+    return met if with_text else met.unionByName(done)

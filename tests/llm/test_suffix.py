@@ -51,3 +51,51 @@ def test_shared_passages_and_monotone_texts(spark):
 
 def test_no_documents(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 3000])
+def test_split_buckets(spark, docs, corpus, hot):
+    """A passage with ever different surroundings, and copies, in buckets that are split."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = text(35)
+    rows = [(1000 + k, text(60) + passage + text(60)) for k in range(80)]
+    rows += [(2000 + k, rows[k % 5][1][20:130] + text(k)) for k in range(40)]
+    full = [*corpus, *rows]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(6)
+    got = suffix_dedup.remove_repeats(table, 40, chunk=4000, hot=hot).collect()
+    assert sorted(map(key, got)) == brute([(i, (t or "").encode()) for i, t in full], 40)
+
+
+def test_equal_suffixes():
+    """Ranks tell ties of any two remainders and of every depth from differences in the last byte, the first and between."""
+    import numpy as np
+
+    rng = random.Random(2)
+    for depth in (1, 13, 25, 61, 240):
+        base = [bytes(rng.choice(b"ab") for _ in range(depth)) for _ in range(3)]
+        parts = []
+        for _ in range(200):
+            x = bytearray(rng.choice(base))
+            if rng.random() < 0.6:
+                x[rng.choice([0, depth // 2, depth - 1, rng.randrange(depth)])] ^= 3
+            parts.append(bytes(x) + b"zz"[: rng.randrange(3)])
+        text = np.frombuffer(b"".join(parts), np.uint8)
+        start = np.arange(len(text) - depth + 1)
+        got = suffix_dedup.Blocks(text, depth).equal(start, depth)
+        raw = text.tobytes()
+        want = {}
+        for s, g in zip(start.tolist(), got.tolist(), strict=True):
+            want.setdefault(raw[s : s + depth], set()).add(g)
+        assert all(len(x) == 1 for x in want.values()) and len(want) == len(set(got.tolist()))
+
+
+def test_passages(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    long, short = words(60), words(44)
+    rows = [(k, f"{words(30)} {long} {words(30)}") for k in range(3)] + [(10 + k, f"{words(5)} {short} {words(9)}") for k in range(2)] + [(20, words(300)), (21, ""), (22, None), (23, f"{long} {words(3)} {long}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, 400, passage=(200, 50)).collect()}
+    assert {i: r.n_passages for i, r in got.items()} == {0: 1, 1: 1, 2: 1, 10: 0, 11: 0, 20: 0, 21: 0, 22: 0, 23: 2}
+    assert sorted(key(r[:5]) for r in got.values()) == brute([(i, (t or "").encode()) for i, t in rows], 400)
