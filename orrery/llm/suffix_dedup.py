@@ -41,7 +41,7 @@ PRIMITIVE = {3: 0b1011, 6: 0b1000011, 9: 0b1000010001, 12: 0b1000001010011}
 #: Bytes of text in a chunk; names in a bucket.
 CHUNK, NAME_BUCKET = 4 << 20, 1 << 19
 #: Most suffixes in one piece of text, bytes of text sorted at a time, bytes of a bucket that is split.
-PIECE, AT_ONCE, HOT = 1024, 2 << 20, 6 << 20
+PIECE, AT_ONCE, HOT = 1024, 1 << 19, 6 << 20
 #: For hot buckets: parts in which equal pieces are merged first; one piece of SAMPLE is read for its short strings, of which COMMON are taken last if LEAST pieces read have them.
 SALTS, SAMPLE, COMMON, LEAST = 64, 8, 1 << 16, 64
 
@@ -247,80 +247,100 @@ def _distances(v: int, cover: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def _ranked(key: np.ndarray) -> np.ndarray:
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, keys in this order); ``bits`` hold any key. Where key and place fit one number, plain sorting does."""
+    wide = len(key).bit_length()
+    if bits + wide > 63:
+        order = np.argsort(key)
+        return order, key[order]
+    both = key << wide | np.arange(len(key))
+    both.sort()
+    return both & ((1 << wide) - 1), both >> wide
+
+
+def _ranked(key: np.ndarray, bits: int) -> np.ndarray:
     """Dense ranks of the values of ``key``."""
-    order = np.argsort(key)
-    own = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]])
+    order, own = _sorted(key, bits)
+    out = np.empty(len(key), np.int32)
+    out[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]], dtype=np.int32)
     return out
 
 
 class Blocks:
-    """Ranks of the blocks of one bucket's text: of v bytes everywhere, of longer ones at the positions of a difference cover."""
+    """Ranks of the blocks of one bucket's text: of v bytes at chosen positions, of longer ones at the positions of a difference cover."""
 
     def __init__(self, text: np.ndarray, depth: int):
         """For comparisons of ``depth`` bytes or more."""
-        self.v, self.cover = difference_cover(next((m for m in (30, 10) if 6 * m <= 3 * depth), 1))
+        self.v, self.cover = difference_cover(next((m for m in (30, 10) if m <= 0.5 * depth), 1))
         self.n = len(text)
-        size = 1 << min(3, self.v.bit_length() - 1)
-        padded = np.r_[text, np.zeros(8, np.uint8)]
-        word = np.zeros(self.n, np.uint64)
-        for k in range(size):
-            word = word << np.uint64(8) | padded[k : k + self.n]
-        rank = _ranked(word)
-        while size < self.v:
-            step = min(size, self.v - size)
-            rank = _ranked(self._pairs(rank, np.arange(self.n), step))
-            size += step
-        self.head = rank = rank.astype(np.int32)
+        self.bits = (self.n + 1).bit_length()
+        code = np.cumsum(np.bincount(text, minlength=256) > 0)  # bytes by rank, so that more of them fit one number
+        wide = int(code[-1]).bit_length()
+        self.size = min(self.v, max(1, (63 - self.bits) // wide))
+        padded = np.r_[code[text], np.zeros(self.size, np.int64)]
+        word = np.zeros(self.n, np.int64)
+        for k in range(self.size):
+            word = word << wide | padded[k : k + self.n]
+        self.short = _ranked(word, wide * self.size)
         inside = np.zeros(self.v, bool)
         inside[list(self.cover)] = True
         self.at = np.flatnonzero(inside[np.arange(self.n) % self.v])
-        self.sample = {self.v: rank}
-
-    def _pairs(self, rank: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-        return (rank[at].astype(np.int64) << 32) | (rank[np.minimum(at + step, self.n - 1)] + 1) * (at + step < self.n)
+        self.sample: dict[int, np.ndarray] = {}
+
+    def _longer(self, rank: np.ndarray, size: int, at: np.ndarray, to: int) -> np.ndarray:
+        """Ranks of the blocks of ``to`` bytes at ``at`` (twice ``size`` at most), from the ranks of blocks of ``size`` bytes."""
+        if to == size:
+            return rank[at]
+        more = at + (to - size)
+        key = rank[at].astype(np.int64) << self.bits | (rank[np.minimum(more, self.n - 1)] + np.int64(1)) * (more < self.n)
+        return _ranked(key, 2 * self.bits)
+
+    def heads(self, at: np.ndarray) -> np.ndarray:
+        """Ranks of the v bytes at each of ``at``."""
+        rank, size = self.short, self.size
+        while 2 * size < self.v:
+            rank, size = self._longer(rank, size, np.arange(self.n), 2 * size), 2 * size
+        return self._longer(rank, size, at, self.v)
 
     def ranks(self, size: int) -> np.ndarray:
         """Ranks of the blocks of ``size`` bytes, a multiple of v, at the sample positions."""
-        if size not in self.sample:
-            known = max(k for k in self.sample if k <= size)
-            while known < size:
-                step = min(known, size - known)
-                out = np.zeros(self.n, np.int32)
-                out[self.at] = _ranked(self._pairs(self.sample[known], self.at, step))
-                known += step
-                self.sample[known] = out
+        while size not in self.sample:
+            known = max((k for k in self.sample if k < size), default=0)
+            out = np.zeros(self.n, np.int32)
+            out[self.at] = self._longer(self.sample[known], known, self.at, min(2 * known, size)) if known else self.heads(self.at)
+            self.sample[min(2 * known, size) or self.v] = out
         return self.sample[size]
 
     def equal(self, start: np.ndarray, depth: int) -> np.ndarray:
         """A number for each of the suffixes at ``start``, equal for those that tie over ``depth`` bytes: sorted by their first v bytes, and longer ties by ranks."""
-        v = self.v
-        block = self.ranks(v * ((depth - v + 1) // v))
+        v, n = self.v, len(start)
+        size = v * ((depth - v + 1) // v)
+        block = self.ranks(size)
         apart = _distances(v, self.cover)
-        tails = [self.head[start + depth - v], self.head[start + depth - min(2 * v, depth)]]
-        group = _ranked(self.head[start])
-        done = np.zeros(len(start), np.int64)
+        # first and last bytes of each suffix; what lies between is in the sample's blocks, of which a second one begins so late as the depth allows
+        ends = self.heads(np.concatenate([start, start + depth - v]))
+        group, tail = ends[:n].astype(np.int64), ends[n:]
+        done = np.zeros(n, np.int64)
         closed = 0
-        order = np.argsort(group, kind="stable")
+        order, own = _sorted(group, self.bits + 1)
         while len(order):
-            own = group[order]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            size = np.diff(np.r_[first, len(order)])
-            pivot = np.repeat(order[first + size // 2], size)
+            count = np.diff(np.r_[first, len(order)])
+            pivot = np.repeat(order[first + count // 2], count)
             a, b = start[order], start[pivot]
             d = apart[a % v, b % v]
             way = np.sign(block[a + d] - block[b + d])
-            for tail in reversed(tails):
-                way = np.where(way == 0, np.sign(tail[order] - tail[pivot]), way)
-            nth = np.repeat(np.arange(len(first)), size)
+            tie = np.flatnonzero(way == 0)
+            late = d[tie] + (depth - size - d[tie]) // v * v
+            way[tie] = np.sign(block[a[tie] + late] - block[b[tie] + late])
+            way = np.where(way == 0, np.sign(tail[order] - tail[pivot]), way)
+            nth = np.repeat(np.arange(len(first)), count)
             same = way == 0
             done[order[same]] = closed + nth[same]
             closed += len(first)
             order, nth, way = order[~same], nth[~same], way[~same]
-            group[order] = 2 * nth + (way > 0)
-            order = order[np.argsort(group[order], kind="stable")]
+            place, own = _sorted(2 * nth + (way > 0), self.bits + 1)
+            order = order[place]
         return done
 
 
