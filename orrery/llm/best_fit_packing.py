@@ -1,13 +1,10 @@
 """Best-fit packing of token sequences in bulk-synchronous sweeps (operator 7).
 
-Documents are tokenised where they stand and cut into pieces of at most ``capacity`` tokens. Packing works on classes: as lengths and gaps are
-whole numbers up to the capacity, the range-sorted pieces and gaps are counts per length and per gap. The sweep goes
-through the lengths downwards; each superstep matches all pieces of one length with their successors, the smallest gaps that hold them, by rank
-(the k-th piece of the length takes the k-th place in those gaps), updates the gaps, and repeats until the length is placed, opening new
-sequences when no gap is left. What passes through the driver is the histogram and the plan made of it, bounded by the capacity and not by
-the input. Spark ranks the pieces of each length, in sub-buckets where a length is frequent, and joins them with the plan.
-
-Defined cases: null and empty texts are one end token; ties in length are broken by a hash of the row; null and repeated ids are
+Documents are tokenised where they stand and cut into pieces of at most ``capacity`` tokens. Each superstep range-sorts the open pieces and gaps, matches every piece
+with its successor, the smallest gap that holds it, resolves conflicts by rank, updates the gaps and repeats until all pieces are placed. Rows move by size, by
+level (see :func:`_sweep`) and by sequence; all of these are spread evenly, however many pieces share one length. The driver sees a few sums of each sweep.
+
+Defined cases: null and empty texts are one end token; ties in length are broken by a hash of the piece; null and repeated ids are
 rows of their own; an empty table gives an empty result; other columns are ignored. Very long texts are held one at a time as token arrays.
 """
 
@@ -15,16 +12,17 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, plain_text
+from .common import durable, fresh, plain_text
 
 #: ASCII marks: neither letters, digits nor white space.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -32,8 +30,6 @@ MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FINAL, JOINED = "</w>", 256
 #: Words whose tokens a Python worker remembers, and bytes of text it tokenises at a time.
 REMEMBERED, AT_ONCE = 600_000, 8 << 20
-#: Rows of one length that one task ranks.
-RANKED = 20_000
 
 
 class WordTokens(dict):
@@ -155,61 +151,83 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int
     return rows.mapInArrow(run, f"doc_id {kind}, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, last rank + 1, first sequence, pieces a sequence, offset of the first): best fit, longest first, on counts per length."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    plan, opened = [], 0
-
-    def add(free: int, first: int, bins: int) -> None:
-        if free and bins:
-            if free not in gaps:
-                insort(sizes, free)
-            gaps.setdefault(free, []).append((first, bins))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                free, first, bins = capacity, opened, -(-left // (capacity // length))
-                opened += bins
-            else:
-                free = sizes[at]
-                first, bins = gaps[free].pop()
-                if not gaps[free]:
-                    del gaps[free], sizes[at]
-            each = free // length
-            used = min(bins, -(-left // each))
-            add(free, first + used, bins - used)
-            placed = min(left, used * each)
-            full, rest = divmod(placed, each)
-            add(free - each * length, first, full)
-            if rest:
-                add(free - rest * length, first + full, 1)
-            plan.append((length, rank, rank + placed, first, each, capacity - free))
-            rank, left = rank + placed, left - placed
-    return plan
+def _sweep(items: DataFrame, gaps: DataFrame, longest: int) -> DataFrame:
+    """kind, id, size, seq: the open gaps (kind 0) and pieces (kind 1) of one superstep; ``seq`` is the sequence that a piece got, or null.
+
+    Gaps and pieces are range-sorted together, large first. Each piece takes the nearest gap before it that no larger piece took: its best fit. As with
+    brackets, that gap is the last one on the same level, where gaps lead one level up and pieces one down; of several pieces with the same successor
+    the first by rank takes it, the others go on. A gap that holds twice the longest piece or more offers itself as several equal parts.
+    """
+    parts = F.expr(f"cast(greatest(1, size div {2 * longest}) as int)")
+    opened = gaps.withColumn("parts", parts).select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.floor(F.col("size") / F.col("parts")).cast("bigint").alias("size"), F.explode(F.sequence(F.lit(1), "parts")).alias("part"))
+    events = opened.unionByName(items.select(F.lit(1).alias("kind"), "id", "size", F.lit(0).alias("part")))
+    order = F.desc("size"), F.col("kind"), F.xxhash64("id", "part"), F.col("id"), F.col("part")  # the hash cuts lengths that very many pieces have
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds place and level within the task."""
+        task, at, level = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            if b.num_rows:
+                up = 1 - 2 * b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64)
+                after = level + np.cumsum(up)
+                own = np.where(up > 0, after, after + 1)  # a gap opens the level that the piece closes
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("id"), b.column("size"), pa.array(np.full(b.num_rows, task)), pa.array(at + np.arange(b.num_rows)), pa.array(own), pa.array(up)], names=names)
+                at, level = at + b.num_rows, int(after[-1])
+
+    names = ["kind", "id", "size", "task", "at", "own", "up"]
+    walked = durable(events.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, "kind int, id bigint, size bigint, task bigint, at bigint, own bigint, up bigint"), "walked")
+    tasks = walked.groupBy("task").agg(F.sum("up").alias("up"))  # one row for each task
+    before = tasks.select("task", F.coalesce(F.sum("up").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    levels = walked.join(before, "task").withColumn("level", F.col("own") + F.col("before"))
+    # a level is met at most twice for each length, so its rows are bounded by the capacity
+    met = Window.partitionBy("level").orderBy("task", "at")
+    last = F.when(F.lag("kind").over(met) == 0, F.lag("id").over(met))
+    return levels.select("kind", "id", "size", F.when(F.col("kind") == 1, last).alias("seq"))
 
 
 def best_fit(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """``pieces`` (columns row, piece, length among others; durable) with sequence_id and offset."""
+    """``pieces`` (column length among others) with sequence_id and offset.
+
+    Pieces of more than half the capacity open a sequence each, and as many more are opened as the rest needs at least. Then sweeps match pieces to gaps and update the
+    gaps; where no gap holds the longest pieces, the sequences they need at least are opened. What reaches the driver is a few sums of each sweep.
+    """
     spark = pieces.sparkSession
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    lengths = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in sorted(counts.items())], "length bigint, buckets bigint")
-    plan = spark.createDataFrame(best_fit_plan(counts, capacity), "length bigint, low bigint, high bigint, first bigint, each bigint, base bigint")
-    spread = pieces.join(F.broadcast(lengths), "length").withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), "buckets")).drop("buckets")
-    before = spread.groupBy("length", "bucket").count()
-    before = before.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
-    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1)
-    ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(plan), "length").where("rank >= low and rank < high")
-    place = F.col("rank") - F.col("low")
-    where = [(F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"), (F.col("base") + place % F.col("each") * F.col("length")).cast("long").alias("offset")]
-    return placed.select(*[f"`{c}`" for c in pieces.columns], *where)
+    rid = fresh(pieces, "piece_row")
+    numbered = durable(pieces.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(rid).alias("id"), F.col("length").alias("size"))
+    placed = [rows.where(F.col("size") * 2 > capacity).select("id", F.col("id").alias("seq"), F.lit(0).alias("turn"))]
+    items = rows.where(F.col("size") * 2 <= capacity)
+    gaps = rows.where(F.col("size") * 2 > capacity).select(F.col("id").alias("seq"), (capacity - F.col("size")).alias("size"))
+    opened, turn = 0, 0
+
+    def fresh_gaps(tokens: int) -> DataFrame:
+        nonlocal opened
+        more = -(-tokens // capacity)
+        opened += more
+        return spark.range(opened - more, opened).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("bigint").alias("size"))
+
+    free = gaps.agg(F.sum("size")).first()[0] or 0
+    state = items.agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.max("size").alias("most"), F.min("size").alias("least")).first()
+    gaps = gaps.unionByName(fresh_gaps(max(0, (state.tokens or 0) - free)))
+    while state.n:
+        turn += 1
+        met = durable(_sweep(items, gaps.where(F.col("size") >= state.least), state.most), "swept")
+        found = met.where("seq is not null").select("id", "seq", F.lit(turn).alias("turn"), "size")
+        placed.append(found.drop("size"))
+        items = met.where("kind = 1 and seq is null").select("id", "size")
+        taken = found.groupBy("seq").agg(F.sum("size").alias("taken"))
+        gaps = durable(gaps.where(F.col("size") >= state.least).join(taken, "seq", "left").select("seq", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size")), "gaps")
+        widest = gaps.agg(F.max("size")).first()[0] or 0
+        too_long = F.sum(F.when(F.col("size") > widest, F.col("size")))
+        state = items.agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least"), F.coalesce(too_long, F.lit(0)).alias("tokens")).first()
+        if state.tokens:
+            gaps = gaps.unionByName(fresh_gaps(state.tokens))
+    where = reduce(DataFrame.unionByName, placed)
+    where = where.select(F.col("id").alias(rid), F.col("seq").alias("sequence_id"), F.col("turn").alias(turn_of := fresh(numbered, "turn")))
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(turn_of, rid).rowsBetween(Window.unboundedPreceding, -1))
+    return numbered.join(where, rid).withColumn("offset", F.coalesce(before, F.lit(0)).cast("bigint")).select(*[f"`{c}`" for c in pieces.columns], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = durable(token_pieces(docs, tokenizer, capacity=capacity), "pieces")
-    return best_fit(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return best_fit(token_pieces(docs, tokenizer, capacity=capacity), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
