@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, fresh, plain_text, sha256_hex
+from .common import ascii_lower, durable, fresh, perhaps_in, plain_text, sha256_hex
 
 #: What separates words, after lower-casing.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,9 +92,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
-    """The documents that hold no window of any item, with all their columns."""
-    sha = fresh(docs, "sha_of_text")
+    """The documents that hold no window of any item, with all their columns. Only rows that a filter of the hit texts lets through shuffle."""
+    sha, key, flag = fresh(docs, "sha_of_text"), fresh(docs, "key_of_text"), fresh(docs, "perhaps_hit")
     hashed = docs.withColumn(sha, sha256_hex(plain_text(text_col)))
     rows, spans = contaminated_spans(hashed, benchmark, width, keep=[sha], text_col=text_col)
-    dirty = rows.join(spans.select("row").distinct(), "row", "left_semi").select(sha).distinct()
-    return hashed.join(dirty.hint("shuffle_hash"), sha, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    dirty = durable(rows.join(spans.select("row").distinct(), "row", "left_semi").select(sha).distinct(), "dirty")
+    flagged = perhaps_in(hashed, F.xxhash64(sha), durable(dirty.select(F.xxhash64(sha).alias(key)), "hit-keys"), flag)
+    clean = flagged.where(flag).join(dirty, sha, "left_anti")
+    return flagged.where(~F.col(flag)).unionByName(clean).select(*[f"`{c}`" for c in docs.columns])

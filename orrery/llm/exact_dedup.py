@@ -16,18 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, plain_text, sha256_hex
-
-#: Bits of one block: what bitmap_construct_agg keeps in one value of 4096 bytes.
-BLOCK = 32768
-#: Smallest and largest filter, in bits: 128 KB and 32 MB.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-
-
-def filter_bits(rows: int) -> int:
-    """Sixteen bits a row, a power of two between LEAST_BITS and MOST_BITS."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(rows, 1) - 1).bit_length()))
-
+from .common import BLOCK, bit_at, durable, filter_bits, fresh, plain_text, sha256_hex
 
 def _cells(sha: Column, blocks: int) -> tuple[Column, Column, Column]:
     """The block of a digest, and its two bits there."""
@@ -43,18 +32,13 @@ def repeated_cells(digests: DataFrame, sha: str, bits: int) -> DataFrame:
     return twice.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
 
 
-def _bit(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1
-
-
 def flag_repeats(rows: DataFrame, sha: str, cells: DataFrame, bits: int, flag: str) -> DataFrame:
     """``rows`` with the boolean ``flag``: false only if no other row has this digest."""
     block, a, b = _cells(F.col(sha), bits // BLOCK)
     names = fresh(rows, "bloom_block"), fresh(rows, "bloom_bitmap")
     small = cells.select(F.col("block").alias(names[0]), F.col("bitmap").alias(names[1]))
     tested = rows.join(F.broadcast(small), block == F.col(names[0]), "left")
-    hit = F.coalesce(_bit(F.col(names[1]), a) & _bit(F.col(names[1]), b), F.lit(False))
+    hit = F.coalesce(bit_at(F.col(names[1]), a) & bit_at(F.col(names[1]), b), F.lit(False))
     return tested.withColumn(flag, hit).drop(*names)
 
 

@@ -12,7 +12,7 @@ it, and only links that join two parts of the run are reported.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like others; a null ``doc_id`` joins its group, of which the smallest
 non-null id is the component; repeated rows are all returned; an empty table gives an empty result; other columns are ignored
-by :func:`near_duplicates` and kept by :func:`near_dedup`. Very long texts are hashed in slices.
+by :func:`near_duplicates` and kept by :func:`near_dedup` and :func:`similar_dedup`. Very long texts are hashed in slices.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, plain_text
+from .common import durable, fresh, perhaps_in, plain_text
 from .components import connected_components
+from .near_jaccard import similar_links
 
 #: Seed of the shingle hash; generator polynomial, length and covering radius of the Golay code.
 SEED = 42
@@ -209,18 +210,54 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _one_of_each(marked: DataFrame, row_id: str, key: str, groups: DataFrame, columns: list[str]) -> DataFrame:
+    """Of the rows of ``marked`` with one root in ``groups`` (key, root; keys that are not there have none), that with the smallest id; of repeated rows, one.
+
+    Only rows of groups, and of texts that occur twice, shuffle; the others stay where they are.
+    """
+    rows = marked.select(row_id, key)
+    repeated = rows.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    concerned = durable(groups.select(key).unionByName(repeated).distinct(), "concerned")
+    flag = fresh(marked, "perhaps_again")
+    flagged = perhaps_in(marked, F.col(key), concerned, flag)
+    some = flagged.where(flag).select(row_id, key).join(groups, key, "left").groupBy(F.coalesce("root", key).alias("root"))
+    order = F.struct(F.col(row_id).isNull(), row_id, key)
+    stay = some.agg(F.min_by(F.struct(row_id, key), order).alias("s")).select(F.col(f"s.{row_id}").alias("stay_id"), F.col(f"s.{key}").alias("stay_key"))
+    stay = durable(stay, "stay")
+    kept = flagged.where(flag).join(stay, F.col(row_id).eqNullSafe(stay.stay_id) & (F.col(key) == stay.stay_key), "left_semi")
+    kept = kept.dropDuplicates([row_id, key]) if not rows.groupBy(row_id, key).count().where("count > 1").isEmpty() else kept
+    return flagged.where(~F.col(flag)).unionByName(kept).select(*[f"`{c}`" for c in columns])
+
+
 def near_dedup(docs: DataFrame, words: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with all its columns: that with the smallest id (of rows with one id, one)."""
+    """One row of each group of fingerprints within ``threshold`` bits, with all its columns: that with the smallest id (of rows with one id, one)."""
     key, row_id = fresh(docs, "text_key"), fresh(docs, "row_id")
     marked = docs.withColumn(key, F.xxhash64(plain_text(text_col))).withColumn(row_id, F.col(id_col))
-    fps = durable(fingerprints(marked, words, [row_id, key], text_col), "simhash")
+    fps = durable(fingerprints(marked, words, [key], text_col).distinct(), "simhash")
     roots = durable(components_of(fps, threshold), "roots")
-    grouped = fps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    order = F.struct(F.col(row_id).isNull(), row_id, key)
-    stay = grouped.agg(F.min_by(F.struct(row_id, key), order).alias("s")).select(F.col(f"s.{row_id}").alias("stay_id"), F.col(f"s.{key}").alias("stay_key"))
-    stay = durable(stay, "stay")
-    kept = marked.join(stay.hint("shuffle_hash"), F.col(row_id).eqNullSafe(stay.stay_id) & (F.col(key) == stay.stay_key), "left_semi")
-    repeated = fps.groupBy(row_id, key).count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([row_id, key])
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    # a group is named by the least text of its least fingerprint
+    rooted = durable(fps.join(roots, "fp", "left").select(key, F.coalesce("root", "fp").alias("fp")), "rooted")
+    named = durable(rooted.groupBy("fp").agg(F.min(key).alias("root"), F.count("*").alias("texts")).where("texts > 1").select("fp", "root"), "named")
+    return _one_of_each(marked, row_id, key, rooted.join(named, "fp").select(key, "root"), docs.columns)
+
+
+def near_pairs(prints: DataFrame, threshold: int = 2) -> DataFrame:
+    """(a, b): pairs of texts of ``prints`` (text_key, fp) with fingerprints that are equal or that the anchors link."""
+    fps = durable(prints.groupBy("fp").agg(F.min("text_key").alias("least"), F.count("*").alias("texts")), "fingerprints")
+    equal = prints.join(fps.where("texts > 1"), "fp").select(F.col("least").alias("a"), F.col("text_key").alias("b"))
+    links = durable(fingerprint_links(fps, threshold), "links")
+    ends = links.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("p")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("q")), "b")
+    return equal.unionByName(ends.select(F.col("p").alias("a"), F.col("q").alias("b")))
+
+
+def similar_dedup(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of texts that a Jaccard similarity of 4/5 of 5-word shingles links, with all its columns: that with the smallest id (of rows with one id, one).
+
+    The anchors find candidates among the fingerprints of 5-word shingles, which are checked by their shingles; links beyond ``threshold`` bits are completed by an exact
+    set join (see near_jaccard), so none is lost. A null id comes last in the choice of what stays; repeated rows leave one row.
+    """
+    key, row_id = fresh(docs, "text_key"), fresh(docs, "row_id")
+    marked = docs.withColumn(key, F.xxhash64(plain_text(text_col))).withColumn(row_id, F.col(id_col))
+    texts = marked.select(F.col(key).alias("text_key"), plain_text(text_col).cast("binary").alias("text"))
+    roots = durable(connected_components(similar_links(texts, lambda prints: near_pairs(prints, threshold))), "roots")
+    return _one_of_each(marked, row_id, key, roots.select(F.col("node").alias(key), "root"), docs.columns)
