@@ -167,3 +167,57 @@ def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
         return F.when(((p["y"] > py) != (q["y"] > py)) & (px < at), 1).otherwise(0)
 
     return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, b: a + b) % 2 == 1
+
+
+def turned_between(a: Column, b: Column, share: Column) -> Column:
+    """Heading at a share of the way from a to b, the shorter way round (spherical interpolation of turns about one axis)."""
+    return wrap(a + wrap(b - a) * share)
+
+
+def slerp(a: Column, b: Column, share: Column) -> Column:
+    """Spherical interpolation of unit quaternions (arrays of four), the shorter way round; linear where they nearly agree."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = F.transform(b, lambda x: x * F.when(dot < 0, -1.0).otherwise(1.0))
+    angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
+    flat = F.abs(dot) > 0.9995
+    one = F.when(flat, 1 - share).otherwise(F.try_divide(F.sin((1 - share) * angle), F.sin(angle)))
+    two = F.when(flat, share).otherwise(F.try_divide(F.sin(share * angle), F.sin(angle)))
+    mixed = F.zip_with(a, near, lambda x, y: x * one + y * two)
+    size = F.sqrt(F.aggregate(F.transform(mixed, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    return F.transform(mixed, lambda x: x / size)
+
+
+def box_corners(x: Column, y: Column, z: Column, length: Column, width: Column, height: Column, heading: Column) -> Column:
+    """array<struct<x,y,z>>: the eight corners of a box that is turned about the vertical axis."""
+    corners = []
+    for u, v, w in ((1, 1, 1), (1, -1, 1), (1, -1, -1), (1, 1, -1), (-1, 1, 1), (-1, -1, 1), (-1, -1, -1), (-1, 1, -1)):
+        px, py = to_global(length / 2 * u, width / 2 * v, x, y, heading)
+        corners.append(F.struct(px.alias("x"), py.alias("y"), (z + height / 2 * w).alias("z")))
+    return F.array(*corners)
+
+
+def view_points(points: Column, focal: float, cx: float, cy: float) -> Column:
+    """array<struct<u,v,depth>>: points (z is the optical axis, x to the right, y down) through a pinhole camera."""
+    return F.transform(points, lambda p: F.struct((F.try_divide(p["x"], p["z"]) * focal + cx).alias("u"), (F.try_divide(p["y"], p["z"]) * focal + cy).alias("v"), p["z"].alias("depth")))
+
+
+def box_in_image(corners: Column, width: float, height: float, every: bool = False) -> Column:
+    """Whether any (or every) corner (from view_points) is inside the image and more than a metre away, and all are in front of the camera."""
+    inside = lambda c: (c["u"] > 0) & (c["u"] < width) & (c["v"] > 0) & (c["v"] < height) & (c["depth"] > 1)
+    seen = F.forall(corners, inside) if every else F.exists(corners, inside)
+    return F.coalesce(seen, F.lit(False)) & F.forall(corners, lambda c: c["depth"] > 0.1)
+
+
+def image_box(corners: Column, width: float, height: float) -> Column:
+    """struct<u0,v0,u1,v1>: the least upright rectangle of the corners, cut at the image's edges; null outside."""
+    us, vs = F.transform(corners, lambda c: c["u"]), F.transform(corners, lambda c: c["v"])
+    clip = lambda c, most: F.least(F.greatest(c, F.lit(0.0)), F.lit(most))
+    u0, u1, v0, v1 = clip(F.array_min(us), width), clip(F.array_max(us), width), clip(F.array_min(vs), height), clip(F.array_max(vs), height)
+    return F.when((u0 < u1) & (v0 < v1), F.struct(u0.alias("u0"), v0.alias("v0"), u1.alias("u1"), v1.alias("v1")))
+
+
+def destination(lat: Column, lon: Column, bearing_deg: Column, metres: Column, radius: float = 6_378_137.0) -> tuple[Column, Column]:
+    """Latitude and longitude (degrees) reached from a place by a bearing (clockwise from north) and a way."""
+    d, b, p = metres / radius, F.radians(bearing_deg), F.radians(lat)
+    q = F.asin(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b))
+    return F.degrees(q), lon + F.degrees(F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * F.sin(q)))

@@ -7,14 +7,28 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Question families in order, each with the pattern of its first words.
+#: Question families in order, each with the patterns by which it is told, whatever the case.
 FAMILIES = (
-    ("exist", r"^(is|are) there|^(do|does|can) (i|you|we) see"),
-    ("count", r"^how many|^what number|^what is the number"),
-    ("status", r"status|^what is the state"),
-    ("object", r"^what is|^what kind|^what type|^there is a.*what"),
-    ("comparison", r"same|different|^do "),
+    ("exist", (r"^(Are|Is) there", r"^(Are|Is) any", r"^(Do|Does) .+ exist", r"^Can you see")),
+    ("count", (r"^How many", r"^What number of", r"^What is the number of")),
+    ("status", (r"^What (is|are) the status", r"^What status (is|are)", r"what (is|are) .+ status")),
+    ("object", (r"^What (is|are) the .+ thing", r"^What (is|are) .+ that", r"^The .+ (is|are) what", r".+ is what\?$", r"^There is .+what is it\??$", r"what is it\??$")),
+    ("comparison", (r"same (status|type) as", r"same as", r"(is|are) .+ the same")),
 )
+#: Synonyms that questions are freed of, in this order; those of directions are replaced inside words too.
+WORD_SYNONYMS = (
+    ("construction vehicle", "truck"), ("construction vehicles", "trucks"), ("vehicle", "car"), ("vehicles", "cars"),
+    ("stationary", "stopped"), ("not moving", "stopped"), ("driving", "moving"), ("running", "moving"),
+)
+PHRASE_SYNONYMS = (
+    ("in front of", "to the front of"), ("in the front of", "to the front of"), ("behind", "to the back of"), ("in the back of", "to the back of"),
+    ("to the rear of", "to the back of"), ("on the left of", "to the left of"), ("on the right of", "to the right of"),
+)
+#: Names of types as asked, by the name that they stand for.
+TYPE_NAMES = {
+    "cars": "car", "traffic cones": "traffic cone", "pedestrians": "pedestrian", "buss": "bus", "busses": "bus", "buses": "bus", "trucks": "truck", "bicycles": "bicycle", "motorcycles": "motorcycle",
+    "barriers": "barrier", "trailers": "trailer", "construction vehicles": "construction vehicle",
+}
 #: What the tokenizer of questions drops.
 DROPPED = r"[.,'!?\"()*#:;]"
 
@@ -29,10 +43,16 @@ def replaced(text: Column, synonyms: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, rf"(?i)\b{s[0]}\b", s[1]), synonyms, text)
 
 
+def normalised_question(text: Column) -> Column:
+    """Single spaces, and synonyms replaced by one wording each."""
+    words = replaced(squeeze(text), list(WORD_SYNONYMS))
+    return reduce(lambda t, s: F.regexp_replace(t, rf"(?i){s[0]}", s[1]), PHRASE_SYNONYMS, words)
+
+
 def question_family(text: Column) -> Column:
-    """The first family whose pattern the lower-case text holds, else general."""
-    low = F.lower(text)
-    return reduce(lambda acc, f: F.when(low.rlike(f[1]), F.lit(f[0])).otherwise(acc), reversed(FAMILIES), F.lit("general"))
+    """The first family of which a pattern fits the text, else general."""
+    fits = lambda patterns: reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in patterns])
+    return reduce(lambda acc, f: F.when(fits(f[1]), F.lit(f[0])).otherwise(acc), reversed(FAMILIES), F.lit("general"))
 
 
 def tokens(text: Column) -> Column:
@@ -73,9 +93,14 @@ def same_answer(a: Column, b: Column) -> Column:
 
 
 def type_matches(kind: Column, asked: Column) -> Column:
-    """Substring match after dropping a plural s; "thing" is anything but ego."""
-    one = F.regexp_replace(F.lower(asked), "s$", "")
-    return F.when(one == "thing", kind != "ego").otherwise(F.lower(kind).contains(one))
+    """Whether the type holds the asked name, after folding _ and plurals; things and objects are anything but ego."""
+    fold = lambda c: F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit(" "))
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv])[fold(asked)], fold(asked))
+    return (
+        F.when(name.isin("thing", "things", "object", "objects"), fold(kind) != "ego")
+        .when(name == "traffic cone", fold(kind).contains("traffic cone") | fold(kind).contains("trafficcone"))
+        .when(name == "construction vehicle", fold(kind).contains("construction")).otherwise(fold(kind).contains(name))
+    )
 
 
 def json_list(text: Column) -> Column:
@@ -95,3 +120,56 @@ def fingerprint16(*columns: Column) -> Column:
 
 def difficulty(candidates: Column, constraints: Column, external: Column) -> Column:
     return candidates * F.greatest(constraints, F.lit(1)) + 2 * external
+
+
+#: Full category names by the detection class that they count for, and the classes that are tracked.
+DETECTION_CLASSES = {
+    "movable_object.barrier": "barrier", "vehicle.bicycle": "bicycle", "vehicle.bus.bendy": "bus", "vehicle.bus.rigid": "bus", "vehicle.car": "car", "vehicle.construction": "construction_vehicle",
+    "vehicle.motorcycle": "motorcycle", "human.pedestrian.adult": "pedestrian", "human.pedestrian.child": "pedestrian", "human.pedestrian.construction_worker": "pedestrian",
+    "human.pedestrian.police_officer": "pedestrian", "movable_object.trafficcone": "traffic_cone", "vehicle.trailer": "trailer", "vehicle.truck": "truck",
+}
+TRACKED = ("bicycle", "bus", "car", "motorcycle", "pedestrian", "trailer", "truck")
+#: Types and statuses that an answer may name, in the order in which they are looked for.
+ANSWER_TYPES = ("car", "truck", "bus", "bicycle", "pedestrian", "ego", "barrier", "motorcycle", "trailer")
+ANSWER_STATUSES = (("stopped", ("stopped", "stationary", "not moving")), ("parked", ("parked",)), ("moving", ("moving", "driving", "running")), ("with rider", ("with rider", "with_rider")), ("without rider", ("without rider", "without_rider")), ("standing", ("standing",)))
+
+
+def detection_class(category: Column) -> Column:
+    """The detection class of a category, null for others."""
+    return F.create_map(*[F.lit(x) for kv in DETECTION_CLASSES.items() for x in kv])[category]
+
+
+def tracking_class(category: Column) -> Column:
+    """The tracking class of a category, null where none is tracked."""
+    kind = detection_class(category)
+    return F.when(kind.isin(*TRACKED), kind)
+
+
+def formatted_answer(family: Column, text: Column) -> Column:
+    """The bare answer inside a free text, by the question's family: yes or no, the first number, a status, a type, else the trimmed text."""
+    low = F.lower(text)
+    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    yes_no = F.when(has("yes", "visible", "found"), "yes").otherwise("no")
+    number = F.coalesce(F.nullif(F.regexp_extract(text, r"\b(\d+)\b", 1), F.lit("")), F.lit("0"))
+    status = reduce(lambda acc, s: F.when(has(*s[1]), F.lit(s[0])).otherwise(acc), reversed(ANSWER_STATUSES), F.trim(text))
+    kind = reduce(lambda acc, t: F.when(has(t), F.lit(t)).otherwise(acc), reversed(ANSWER_TYPES), F.trim(text))
+    return F.when(family.isin("exist", "comparison"), yes_no).when(family == "count", number).when(family == "status", status).when(family == "object", kind).otherwise(F.trim(text))
+
+
+def plural(noun: Column) -> Column:
+    """English plural of a type: es after s, x and ch, ies for y after a consonant."""
+    return F.when(noun.rlike("(s|x|ch)$"), F.concat(noun, F.lit("es"))).when(noun.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(noun, "y$", ""), F.lit("ies"))).otherwise(F.concat(noun, F.lit("s")))
+
+
+def with_article(noun: Column) -> Column:
+    return F.concat(F.when(noun.rlike("(?i)^[aeiou]"), F.lit("an ")).otherwise(F.lit("a ")), noun)
+
+
+def first_object(text: Column) -> Column:
+    """The first {...} without inner braces, null without one."""
+    return F.nullif(F.regexp_extract(text, r"(\{[^{}]*\})", 1), F.lit(""))
+
+
+def canonical_name(name: Column) -> Column:
+    """A column name in lower case with single underscores."""
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))

@@ -22,9 +22,11 @@ def uniqueness(edges: DataFrame) -> DataFrame:
     for name, columns in METHODS:
         out = out.withColumn(f"unique_{name}", F.count("*").over(Window.partitionBy("frame", "src", *columns)) == 1)
     kind = Window.partitionBy("frame", "src", "dst_type")
-    out = out.withColumn("rank", F.row_number().over(kind.orderBy("dist", "dst"))).withColumn("of_type", F.count("*").over(kind))
-    first = F.coalesce(*[F.when(F.col(f"unique_{n}"), F.lit(n)) for n, _ in METHODS], F.when(F.col("rank") == 1, "nearest"), F.when(F.col("rank") == F.col("of_type"), "farthest"), F.lit("ordinal"))
-    return out.withColumn("method", first)
+    alone = F.count("*").over(Window.partitionBy("frame", "src", "dst_type", "dist")) == 1  # equal distances single out none
+    out = out.withColumns({"rank": F.row_number().over(kind.orderBy("dist", "dst")), "of_type": F.count("*").over(kind), "_alone": alone, "_least": F.min("dist").over(kind), "_most": F.max("dist").over(kind)})
+    first = F.coalesce(*[F.when(F.col(f"unique_{n}"), F.lit(n)) for n, _ in METHODS], F.when(F.col("_alone") & (F.col("dist") == F.col("_least")), "nearest"), F.when(F.col("_alone") & (F.col("dist") == F.col("_most")), "farthest"), F.lit("ordinal"))
+    out = out.withColumn("_method", first).drop("_alone", "_least", "_most")
+    return out.withColumnRenamed("_method", "method")
 
 
 def rank_label(rank, count):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
 
+from .relational import ranked
+
 #: Cameras with the range of bearings (degrees, ends included) that they see.
 CAMERAS = (("front", -30.0, 30.0), ("front_left", 30.0, 90.0), ("back_left", 90.0, 150.0), ("back", 150.0, -150.0), ("back_right", -150.0, -90.0), ("front_right", -90.0, -30.0))
 
@@ -44,8 +46,12 @@ def boxes_for_evaluation(boxes: DataFrame, limits: dict[str, float], racks: Data
 
 def density_strata(frames: DataFrame, cuts: tuple[float, ...] = (0.2, 0.35, 0.65, 0.8)) -> DataFrame:
     """Frames (frame, objects, types) with their stratum by sorted position of the number of objects, and a score."""
-    from pyspark.sql import Window
+    total = frames.agg(F.count("*").alias("_total"))
+    placed = ranked(frames, F.struct("objects", F.expr("frame div 10000")), "objects", "frame").join(F.broadcast(total))
+    stratum = sum((F.when(F.col("rank") / F.col("_total") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return placed.withColumn("stratum", stratum).withColumn("score", 10 * F.col("types") + 0.1 * F.col("objects")).drop("rank", "_total")
+
 
-    place = F.cume_dist().over(Window.orderBy("objects", "frame"))
-    stratum = sum((F.when(place > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return frames.withColumn("stratum", stratum).withColumn("score", 10 * F.col("types") + 0.1 * F.col("objects"))
+def representatives(strata: DataFrame) -> DataFrame:
+    """stratum, frame: the frame of the highest score in each stratum, ties by frame."""
+    return strata.groupBy("stratum").agg(F.min_by("frame", F.struct((-F.col("score")).alias("s"), "frame")).alias("frame"))

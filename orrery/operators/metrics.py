@@ -29,29 +29,71 @@ def mean_iou(by_class: DataFrame) -> DataFrame:
 
 
 def precision_recall(scored: DataFrame, by: str, score: str, order: str, hit: str) -> DataFrame:
-    """Running precision and recall by falling score, ties by falling ``order``; recall is of all hits of the group."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = scored.withColumns({"tp": F.sum(F.when(F.col(hit), 1).otherwise(0)).over(w), "k": F.count("*").over(w), "positives": F.sum(F.when(F.col(hit), 1).otherwise(0)).over(Window.partitionBy(by))})
+    """Running precision and recall by falling score, ties by falling ``order``; recall is of all hits of the group.
+
+    Scores fall into ranges first: sums over whole ranges and a running sum inside one give the running sums, so a large group is spread over many tasks.
+    """
+    one = F.when(F.col(hit), 1).otherwise(0)
+    placed = ranges(scored, by, score)
+    inside = Window.partitionBy(by, "_range").orderBy(F.desc(score), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    whole = placed.groupBy(by, "_range").agg(F.sum(one).alias("_hits"), F.count("*").alias("_rows"))
+    above = Window.partitionBy(by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select(by, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_hits", "_rows")], F.sum("_hits").over(Window.partitionBy(by)).alias("positives"))
+    out = placed.withColumns({"tp": F.sum(one).over(inside), "k": F.count("*").over(inside)}).join(before, [by, "_range"])
+    out = out.withColumns({"tp": F.col("tp") + F.col("_hits_above"), "k": F.col("k") + F.col("_rows_above")}).drop("_range", "_hits_above", "_rows_above")
     return out.withColumns({"precision": F.col("tp") / F.col("k"), "recall": F.try_divide(F.col("tp"), F.col("positives"))})
 
 
-def average_precision(curve: DataFrame, by: str, bins: int = 101, least_recall: float = 0.1, least_precision: float = 0.1) -> DataFrame:
-    """by, ap: precision interpolated at ``bins`` recalls (the last point at or below and the first above), clipped and averaged over bins above ``least_recall``."""
-    points = curve.groupBy(by, "recall").agg(F.max_by("precision", "k").alias("precision"))
+def ranges(rows: DataFrame, by: str, value: str, parts: int = 256) -> DataFrame:
+    """``rows`` with ``_range``: the part, of equal width between the group's least and largest ``value``, in which a row lies."""
+    ends = rows.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    place = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * parts)
+    return rows.join(ends, by).withColumn("_range", F.least(place, F.lit(parts - 1))).drop("_low", "_high")
+
+
+def at_recalls(curve: DataFrame, by: str, value: str, bins: int = 101) -> DataFrame:
+    """by, bin, value: ``value`` linearly interpolated at evenly many recalls; beyond the largest recall nothing (zero to the reader), before the first one its value.
+
+    Where several points share a recall, the last of them bounds the span above it and the first the span below it.
+    """
+    points = curve.groupBy(by, "recall").agg(F.min_by(value, "k").alias("_first"), F.max_by(value, "k").alias("_last"))
     w = Window.partitionBy(by).orderBy("recall")
-    spans = points.withColumns({"r0": F.coalesce(F.lag("recall").over(w), F.lit(0.0)), "p0": F.coalesce(F.lag("precision").over(w), F.col("precision"))})
-    low = F.ceil(F.col("r0") * (bins - 1) - 1e-9) + F.when(F.col("r0") > 0, F.when(F.abs(F.col("r0") * (bins - 1) - F.round(F.col("r0") * (bins - 1))) < 1e-9, 1).otherwise(0)).otherwise(0)
-    high = F.floor(F.col("recall") * (bins - 1) + 1e-9)
-    each = spans.where(low <= high).withColumn("bin", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    at = F.col("bin") / F.lit(float(bins - 1))
-    value = F.col("p0") + (F.col("precision") - F.col("p0")) * F.coalesce(F.try_divide(at - F.col("r0"), F.col("recall") - F.col("r0")), F.lit(1.0))
+    spans = points.withColumns({"r0": F.lag("recall").over(w), "p0": F.lag("_last").over(w)})
+    steps = F.lit(float(bins - 1))
+    near = F.round(F.col("recall") * steps)
+    # bins in the span [r0, recall), and that at recall itself
+    inner = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: (k / steps < F.col("recall") - 1e-12) & (F.col("r0").isNull() | (k / steps > F.col("r0") + 1e-12)))
+    each = spans.select(by, "recall", "r0", "p0", "_first", "_last", F.explode(F.concat(inner, F.when(F.abs(F.col("recall") * steps - near) < 1e-9, F.array(near.cast("int"))).otherwise(F.array().cast("array<int>")))).alias("bin"))
+    pos = F.col("bin") / steps
+    between = F.col("p0") + (F.col("_first") - F.col("p0")) * (pos - F.col("r0")) / (F.col("recall") - F.col("r0"))
+    return each.select(by, "bin", F.when(F.abs(pos - F.col("recall")) < 1e-11, F.col("_last")).when(F.col("r0").isNull(), F.col("_first")).otherwise(between).alias(value))
+
+
+def average_precision(curve: DataFrame, by: str, bins: int = 101, least_recall: float = 0.1, least_precision: float = 0.1) -> DataFrame:
+    """by, ap: precision interpolated at ``bins`` recalls, clipped and averaged over bins above ``least_recall``."""
     first = int(round((bins - 1) * least_recall)) + 1
-    clipped = F.greatest(value - least_precision, F.lit(0.0))
-    total = each.where(F.col("bin") >= first).groupBy(by).agg(F.sum(clipped).alias("s"))
+    clipped = F.greatest(F.col("precision") - least_precision, F.lit(0.0))
+    total = at_recalls(curve, by, "precision", bins).where(F.col("bin") >= first).groupBy(by).agg(F.sum(clipped).alias("s"))
     groups = curve.select(by).distinct()
     return groups.join(total, by, "left").select(by, F.round(F.coalesce("s", F.lit(0.0)) / (bins - first) / (1 - least_precision), 6).alias("ap"))
 
 
+def true_positive_error(curve: DataFrame, by: str, score: str, error: str, hit: str, bins: int = 101, least_recall: float = 0.1) -> DataFrame:
+    """by, error: the running mean of the matches' errors (null ones are skipped), taken at the confidence of each recall bin and averaged from ``least_recall`` to the largest recall; 1 where that is not reached."""
+    conf = at_recalls(curve, by, score, bins).where(F.col(score) != 0)
+    first = int(round((bins - 1) * least_recall)) + 1
+    wanted = conf.groupBy(by).agg(F.collect_list(F.struct(F.col(score).alias("c"), "bin")).alias("wanted"))  # at most ``bins`` of a group
+    w = Window.partitionBy(by).orderBy(F.desc(score), "k")
+    hits = curve.where(F.col(hit)).withColumn("mean", F.avg(error).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    up = Window.partitionBy(by).orderBy(score, F.desc("k"))
+    spans = hits.select(by, F.col(score).alias("c0"), F.col("mean").alias("m0"), F.lead(score).over(up).alias("c1"), F.lead("mean").over(up).alias("m1"), F.lag(score).over(up).isNull().alias("lowest"))
+    met = spans.join(F.broadcast(wanted), by).withColumn("x", F.explode(F.filter("wanted", lambda q: (q["c"] >= F.col("c0")) & (F.col("c1").isNull() | (q["c"] < F.col("c1"))) | F.col("lowest") & (q["c"] < F.col("c0")))))
+    share = F.try_divide(F.col("x.c") - F.col("c0"), F.col("c1") - F.col("c0"))
+    value = F.when(F.col("c1").isNull() | (F.col("x.c") <= F.col("c0")), F.col("m0")).otherwise(F.col("m0") + (F.col("m1") - F.col("m0")) * share)
+    found = met.where(F.col("x.bin") >= first).groupBy(by).agg(F.avg(value).alias("e"))
+    return curve.select(by).distinct().join(found, by, "left").select(by, F.round(F.coalesce("e", F.lit(1.0)), 6).alias("error"))
+
+
 def greedy_match(pairs: DataFrame, threshold: float) -> DataFrame:
     """group, pred, gt: by falling score each prediction takes its nearest free truth closer than ``threshold``.
 
@@ -104,12 +146,15 @@ def track_events(frames: DataFrame, threshold: float) -> DataFrame:
         last: dict = {}
         tp = fp = fn = switches = 0
         far = 0.0
-        for _, now in pdf.sort_values("t").groupby("t"):
+        for t, now in pdf.sort_values("t").groupby("t"):
             gt, pr = (now[now["kind"] == k].sort_values("id") for k in ("gt", "pred"))
             g = {i: (x, y) for i, x, y in gt[["id", "x", "y"]].itertuples(index=False)}
             p = {i: (x, y) for i, x, y in pr[["id", "x", "y"]].itertuples(index=False)}
             close = lambda a, b: float(np.hypot(g[a][0] - p[b][0], g[a][1] - p[b][1]))  # noqa: B023, E731
-            pairs = {a: b for a, b in last.items() if a in g and b in p and close(a, b) < threshold}
+            pairs: dict = {}
+            for a, (b, _) in sorted(last.items(), key=lambda x: -x[1][1]):  # the newest pairs first, as a truth that comes back may find its partner taken
+                if a in g and b in p and b not in pairs.values() and close(a, b) < threshold:
+                    pairs[a] = b
             rest, free = [a for a in g if a not in pairs], [b for b in p if b not in pairs.values()]
             if rest and free:
                 cost = np.array([[min(close(a, b), 1e3 * threshold) for b in free] for a in rest])
@@ -117,11 +162,11 @@ def track_events(frames: DataFrame, threshold: float) -> DataFrame:
                 for i, j in optimal_match(cost.T if flip else cost):
                     a, b = (rest[j], free[i]) if flip else (rest[i], free[j])
                     if close(a, b) < threshold:
-                        switches += a in last and last[a] != b
+                        switches += a in last and last[a][0] != b
                         pairs[a] = b
             tp, fp, fn = tp + len(pairs), fp + len(p) - len(pairs), fn + len(g) - len(pairs)
             far += sum(close(a, b) for a, b in pairs.items())
-            last = last | pairs
+            last |= {a: (b, t) for a, b in pairs.items()}
         return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "tp": [tp], "fp": [fp], "fn": [fn], "switches": [switches], "distance": [far]})
 
     return frames.groupBy("scene").applyInPandas(scene, "scene bigint, tp bigint, fp bigint, fn bigint, switches bigint, distance double")
@@ -205,3 +250,17 @@ def detection_score(mean_ap: Column, *errors: Column) -> Column:
     """(5 mAP + the sum of what each error leaves of one) / (5 + errors)."""
     left = sum((F.greatest(F.lit(0.0), 1 - e) for e in errors), F.lit(0.0))
     return (5 * mean_ap + left) / (5 + len(errors))
+
+
+def label_stats(points: DataFrame, by: str, label: str) -> DataFrame:
+    """by, label, points, share: labelled points of each frame, and their share of the frame."""
+    n = points.groupBy(by, label).agg(F.count("*").alias("points"))
+    return n.withColumn("share", F.round(F.col("points") / F.sum("points").over(Window.partitionBy(by)), 6))
+
+
+def running_least(modes: DataFrame) -> DataFrame:
+    """id, k, min_ade, min_fde: the least errors over the k most probable modes, for every k at once (id, mode, p, t, dist)."""
+    by = modes.groupBy("id", "mode").agg(F.max("p").alias("p"), F.avg("dist").alias("ade"), F.max_by("dist", F.struct("t", "dist")).alias("fde"))
+    w = Window.partitionBy("id").orderBy(F.desc("p"), "mode")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return by.select("id", F.row_number().over(w).alias("k"), F.round(F.min("ade").over(so_far), 6).alias("min_ade"), F.round(F.min("fde").over(so_far), 6).alias("min_fde"))

@@ -76,10 +76,31 @@ def bracketed(rows: DataFrame, key: str, time: str, value: str) -> DataFrame:
     return out.withColumn("filled", F.coalesce(value, F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share)).drop("_a", "_b")
 
 
-def majority(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """by, value, n: the most frequent value, the smallest on ties."""
-    counted = rows.groupBy(by, value).agg(F.count("*").alias("n"))
-    return counted.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("m"), value)).alias("best")).select(by, F.col(f"best.{value}").alias(value), (-F.col("best.m")).alias("n"))
+def majority(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """by, value, n: the most frequent value; of equally frequent ones that which comes first in ``order``."""
+    counted = rows.groupBy(by, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    best = counted.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("m"), "_first", value)).alias("best"))
+    return best.select(by, F.col(f"best.{value}").alias(value), (-F.col("best.m")).alias("n"))
+
+
+def ranked(rows: DataFrame, part: Column, *order: str) -> DataFrame:
+    """``rows`` with ``rank``, from 1, over the whole table, without gathering it in one task.
+
+    ``part`` must rise with ``order``, which must tell all rows apart: rows are numbered inside each part, after the rows of all parts before it.
+    """
+    placed = rows.withColumn("_part", part)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = counts.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_place", inside).join(before, "_part").withColumn("rank", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def tiles(rows: DataFrame, n: int, part: Column, *order: str) -> DataFrame:
+    """``rows`` with ``part``, 1 to ``n``: as even parts as can be, larger ones first; see :func:`ranked`."""
+    total = rows.agg(F.count("*").alias("_total"))
+    k, size, more = F.col("rank") - 1, F.expr(f"_total div {n}"), F.col("_total") % n
+    tile = F.when(k < more * (size + 1), F.floor(k / (size + 1))).otherwise(more + F.floor(F.try_divide(k - more * (size + 1), size)))
+    return ranked(rows, part, *order).join(F.broadcast(total)).withColumn("part", (tile + 1).cast("int")).drop("rank", "_total")
 
 
 def seeded_order(key: Column, seed: int) -> Column:

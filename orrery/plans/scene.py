@@ -385,8 +385,8 @@ ORACLE = {
         SELECT qid, level, count(*) AS n FROM f GROUP BY 1, 2""",
     "unique_methods": f"""WITH {EDGES}, u AS (SELECT count(*) OVER (PARTITION BY frame, src, dst_type) = 1 AS a, count(*) OVER (PARTITION BY frame, src, dst_type, dst_status) = 1 AS b, count(*) OVER (PARTITION BY frame, src, dir8) = 1 AS c,
           count(*) OVER (PARTITION BY frame, src, dst_type, level) = 1 AS d, count(*) OVER (PARTITION BY frame, src, dst_type, dir8, level) = 1 AS e, count(*) OVER (PARTITION BY frame, src, dst_type, dst_status, dir8, level) = 1 AS f,
-          row_number() OVER (PARTITION BY frame, src, dst_type ORDER BY dist, dst) AS r, count(*) OVER (PARTITION BY frame, src, dst_type) AS k FROM edges)
-        SELECT CASE WHEN a THEN 'type' WHEN b THEN 'type_status' WHEN c THEN 'direction' WHEN d THEN 'type_level' WHEN e THEN 'type_direction_level' WHEN f THEN 'all' WHEN r = 1 THEN 'nearest' WHEN r = k THEN 'farthest' ELSE 'ordinal' END AS method,
+          count(*) OVER (PARTITION BY frame, src, dst_type, dist) = 1 AND dist = min(dist) OVER (PARTITION BY frame, src, dst_type) AS lo, count(*) OVER (PARTITION BY frame, src, dst_type, dist) = 1 AND dist = max(dist) OVER (PARTITION BY frame, src, dst_type) AS hi FROM edges)
+        SELECT CASE WHEN a THEN 'type' WHEN b THEN 'type_status' WHEN c THEN 'direction' WHEN d THEN 'type_level' WHEN e THEN 'type_direction_level' WHEN f THEN 'all' WHEN lo THEN 'nearest' WHEN hi THEN 'farthest' ELSE 'ordinal' END AS method,
           count(*) AS n, count(*) FILTER (a) AS by_type, count(*) FILTER (b) AS by_type_status, count(*) FILTER (c) AS by_direction, count(*) FILTER (d) AS by_type_level, count(*) FILTER (e) AS by_type_direction_level, count(*) FILTER (f) AS by_all FROM u GROUP BY 1""",
     "two_references": f"""WITH {EDGES}, v AS (SELECT frame, src, dst, dst_type AS t, dir6 AS d, count(*) OVER (PARTITION BY frame, src, dst_type, dir6) AS n FROM edges), h AS (SELECT * FROM v WHERE n > 1),
         p AS (SELECT a.frame, a.dst, a.src AS s1, a.t, a.d AS d1, b.src AS s2, b.d AS d2 FROM h a JOIN h b ON a.frame = b.frame AND a.dst = b.dst AND a.src < b.src),

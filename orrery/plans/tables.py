@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -77,9 +79,8 @@ def top_orders(spark, sf_dir):
 
 def split_frames(spark, sf_dir):
     """A reproducible shuffle of suppliers, cut into four even parts."""
-    s = read_table(spark, sf_dir, "supplier").withColumn("h", relational.seeded_order(F.col("s_suppkey"), 42))
-    w = Window.orderBy("h", "s_suppkey")
-    return s.withColumn("part", F.ntile(4).over(w)).select("s_suppkey", "part")
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", relational.seeded_order(F.col("s_suppkey"), 42).alias("h"))
+    return relational.tiles(s, 4, F.substring("h", 1, 3), "h", "s_suppkey").select("s_suppkey", "part")
 
 
 def set_operations(spark, sf_dir):
@@ -164,7 +165,7 @@ def timing_stats(spark, sf_dir):
 
 
 def majority_type(spark, sf_dir):
-    return relational.majority(read_table(spark, sf_dir, "events"), "user_id", "event_type")
+    return relational.majority(_events(spark, sf_dir), "user_id", "event_type", "us")
 
 
 # --- texts and answers
@@ -172,12 +173,11 @@ def majority_type(spark, sf_dir):
 
 def question_families(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations")
-    return c.groupBy("role", T.question_family(F.col("text")).alias("family")).agg(F.count("*").alias("n"))
+    return c.groupBy("role", T.question_family(T.normalised_question(F.col("text"))).alias("family")).agg(F.count("*").alias("n"))
 
 
 def token_counts(spark, sf_dir):
-    ascii_text = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
-    words = read_table(spark, sf_dir, "conversations").select("role", F.explode(T.tokens(ascii_text)).alias("word"))
+    words = read_table(spark, sf_dir, "conversations").select("role", F.explode(T.tokens(F.col("text"))).alias("word"))
     counted = words.groupBy("role", "word").agg(F.count("*").alias("n"))
     w = Window.partitionBy("role").orderBy(F.desc("n"), "word")
     return counted.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("role", "word", "n", "rank")
@@ -185,10 +185,24 @@ def token_counts(spark, sf_dir):
 
 def vocabulary(spark, sf_dir):
     """Word ids in the order of first appearance, after three reserved ids."""
-    ascii_text = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
-    b = read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.tokens(ascii_text)).alias("pos", "word"))
-    first = b.groupBy("word").agg(F.min(F.struct("item_id", "pos")).alias("at"))
-    return first.select("word", (F.row_number().over(Window.orderBy("at.item_id", "at.pos")) + 2).alias("id"))
+    return _vocabulary(_benchmark_words(spark, sf_dir))
+
+
+def _benchmark_words(spark, sf_dir):
+    return read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
+
+
+def _vocabulary(words):
+    first = words.groupBy("word").agg(F.min(F.struct("item_id", "pos")).alias("at")).select("word", "at.*")
+    return relational.ranked(first, F.expr("item_id div 1000"), "item_id", "pos").select("word", (F.col("rank") + 2).alias("id"))
+
+
+def encoded_items(spark, sf_dir):
+    """The items as ids of the vocabulary, cut or padded with zeros to thirty."""
+    words = _benchmark_words(spark, sf_dir)
+    ids = words.join(_vocabulary(words), "word").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("w"))
+    padded = T.padded(F.transform("w", lambda x: x["id"]), 30, 0)
+    return ids.select("item_id", F.concat_ws("|", padded.cast("array<string>")).alias("ids"))
 
 
 def accuracy_levels(spark, sf_dir):
@@ -252,13 +266,16 @@ def greedy_detection(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     p = e.where("event_type = 'click'").select(F.col("user_id").alias("group"), F.col("event_id").alias("pred"), F.col("value").alias("score"))
     g = e.where("event_type = 'purchase'").select(F.col("user_id").alias("group"), F.col("event_id").alias("gt"), F.col("value").alias("gv"))
-    return metrics.greedy_match(p.join(g, "group").withColumn("dist", F.abs(F.col("score") - F.col("gv"))).where("dist < 5").drop("gv"), 5.0)
+    # a range join: values meet in cells of the threshold's width
+    p = p.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("score") / 5) + k)))
+    near = p.join(g.withColumn("cell", F.floor(F.col("gv") / 5)), ["group", "cell"]).withColumn("dist", F.abs(F.col("score") - F.col("gv"))).where("dist < 5")
+    return metrics.greedy_match(near.drop("gv", "cell"), 5.0)
 
 
 def track_counts(spark, sf_dir):
-    """CLEAR-MOT counts of noisy copies of ten tracks a scene."""
+    """CLEAR-MOT counts of noisy copies of ten tracks a scene; a scene is 100 consecutive steps, so scenes grow in number, not in length."""
     e = read_table(spark, sf_dir, "events").withColumn("t", F.expr("event_id div 10"))
-    gt = e.select((F.col("t") % 20).alias("scene"), "t", F.lit("gt").alias("kind"), "event_type", (F.col("event_id") % 10).alias("id"), (F.col("event_id") % 10 * 5.0).alias("x"), (F.col("t") * 0.1).alias("y"))
+    gt = e.select(F.expr("t div 100").alias("scene"), "t", F.lit("gt").alias("kind"), "event_type", (F.col("event_id") % 10).alias("id"), (F.col("event_id") % 10 * 5.0).alias("x"), (F.col("t") * 0.1).alias("y"))
     pred = gt.where("event_type <> 'error'").select("scene", "t", F.lit("pred").alias("kind"), ((F.col("id") + F.expr("t div 200")) % 10 + 100).alias("id"), (F.col("x") + 0.3).alias("x"), "y")
     return metrics.track_events(gt.drop("event_type").unionByName(pred), 2.0).select("scene", "tp", "fp", "fn", "switches", F.round("distance", 4).alias("distance"))
 
@@ -292,9 +309,9 @@ def _lanes(spark, li):
     first = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("a"))
     links = li.join(first, "l_partkey").where("l_suppkey <> a").select("a", F.col("l_suppkey").alias("b"))
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))  # only where none is set, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))  # one machine, as in tests
     return spatial.connected_lanes(links)
 
 
@@ -304,16 +321,30 @@ QUERIES = {
     f.__name__: f
     for f in (
         fk_integrity, shortcut_join, subset_closure, category_stats, decorated_orders, grouping_levels, pricing_summary, top_orders, split_frames, set_operations, prev_next, velocity, fragments, session_rows, as_of_join, interpolated,
-        past_slice, windows_tumbling, windows_session, props_json, timing_stats, majority_type, question_families, token_counts, vocabulary, accuracy_levels, status_inference, page_fields, pr_curve, average_precision, confusion_iou, mean_iou,
+        past_slice, windows_tumbling, windows_session, props_json, timing_stats, majority_type, question_families, token_counts, vocabulary, encoded_items, accuracy_levels, status_inference, page_fields, pr_curve, average_precision, confusion_iou, mean_iou,
         panoptic, displacement, greedy_detection, track_counts, point_in_polygon, lane_groups, lane_groups_all,
     )
 }
 
-_TOKENS = r"string_split_regex(trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[.,''!?\"()*#:;]', '', 'g'), '[-/]', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '\s+')"
+_TOKENS = r"string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[.,''!?\"()*#:;]', '', 'g'), '[-/]', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '\s+')"
 _IOU = """m AS (SELECT l_linenumber AS truth, (l_partkey % 7 + 1)::INT AS guess, count(*) AS n FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1, 2),
   k AS (SELECT class, sum(t) AS t, sum(g) AS g, sum(h) AS tp FROM (SELECT truth AS class, n AS t, 0 AS g, CASE WHEN truth = guess THEN n ELSE 0 END AS h FROM m UNION ALL SELECT guess, 0, n, 0 FROM m) GROUP BY 1),
   i AS (SELECT class, tp::BIGINT AS tp, (g - tp)::BIGINT AS fp, (t - tp)::BIGINT AS fn, round(tp / nullif(t + g - tp, 0), 6) AS iou FROM k)"""
 
+# What the questions are freed of, and how they are told, in DuckDB's words.
+_NORMALISED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+for _old, _new in (
+    (r"\bconstruction vehicle\b", "truck"), (r"\bconstruction vehicles\b", "trucks"), (r"\bvehicle\b", "car"), (r"\bvehicles\b", "cars"), (r"\bstationary\b", "stopped"), (r"\bnot moving\b", "stopped"), (r"\bdriving\b", "moving"), (r"\brunning\b", "moving"),
+    ("in front of", "to the front of"), ("in the front of", "to the front of"), ("behind", "to the back of"), ("in the back of", "to the back of"), ("to the rear of", "to the back of"), ("on the left of", "to the left of"), ("on the right of", "to the right of"),
+):
+    _NORMALISED = f"regexp_replace({_NORMALISED}, '{_old}', '{_new}', 'gi')"
+_FAMILY = r"""
+    WHEN regexp_matches(q, '^(Are|Is) (there|any)', 'i') OR regexp_matches(q, '^(Do|Does) .+ exist', 'i') OR regexp_matches(q, '^Can you see', 'i') THEN 'exist'
+    WHEN regexp_matches(q, '^(How many|What number of|What is the number of)', 'i') THEN 'count'
+    WHEN regexp_matches(q, '^What (is|are) the status', 'i') OR regexp_matches(q, '^What status (is|are)', 'i') OR regexp_matches(q, 'what (is|are) .+ status', 'i') THEN 'status'
+    WHEN regexp_matches(q, '^What (is|are) (the .+ thing|.+ that)', 'i') OR regexp_matches(q, '^The .+ (is|are) what', 'i') OR regexp_matches(q, '(.+ is what\?|what is it\??)$', 'i') THEN 'object'
+    WHEN regexp_matches(q, 'same (status |type )?as', 'i') OR regexp_matches(q, '(is|are) .+ the same', 'i') THEN 'comparison'"""
+
 ORACLE = {
     "fk_integrity": """SELECT 'customer.nation' AS fk, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'supplier.nation', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)
         UNION ALL SELECT 'orders.customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem.orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
@@ -349,9 +380,11 @@ ORACLE = {
         SELECT user_id, min(us) AS start_us, count(*) AS n FROM s GROUP BY user_id, g""",
     "props_json": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS largest FROM (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1",
     "timing_stats": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most, round(min(value), 6) AS least, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
-    "majority_type": "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1",
-    "question_families": """SELECT role, CASE WHEN regexp_matches(lower(text), '^(is|are) there|^(do|does|can) (i|you|we) see') THEN 'exist' WHEN regexp_matches(lower(text), '^how many|^what number|^what is the number') THEN 'count' WHEN regexp_matches(lower(text), 'status|^what is the state') THEN 'status'
-        WHEN regexp_matches(lower(text), '^what is|^what kind|^what type|^there is a.*what') THEN 'object' WHEN regexp_matches(lower(text), 'same|different|^do ') THEN 'comparison' ELSE 'general' END AS family, count(*) AS n FROM conversations GROUP BY 1, 2""",
+    "majority_type": "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, min(ts) AS first_ts FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_ts) = 1",
+    "question_families": f"WITH q AS (SELECT role, {_NORMALISED} AS q FROM conversations) SELECT role, CASE {_FAMILY} ELSE 'general' END AS family, count(*) AS n FROM q GROUP BY 1, 2",
+    "encoded_items": f"""WITH t AS (SELECT item_id, list_filter({_TOKENS}, lambda x: x <> '') AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM t), f AS (SELECT word, min(item_id * 1000000 + pos) AS place FROM u GROUP BY 1),
+        v AS (SELECT word, row_number() OVER (ORDER BY place) + 2 AS id FROM f), i AS (SELECT item_id, list(id ORDER BY pos) AS ids FROM u JOIN v USING (word) GROUP BY 1)
+        SELECT item_id, array_to_string(list_concat(ids, list_transform(range(30), lambda x: 0))[1:30], '|') AS ids FROM i""",
     "token_counts": f"WITH w AS (SELECT role, unnest({_TOKENS}) AS word FROM conversations), k AS (SELECT role, word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2) SELECT role, word, n, row_number() OVER (PARTITION BY role ORDER BY n DESC, word) AS rank FROM k QUALIFY rank <= 20",
     "vocabulary": f"""WITH t AS (SELECT item_id, list_filter({_TOKENS}, lambda x: x <> '') AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM t), f AS (SELECT word, min(item_id * 1000000 + pos) AS place FROM u GROUP BY 1)
         SELECT word, row_number() OVER (ORDER BY place) + 2 AS id FROM f""",
@@ -362,9 +395,9 @@ ORACLE = {
         FROM s WINDOW w AS (PARTITION BY class ORDER BY score DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "average_precision": """WITH s AS (SELECT user_id % 10 AS class, event_id, value AS score, (event_type = 'purchase')::INT AS hit FROM events),
         c AS (SELECT class, count(*) OVER w AS k, sum(hit) OVER w / count(*) OVER w AS p, sum(hit) OVER w / nullif(sum(hit) OVER (PARTITION BY class), 0) AS r FROM s WINDOW w AS (PARTITION BY class ORDER BY score DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-        q AS (SELECT class, r, arg_max(p, k) AS p FROM c GROUP BY 1, 2), b AS (SELECT class, x / 100.0::DOUBLE AS pos, x FROM (SELECT DISTINCT class FROM s), range(11, 101) t(x)),
-        lo AS (SELECT b.class, b.x, b.pos, max(q.r) AS r0, arg_max(q.p, q.r) AS p0 FROM b LEFT JOIN q ON q.class = b.class AND q.r <= b.pos + 1e-12 GROUP BY 1, 2, 3), hi AS (SELECT b.class, b.x, min(q.r) AS r1, arg_min(q.p, q.r) AS p1 FROM b JOIN q ON q.class = b.class AND q.r >= b.pos - 1e-12 GROUP BY 1, 2),
-        v AS (SELECT lo.class, CASE WHEN r1 IS NULL THEN 0 WHEN r0 IS NULL THEN p1 WHEN r1 - r0 < 1e-12 THEN p0 ELSE p0 + (p1 - p0) * (pos - r0) / (r1 - r0) END AS v FROM lo LEFT JOIN hi ON lo.class = hi.class AND lo.x = hi.x)
+        q AS (SELECT class, r, arg_min(p, k) AS p_first, arg_max(p, k) AS p_last FROM c GROUP BY 1, 2), b AS (SELECT class, x / 100.0::DOUBLE AS pos, x FROM (SELECT DISTINCT class FROM s), range(11, 101) t(x)),
+        lo AS (SELECT b.class, b.x, b.pos, max(q.r) AS r0, arg_max(q.p_last, q.r) AS p0 FROM b LEFT JOIN q ON q.class = b.class AND q.r <= b.pos + 1e-11 GROUP BY 1, 2, 3), hi AS (SELECT b.class, b.x, min(q.r) AS r1, arg_min(q.p_first, q.r) AS p1 FROM b JOIN q ON q.class = b.class AND q.r > b.pos + 1e-11 GROUP BY 1, 2),
+        v AS (SELECT lo.class, CASE WHEN r0 IS NULL THEN p1 WHEN abs(pos - r0) < 1e-11 THEN p0 WHEN r1 IS NULL THEN 0 ELSE p0 + (p1 - p0) * (pos - r0) / (r1 - r0) END AS v FROM lo LEFT JOIN hi ON lo.class = hi.class AND lo.x = hi.x)
         SELECT class, round(sum(greatest(v - 0.1, 0)) / 90 / 0.9, 6) AS ap FROM v GROUP BY 1""",
     "confusion_iou": f"WITH {_IOU} SELECT * FROM i",
     "mean_iou": f"WITH {_IOU} SELECT round(avg(iou), 6) AS miou, round(sum(iou * (tp + fn)) / sum(tp + fn), 6) AS fwiou FROM i",
@@ -376,6 +409,9 @@ ORACLE = {
           round(coalesce(s / nullif(tp, 0), 0) * coalesce(tp / nullif(tp + 0.5 * (ng - tp) + 0.5 * (nt - tp), 0), 0), 6) AS pq FROM c""",
     "displacement": """WITH m AS (SELECT l_orderkey AS id, l_partkey % 3 AS mode, 1.0 / (1 + l_partkey % 3) AS p, l_linenumber AS t, l_quantity / 10 AS dist FROM lineitem), b AS (SELECT id, mode, max(p) AS p, avg(dist) AS ade, arg_max(dist, t * 1000 + dist) AS fde, max(dist) AS worst FROM m GROUP BY 1, 2),
         k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, mode) <= 2) SELECT id, round(min(ade), 6) AS min_ade, round(min(fde), 6) AS min_fde, min(worst) >= 2 AS missed FROM k GROUP BY 1""",
+    "point_in_polygon": """WITH s AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, (s_suppkey % 40)::DOUBLE AS y FROM supplier), p AS (SELECT k AS poly, k * 8.0 AS c FROM range(12) t(k)),
+        e AS (SELECT poly, unnest([[c - 9.5, 20.25, c, 1.5], [c, 1.5, c + 9.5, 20.25], [c + 9.5, 20.25, c, 38.5], [c, 38.5, c - 9.5, 20.25]]) AS q FROM p)
+        SELECT id, min(poly) AS poly FROM (SELECT id, poly FROM s JOIN e ON (q[2] > y) <> (q[4] > y) AND x < q[1] + (y - q[2]) * (q[3] - q[1]) / (q[4] - q[2]) GROUP BY id, poly HAVING count(*) % 2 = 1) GROUP BY 1""",
     "lane_groups": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 50), f AS (SELECT p, min(s) AS a FROM l GROUP BY 1), e AS (SELECT a, s AS b FROM l JOIN f USING (p) WHERE s <> a), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r AS (SELECT a AS lane, a AS other FROM both_ways UNION SELECT r.lane, b.b FROM r JOIN both_ways b ON r.other = b.a) SELECT lane, min(other) AS "group" FROM r GROUP BY 1""",
 }

@@ -73,8 +73,16 @@ def test_distance_words(spark):
 
 
 def test_text_rules(spark):
-    q = lambda s: T.question_family(F.lit(s))
-    assert tuple(one(spark, q("Is there a car?"), q("How many cars are moving?"), q("What status is the car?"), q("What is the thing?"), q("Do they have the same color?"), q("Hm"))) == ("exist", "count", "status", "object", "comparison", "general")
+    asked = [
+        ("Are any cars visible?", "exist"), ("Does a moving car exist?", "exist"), ("can you see a bus?", "exist"), ("How many cars are moving?", "count"), ("What number of things are there?", "count"), ("What status is the car?", "status"), ("To the left, what is the bus status", "status"),
+        ("What is the moving thing?", "object"), ("What is the thing that is ahead?", "object"), ("The bus is what?", "object"), ("There is a bus; what is it?", "object"), ("Is the car the same status as the bus?", "comparison"), ("Is its status the same?", "comparison"), ("What is the thing?", "general"), ("Hm", "general"),
+    ]
+    got = spark.createDataFrame(asked, "q string, family string").select("q", "family", T.question_family(T.normalised_question(F.col("q"))).alias("got")).collect()
+    assert [(r.q, r.got) for r in got] == asked
+    assert one(spark, T.normalised_question(F.lit("The  construction vehicle in front of a stationary Vehicle, behind it"))).c0 == "The truck to the front of a stopped car, to the back of it"
+    names = [("bus", "buses", True), ("construction_vehicle", "construction vehicle", True), ("construction_vehicle", "construction vehicles", True), ("traffic_cone", "traffic cones", True), ("car", "things", True), ("ego", "objects", False), ("car", "trucks", False), ("bus", "busses", True), ("truck", "car", False)]
+    got = spark.createDataFrame(names, "k string, a string, want boolean").select("k", "a", T.type_matches(F.col("k"), F.col("a")).alias("got")).collect()
+    assert [(r.k, r.a, r.got) for r in got] == names
     assert one(spark, T.tokens(F.lit(" The front-left car's, (big)/small? "))).c0 == ["the", "front", "left", "cars", "big", "small"]
     assert one(spark, T.padded(F.array(F.lit(3), F.lit(4)), 4)).c0 == [3, 4, 0, 0]
     s = lambda a, v: T.inferred_status(F.lit(a), F.lit(v))
@@ -84,3 +92,44 @@ def test_text_rules(spark):
     assert tuple(one(spark, T.same_answer(F.lit("Parked"), F.lit("stopped ")), T.same_answer(F.lit("front_left"), F.lit("front left")), T.same_answer(F.lit("1"), F.lit("2")))) == (True, True, False)
     assert one(spark, T.json_list(F.lit('["a","b"]')), T.json_list(F.lit("nope")), T.json_list(F.lit(None).cast("string"))) == (["a", "b"], [], [])
     assert one(spark, T.squeeze(F.lit("  a \n b "))).c0 == "a b"
+
+
+def test_answers_and_phrases(spark):
+    a = lambda f, t: T.formatted_answer(F.lit(f), F.lit(t))
+    assert tuple(one(spark, a("exist", "Yes, one is."), a("exist", "None."), a("count", "There are 12 or 13."), a("count", "many"), a("status", "It is driving"), a("status", " odd "), a("object", "A big Truck"), a("general", " so "))) == ("yes", "no", "12", "0", "moving", "odd", "truck", "so")
+    assert tuple(one(spark, T.plural(F.lit("bus")), T.plural(F.lit("car")), T.plural(F.lit("lorry")), T.plural(F.lit("day")), T.with_article(F.lit("animal")), T.with_article(F.lit("car")))) == ("buses", "cars", "lorries", "days", "an animal", "a car")
+    assert tuple(one(spark, T.first_object(F.lit('x {"a": 1} {"b": 2}')), T.first_object(F.lit("none")), T.canonical_name(F.lit(" Total (L2) rate% ")))) == ('{"a": 1}', None, "total_l2_rate")
+    assert tuple(one(spark, T.detection_class(F.lit("vehicle.bus.bendy")), T.detection_class(F.lit("animal")), T.tracking_class(F.lit("movable_object.barrier")), T.tracking_class(F.lit("human.pedestrian.child")))) == ("bus", None, None, "pedestrian")
+
+
+def test_turns(spark):
+    quarter = [math.cos(math.radians(45)), 0.0, 0.0, math.sin(math.radians(45))]
+    arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    half, back, near = one(spark, G.slerp(arr([1, 0, 0, 0]), arr(quarter), F.lit(0.5)), G.slerp(arr([1, 0, 0, 0]), arr([-x for x in quarter]), F.lit(0.5)), G.slerp(arr([1, 0, 0, 0]), arr([1, 0, 0, 0]), F.lit(0.3)))
+    want = [math.cos(math.radians(22.5)), 0.0, 0.0, math.sin(math.radians(22.5))]
+    assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(half, want)) and all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(back, want)) and near[0] == 1.0
+    assert round(one(spark, G.turned_between(F.lit(170.0), F.lit(-170.0), F.lit(0.25))).c0, 9) == 175.0
+
+
+def test_boxes_in_an_image(spark):
+    """Corner for corner against numpy."""
+    import numpy as np
+
+    args = (10.0, 1.0, 0.5, 4.0, 2.0, 1.5, 30.0)
+    corners = G.box_corners(*[F.lit(v) for v in args])
+    camera = F.transform(corners, lambda c: F.struct((-c["y"]).alias("x"), (-c["z"]).alias("y"), c["x"].alias("z")))
+    seen = G.view_points(camera, 1266.0, 800.0, 450.0)
+    got = one(spark, corners, seen, G.box_in_image(seen, 1600, 900), G.box_in_image(seen, 1600, 900, True), G.image_box(seen, 1600.0, 900.0))
+    h = math.radians(30)
+    turn = np.array([[math.cos(h), -math.sin(h)], [math.sin(h), math.cos(h)]])
+    want = {(tuple(np.round(turn @ [2 * u, v] + [10, 1], 9)), round(0.5 + 0.75 * w, 9)) for u in (1, -1) for v in (1, -1) for w in (1, -1)}
+    assert {((round(c.x, 9), round(c.y, 9)), round(c.z, 9)) for c in got[0]} == want
+    pixels = sorted((round(1266 * -y / x + 800, 6), round(1266 * -z / x + 450, 6)) for (x, y), z in want)
+    assert np.allclose(sorted((round(p.u, 6), round(p.v, 6)) for p in got[1]), pixels) and got[2] and got[3]
+    assert np.allclose(tuple(got[4]), (min(p[0] for p in pixels), min(p[1] for p in pixels), max(p[0] for p in pixels), max(p[1] for p in pixels)), atol=1e-5)
+
+
+def test_destination(spark):
+    lat, lon = G.destination(F.lit(0.0), F.lit(10.0), F.lit(90.0), F.lit(math.pi * 6_378_137.0 / 180))
+    got = one(spark, lat, lon)
+    assert abs(got[0]) < 1e-9 and math.isclose(got[1], 11.0)

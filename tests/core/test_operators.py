@@ -199,3 +199,70 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.frame, r.covered) for r in spark.table("cov").collect()} == {(0, 2), (1, 1)}
+
+
+def test_majority_takes_the_first_of_equals(spark):
+    rows = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "a", 3), (1, "b", 4), (2, "z", 9), (2, "y", 8)], "k int, v string, t int")
+    assert sorted(tuple(r) for r in relational.majority(rows, "k", "v", "t").collect()) == [(1, "b", 2), (2, "y", 1)]
+
+
+def test_ranks_and_tiles(spark):
+    rows = spark.createDataFrame([(k * 37 % 101,) for k in range(101)], "v int").repartition(5)
+    got = relational.ranked(rows, F.expr("v div 7"), "v").collect()
+    assert all(r["rank"] == r.v + 1 for r in got) and len(got) == 101
+    for n in (4, 200):
+        sizes = [r["count"] for r in relational.tiles(rows, n, F.expr("v div 7"), "v").groupBy("part").count().orderBy("part").collect()]
+        assert sizes == [len(x) for x in __import__("numpy").array_split(range(101), n) if len(x)]
+
+
+def _tracked(spark, frames):
+    """Events of one scene, from (t, truths, predictions) with places by id."""
+    rows = [(0, t, kind, i, float(x), 0.0) for t, g, p in frames for kind, d in (("gt", g), ("pred", p)) for i, x in d.items()]
+    return metrics.track_events(spark.createDataFrame(rows, "scene bigint, t bigint, kind string, id bigint, x double, y double"), 2.0).first()
+
+
+def test_a_prediction_is_used_once(spark):
+    """A truth that comes back next to another one finds its old partner taken."""
+    r = _tracked(spark, [(0, {1: 0}, {7: 0}), (1, {2: 0.5}, {7: 0.5}), (2, {1: 0.4, 2: 0.5}, {7: 0.5})])
+    assert (r.tp, r.fp, r.fn, r.switches) == (3, 0, 1, 0)
+
+
+def test_track_scenarios(spark):
+    gone = _tracked(spark, [(t, {1: t}, {} if t in (1, 2) else {9: t}) for t in range(5)])
+    assert (gone.tp, gone.fp, gone.fn, gone.switches) == (3, 0, 2, 0)
+    swapped = _tracked(spark, [(t, {1: 0, 2: 10}, {5: 0, 6: 10} if t < 2 else {6: 0, 5: 10}) for t in range(4)])
+    assert (swapped.tp, swapped.fp, swapped.fn, swapped.switches) == (8, 0, 0, 2)
+    extra = _tracked(spark, [(t, {1: 0}, {5: 0, 6: 30}) for t in range(3)])
+    assert (extra.tp, extra.fp, extra.fn) == (3, 3, 0)
+    far = _tracked(spark, [(t, {1: 0}, {5: 5}) for t in range(3)])
+    assert (far.tp, far.fp, far.fn) == (0, 3, 3)
+
+
+def test_ties_single_out_none(spark):
+    rows = [(0, 1, d, "car", "moving", "front", "near", x) for d, x in ((2, 3.0), (3, 3.0), (4, 5.0), (5, 9.0))]
+    edges = spark.createDataFrame(rows, "frame int, src int, dst int, dst_type string, dst_status string, dir8 string, level string, dist double")
+    assert {r.dst: r.method for r in constraints.uniqueness(edges).collect()} == {2: "ordinal", 3: "ordinal", 4: "ordinal", 5: "farthest"}
+
+
+def test_interpolation_at_recalls(spark):
+    """Against numpy's interpolation, where several points share a recall."""
+    np = __import__("numpy")
+    rng = __import__("random").Random(4)
+    rows = [(c, i, rng.random(), rng.random() < 0.3, rng.random()) for c in range(3) for i in range(60)] + [(3, 0, 0.5, False, 0.1), (4, 0, 0.9, True, 0.2), (4, 1, 0.8, False, 0.2)]
+    curve = metrics.precision_recall(spark.createDataFrame(rows, "c int, i int, s double, h boolean, e double"), "c", "s", "i", "h")
+    ap = {r.c: r.ap for r in metrics.average_precision(curve, "c").collect()}
+    error = {r.c: r.error for r in metrics.true_positive_error(curve, "c", "s", "e", "h").collect()}
+    for c in range(5):
+        mine = sorted((x for x in rows if x[0] == c), key=lambda x: (-x[2], -x[1]))
+        hit = np.array([x[3] for x in mine])
+        if not hit.any():
+            assert ap[c] == 0 and error[c] == 1
+            continue
+        tp = np.cumsum(hit)
+        at = np.linspace(0, 1, 101)
+        precision = np.interp(at, tp / tp[-1], tp / np.arange(1, len(tp) + 1), right=0)
+        conf = np.interp(at, tp / tp[-1], [x[2] for x in mine], right=0)
+        assert math.isclose(ap[c], np.maximum(precision[11:] - 0.1, 0).mean() / 0.9, abs_tol=1e-6)
+        errors = np.array([x[4] for x in mine if x[3]])
+        mean = np.interp(conf[::-1], [x[2] for x in mine if x[3]][::-1], (np.cumsum(errors) / np.arange(1, len(errors) + 1))[::-1])[::-1]
+        assert math.isclose(error[c], mean[11 : np.flatnonzero(conf)[-1] + 1].mean(), abs_tol=1e-6)
