@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, plain_text, sha256_hex, shared_dir
+from .common import durable, perhaps_in, plain_text, sha256_hex, shared_dir
 
 
 @dataclass(frozen=True)
@@ -69,11 +69,17 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
     blobs = ids.groupBy("blob").agg(F.min("at").alias("at"))
     unseen = blobs.select("blob", "at", rule_rows.alias("r")).select("blob", "at", "r.*").join(open_ledger(spark, ledger_path).select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
     todo = durable(unseen.groupBy("blob", "at").agg(F.collect_set("rule").alias("todo")), "todo").select(F.col("blob").alias("todo_blob"), F.col("at").alias("todo_at"), "todo")
-    # one copy of each blob: joined by content and path together, so that no hot content meets in one task
+    names = {r[0] for r in todo.select(F.explode("todo")).distinct().collect()}  # one for each rule at most
+    waiting = [r for r in rules if r.name in names]
+    if not waiting:
+        return spark.createDataFrame([], LEDGER)
+    # one copy of each blob, and the few that a filter takes for one, are scanned where they stand: no text shuffles
     texts = versions.select(sha256_hex(plain_text(text_col)).alias("blob"), plain_text(text_col).alias("text"), F.col(id_col).alias("at"))
-    chosen = texts.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("todo_blob")) & F.col("at").eqNullSafe(F.col("todo_at"))).select("blob", "text", "todo")
-    found = chosen.select("blob", F.explode(F.array(*[F.when(F.array_contains("todo", r.name), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), _matches(F.col("text"), r).alias("m"))) for r in rules])).alias("r")).where("r is not null").select("blob", "r.*")
-    found = durable(found.dropDuplicates(["blob", "rule"]), "matches")
+    keys = durable(todo.select(F.xxhash64("todo_blob", "todo_at").alias("key")), "todo-keys")
+    chosen = perhaps_in(texts, F.xxhash64("blob", "at"), keys, "chosen").where("chosen")
+    found = chosen.select("blob", F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), _matches(F.col("text"), r).alias("m")) for r in waiting])).alias("r")).select("blob", "r.*")
+    wanted = todo.select(F.col("todo_blob").alias("blob"), F.explode("todo").alias("rule"))
+    found = durable(found.dropDuplicates(["blob", "rule"]).join(wanted, ["blob", "rule"], "left_semi"), "matches")
     order = Window.partitionBy("blob", "rule").orderBy("pos")
     each = found.select("blob", "rule", "version", "least", F.posexplode("m").alias("pos", "x"))
     each = each.withColumn("end", F.sum(F.col("x.skip") + F.col("x.whole")).over(order).cast("int")).where("x.deciding >= least")
@@ -93,7 +99,8 @@ def findings_of(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] =
     marks = seen.where("size(starts) > 0").select("blob", F.explode(F.arrays_zip("starts", "ends")).alias("x"), kinds[F.col("rule")].alias("kind"))
     by_blob = marks.distinct().groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(F.col("x.starts").alias("start"), "kind", F.col("x.ends").alias("end")))).alias("found"))
     paths = versions.select(F.col(id_col).alias("doc_id"), sha256_hex(plain_text(text_col)).alias("blob"))
-    return paths.join(by_blob, "blob", "left")
+    # a table of its own, so that adaptive execution can split a blob that very many paths hold
+    return paths.join(durable(by_blob, "by-blob"), "blob", "left")
 
 
 def secret_report(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:

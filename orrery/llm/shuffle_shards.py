@@ -1,13 +1,17 @@
 """Uniform sharding by a hypergeometric communication matrix (operator 6).
 
-The rows of each input partition are counted, and for every partition the number of its rows that go to
+The rows of each partition are counted, and for every partition the number of its rows that go to
 each shard is drawn from the exact (multivariate hypergeometric) law, so that the shard sizes come out as fixed in
-advance, at most one apart. Each partition is permuted locally and cut by its row of that matrix; the exchange moves
+advance, at most one apart. Each partition is permuted locally, by a sort in place, and cut by its row of that matrix; one exchange moves
 the rows, and a second permutation orders each shard. The result has the law of a uniform shuffle of all
-rows. What reaches the driver is a count for each partition. Rows are permuted by sorting on a hash of seed and row number, which a
+rows. Rows are permuted by sorting on a hash of seed and row number, which a
 repeated task computes again alike. Long shards are permuted in random sub-buckets of about ``bucket_rows`` rows, whose sizes give
 the first slot of each, so no task sorts a whole shard. Built-in functions only.
 
+The partitions are those of the table of rows as first written, without the scanned texts: one for some millions of rows. What reaches the driver is a count for each of
+them, and what goes back is a row of the matrix. Draws are by inversion with probabilities relative to the mode, so their error is that of a few thousand
+roundings, whatever the number of rows.
+
 The method has no use for groups of equal texts: each row is dealt on its own, as the ``rows`` law asks.
 Defined cases: null text has no bytes (size 8) and checksum 0; a null or repeated ``doc_id`` is dealt like any other row; with fewer
 rows than shards the last shards are empty; an empty table gives an empty result; other columns of any name pass through.
@@ -25,29 +29,26 @@ from .common import durable, fresh, plain_text
 
 
 def _hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` taken from good + bad are good, by inversion outwards from the mode."""
+    """How many of ``draws`` taken from good + bad are good: inversion of the law, of which each weight follows from its neighbour's, outwards from the mode."""
     low, high = max(0, draws - bad), min(good, draws)
     if low >= high:
         return low
     top = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    peak = math.exp(choose(good, top) + choose(bad, draws - top) - choose(good + bad, draws))
-    left = right = top
-    p_left = p_right = peak
-    u = rng.random() - peak
-    while u > 0 and (left > low or right < high):
-        if right < high:
-            p_right *= (good - right) * (draws - right) / ((right + 1) * (bad - draws + right + 1))
-            right += 1
-            u -= p_right
-            if u <= 0:
-                return right
-        if left > low:
-            p_left *= left * (bad - draws + left) / ((good - left + 1) * (draws - left + 1))
-            left -= 1
-            u -= p_left
-            if u <= 0:
-                return left
+    weights = {top: 1.0}
+    for step in (1, -1):
+        k, w = top, 1.0
+        while low <= k + step <= high and w > 1e-22:
+            if step > 0:
+                w *= (good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1))
+            else:
+                w *= k * (bad - draws + k) / ((good - k + 1) * (draws - k + 1))
+            k += step
+            weights[k] = w
+    u = rng.random() * math.fsum(weights.values())
+    for k, w in weights.items():
+        u -= w
+        if u <= 0:
+            return k
     return top
 
 
@@ -74,14 +75,16 @@ def shuffle_shards(rows: DataFrame, shards: int, seed: int = 42, bucket_rows: in
     """
     spark: SparkSession = rows.sparkSession
     part, row, rank, bounds, bucket, key, first = (fresh(rows, f"sh_{x}") for x in ("part", "row", "rank", "bounds", "bucket", "key", "first"))
-    base = durable(rows.drop("shard", "slot").withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()), "dealt")
-    sizes = sorted((r[0], r[1]) for r in base.groupBy(part).count().collect())  # one for each partition
+    base = durable(rows.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()), "dealt")
+    hashed = lambda n: F.xxhash64(F.lit(seed), F.lit(n), F.col(row))
+    # the low bits of the running number are the place in the sorted partition
+    local = base.sortWithinPartitions(hashed(1), row).withColumn(part, F.spark_partition_id()).withColumn(rank, F.expr(f"monotonically_increasing_id() & {(1 << 33) - 1}"))
+    local = durable(local, "permuted")
+    sizes = sorted((r[0], r[1]) for r in local.groupBy(part).count().collect())  # one for each partition
     total = sum(n for _, n in sizes)
     matrix = communication_matrix([n for _, n in sizes], shards, seed)
     cut = [(p, [sum(m[: s + 1]) for s in range(shards)]) for (p, _), m in zip(sizes, matrix, strict=True)]
     cuts = spark.createDataFrame(cut, f"`{part}` int, `{bounds}` array<bigint>")
-    hashed = lambda n: F.xxhash64(F.lit(seed), F.lit(n), F.col(row))
-    local = base.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(hashed(1), row)) - 1)
     sent = local.join(cuts, part).withColumn("shard", F.expr(f"size(filter(`{bounds}`, b -> b <= `{rank}`))"))
     pieces = max(1, math.ceil(total / shards / bucket_rows))
     sent = sent.withColumn(key, hashed(2)).withColumn(bucket, F.pmod(F.shiftrightunsigned(key, 20), F.lit(pieces)).cast("int"))

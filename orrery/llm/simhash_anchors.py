@@ -205,8 +205,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     roots = durable(components_of(fps, threshold), "roots")
     smallest = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp", "left")
     smallest = smallest.withColumn("root", F.coalesce("root", "fp"))
-    least = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = smallest.select("fp", "root").join(least, "root").select("fp", "component_id")
+    least = durable(smallest.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    by_fp = durable(smallest.select("fp", "root").join(least, "root").select("fp", "component_id"), "by-fp")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

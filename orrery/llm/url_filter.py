@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh
+from .url_labels import labelled
 
 
 @dataclass(frozen=True)
@@ -39,16 +40,10 @@ class Rule:
 #: The contract's rules.
 RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
 
-#: Words from which the small labelled table of urls is made; each gives one url for each pattern.
-BAD = ("spam", "farm", "cheap", "pills", "casino", "poker", "jackpot", "payday", "replica", "clickbait", "torrent", "xxx", "adult", "viagra", "malware", "phish", "scam", "hack", "crack", "bonus")
-GOOD = ("news", "library", "museum", "science", "journal", "school", "university", "health", "garden", "kitchen", "travel", "history", "music", "weather", "sports", "recipes", "physics", "review", "archive", "forum", "theatre", "harbour", "railway", "village", "orchard", "lantern", "meadow", "station", "brother", "weaver", "notion", "ration", "thread", "tiger", "ribbon", "mountain", "teacher", "painter", "river", "castle", "bakery", "printer", "nature", "winter", "summer", "market", "council", "planet", "ocean", "bridge")
-PATTERNS = ("https://www.{}.example.com/en/{}", "http://{}-site.example.net/{}/index.html", "https://blog.my{}.example.org/{}", "http://m.{}.example.com/de/{}?page=2", "https://{}online.example.net/fr/{}/", "https://example.com/{}/{}")
-
 
 def seed_urls(spark: SparkSession) -> DataFrame:
-    """(url, bad): a small labelled table; the second place of a pattern takes a number, so that only the words tell."""
-    rows = [(p.format(w, 17 * i + k), bad) for bad, words in ((1.0, BAD), (0.0, GOOD)) for i, w in enumerate(words) for k, p in enumerate(PATTERNS)]
-    return spark.createDataFrame(rows, "url string, bad double")
+    """(url, bad): the small labelled table."""
+    return spark.createDataFrame(labelled(), "url string, bad double")
 
 
 def host_of(url: Column) -> Column:

@@ -52,12 +52,42 @@ def test_rules(spark, model):
 
 
 def test_url_model_generalises(spark):
+    """Hosts held out in five folds: of each fold, no url and no host is in training."""
+    right = total = 0
     seeds = url_filter.seed_urls(spark)
-    word = F.regexp_extract("url", r"://(?:www\.|blog\.my|m\.|example\.com/)?([a-z]+)", 1)
-    held = F.crc32("url") % 4 == 0
-    model = url_filter.fit_urls(seeds.where(~held))
-    got = url_filter.judge_urls(seeds.where(held).withColumn("w", word), model).select("bad", "p_bad").collect()
-    assert sum((r.p_bad >= 0.5) == (r.bad == 1) for r in got) > 0.8 * len(got) > 20
+    for fold in range(5):
+        held = F.crc32(url_filter.host_of(F.col("url"))) % 5 == fold
+        got = url_filter.judge_urls(seeds.where(held), url_filter.fit_urls(seeds.where(~held))).select("bad", "p_bad").collect()
+        right, total = right + sum((r.p_bad >= 0.5) == (r.bad == 1) for r in got), total + len(got)
+    assert total == seeds.count() and right > 0.75 * total
+
+
+def test_url_scores_by_a_plain_version(spark, model):
+    """Every url without a rule: n-grams, hashes and the logistic function again in plain Python."""
+    from pyspark.ml.feature import HashingTF
+
+    pages = spark.createDataFrame([(u, 5) for u, *_ in URLS] + [(u, 5) for u, _ in url_filter.labelled()[::7]], "url string, p_bad int")
+    got = url_filter.judge_urls(pages, model).collect()
+    tf, lr = model.stages
+    index = HashingTF(numFeatures=tf.getNumFeatures())
+    for r in got:
+        grams = set()
+        for mark, text in (("h:", r.host), ("p:", __import__("re").sub("[0-9]+", "0", r.path.translate(LOW)))):
+            chars = f"^{text}$"
+            for n in (3, 4, 5):
+                grams |= {mark + chars[i : i + n] for i in range(max(1, len(chars) - n + 1))}
+        if len(grams) < 500:
+            slots = {index.indexOf(g) for g in grams}
+            z = lr.intercept + sum(lr.coefficients[int(k)] for k in slots)
+            assert math.isclose(r.p_bad, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+            if r.rule is None:
+                assert r.verdict == ("block" if r.p_bad >= 0.5 else "allow")
+
+
+def test_clashing_page_columns(spark, model):
+    pages = spark.createDataFrame([(1, URLS[0][0], "a", "b", "c", "d", 1, 2, 3)], "page_id bigint, url string, host string, path string, rule string, verdict string, grams int, features int, raw int")
+    got = url_filter.judge_urls(pages, model).first()
+    assert (got.host, got.verdict, got.grams, got.features, got.raw) == ("www.example.org", "block", 1, 2, 3)
 
 
 def test_no_pages(spark, model):
@@ -251,6 +281,66 @@ def test_sparse_sites_are_shrunk(spark):
     assert got["poor"].path_posterior < got["one"].path_posterior < got["big"].path_posterior < 0.96
 
 
+def plain_posteriors(rows):
+    """(host, path) to (host posterior, path posterior, shift) of rows (host, path, odds), by the formulas of empirical Bayes."""
+    p = [1 / (1 + math.exp(-o)) for *_, o in rows]
+
+    def groups(keys):
+        out = defaultdict(list)
+        for k, x in zip(keys, p):
+            out[k].append(x)
+        return {k: (len(v), sum(v), max(sum(x * x for x in v) - sum(v) ** 2 / len(v), 0.0)) for k, v in out.items()}
+
+    def strength(stats, mean):
+        n = sum(a for a, *_ in stats.values())
+        between = sum(a * (s / a - mean(k)) ** 2 for k, (a, s, _) in stats.items()) / n
+        within = sum(v for *_, v in stats.values()) / n
+        return min(1000.0, max(1.0, within / max(between, 1e-9)))
+
+    mu = sum(p) / len(p)
+    hosts, paths = groups([h for h, *_ in rows]), groups([(h, q) for h, q, _ in rows])
+    k = strength(hosts, lambda h: mu)
+    host_mean = {h: (k * mu + s) / (k + n) for h, (n, s, _) in hosts.items()}
+    k = strength(paths, lambda hp: host_mean[hp[0]])
+    logit = lambda x: math.log(x / (1 - x))
+    return {hp: (host_mean[hp[0]], post := (k * host_mean[hp[0]] + s) / (k + n), logit(post) - logit(mu)) for hp, (n, s, _) in paths.items()}
+
+
+def test_posteriors_by_a_plain_version(spark):
+    rng = random.Random(31)
+    rows = [(f"h{rng.randrange(12)}", f"p{rng.randrange(3)}", rng.gauss((k % 5) - 2, 2)) for k in range(600)] + [("lone", "p0", 4.0)]
+    got = quality_bayes.path_posteriors(spark.createDataFrame(rows, "h string, p string, o double"), "h", "p", "o").collect()
+    want = plain_posteriors(rows)
+    assert {(r.host, r.path) for r in got} == set(want)
+    for r in got:
+        assert np.allclose((r.host_posterior, r.path_posterior, r.shift), want[r.host, r.path], atol=1e-9)
+
+
+def test_quality_by_a_plain_version(spark):
+    """The whole query: evidence from the features with the fitted weights, posteriors and verdicts again in plain Python; odd texts and clashing columns."""
+    rng = random.Random(17)
+    word = lambda: rng.choice(["alpha", "beta", "of", "the", "gamma"]) + rng.choice(["", "s", "ly"])
+    texts = [" ".join(word() for _ in range(rng.randint(1, 150))) + "." for _ in range(80)] + [" ".join(word().upper() + "!!" for _ in range(rng.randint(1, 90))) for _ in range(50)]
+    texts += [None, "", " ", "word " * 60_000]
+    rows = [(k, t, f"s{k % 7}" if k % 11 else None, "en" if k % 3 else None, 1, 2.0, 3) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string, source string, lang string, score int, shift double, host int")
+    labels = spark.createDataFrame([(k, int(k < 80), 0) for k in range(130)], "doc_id bigint, quality int, toxic int")
+    mean, scale, w = quality_bayes.fit_quality(docs, labels)
+    evidence = {}
+    for i, t, *_ in rows:
+        x = np.clip((np.array(quality_bayes.features((t or "").encode())) - mean) / scale, -8, 8)
+        evidence[i] = float(np.clip(sum(a * b for a, b in zip(x, w[:-1])) + w[-1], -12, 12))
+    site = {i: (s or "", f"{s or ''}/{g or ''}") for i, _, s, g, *_ in rows}
+    posts = plain_posteriors([(*site[i], evidence[i]) for i in [*evidence, 0]])
+    got = quality_bayes.quality_verdicts(docs, labels).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        score = 1 / (1 + math.exp(-(evidence[r.doc_id] + posts[site[r.doc_id]][2])))
+        assert math.isclose(r.score, score, abs_tol=1e-6) and r.keep == (score >= 0.5) and math.isclose(r.evidence, evidence[r.doc_id], abs_tol=1e-6)
+    kept = quality_bayes.quality_filter(docs, labels)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.keep)
+
+
 # --- language model
 
 

@@ -1,11 +1,13 @@
 """Operators 2, 3, 5 and 6 against brute force."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
-from orrery.llm import decontaminate, exact_dedup, secret_ledger, shuffle_shards
+from orrery.llm import common, decontaminate, exact_dedup, secret_ledger, shuffle_shards
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -35,12 +37,12 @@ def test_exact_dedup_keeps_whole_rows(docs, corpus):
 
 def test_small_filter_changes_nothing(docs, monkeypatch):
     want = sorted(map(key, exact_dedup.duplicate_groups(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows: exact_dedup.BLOCK)
+    monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows: common.BLOCK)
     assert sorted(map(key, exact_dedup.duplicate_groups(docs).collect())) == want
 
 
 def test_filter_size_is_bounded():
-    assert exact_dedup.filter_bits(0) == exact_dedup.LEAST_BITS and exact_dedup.filter_bits(10**12) == exact_dedup.MOST_BITS
+    assert common.filter_bits(0) == common.LEAST_BITS and common.filter_bits(10**12) == common.MOST_BITS
 
 
 def spans(x):
@@ -125,6 +127,28 @@ def test_matrix_has_exact_margins_and_the_right_mean():
     assert all(abs(total[s] / 200 - 12.5) < 1 for s in range(4))
 
 
+def test_draws_follow_the_law():
+    """Frequencies of 20,000 draws against the exact probabilities, and draws at 10**10 rows against mean and deviation."""
+    rng = random.Random(3)
+    for good, bad, draws in ((5, 7, 6), (1, 30, 10), (40, 40, 40), (3, 0, 2)):
+        seen = Counter(shuffle_shards._hypergeometric(rng, good, bad, draws) for _ in range(20_000))
+        law = {k: math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+        assert set(seen) <= set(law) and all(abs(seen[k] / 20_000 - p) < 0.015 for k, p in law.items())
+    n, good, draws = 10**10, 10**10 // 24, 4_000_000
+    got = [shuffle_shards._hypergeometric(rng, good, n - good, draws) for _ in range(300)]
+    mean, dev = draws / 24, math.sqrt(draws / 24 * 23 / 24)
+    assert abs(sum(got) / 300 - mean) < 5 * dev / math.sqrt(300) and 0.8 < math.sqrt(sum((x - mean) ** 2 for x in got) / 300) / dev < 1.2
+
+
+def test_places_are_uniform(spark):
+    """Over many rows, shard and slot have no relation to the place in the input: each tenth of the input fills each shard and each half of it alike."""
+    got = shuffle_shards.shuffle_shards(spark.range(0, 40_000, 1, 8), 4).collect()
+    seen = Counter((r.id // 4000, r.shard, r.slot // 5000) for r in got)
+    assert len(seen) == 80 and sum((n - 500) ** 2 / 500 for n in seen.values()) < 140  # chi-square, 79 degrees: 1 in 30,000
+    again = {r.id: (r.shard, r.slot) for r in shuffle_shards.shuffle_shards(spark.range(0, 40_000, 1, 8), 4).collect()}
+    assert again == {r.id: (r.shard, r.slot) for r in got}
+
+
 def test_empty_tables(nothing, docs, spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     for out in (exact_dedup.duplicate_groups(nothing), exact_dedup.exact_dedup(nothing), secret_ledger.secret_report(nothing), shuffle_shards.shard_documents(nothing), decontaminate.contamination_report(nothing, bench)):
