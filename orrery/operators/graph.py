@@ -29,7 +29,7 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 def build_edges(nodes: DataFrame, reach: float = 100.0, directed: bool = True) -> DataFrame:
     """All pairs of nodes of a frame within ``reach``: an equi-join on the frame, so work grows with the number of frames.
 
-    nodes: frame, id, type, status, x, y, yaw, vx, vy. Edges: frame, src, dst, both types, dx, dy, dist, angle (in the source's frame), dir4, dir6, dir8, level.
+    nodes: frame, id, type, status, x, y, yaw, vx, vy. Edges: frame, src, dst, both types and statuses, dx, dy, dist, angle (in the source's frame), dir4, dir6, dir8, level.
     """
     a, b = prefixed(nodes, "a_"), prefixed(nodes, "b_")
     order = F.col("a_id") != F.col("b_id") if directed else F.col("a_id") < F.col("b_id")
@@ -37,7 +37,7 @@ def build_edges(nodes: DataFrame, reach: float = 100.0, directed: bool = True) -
     met = met.withColumns({"dx": F.col("b_x") - F.col("a_x"), "dy": F.col("b_y") - F.col("a_y")}).withColumn("dist", G.distance(F.col("dx"), F.col("dy"))).where(F.col("dist") <= reach)
     angle = G.bearing(F.col("dx"), F.col("dy"), F.col("a_yaw"))
     return met.select(
-        F.col("a_frame").alias("frame"), F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.col("a_type").alias("src_type"), F.col("b_type").alias("dst_type"), "dx", "dy", "dist",
+        F.col("a_frame").alias("frame"), F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.col("a_type").alias("src_type"), F.col("b_type").alias("dst_type"), F.col("a_status").alias("src_status"), F.col("b_status").alias("dst_status"), "dx", "dy", "dist",
         angle.alias("angle"), G.dir4(angle).alias("dir4"), G.dir6(angle).alias("dir6"), G.dir8(angle).alias("dir8"), G.distance_level(F.col("dist")).alias("level"),
         G.time_to_contact(F.col("dx"), F.col("dy"), F.col("b_vx") - F.col("a_vx"), F.col("b_vy") - F.col("a_vy")).alias("ttc"),
     )

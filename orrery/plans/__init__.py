@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, planning, scene, tables
+from . import catalogue, evaluation, planning, scene, tables
 
 FLAGSHIP = "scene_pivots"
-QUERIES: dict = {**scene.QUERIES, **tables.QUERIES, **planning.QUERIES, **evaluation.QUERIES}
-ORACLE: dict = {**scene.ORACLE, **tables.ORACLE, **planning.ORACLE, **evaluation.ORACLE}
+QUERIES: dict = {**scene.QUERIES, **tables.QUERIES, **planning.QUERIES, **evaluation.QUERIES, **catalogue.QUERIES}
+ORACLE: dict = {**scene.ORACLE, **tables.ORACLE, **planning.ORACLE, **evaluation.ORACLE, **catalogue.ORACLE}

@@ -12,13 +12,11 @@ from .scene import EDGES, NODES, TYPES, UNIVERSE, _asked, edges_of, nodes_of
 
 
 def _marked_edges(spark, sf_dir):
-    """Edges with both statuses and the direction of the target from the first node of its frame, which stands for the own vehicle."""
+    """Edges with the direction of the target from the first node of its frame, which stands for the own vehicle."""
     n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
-    status = n.select("frame", "id", "status")
     own = n.groupBy("frame").agg(F.min("id").alias("src"))
     seen = e.join(own, ["frame", "src"]).select("frame", "dst", F.col("dir8").alias("own_dir8"))
-    out = e.join(status.select("frame", F.col("id").alias("dst"), F.col("status").alias("dst_status")), ["frame", "dst"]).join(status.select("frame", F.col("id").alias("src"), F.col("status").alias("src_status")), ["frame", "src"])
-    return out.join(seen, ["frame", "dst"], "left").withColumn("own_dir8", F.coalesce("own_dir8", F.lit("none")))
+    return e.join(seen, ["frame", "dst"], "left").withColumn("own_dir8", F.coalesce("own_dir8", F.lit("none")))
 
 
 def constraint_methods(spark, sf_dir):

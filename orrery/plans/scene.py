@@ -62,14 +62,14 @@ hits AS (
 
 def _asked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Stand-in for answered questions: the paths whose three nodes share a status, one round of questions for each status."""
-    paths = graph.pivot_universe(edges)
-    status = nodes.select("frame", "id", "status")
-    for end in ("a", "pivot", "c"):
-        paths = paths.join(status.select("frame", F.col("id").alias(end), F.col("status").alias(f"{end}_status")), ["frame", end])
-    order = F.array_position(F.array(*[F.lit(x) for x in STATUSES]), F.col("pivot_status")) - 1
+    same = edges.where("src_status = dst_status")
+    ends = lambda p, q: same.select("frame", F.col("src_status").alias("status"), F.col(p).alias("b"), F.col(q).alias("end"))
+    near = ends("src", "dst").unionByName(ends("dst", "src")).distinct()
+    # the status is part of the key, so paths of mixed status never arise
+    paths = near.withColumnRenamed("end", "a").join(near.withColumnRenamed("end", "c"), ["frame", "status", "b"]).where("a < c")
+    order = F.array_position(F.array(*[F.lit(x) for x in STATUSES]), F.col("status")) - 1
     text = lambda c: F.col(c).cast("string")
-    asked = paths.where("a_status = pivot_status and c_status = pivot_status")
-    return asked.select("frame", order.alias("ord"), F.concat_ws("|", "a", "pivot", "c").alias("qid"), text("a").alias("a"), text("pivot").alias("b"), text("c").alias("c"))
+    return paths.select("frame", order.alias("ord"), F.concat_ws("|", "a", "b", "c").alias("qid"), text("a").alias("a"), text("b").alias("b"), text("c").alias("c"))
 
 
 def scene_edges(spark, sf_dir):
@@ -181,8 +181,7 @@ def question_footprint(spark, sf_dir):
 
 
 def unique_methods(spark, sf_dir):
-    n = nodes_of(spark, sf_dir).select("frame", F.col("id").alias("dst"), F.col("status").alias("dst_status"))
-    u = constraints.uniqueness(edges_of(spark, sf_dir).join(n, ["frame", "dst"]))
+    u = constraints.uniqueness(edges_of(spark, sf_dir))
     return u.groupBy("method").agg(F.count("*").alias("n"), *[F.count_if(f"unique_{m}").alias(f"by_{m}") for m, _ in constraints.METHODS])
 
 
