@@ -14,9 +14,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see; a folder of this machine only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which all executors see; where it is unset and all runs on this machine (tests), a folder here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
