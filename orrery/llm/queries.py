@@ -86,6 +86,23 @@ spans AS (
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN spans USING (doc_id)
+""",
+    "op4_suffix_dedup": r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT k, size, s, hash(x[s + 1:s + size]) AS h FROM (SELECT k, size, x, unnest(range(0, n - size + 1)) AS s FROM docs, (VALUES (400), (240)) v(size) WHERE n >= size)),
+again AS (SELECT k, size, s FROM strings QUALIFY count(*) OVER (PARTITION BY size, h) > 1),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY k, size ORDER BY s) + size THEN 0 ELSE 1 END AS fresh FROM again),
+runs AS (SELECT k, size, min(s) AS a, max(s) + size AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY k, size ORDER BY s) AS run FROM marked) GROUP BY k, size, run),
+pieces AS (
+  SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS a, a AS z FROM runs WHERE size = 400
+  UNION ALL SELECT docs.k, coalesce(max(z), 0), any_value(n) FROM docs LEFT JOIN runs ON runs.k = docs.k AND size = 400 GROUP BY docs.k),
+kept AS (SELECT k, sha256(unhex(string_agg(hex(x[a + 1:z]), '' ORDER BY a))) AS sha FROM pieces JOIN docs USING (k) GROUP BY k),
+cut AS (SELECT k, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs WHERE size = 400 GROUP BY k),
+passages AS (
+  SELECT k, count(*) FILTER (len(list_filter(string_split(regexp_replace(regexp_replace(hex(x[a + 1:z]), '(..)', '\1 ', 'g'), '(20|09|0A|0B|0C|0D) ', '|', 'g'), '|'), lambda y: y <> '')) > 50) AS n_passages
+  FROM runs JOIN docs USING (k) WHERE size = 240 GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha AS kept_sha256, coalesce(n_passages, 0) AS n_passages
+FROM docs JOIN kept USING (k) LEFT JOIN cut USING (k) LEFT JOIN passages USING (k)
 """,
     "op5_decontaminate": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
