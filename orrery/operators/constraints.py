@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,26 +51,53 @@ def two_references(edges: DataFrame) -> DataFrame:
     return common.where("n = 1").groupBy("frame", "dst").agg(F.count("*").alias("refs"))
 
 
+def _chosen(left: set, kept: dict[int, set], most: int, without: set) -> tuple[list[int], set]:
+    """References taken one by one, that which removes most first; of equals a remaining candidate, then the smallest id."""
+    refs: list[int] = []
+    while len(refs) < most and len(left) > 1:
+        gain, _, ref = min(((-len(left - k), r not in left, r) for r, k in kept.items() if r not in refs and r not in without), default=(0, False, None))
+        if gain == 0:
+            break
+        refs.append(ref)
+        left = left & kept[ref]
+    return refs, left
+
+
+def _planned(views: DataFrame, plan: Callable[[set, dict[int, set]], list[tuple[list[int], set]]], schema: str, numbered: bool) -> DataFrame:
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = {r: set(g.loc[g["agrees"], "candidate"]) for r, g in pdf.groupby("ref")}
+        rows = [{"frame": pdf["frame"].iloc[0], "target": pdf["target"].iloc[0], "plan": k, "rounds": len(refs), "left": len(left), "refs": "|".join(map(str, refs))} for k, (refs, left) in enumerate(plan(set(pdf["candidate"]), kept))]
+        out = pd.DataFrame(rows)
+        return out if numbered else out.drop(columns="plan")
+
+    return views.groupBy("frame", "target").applyInPandas(choose, schema)
+
+
 def greedy_references(views: DataFrame, most: int = 3) -> DataFrame:
     """frame, target, rounds, left, refs: references chosen one by one, each removing the most candidates; stops when none gains.
 
     views: frame, target, ref, candidate, agrees (whether the reference sees the candidate as it sees the target). The choice is sequential for
     one target, whose candidates are the few nodes of its frame, so each target is one small group.
     """
+    return _planned(views, lambda left, kept: [_chosen(left, kept, most, set())], "frame bigint, target bigint, rounds int, left int, refs string", False)
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(pdf["candidate"])
-        kept = {r: set(g.loc[g["agrees"], "candidate"]) for r, g in pdf.groupby("ref")}
-        refs: list[int] = []
-        while len(refs) < most and len(left) > 1:
-            gain, ref = min(((-len(left - k), r) for r, k in kept.items() if r not in refs), default=(0, None))
-            if gain == 0:
+
+def plan_alternatives(views: DataFrame, most: int = 3, plans: int = 3) -> DataFrame:
+    """frame, target, plan, rounds, left, refs: up to ``plans`` choices as in greedy_references, each without the first reference of those before; it ends with a choice of none."""
+
+    def several(left: set, kept: dict[int, set]) -> list[tuple[list[int], set]]:
+        out, without = [], set()
+        while len(out) < plans:
+            refs, rest = _chosen(left, kept, most, without)
+            if not refs and out:
+                break
+            out.append((refs, rest))
+            if not refs:
                 break
-            refs.append(ref)
-            left &= kept[ref]
-        return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "target": [pdf["target"].iloc[0]], "rounds": [len(refs)], "left": [len(left)], "refs": ["|".join(map(str, refs))]})
+            without.add(refs[0])
+        return out
 
-    return views.groupBy("frame", "target").applyInPandas(choose, "frame bigint, target bigint, rounds int, left int, refs string")
+    return _planned(views, several, "frame bigint, target bigint, plan int, rounds int, left int, refs string", True)
 
 
 def select_gaps(gaps: DataFrame, budget: int) -> DataFrame:

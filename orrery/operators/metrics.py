@@ -137,7 +137,7 @@ def optimal_match(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def track_events(frames: DataFrame, threshold: float) -> DataFrame:
-    """scene, tp, fp, fn, switches, distance: CLEAR-MOT counts. A pair of the last frame stays while close; the rest is assigned at least total distance.
+    """scene, frames, tp, fp, fn, switches, distance: CLEAR-MOT counts. A pair of the last frame stays while close; the rest is assigned at least total distance.
 
     frames: scene, t, kind ('gt' or 'pred'), id, x, y. A scene is sequential and one group; scenes run in parallel.
     """
@@ -167,16 +167,18 @@ def track_events(frames: DataFrame, threshold: float) -> DataFrame:
             tp, fp, fn = tp + len(pairs), fp + len(p) - len(pairs), fn + len(g) - len(pairs)
             far += sum(close(a, b) for a, b in pairs.items())
             last |= {a: (b, t) for a, b in pairs.items()}
-        return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "tp": [tp], "fp": [fp], "fn": [fn], "switches": [switches], "distance": [far]})
+        return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "frames": [pdf["t"].nunique()], "tp": [tp], "fp": [fp], "fn": [fn], "switches": [switches], "distance": [far]})
 
-    return frames.groupBy("scene").applyInPandas(scene, "scene bigint, tp bigint, fp bigint, fn bigint, switches bigint, distance double")
+    return frames.groupBy("scene").applyInPandas(scene, "scene bigint, frames bigint, tp bigint, fp bigint, fn bigint, switches bigint, distance double")
 
 
 def mot_summary(events: DataFrame) -> DataFrame:
-    """mota (0 at least) and motp over all scenes."""
-    s = events.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "switches", "distance")])
-    mota = 1 - F.try_divide(F.col("fp") + F.col("fn") + F.col("switches"), F.col("tp") + F.col("fn"))
-    return s.select(F.greatest(F.lit(0.0), mota).alias("mota"), F.try_divide(F.col("distance"), F.col("tp")).alias("motp"))
+    """mota and motar (0 at least), motp, recall and false positives for a hundred frames, over all scenes. motar does not count the truths beyond the recall as errors."""
+    s = events.agg(*[F.sum(c).alias(c) for c in ("frames", "tp", "fp", "fn", "switches", "distance")])
+    objects = F.col("tp") + F.col("fn")
+    mota = 1 - F.try_divide(F.col("fp") + F.col("fn") + F.col("switches"), objects)
+    motar = 1 - F.try_divide(F.col("fp") + F.col("switches"), F.col("tp"))
+    return s.select(F.greatest(F.lit(0.0), mota).alias("mota"), F.greatest(F.lit(0.0), motar).alias("motar"), F.try_divide(F.col("distance"), F.col("tp")).alias("motp"), F.try_divide(F.col("tp"), objects).alias("recall"), F.try_divide(100 * F.col("fp"), F.col("frames")).alias("faf"))
 
 
 def panoptic_quality(points: DataFrame, least_points: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orrery.operators import coverage, graph, planning
+from orrery.operators import coverage, graph, planning, questions
 from orrery.operators.relational import neighbours
 
 from .scene import EDGES, NODES, TYPES, UNIVERSE, _asked, edges_of, nodes_of
@@ -198,3 +198,38 @@ ORACLE = {
     "undirected_edges": f"WITH {NODES}, n AS (SELECT frame, id, x, y, vec[9]::DOUBLE * 100 AS z FROM nodes), d AS (SELECT a.frame, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM n a JOIN n b ON a.frame = b.frame AND a.id < b.id) SELECT frame, count(*) AS n, round(min(d), 6) AS least FROM d WHERE d <= 15 GROUP BY 1",
     "lag_two": f"WITH {NODES}, s AS (SELECT frame, id, sqrt(vx * vx + vy * vy) AS speed FROM nodes) SELECT frame, id, lag(id) OVER w AS prev_id, round(speed - lag(speed, 2) OVER w, 6) AS change FROM s WINDOW w AS (PARTITION BY frame ORDER BY id)",
 }
+
+
+#: Question texts that are asked in every frame, with their meaning for the twin: family, type, status, direction, type and status of the reference, the same again, type and status on the right of a comparison.
+ASKED = (
+    ("Are there any moving cars?", "exist", "car", "moving"), ("Is there a parked bus?", "exist", "bus", "parked"), ("How many things are there?", "count", "thing", None), ("How many parked traffic cones are there?", "count", "traffic cone", "parked"),
+    ("How many pedestrians are to the back left of the car?", "count", "pedestrian", None, "back left", "car", None), ("Are there any  cars in front of the moving truck?", "exist", "car", None, "front", "truck", "moving"), ("What status is the trailer?", "status", "trailer", None),
+    ("What status is the bus to the front right of the parked construction vehicle?", "status", "bus", None, "front right", "truck", "parked"), ("What is the moving thing that is behind the bicycle?", "object", "thing", "moving", "back", "bicycle", None),
+    ("What is the thing that is to the front of the car and the back of the pedestrian?", "object", "thing", None, "front", "car", None, "back", "pedestrian", None), ("There is a barrier; what is it?", "object", "barrier", None), ("Is the moving car the same status as the bus?", "comparison", "car", "moving", None, None, None, None, None, None, "bus", None),
+    ("Is the motorcycle to the back of the truck of the same status as the standing pedestrian?", "comparison", "motorcycle", None, "back", "truck", None, None, None, None, "pedestrian", "standing"), ("Does a not standing pedestrian exist?", "exist", "pedestrian", "not standing"), ("Which way is it?", "general"),
+)
+
+
+def text_questions(spark, sf_dir):
+    n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
+    asked = spark.createDataFrame([(k, row[0]) for k, row in enumerate(ASKED)], "qid int, text string")
+    return questions.answered(n.select("frame").distinct().join(F.broadcast(asked)), n, e)
+
+
+def _meanings() -> str:
+    quoted = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'"
+    return ", ".join(f"({k}, {', '.join(quoted(v) for v in (*row[1:], *[None] * 12)[:11])})" for k, row in enumerate(ASKED))
+
+
+def _fit(kind: str, state: str, asked: str, status: str) -> str:
+    return f"({asked} IS NULL OR {asked} = 'thing' OR contains(replace({kind}, '_', ' '), {asked})) AND ({status} IS NULL OR CASE WHEN {status} = 'not standing' THEN {kind} = 'pedestrian' AND {state} <> 'standing' ELSE {state} = {status} END)"
+
+
+_SEEN = "({way} IS NULL OR EXISTS (SELECT 1 FROM edges e WHERE e.frame = n.frame AND e.dst = n.id AND replace(e.dir6, '_', ' ') = {way} AND {fit}))"
+QUERIES["text_questions"] = text_questions
+ORACLE["text_questions"] = f"""WITH {EDGES}, q(qid, family, t, s, w, rt, rs, w2, rt2, rs2, ct, cs) AS (VALUES {_meanings()}), f AS (SELECT DISTINCT frame FROM nodes),
+  m AS (SELECT n.frame, q.qid, n.id, n.type, n.status, ct, cs FROM q, nodes n WHERE {_fit('n.type', 'n.status', 't', 's')} AND {_SEEN.format(way='w', fit=_fit('e.src_type', 'e.src_status', 'rt', 'rs'))} AND {_SEEN.format(way='w2', fit=_fit('e.src_type', 'e.src_status', 'rt2', 'rs2'))}),
+  g AS (SELECT frame, qid, count(*) AS n, arg_min(status, id) AS st, arg_min(type, id) AS ty FROM m GROUP BY 1, 2),
+  c AS (SELECT DISTINCT m.frame, m.qid FROM m JOIN nodes o ON o.frame = m.frame AND o.id <> m.id AND o.status = m.status WHERE m.ct IS NOT NULL AND {_fit('o.type', 'o.status', 'ct', 'cs')})
+  SELECT f.frame, q.qid, family, CASE family WHEN 'exist' THEN CASE WHEN coalesce(n, 0) > 0 THEN 'yes' ELSE 'no' END WHEN 'count' THEN coalesce(n, 0)::VARCHAR WHEN 'status' THEN st WHEN 'object' THEN ty WHEN 'comparison' THEN CASE WHEN c.qid IS NOT NULL THEN 'yes' ELSE 'no' END END AS answer
+  FROM f, q LEFT JOIN g ON g.frame = f.frame AND g.qid = q.qid LEFT JOIN c ON c.frame = f.frame AND c.qid = q.qid"""

@@ -189,13 +189,21 @@ def two_references(spark, sf_dir):
     return constraints.two_references(edges_of(spark, sf_dir))
 
 
-def greedy_references(spark, sf_dir):
+def _views(spark, sf_dir):
     e = edges_of(spark, sf_dir).select("frame", "src", "dst", "dst_type", "dir6")
     target = e.select("frame", F.col("src").alias("ref"), F.col("dst").alias("target"), F.col("dst_type").alias("t"), F.col("dir6").alias("d"))
     peers = nodes_of(spark, sf_dir).select("frame", F.col("id").alias("candidate"), F.col("type").alias("t"))
     seen = e.select("frame", F.col("src").alias("ref"), F.col("dst").alias("candidate"), F.col("dir6").alias("seen"))
     views = target.join(peers, ["frame", "t"]).where("ref <> candidate").join(seen, ["frame", "ref", "candidate"], "left").withColumn("agrees", F.coalesce(F.col("seen") == F.col("d"), F.lit(False)))
-    return constraints.greedy_references(views.select("frame", "target", "ref", "candidate", "agrees"))
+    return views.select("frame", "target", "ref", "candidate", "agrees")
+
+
+def greedy_references(spark, sf_dir):
+    return constraints.greedy_references(_views(spark, sf_dir))
+
+
+def plan_alternatives(spark, sf_dir):
+    return constraints.plan_alternatives(_views(spark, sf_dir))
 
 
 def greedy_gaps(spark, sf_dir):
@@ -331,7 +339,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scene_edges, scene_ttc, scene_filter, scene_induced, scene_two_hop, scene_pivots, scene_motifs, scene_signature, scene_siblings, scene_converge, scene_nearest, scene_heat_map, scene_groupings,
-        scene_loose, scene_sides, coverage_totals, coverage_gaps, coverage_curve, gap_ranks, question_footprint, unique_methods, two_references, greedy_references, greedy_gaps, vector_neighbours, ask_exist, ask_count,
+        scene_loose, scene_sides, coverage_totals, coverage_gaps, coverage_curve, gap_ranks, question_footprint, unique_methods, two_references, greedy_references, plan_alternatives, greedy_gaps, vector_neighbours, ask_exist, ask_count,
         ask_count_rows, ask_both_directions, ask_chain, ask_status, ask_object, ask_comparison, ask_same_status, ask_other_type_same_status, ask_more, ask_nearest, ask_farthest, ask_types, ask_between, ask_verified, ask_approaching, rank_labels, signature_clusters, generated_questions, camera_counts,
         *(_kind(k) for k in ("exists_direction_from_ref", "count_status_type", "count_within_distance", "compare_count_two_types_which", "compare_nearest_farthest_status", "is_facing_ego", "count_approaching", "distance_to_nearest_type")),
     )

@@ -266,3 +266,32 @@ def test_interpolation_at_recalls(spark):
         errors = np.array([x[4] for x in mine if x[3]])
         mean = np.interp(conf[::-1], [x[2] for x in mine if x[3]][::-1], (np.cumsum(errors) / np.arange(1, len(errors) + 1))[::-1])[::-1]
         assert math.isclose(error[c], mean[11 : np.flatnonzero(conf)[-1] + 1].mean(), abs_tol=1e-6)
+
+
+def test_mot_summary(spark):
+    events = spark.createDataFrame([(0, 10, 6, 2, 2, 1, 3.0), (1, 10, 2, 0, 0, 0, 1.0)], "scene int, frames int, tp int, fp int, fn int, switches int, distance double")
+    r = metrics.mot_summary(events).first()
+    assert [round(x, 9) for x in r] == [0.5, 0.625, 0.5, 0.8, 10.0]
+
+
+def test_plan_alternatives(spark):
+    """Reference 5 removes most; without it 6 and 7 tie, and 6 remains a candidate; then 7 alone."""
+    sees = {5: {1, 2}, 6: {1, 3, 6}, 7: {1, 4, 2}, 8: {1, 2, 3, 4, 6}}
+    views = spark.createDataFrame([(0, 1, r, c, c in s) for r, s in sees.items() for c in (1, 2, 3, 4, 6)], "frame bigint, target bigint, ref bigint, candidate bigint, agrees boolean")
+    got = {r.plan: (r.refs, r.left) for r in constraints.plan_alternatives(views, 2).collect()}
+    assert got == {0: ("5|6", 1), 1: ("6|7", 1), 2: ("7", 3)}
+    assert constraints.greedy_references(views, 2).first().refs == "5|6"
+
+
+def test_text_questions(spark):
+    from orrery.operators import questions
+
+    asked = [("There is a stopped trailer; are there any with rider bicycles to the front left of it?", None), ("Is there another truck of the same status as the truck to the front left of the with rider thing?", None)]
+    rows = spark.createDataFrame([(0, k, t) for k, (t, _) in enumerate(asked)], "frame int, qid int, text string")
+    got = {r.qid: r for r in questions.parsed(rows).collect()}
+    assert (got[1].same_type, got[1]["type"], got[1].status) == ("truck", "truck", None)
+    nodes = spark.createDataFrame([(0, 1, "car", "moving"), (0, 2, "construction_vehicle", "parked"), (0, 3, "bus", "parked"), (0, 4, "ego", "moving")], "frame int, id int, type string, status string")
+    edges = spark.createDataFrame([(0, 1, 2, "car", "moving", "front left"), (0, 1, 3, "car", "moving", "back")], "frame int, src int, dst int, src_type string, src_status string, dir6 string")
+    texts = ["How many things are to the front left of the moving car?", "Is the bus the same status as the truck?", "What status is the thing to the back of the car?", "How many objects are there?"]
+    q = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "frame int, qid int, text string")
+    assert [r.answer for r in questions.answered(q, nodes, edges).orderBy("qid").collect()] == ["1", "no", "parked", "3"]
