@@ -156,9 +156,9 @@ def _sweep(items: DataFrame, gaps: DataFrame, longest: int) -> DataFrame:
 
     Gaps and pieces are range-sorted together, large first. Each piece takes the nearest gap before it that no larger piece took: its best fit. As with
     brackets, that gap is the last one on the same level, where gaps lead one level up and pieces one down; of several pieces with the same successor
-    the first by rank takes it, the others go on. A gap that holds twice the longest piece or more offers itself as several equal parts.
+    the first by rank takes it, the others go on. A gap offers itself as so many equal parts as it holds of the longest piece.
     """
-    parts = F.expr(f"cast(greatest(1, size div {2 * longest}) as int)")
+    parts = F.expr(f"cast(greatest(1, size div {longest}) as int)")
     opened = gaps.withColumn("parts", parts).select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.floor(F.col("size") / F.col("parts")).cast("bigint").alias("size"), F.explode(F.sequence(F.lit(1), "parts")).alias("part"))
     events = opened.unionByName(items.select(F.lit(1).alias("kind"), "id", "size", F.lit(0).alias("part")))
     order = F.desc("size"), F.col("kind"), F.xxhash64("id", "part"), F.col("id"), F.col("part")  # the hash cuts lengths that very many pieces have
@@ -215,8 +215,8 @@ def best_fit(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         found = met.where("seq is not null").select("id", "seq", F.lit(turn).alias("turn"), "size")
         placed.append(found.drop("size"))
         items = met.where("kind = 1 and seq is null").select("id", "size")
-        taken = found.groupBy("seq").agg(F.sum("size").alias("taken"))
-        gaps = durable(gaps.where(F.col("size") >= state.least).join(taken, "seq", "left").select("seq", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size")), "gaps")
+        taken = gaps.where(F.col("size") >= state.least).unionByName(found.select("seq", (-F.col("size")).alias("size")))
+        gaps = durable(taken.groupBy("seq").agg(F.sum("size").alias("size")), "gaps")
         widest = gaps.agg(F.max("size")).first()[0] or 0
         too_long = F.sum(F.when(F.col("size") > widest, F.col("size")))
         state = items.agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least"), F.coalesce(too_long, F.lit(0)).alias("tokens")).first()
