@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -26,19 +27,32 @@ def first_hits(hits: DataFrame, late: str = "1 day") -> DataFrame:
     return hits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["frame", "level", "key"])
 
 
+class _Keys(StatefulProcessor):
+    """The keys of one group, each an entry of its own, and their number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "key string", "hit boolean")
+        self.number = handle.getValueState("number", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = n = self.number.get()[0] if self.number.exists() else 0
+        for pdf in rows:
+            for k in pdf["key"].dropna().unique():
+                if not self.seen.containsKey((k,)):
+                    self.seen.updateValue((k,), (True,))
+                    n += 1
+        if n > before:
+            self.number.update((n,))
+            yield pd.DataFrame({"frame": [key[0]], "level": [key[1]], "covered": [n]})
+
+    def close(self) -> None:
+        pass
+
+
 def running_coverage(hits: DataFrame) -> DataFrame:
     """frame, level, covered, emitted whenever new keys arrive: a stateful count of keys by frame and level.
 
-    hits: frame bigint, level string, key string. The state of a group is the set of its keys, bounded by the universe of a frame.
+    hits: frame bigint, level string, key string; null keys are left out. A batch touches the state of its own keys only. The session's state store must hold
+    maps (``spark.sql.streaming.stateStore.providerClass`` of RocksDB).
     """
-
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0].split("\n")) if state.exists else set()
-        before = len(seen)
-        for pdf in batches:
-            seen |= set(pdf["key"])
-        state.update(("\n".join(sorted(seen)),))
-        if len(seen) > before:
-            yield pd.DataFrame({"frame": [key[0]], "level": [key[1]], "covered": [len(seen)]})
-
-    return hits.groupBy("frame", "level").applyInPandasWithState(update, "frame bigint, level string, covered bigint", "keys string", "update", "NoTimeout")
+    return hits.groupBy("frame", "level").transformWithStateInPandas(_Keys(), "frame bigint, level string, covered bigint", "update", "none")
