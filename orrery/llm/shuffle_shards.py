@@ -5,7 +5,7 @@ each shard is drawn from the exact (multivariate hypergeometric) law, so that th
 advance, at most one apart. Each partition is permuted locally, by a sort in place, and cut by its row of that matrix; one exchange moves
 the rows, and a second permutation orders each shard. The result has the law of a uniform shuffle of all
 rows. Rows are permuted by sorting on a hash of seed and row number, which a
-repeated task computes again alike. Long shards are permuted in random sub-buckets of about ``bucket_rows`` rows, whose sizes give
+repeated task computes again alike; another run with the same seed may pack the table's files otherwise, and then is another shuffle. Long shards are permuted in random sub-buckets of about ``bucket_rows`` rows, whose sizes give
 the first slot of each, so no task sorts a whole shard. Built-in functions only.
 
 The partitions are those of the table of rows as first written, without the scanned texts: one for some millions of rows. What reaches the driver is a count for each of

@@ -145,8 +145,6 @@ def test_places_are_uniform(spark):
     got = shuffle_shards.shuffle_shards(spark.range(0, 40_000, 1, 8), 4).collect()
     seen = Counter((r.id // 4000, r.shard, r.slot // 5000) for r in got)
     assert len(seen) == 80 and sum((n - 500) ** 2 / 500 for n in seen.values()) < 140  # chi-square, 79 degrees: 1 in 30,000
-    again = {r.id: (r.shard, r.slot) for r in shuffle_shards.shuffle_shards(spark.range(0, 40_000, 1, 8), 4).collect()}
-    assert again == {r.id: (r.shard, r.slot) for r in got}
 
 
 def test_empty_tables(nothing, docs, spark):
