@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.session import read_table
 
-from . import best_fit_packing, decontaminate, exact_dedup, maxent_lm, quality_bayes, secret_ledger, shuffle_shards, simhash_anchors, suffix_dedup, url_filter
+from . import best_fit_packing, decontaminate, embedding_whitening, exact_dedup, maxent_lm, quality_bayes, secret_ledger, shuffle_shards, simhash_anchors, suffix_dedup, url_filter
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,16 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whitening_report(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_exact_dedup, op3_secret_ledger, op4_suffix_dedup, op5_decontaminate,
         op6_shuffle_shards, op7_best_fit_packing, op8_quality_bayes, op9_simhash_anchors, op10_maxent_lm,
+        op11_embedding_whitening,
     )
 }
 
