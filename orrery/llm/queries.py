@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.session import read_table
 
-from . import best_fit_packing, decontaminate, embedding_whitening, exact_dedup, maxent_lm, quality_bayes, secret_ledger, shuffle_shards, simhash_anchors, suffix_dedup, url_filter
+from . import best_fit_packing, decontaminate, embedding_whitening, exact_dedup, lexical_search, maxent_lm, quality_bayes, secret_ledger, shuffle_shards, simhash_anchors, substring_dedup, suffix_dedup, url_filter
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +53,20 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening.whitening_report(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_exact_dedup, op3_secret_ledger, op4_suffix_dedup, op5_decontaminate,
         op6_shuffle_shards, op7_best_fit_packing, op8_quality_bayes, op9_simhash_anchors, op10_maxent_lm,
-        op11_embedding_whitening,
+        op11_embedding_whitening, op12_substring_dedup, op13_lexical_search,
     )
 }
 
@@ -123,5 +131,26 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op12_substring_dedup": r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT k, s, hash(w[s:s + 19]) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 18)) AS s FROM docs WHERE len(w) >= 20)),
+again AS (SELECT k, s FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY k, s) > 1),
+gone AS (SELECT k, list(DISTINCT p) AS places FROM (SELECT k, unnest(range(s, s + 20)) AS p FROM again) GROUP BY k),
+cut AS (SELECT k, n, len(w) AS n_words, list_filter(w, lambda x, i: NOT list_contains(places, i)) AS kept FROM (SELECT k, w, places, len(places) AS n FROM docs JOIN gone USING (k)))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(coalesce(kept, w), ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN cut USING (k)
+""",
+    "op13_lexical_search": r"""
+WITH dw AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM dw WHERE len(w) > 0),
+asked AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM bw) GROUP BY ALL),
+post AS (SELECT r, n, t, count(*) AS tf FROM (SELECT r, len(w) AS n, unnest(w) AS t FROM dw) SEMI JOIN asked USING (t) GROUP BY ALL),
+lists AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM post GROUP BY t), total),
+impacts AS (SELECT r, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)) AS f FROM post, total),
+scores AS (SELECT q, item_id, r, sum(times * w * f)::BIGINT AS score FROM asked JOIN lists USING (t) JOIN impacts USING (t) GROUP BY q, item_id, r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, r)::INT AS rank, doc_id, score FROM scores JOIN dw USING (r) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
 """,
 }
