@@ -28,70 +28,116 @@ def mean_iou(by_class: DataFrame) -> DataFrame:
     return by_class.agg(F.round(F.avg("iou"), 6).alias("miou"), F.round(F.sum(F.col("iou") * weight) / F.sum(weight), 6).alias("fwiou"))
 
 
-def precision_recall(scored: DataFrame, by: str, score: str, order: str, hit: str) -> DataFrame:
-    """Running precision and recall by falling score, ties by falling ``order``; recall is of all hits of the group.
+def _keys(by: str | list[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def running_sums(rows: DataFrame, by: str | list[str], score: str, ties: list[Column], sums: dict[str, Column], peers: bool = False) -> DataFrame:
+    """``rows`` with the running sums ``sums`` of each group by falling score, then by ``ties``, and ``all_<name>``, the sum over the group; with ``peers`` also ``first_<name>``: the running sum at the first row of equal score.
 
     Scores fall into ranges first: sums over whole ranges and a running sum inside one give the running sums, so a large group is spread over many tasks.
     """
+    keys = _keys(by)
+    placed = ranges(rows, by, score)
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(score), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    whole = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_whole_{n}") for n, c in sums.items()])
+    above, group = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    before = whole.select(*keys, "_range", *[F.coalesce(F.sum(f"_whole_{n}").over(above), F.lit(0)).alias(f"_above_{n}") for n in sums], *[F.sum(f"_whole_{n}").over(group).alias(f"all_{n}") for n in sums])
+    out = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(before, [*keys, "_range"])
+    out = out.withColumns({n: F.coalesce(n, F.lit(0)) + F.col(f"_above_{n}") for n in sums})
+    if peers:
+        out = out.withColumns({f"first_{n}": F.first(n).over(Window.partitionBy(*keys, "_range", score).orderBy(*ties)) for n in sums})
+    return out.drop("_range", *[f"_above_{n}" for n in sums])
+
+
+def precision_recall(scored: DataFrame, by: str | list[str], score: str, order: str, hit: str, positives: DataFrame | None = None) -> DataFrame:
+    """Running precision and recall by falling score, ties by falling ``order``; recall is of all hits of the group, or of ``positives`` (by, n). See :func:`running_sums`."""
     one = F.when(F.col(hit), 1).otherwise(0)
-    placed = ranges(scored, by, score)
-    inside = Window.partitionBy(by, "_range").orderBy(F.desc(score), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = placed.groupBy(by, "_range").agg(F.sum(one).alias("_hits"), F.count("*").alias("_rows"))
-    above = Window.partitionBy(by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    before = whole.select(by, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_hits", "_rows")], F.sum("_hits").over(Window.partitionBy(by)).alias("positives"))
-    out = placed.withColumns({"tp": F.sum(one).over(inside), "k": F.count("*").over(inside)}).join(before, [by, "_range"])
-    out = out.withColumns({"tp": F.col("tp") + F.col("_hits_above"), "k": F.col("k") + F.col("_rows_above")}).drop("_range", "_hits_above", "_rows_above")
+    out = running_sums(scored, by, score, [F.desc(order)], {"tp": one, "k": F.lit(1)}).withColumnRenamed("all_tp", "positives").drop("all_k")
+    if positives is not None:
+        out = out.drop("positives").join(positives.select(*_keys(by), F.col("n").alias("positives")), _keys(by))
     return out.withColumns({"precision": F.col("tp") / F.col("k"), "recall": F.try_divide(F.col("tp"), F.col("positives"))})
 
 
-def ranges(rows: DataFrame, by: str, value: str, parts: int = 256) -> DataFrame:
+def ranges(rows: DataFrame, by: str | list[str], value: str, parts: int = 256) -> DataFrame:
     """``rows`` with ``_range``: the part, of equal width between the group's least and largest ``value``, in which a row lies."""
-    ends = rows.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    ends = rows.groupBy(*_keys(by)).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     place = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * parts)
-    return rows.join(ends, by).withColumn("_range", F.least(place, F.lit(parts - 1))).drop("_low", "_high")
+    return rows.join(ends, _keys(by)).withColumn("_range", F.least(place, F.lit(parts - 1))).drop("_low", "_high")
 
 
-def at_recalls(curve: DataFrame, by: str, value: str, bins: int = 101) -> DataFrame:
-    """by, bin, value: ``value`` linearly interpolated at evenly many recalls; beyond the largest recall nothing (zero to the reader), before the first one its value.
+def at_recalls(curve: DataFrame, by: str | list[str], value: str | list[str], bins: int = 101) -> DataFrame:
+    """by, bin, m, values: each value linearly interpolated at evenly many recalls; beyond the largest recall nothing (zero to the reader), before the first one its value.
 
-    Where several points share a recall, the last of them bounds the span above it and the first the span below it.
+    A recall lies between the m-th hit and the next. Of the points that share m hits the last bounds the span above it and the first the span below it, so two joins on the number of hits replace windows over the curve.
     """
-    points = curve.groupBy(by, "recall").agg(F.min_by(value, "k").alias("_first"), F.max_by(value, "k").alias("_last"))
-    w = Window.partitionBy(by).orderBy("recall")
-    spans = points.withColumns({"r0": F.lag("recall").over(w), "p0": F.lag("_last").over(w)})
-    steps = F.lit(float(bins - 1))
-    near = F.round(F.col("recall") * steps)
-    # bins in the span [r0, recall), and that at recall itself
-    inner = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: (k / steps < F.col("recall") - 1e-12) & (F.col("r0").isNull() | (k / steps > F.col("r0") + 1e-12)))
-    each = spans.select(by, "recall", "r0", "p0", "_first", "_last", F.explode(F.concat(inner, F.when(F.abs(F.col("recall") * steps - near) < 1e-9, F.array(near.cast("int"))).otherwise(F.array().cast("array<int>")))).alias("bin"))
-    pos = F.col("bin") / steps
-    between = F.col("p0") + (F.col("_first") - F.col("p0")) * (pos - F.col("r0")) / (F.col("recall") - F.col("r0"))
-    return each.select(by, "bin", F.when(F.abs(pos - F.col("recall")) < 1e-11, F.col("_last")).when(F.col("r0").isNull(), F.col("_first")).otherwise(between).alias(value))
-
-
-def average_precision(curve: DataFrame, by: str, bins: int = 101, least_recall: float = 0.1, least_precision: float = 0.1) -> DataFrame:
+    keys, values = _keys(by), _keys(value)
+    points = curve.where("positives > 0").groupBy(*keys, "tp").agg(F.min_by(F.struct(*values), "k").alias("_first"), F.max_by(F.struct(*values), "k").alias("_last"), F.first("positives").alias("_n"))
+    groups = points.groupBy(*keys).agg(F.max("tp").alias("_hits"), F.first("_n").alias("_n"))
+    steps = bins - 1
+    wanted = groups.select(*keys, "_hits", "_n", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin")).withColumn("m", F.expr(f"(bin * _n) div {steps}"))
+    here = points.select(*keys, F.col("tp").alias("m"), "_last")
+    after = points.select(*keys, (F.col("tp") - 1).alias("m"), "_first")
+    met = wanted.join(here, [*keys, "m"], "left").join(after, [*keys, "m"], "left")
+    share = F.col("bin") * F.col("_n") / F.lit(float(steps)) - F.col("m")
+    at_end = (F.col("_hits") > 0) & (F.col("_hits") * steps == F.col("bin") * F.col("_n"))
+
+    def between(v: str) -> Column:
+        low, high = F.col(f"_last.{v}"), F.col(f"_first.{v}")
+        return F.when(F.col("_first").isNull(), F.when(at_end, low)).when(F.col("_last").isNull(), high).otherwise(low + (high - low) * share)
+
+    # the values last, as they may have the names of columns that they are made from
+    return met.select(*keys, "bin", "m", *[between(v).alias(v) for v in values]).where(F.col(values[0]).isNotNull())
+
+
+def average_precision(curve: DataFrame, by: str | list[str], bins: int = 101, least_recall: float = 0.1, least_precision: float = 0.1) -> DataFrame:
     """by, ap: precision interpolated at ``bins`` recalls, clipped and averaged over bins above ``least_recall``."""
+    keys = _keys(by)
+    return curve.select(*keys).distinct().join(mean_precision(at_recalls(curve, by, "precision", bins), keys, bins, least_recall, least_precision), keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def mean_precision(at: DataFrame, keys: list[str], bins: int = 101, least_recall: float = 0.1, least_precision: float = 0.1) -> DataFrame:
+    """keys, ap from the precision of :func:`at_recalls`."""
     first = int(round((bins - 1) * least_recall)) + 1
     clipped = F.greatest(F.col("precision") - least_precision, F.lit(0.0))
-    total = at_recalls(curve, by, "precision", bins).where(F.col("bin") >= first).groupBy(by).agg(F.sum(clipped).alias("s"))
-    groups = curve.select(by).distinct()
-    return groups.join(total, by, "left").select(by, F.round(F.coalesce("s", F.lit(0.0)) / (bins - first) / (1 - least_precision), 6).alias("ap"))
+    return at.where(F.col("bin") >= first).groupBy(*keys).agg(F.round(F.sum(clipped) / (bins - first) / (1 - least_precision), 6).alias("ap"))
 
 
-def true_positive_error(curve: DataFrame, by: str, score: str, error: str, hit: str, bins: int = 101, least_recall: float = 0.1) -> DataFrame:
-    """by, error: the running mean of the matches' errors (null ones are skipped), taken at the confidence of each recall bin and averaged from ``least_recall`` to the largest recall; 1 where that is not reached."""
-    conf = at_recalls(curve, by, score, bins).where(F.col(score) != 0)
-    first = int(round((bins - 1) * least_recall)) + 1
-    wanted = conf.groupBy(by).agg(F.collect_list(F.struct(F.col(score).alias("c"), "bin")).alias("wanted"))  # at most ``bins`` of a group
-    w = Window.partitionBy(by).orderBy(F.desc(score), "k")
-    hits = curve.where(F.col(hit)).withColumn("mean", F.avg(error).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    up = Window.partitionBy(by).orderBy(score, F.desc("k"))
-    spans = hits.select(by, F.col(score).alias("c0"), F.col("mean").alias("m0"), F.lead(score).over(up).alias("c1"), F.lead("mean").over(up).alias("m1"), F.lag(score).over(up).isNull().alias("lowest"))
-    met = spans.join(F.broadcast(wanted), by).withColumn("x", F.explode(F.filter("wanted", lambda q: (q["c"] >= F.col("c0")) & (F.col("c1").isNull() | (q["c"] < F.col("c1"))) | F.col("lowest") & (q["c"] < F.col("c0")))))
-    share = F.try_divide(F.col("x.c") - F.col("c0"), F.col("c1") - F.col("c0"))
-    value = F.when(F.col("c1").isNull() | (F.col("x.c") <= F.col("c0")), F.col("m0")).otherwise(F.col("m0") + (F.col("m1") - F.col("m0")) * share)
-    found = met.where(F.col("x.bin") >= first).groupBy(by).agg(F.avg(value).alias("e"))
-    return curve.select(by).distinct().join(found, by, "left").select(by, F.round(F.coalesce("e", F.lit(1.0)), 6).alias("error"))
+def true_positive_errors(curve: DataFrame, by: str | list[str], score: str, errors: list[str], hit: str, bins: int = 101, least_recall: float = 0.1, at: DataFrame | None = None) -> DataFrame:
+    """by, errors: the running means of the matches' errors, taken at the confidence of each recall bin and averaged from ``least_recall`` to the largest recall; 1 where that is not reached.
+
+    Unknown (null) errors are skipped: a running mean is 0 before the first known one, and 1 throughout where none is known. ``at``: :func:`at_recalls` of the score, where it is at hand.
+    """
+    keys, first = _keys(by), int(round((bins - 1) * least_recall)) + 1
+    conf = (at_recalls(curve, by, score, bins) if at is None else at).where((F.col("bin") >= first) & (F.col(score) != 0)).select(*keys, "bin", "m", F.col(score).alias("_c"))
+    sums = {f"_s_{e}": F.coalesce(e, F.lit(0.0)) for e in errors} | {f"_n_{e}": F.when(F.col(e).isNotNull(), 1).otherwise(0) for e in errors}
+    hits = running_sums(curve.where(F.col(hit)), by, score, [F.asc("k")], sums, peers=True)
+    mean = lambda e, first: F.when(F.col(f"all__n_{e}") == 0, 1.0).when(F.col(f"{first}_n_{e}") == 0, 0.0).otherwise(F.try_divide(F.col(f"{first}_s_{e}"), F.col(f"{first}_n_{e}"))).alias(e)
+    known = hits.select(*keys, F.col("tp").cast("bigint").alias("m"), F.struct(F.col(score).alias("score"), F.struct(*[mean(e, "") for e in errors]).alias("mean"), F.struct(*[mean(e, "first_") for e in errors]).alias("tied")).alias("_h"))
+    low = known.withColumnRenamed("_h", "_low")
+    high = known.select(*keys, (F.col("m") - 1).alias("m"), F.col("_h").alias("_high"))
+    met = conf.join(low, [*keys, "m"], "left").join(high, [*keys, "m"], "left")
+    share = F.try_divide(F.col("_c") - F.col("_high.score"), F.col("_low.score") - F.col("_high.score"))
+
+    def value(e: str) -> Column:
+        mean, tied, below = F.col(f"_low.mean.{e}"), F.col(f"_low.tied.{e}"), F.col(f"_high.mean.{e}")
+        return F.when(F.col("_low").isNull(), below).when(F.col("_low.score") == F.col("_c"), tied).when(F.col("_high").isNull(), mean).otherwise(below + (mean - below) * share)
+
+    found = met.groupBy(*keys).agg(*[F.avg(value(e)).alias(e) for e in errors])
+    return curve.select(*keys).distinct().join(found, keys, "left").select(*keys, *[F.round(F.coalesce(e, F.lit(1.0)), 6).alias(e) for e in errors])
+
+
+def true_positive_error(curve: DataFrame, by: str | list[str], score: str, error: str, hit: str, bins: int = 101, least_recall: float = 0.1) -> DataFrame:
+    """by, error: see :func:`true_positive_errors`."""
+    return true_positive_errors(curve, by, score, [error], hit, bins, least_recall).withColumnRenamed(error, "error")
+
+
+def precision_and_errors(curve: DataFrame, by: str | list[str], score: str, errors: list[str], hit: str, bins: int = 101, least_recall: float = 0.1, least_precision: float = 0.1) -> DataFrame:
+    """by, ap, errors: both from one resampling of the curve."""
+    keys = _keys(by)
+    at = at_recalls(curve, by, ["precision", score], bins)
+    ap = mean_precision(at, keys, bins, least_recall, least_precision)
+    return true_positive_errors(curve, by, score, errors, hit, bins, least_recall, at).join(ap, keys, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
 def greedy_match(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -230,15 +276,11 @@ def panoptic_tracking(points: DataFrame, least_points: int = 1) -> DataFrame:
 
 
 def recall_thresholds(scored: DataFrame, by: str, score: str, order: str, hit: str, positives: DataFrame, steps: int = 40, least_recall: float = 0.1) -> DataFrame:
-    """by, recall, threshold: the score at which each of ``steps`` recalls is reached (null where never). positives: by, n."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    curve = scored.withColumn("tp", F.sum(F.when(F.col(hit), 1).otherwise(0)).over(w)).join(positives, by).withColumn("r", F.col("tp") / F.col("n"))
+    """by, recall, threshold: the score at which each of ``steps`` recalls is reached (null where never): that of the hit which reaches it. positives: by, n."""
+    hits = running_sums(scored.where(F.col(hit)), by, score, [F.desc(order)], {"tp": F.lit(1)})
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.round(F.lit(least_recall) + k * (1 - least_recall) / (steps - 1), 12)))
-    wanted = positives.select(by, at.alias("recall"))
-    reached = curve.groupBy(by, "r").agg(F.max(score).alias("s"))
-    # a bounded list of steps meets the points of its class
-    met = wanted.join(reached, by).where(F.col("r") >= F.col("recall") - 1e-12).groupBy(by, "recall").agg(F.max("s").alias("threshold"))
-    return wanted.join(met, [by, "recall"], "left")
+    wanted = positives.select(by, "n", at.alias("recall")).withColumn("tp", F.greatest(F.lit(1), F.ceil((F.col("recall") - 1e-12) * F.col("n"))).cast("bigint"))
+    return wanted.join(hits.select(by, F.col("tp").cast("bigint").alias("tp"), F.col(score).alias("threshold")), [by, "tp"], "left").select(by, "recall", "threshold")
 
 
 def tracking_summary(rows: DataFrame, worst_distance: float = 2.0) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalogue, evaluation, measures, planning, scene, tables
+from . import catalogue, evaluation, measures, planning, protocol, scene, tables
 
 FLAGSHIP = "scene_pivots"
-QUERIES: dict = {**scene.QUERIES, **tables.QUERIES, **planning.QUERIES, **evaluation.QUERIES, **catalogue.QUERIES, **measures.QUERIES}
-ORACLE: dict = {**scene.ORACLE, **tables.ORACLE, **planning.ORACLE, **evaluation.ORACLE, **catalogue.ORACLE, **measures.ORACLE}
+QUERIES: dict = {**scene.QUERIES, **tables.QUERIES, **planning.QUERIES, **evaluation.QUERIES, **catalogue.QUERIES, **measures.QUERIES, **protocol.QUERIES}
+ORACLE: dict = {**scene.ORACLE, **tables.ORACLE, **planning.ORACLE, **evaluation.ORACLE, **catalogue.ORACLE, **measures.ORACLE, **protocol.ORACLE}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import geometry as G
 from orrery.functions import text as T
 from orrery.operators import generate, metrics, relational
-from orrery.session import read_table
+from orrery.session import durable, read_table
 
 from .scene import NODES, nodes_of
 from .tables import _FAMILY, _NORMALISED
@@ -33,8 +33,7 @@ def detection_errors(spark, sf_dir):
 
 def detection_summary(spark, sf_dir):
     """Mean average precision, mean error, and the score of both."""
-    c = _curve(spark, sf_dir)
-    both = metrics.average_precision(c, "class").join(metrics.true_positive_error(c, "class", "score", "error", "hit"), "class")
+    both = metrics.precision_and_errors(durable(_curve(spark, sf_dir), "curve"), "class", "score", ["error"], "hit")
     means = both.agg(F.avg("ap").alias("mean_ap"), F.avg("error").alias("mean_error"))
     return means.select(F.round("mean_ap", 5).alias("mean_ap"), F.round("mean_error", 5).alias("mean_error"), F.round(metrics.detection_score(F.col("mean_ap"), F.col("mean_error")), 5).alias("score"))
 
@@ -189,9 +188,9 @@ _CURVE = """s AS (SELECT user_id % 10 AS class, event_id, value AS score, (event
   v AS (SELECT lo.class, lo.x, CASE WHEN r0 IS NULL THEN p1 WHEN abs(pos - r0) < 1e-11 THEN p0 WHEN r1 IS NULL THEN 0 ELSE p0 + (p1 - p0) * (pos - r0) / (r1 - r0) END AS p,
     CASE WHEN r0 IS NULL THEN s1 WHEN abs(pos - r0) < 1e-11 THEN s0 WHEN r1 IS NULL THEN 0 ELSE s0 + (s1 - s0) * (pos - r0) / (r1 - r0) END AS conf FROM lo LEFT JOIN hi ON lo.class = hi.class AND lo.x = hi.x),
   ap AS (SELECT class, round(sum(greatest(p - 0.1, 0)) FILTER (x >= 11) / 90 / 0.9, 6) AS ap FROM v GROUP BY 1),
-  h AS (SELECT class, score, avg(err) OVER (PARTITION BY class ORDER BY score DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM c WHERE hit = 1),
-  f AS (SELECT v.class, v.x, v.conf, max(h.score) AS c0, arg_max(h.m, h.score) AS m0 FROM v LEFT JOIN h ON h.class = v.class AND h.score <= v.conf WHERE v.conf <> 0 AND v.x >= 11 GROUP BY 1, 2, 3),
-  g AS (SELECT f.*, min(h.score) AS c1, arg_min(h.m, h.score) AS m1 FROM f LEFT JOIN h ON h.class = f.class AND h.score > f.conf GROUP BY ALL),
+  h AS (SELECT class, score, k, CASE WHEN count(err) OVER (PARTITION BY class) = 0 THEN 1 ELSE coalesce(avg(err) OVER (PARTITION BY class ORDER BY score DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS m FROM c WHERE hit = 1),
+  f AS (SELECT v.class, v.x, v.conf, max(h.score) AS c0, arg_max(h.m, (h.score, -h.k)) AS m0 FROM v LEFT JOIN h ON h.class = v.class AND h.score <= v.conf WHERE v.conf <> 0 AND v.x >= 11 GROUP BY 1, 2, 3),
+  g AS (SELECT f.*, min(h.score) AS c1, arg_min(h.m, (h.score, -h.k)) AS m1 FROM f LEFT JOIN h ON h.class = f.class AND h.score > f.conf GROUP BY ALL),
   e AS (SELECT class, avg(CASE WHEN c0 IS NULL THEN m1 WHEN c1 IS NULL OR conf <= c0 THEN m0 ELSE m0 + (m1 - m0) * (conf - c0) / (c1 - c0) END) AS e FROM g GROUP BY 1),
   tp AS (SELECT d.class, round(coalesce(e, 1.0), 6) AS error FROM (SELECT DISTINCT class FROM s) d LEFT JOIN e ON e.class = d.class)"""
 _CAT = ", ".join(f"'{c}'" for c in CATEGORIES)

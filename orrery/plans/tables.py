@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
 from orrery.operators import metrics, relational, spatial
-from orrery.session import read_table
+from orrery.session import read_table, shared_dir
 from orrery.streaming import coverage as streaming
 
 
@@ -310,10 +309,8 @@ def _lanes(spark, li):
     li = li.select("l_partkey", "l_suppkey").distinct()
     first = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("a"))
     links = li.join(first, "l_partkey").where("l_suppkey <> a").select("a", F.col("l_suppkey").alias("b"))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))  # one machine, as in tests
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return spatial.connected_lanes(links)
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: By application, a folder of this machine for intermediate tables; only where ``spark.checkpoint.dir`` is unset and all runs here.
+_LOCAL: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the library expects; on a cluster, pass your own session instead."""
@@ -21,3 +27,24 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see; where it is unset and all runs on this machine (tests), a folder here."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="orrery-")
+        base = _LOCAL[app]
+    return base.rstrip("/")
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it is computed once, the lineage ends there, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
