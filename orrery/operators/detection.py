@@ -91,5 +91,5 @@ def detection_report(truth: DataFrame, guess: DataFrame, classes: tuple[str, ...
     by = class_metrics(truth, guess, classes)
     means = by.agg(F.avg("ap").alias("ap"), *[F.avg(c).alias(c) for c in by.columns if c.startswith("ap_")], *[F.avg(e).alias(e) for e in ERRORS])
     score = metrics.detection_score(F.col("ap"), *[F.col(e) for e in ERRORS])
-    whole = means.select(F.lit(None).cast("string").alias("class"), *[F.round(c, 6).alias(c) for c in by.columns[1:]], F.round(score, 6).alias("score"))
+    whole = means.select(F.lit(None).cast("string").alias("class"), *[F.round(c, 4).alias(c) for c in by.columns[1:]], F.round(score, 4).alias("score"))
     return by.withColumn("score", F.lit(None).cast("double")).unionByName(whole)

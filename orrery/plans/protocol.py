@@ -120,7 +120,7 @@ ORACLE = {
   rows AS (SELECT class, (ap_0_5 + ap_1 + ap_2 + ap_4) / 4 AS ap, ap_0_5, ap_1, ap_2, ap_4, {_SHOWN} FROM wide LEFT JOIN er USING (class)),
   total AS (SELECT avg(ap) AS ap, avg(ap_0_5) AS ap_0_5, avg(ap_1) AS ap_1, avg(ap_2) AS ap_2, avg(ap_4) AS ap_4, {', '.join(f'avg({e}) AS {e}' for e in _E)} FROM rows)
 SELECT class, round(ap, 6) AS ap, ap_0_5, ap_1, ap_2, ap_4, {', '.join(f'round({e}, 6) AS {e}' for e in _E)}, NULL::DOUBLE AS score FROM rows
-UNION ALL SELECT NULL, round(ap, 6), round(ap_0_5, 6), round(ap_1, 6), round(ap_2, 6), round(ap_4, 6), {', '.join(f'round({e}, 6)' for e in _E)}, round((5 * ap + {' + '.join(f'greatest(0, 1 - {e})' for e in _E)}) / 10, 6) FROM total""",
+UNION ALL SELECT NULL, round(ap, 4), round(ap_0_5, 4), round(ap_1, 4), round(ap_2, 4), round(ap_4, 4), {', '.join(f'round({e}, 4)' for e in _E)}, round((5 * ap + {' + '.join(f'greatest(0, 1 - {e})' for e in _E)}) / 10, 4) FROM total""",
     "track_filling": """WITH e AS (SELECT event_id // 400 AS scene, event_id % 400 // 10 AS t, event_id % 10 AS track, event_type FROM events), fr AS (SELECT scene, t, row_number() OVER (PARTITION BY scene ORDER BY t) AS i FROM (SELECT DISTINCT scene, t FROM e)),
   b AS (SELECT e.scene, e.t, i, track, track * 3.0 + e.t * 0.2::DOUBLE AS x, e.t * 0.5::DOUBLE AS y FROM e JOIN fr ON fr.scene = e.scene AND fr.t = e.t WHERE event_type <> 'error'),
   s AS (SELECT scene, track, min(i) AS a, max(i) AS z FROM b GROUP BY 1, 2), g AS (SELECT s.scene, s.track, fr.i, fr.t FROM s JOIN fr ON fr.scene = s.scene AND fr.i BETWEEN a AND z),
