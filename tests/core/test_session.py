@@ -23,4 +23,4 @@ def test_shared_dir():
 def test_durable(spark):
     df = spark.range(3).selectExpr("id", "cast(null as string) as s")
     back = session.durable(df, "t")
-    assert back.schema == df.schema and sorted(r.id for r in back.collect()) == [0, 1, 2]
+    assert back.dtypes == df.dtypes and sorted(r.id for r in back.collect()) == [0, 1, 2]
