@@ -10,13 +10,14 @@ from .common import durable
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # tables of their own, here and below, so that adaptive execution can split the centre of a large star in the join
+    least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = durable(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     tips = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tips.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -29,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        now = durable(_small_star(_large_star(now)), "stars")
+        now = durable(_small_star(durable(_large_star(now), "large-stars")), "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

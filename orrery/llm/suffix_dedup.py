@@ -178,7 +178,7 @@ def shared_names(chunks: DataFrame, length: int) -> DataFrame:
             yield repeated(held)
 
     sent = chunks.select("chunk", "sizes", "data").mapInArrow(send, "bucket bigint, chunk bigint, names binary")
-    return durable(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "chunk bigint, names binary"), "names")
+    return durable(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "chunk bigint, names binary"), "names")
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
