@@ -216,6 +216,41 @@ def image_box(corners: Column, width: float, height: float) -> Column:
     return F.when((u0 < u1) & (v0 < v1), F.struct(u0.alias("u0"), v0.alias("v0"), u1.alias("u1"), v1.alias("v1")))
 
 
+def clipped_hull(points: Column, width: float, height: float) -> Column:
+    """u0, v0, u1, v1: the extent of what the convex hull of ``points`` (u, v) and the canvas have in common; null where that is nothing.
+
+    Its corners are points on the canvas, crossings of the canvas' edges with segments between points, and corners of the canvas in the hull, which are those in a triangle of points. So no hull need be built;
+    and where edges leave the canvas the extent is smaller than the clipped extent of the points (see :func:`image_box`).
+    """
+    spot = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    on = lambda p: (p["u"] >= 0) & (p["u"] <= width) & (p["v"] >= 0) & (p["v"] <= height)
+    pairs = F.flatten(F.transform(points, lambda p, i: F.transform(F.slice(points, i + 2, F.size(points)), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+
+    def crossings(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        found = []
+        for a, b, edges, last in (("u", "v", (0.0, width), height), ("v", "u", (0.0, height), width)):
+            for edge in edges:
+                share = F.try_divide(F.lit(edge) - p[a], q[a] - p[a])
+                other = p[b] + (q[b] - p[b]) * share
+                here = spot(F.lit(edge), other) if a == "u" else spot(other, F.lit(edge))
+                found.append(F.when((share >= 0) & (share <= 1) & (other >= 0) & (other <= last), here))
+        return F.array(*found)
+
+    side = lambda a, b, c: (b["u"] - a["u"]) * (c["v"] - a["v"]) - (b["v"] - a["v"]) * (c["u"] - a["u"])
+
+    def inside(c: Column, p: Column, q: Column, r: Column) -> Column:
+        turns = [side(p, q, c), side(q, r, c), side(r, p, c)]
+        return (side(p, q, r) != 0) & ((F.least(*turns) >= 0) | (F.greatest(*turns) <= 0))
+
+    corners = F.array(*[spot(F.lit(u), F.lit(v)) for u in (0.0, width) for v in (0.0, height)])
+    held = F.filter(corners, lambda c: F.exists(pairs, lambda s: F.exists(points, lambda r: inside(c, s["p"], s["q"], r))))
+    spots = F.concat(F.transform(F.filter(points, on), lambda p: spot(p["u"], p["v"])), F.filter(F.flatten(F.transform(pairs, crossings)), lambda x: x.isNotNull()), held)
+    us, vs = F.transform(spots, lambda x: x["u"]), F.transform(spots, lambda x: x["v"])
+    ends = [F.array_min(us).alias("u0"), F.array_min(vs).alias("v0"), F.array_max(us).alias("u1"), F.array_max(vs).alias("v1")]
+    return F.when(F.size(spots) > 0, F.struct(*ends))
+
+
 def destination(lat: Column, lon: Column, bearing_deg: Column, metres: Column, radius: float = 6_378_137.0) -> tuple[Column, Column]:
     """Latitude and longitude (degrees) reached from a place by a bearing (clockwise from north) and a way."""
     d, b, p = metres / radius, F.radians(bearing_deg), F.radians(lat)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -103,21 +104,67 @@ def plan_alternatives(views: DataFrame, most: int = 3, plans: int = 3) -> DataFr
 def select_gaps(gaps: DataFrame, budget: int) -> DataFrame:
     """frame, step, key, score: paths picked one by one by how many uncovered parts they add, at most ``budget`` for each frame.
 
-    gaps: frame, key, a, b, c. Coverage so far decides the next pick, so a frame is sequential; frames run in parallel.
+    gaps: frame, key, a, b, c. Coverage so far decides the next pick, so a frame is sequential; frames run in parallel. What a path adds never grows, so scores are upper bounds
+    in a heap and only the topmost is scored anew.
     """
 
     def one_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("key")[["key", "a", "b", "c"]].itertuples(index=False, name=None)
-        parts = {k: ({a, b, c}, {tuple(sorted((a, b))), tuple(sorted((b, c)))}) for k, a, b, c in rows}
+        parts = {k: ({a, b, c}, {tuple(sorted((a, b))), tuple(sorted((b, c)))}) for k, a, b, c in pdf[["key", "a", "b", "c"]].itertuples(index=False, name=None)}
         nodes: set = set()
         pairs: set = set()
+        score = lambda k: 100 * len(parts[k][0] - nodes) + 10 * len(parts[k][1] - pairs) + 1
+        heap = [(-score(k), k) for k in parts]
+        heapq.heapify(heap)
         out = []
-        while parts and len(out) < budget:
-            score, key = min((-(100 * len(n - nodes) + 10 * len(e - pairs) + 1), k) for k, (n, e) in parts.items())
-            n, e = parts.pop(key)
-            nodes |= n
-            pairs |= e
-            out.append((pdf["frame"].iloc[0], len(out) + 1, key, -score))
+        while heap and len(out) < budget:
+            bound, key = heap[0]
+            if -bound != (now := score(key)):
+                heapq.heapreplace(heap, (-now, key))
+                continue
+            heapq.heappop(heap)
+            nodes |= parts[key][0]
+            pairs |= parts[key][1]
+            out.append((pdf["frame"].iloc[0], len(out) + 1, key, now))
         return pd.DataFrame(out, columns=["frame", "step", "key", "score"])
 
     return gaps.groupBy("frame").applyInPandas(one_frame, "frame bigint, step int, key string, score int")
+
+
+def two_phase_selection(gaps: DataFrame, share: float = 0.25, window: int = 10, first: str = "A", slots: tuple[str, ...] = ("A", "B", "C", "D")) -> DataFrame:
+    """frame, step, phase, key, slot, delta, reason: the questions that a frame asks, in order.
+
+    gaps: frame, key, score, plans (array of slot and ``covers``, the paths that its question covers; the first of a slot counts). By falling score (ties by key) gaps that are not covered yet take a plan.
+    Phase 1 takes plans of the slot ``first`` until ``share`` of the gaps is covered (reason share), ``window`` successive questions cover one new gap or none (plateau), or no gap is left (exhausted). Phase 2
+    gives each remaining gap the slot with the fewest questions so far, phase 1 counting for the first slot, or the next one that has a plan; ties by slot.
+    """
+
+    def one_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf[["key", "score", "plans"]].itertuples(index=False, name=None), key=lambda r: (-r[1], r[0]))
+        plans: dict[str, dict] = {}
+        for k, _, own in rows:
+            plans[k] = {}
+            for p in own:
+                plans[k].setdefault(p["slot"], set(p["covers"]))
+        every, covered, out, streak, reason = set(plans), set(), [], 0, "exhausted"
+
+        def ask(key: str, slot: str, phase: int) -> int:
+            new = (plans[key][slot] & every) - covered
+            covered.update(new)
+            out.append((pdf["frame"].iloc[0], len(out) + 1, phase, key, slot, len(new)))
+            return len(new)
+
+        for k, _, _ in rows:
+            if len(covered) >= share * len(every) or streak >= window:
+                reason = "plateau" if streak >= window else "share"
+                break
+            if k not in covered and first in plans[k]:
+                streak = streak + 1 if ask(k, first, 1) <= 1 else 0
+        asked = dict.fromkeys(slots, 0) | {first: len(out)}
+        for k, _, _ in rows:
+            slot = next((s for s in sorted(slots, key=lambda s: (asked[s], s)) if s in plans[k]), None)
+            if k not in covered and slot is not None:
+                ask(k, slot, 2)
+                asked[slot] += 1
+        return pd.DataFrame(out, columns=["frame", "step", "phase", "key", "slot", "delta"]).assign(reason=reason)
+
+    return gaps.groupBy("frame").applyInPandas(one_frame, "frame bigint, step int, phase int, key string, slot string, delta int, reason string")

@@ -114,3 +114,12 @@ def plateau(curve: DataFrame, within: float = 0.01) -> DataFrame:
     last = F.max_by("rate", "ord").over(Window.partitionBy("frame", "level"))
     off = curve.withColumn("_off", F.when(F.abs(F.col("rate") - last) > within, F.col("ord")))
     return off.groupBy("frame", "level").agg(F.min(F.when(F.col("_off").isNull(), F.col("ord"))).alias("_first"), F.max("_off").alias("_late"), F.collect_set("ord").alias("_all")).select("frame", "level", F.coalesce(F.array_min(F.filter("_all", lambda x: x > F.col("_late"))), F.col("_first")).alias("ord"))
+
+
+def plateau_step(curve: DataFrame, window: int = 10, least: int = 1) -> DataFrame:
+    """frame, level, ord: the step at which ``window`` successive steps have each added ``least`` keys or fewer; null where that never happens. curve: frame, level, ord, new_keys."""
+    w = Window.partitionBy("frame", "level").orderBy("ord")
+    # the last step that added more restarts the count
+    more = F.sum(F.when(F.col("new_keys") > least, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    run = curve.withColumn("_run", more).withColumn("_small", F.count_if(F.col("new_keys") <= least).over(Window.partitionBy("frame", "level", "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("frame", "level").agg(F.min(F.when(F.col("_small") >= window, F.col("ord"))).alias("ord"))

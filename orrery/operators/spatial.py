@@ -60,6 +60,46 @@ def discretised(paths: DataFrame, step: float) -> DataFrame:
     return at.select("lane", "k", x.alias("x"), y.alias("y"), yaw.alias("yaw"))
 
 
+def lane_poses(paths: DataFrame, step: float) -> DataFrame:
+    """lane, i, x, y, yaw: poses along lanes of several arcline paths (lane, part and what :func:`discretised` reads), numbered from 0 over the parts."""
+    each = discretised(paths.withColumn("lane", F.struct("lane", "part")), step)
+    order = Window.partitionBy("lane.lane").orderBy("lane.part", "k")
+    return each.select(F.col("lane.lane").alias("lane"), (F.row_number().over(order) - 1).alias("i"), "x", "y", "yaw")
+
+
+def projected_on_lanes(poses: DataFrame, paths: DataFrame, step: float = 0.5) -> DataFrame:
+    """id, lane, x, y, yaw, along, distance: the pose of its lane (a bounded list) that is nearest to each of ``poses`` (id, lane, x, y), the first of equally near ones; along counts ``step`` a pose."""
+    lanes = lane_poses(paths, step).groupBy("lane").agg(F.collect_list(F.struct("i", "x", "y", "yaw")).alias("_poses"))
+    far = F.transform("_poses", lambda q: F.struct(F.hypot(F.col("x") - q["x"], F.col("y") - q["y"]).alias("distance"), q["i"].alias("i"), q["x"].alias("x"), q["y"].alias("y"), q["yaw"].alias("yaw")))
+    best = poses.join(lanes, "lane").select("id", "lane", F.array_min(far).alias("b"))
+    return best.select("id", "lane", "b.x", "b.y", "b.yaw", (F.col("b.i") * step).alias("along"), "b.distance")
+
+
+def curvature_along(places: DataFrame, paths: DataFrame) -> DataFrame:
+    """``places`` (lane, along) with ``curvature``, unsigned, of the segment that they lie in, the earlier one at a joint; null beyond the end."""
+    parts = paths.select("lane", F.struct("part", "lengths", "curvatures").alias("p")).groupBy("lane").agg(F.array_sort(F.collect_list("p")).alias("_p"))
+    segments = F.flatten(F.transform("_p", lambda p: F.arrays_zip(p["lengths"].alias("n"), p["curvatures"].alias("c"))))
+    # lengths summed up to each segment
+    ends = F.transform("_s", lambda s, i: F.struct(F.aggregate(F.slice("_s", 1, i + 1), F.lit(0.0), lambda a, x: a + x["n"]).alias("end"), F.abs(s["c"]).alias("c")))
+    first = F.get(F.filter("_e", lambda e: F.col("along") <= e["end"]), F.lit(0))
+    return places.join(parts.withColumn("_s", segments).withColumn("_e", ends).select("lane", "_e"), "lane", "left").withColumn("curvature", first["c"]).drop("_e")
+
+
+def off_road_rate(modes: DataFrame, polygons: DataFrame, size: float, between: int = 8) -> DataFrame:
+    """id, modes, rate: the share of a prediction's modes (id, mode, t, x, y) that leave the drivable area, the union of ``polygons`` (poly, ring).
+
+    A mode is the line through its points in time order, looked at in ``between`` places of each step; one of them outside makes it a violation.
+    """
+    w = Window.partitionBy("id", "mode").orderBy("t")
+    steps = modes.select("id", "mode", "t", "x", "y", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
+    at = steps.withColumn("j", F.explode(F.when(F.col("nx").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(between - 1)))))
+    share = F.col("j") / between
+    spots = at.select("mode", F.struct("id", "mode", "t", "j").alias("id"), (F.col("x") + (F.coalesce("nx", "x") - F.col("x")) * share).alias("x"), (F.col("y") + (F.coalesce("ny", "y") - F.col("y")) * share).alias("y"))
+    held = containing_polygon(spots.select("id", "x", "y"), polygons, size).select("id").distinct().withColumn("on", F.lit(True))
+    told = spots.join(held, "id", "left").groupBy(F.col("id.id").alias("id"), "mode").agg(F.bool_or(F.col("on").isNull()).alias("left"))
+    return told.groupBy("id").agg(F.count("*").alias("modes"), F.avg(F.col("left").cast("double")).alias("rate"))
+
+
 def route_distance(poses: DataFrame, route: DataFrame, by: str) -> DataFrame:
     """by, distance: the largest distance of a pose from the nearest point of its route (one route for each ``by``, a bounded list of points)."""
     r = route.groupBy(by).agg(F.collect_list(F.struct("x", "y")).alias("route"))
