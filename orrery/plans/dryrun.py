@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.operators import constraints, coverage, dryrun, graph, isomorphism, planning
+from orrery.operators import constraints, coverage, dryrun, graph, isomorphism, planning, provenance
 from orrery.session import durable
 
-from .scene import EDGES, UNIVERSE, _asked, edges_of, nodes_of
+from .scene import CHAIN, UNIVERSE, _asked, edges_of, nodes_of
 
 
 def _gaps(edges):
@@ -52,7 +52,19 @@ def node_views(spark, sf_dir):
     return isomorphism.isomorphism_classes(nodes, inner)
 
 
-QUERIES = {f.__name__: f for f in (dry_runs, balanced_selection, coverage_exit, node_views)}
+def answer_support(spark, sf_dir):
+    """How many things stand to the left of a bus in front of a car, and the edges that say so."""
+    a = provenance.answers_with_support(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), CHAIN)
+    return a.select("frame", "answer", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.array_join(F.transform("support", lambda e: F.concat_ws(">", e["src"], e["dst"])), ",").alias("support"))
+
+
+def support_coverage(spark, sf_dir):
+    """What these answers cover."""
+    a = provenance.answers_with_support(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), CHAIN)
+    return provenance.support_footprint(a).groupBy("frame", "level").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (dry_runs, balanced_selection, coverage_exit, node_views, answer_support, support_coverage)}
 
 
 def _rounds(p: str, c: str, v: str, without: str) -> str:
@@ -89,7 +101,14 @@ _GAPS = f"""{UNIVERSE}, pv AS (SELECT frame, least(src, dst) AS u, greatest(src,
 _NONE = "(SELECT 0 AS frame, '' AS g, 0 AS ref WHERE false)"
 _MODE = "SELECT frame, key, family, plan, list_filter(ms, lambda m: m IS NOT NULL) AS ms, turn, base, discount, refs, place"
 
+_CHAIN = f"""{UNIVERSE}, m AS (SELECT f.frame, f.src AS a, f.dst AS b, g.dst AS x FROM edges f JOIN edges g ON g.frame = f.frame AND g.src = f.dst WHERE f.src_type = 'car' AND f.dst_type = 'bus' AND f.dir4 = 'front' AND g.dir4 = 'left'),
+  sp AS (SELECT frame, a AS s, b AS d FROM m UNION SELECT frame, b, x FROM m)"""
+
 ORACLE = {
+    "answer_support": f"""WITH {_CHAIN}, c AS (SELECT frame, count(DISTINCT x) AS n, string_agg(DISTINCT x::VARCHAR, ',' ORDER BY x::VARCHAR) AS skip, list_sort(list(DISTINCT x)) AS xs FROM m GROUP BY 1), t AS (SELECT frame, string_agg(s || '>' || d, ',' ORDER BY s, d) AS support FROM sp GROUP BY 1)
+        SELECT n.frame, coalesce(c.n, 0)::VARCHAR AS answer, coalesce(array_to_string(xs, ','), '') AS ids, coalesce(support, '') AS support FROM (SELECT DISTINCT frame FROM nodes) n LEFT JOIN c USING (frame) LEFT JOIN t USING (frame)""",
+    "support_coverage": f"""WITH {_CHAIN}, w AS (SELECT frame, s AS n, d AS o FROM sp UNION SELECT frame, d, s FROM sp), k AS (SELECT DISTINCT frame, 'L0' AS level, n::VARCHAR AS key FROM w UNION SELECT frame, 'L1', least(n, o) || '|' || greatest(n, o) FROM w UNION SELECT p.frame, 'L2', p.o || '|' || p.n || '|' || q.o FROM w p JOIN w q ON p.frame = q.frame AND p.n = q.n AND p.o < q.o)
+        SELECT frame, level, count(*) AS n FROM k GROUP BY 1, 2""",
     "coverage_exit": f"""WITH {UNIVERSE}, f AS (SELECT frame, level, key, min(ord) AS ord FROM hits SEMI JOIN universe USING (frame, level, key) GROUP BY 1, 2, 3), s AS (SELECT DISTINCT frame, level, ord FROM hits),
         c AS (SELECT s.frame, s.level, s.ord, count(f.key) AS k FROM s LEFT JOIN f ON f.frame = s.frame AND f.level = s.level AND f.ord = s.ord GROUP BY 1, 2, 3), r AS (SELECT *, sum(k) OVER (PARTITION BY frame, level ORDER BY ord ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS t, max(k) OVER (PARTITION BY frame, level ORDER BY ord ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY frame, level ORDER BY ord) AS i FROM c)
         SELECT frame, level, min(ord) FILTER (m <= 1 AND i >= 10) AS ord FROM r GROUP BY 1, 2""",
