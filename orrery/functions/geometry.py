@@ -126,6 +126,18 @@ def scale_iou(a: list[Column], b: list[Column]) -> Column:
     return both / (product(a) + product(b) - both)
 
 
+def relation_type(dx: Column, dy: Column, crossing: Column) -> Column:
+    """How an object lies to the viewer's heading (x ahead): intersecting where one of both is in an intersection, else longitudinal within 45 degrees of ahead or behind, or lateral."""
+    off = F.abs(F.degrees(F.atan2(dy, dx)))
+    return F.when(crossing, "intersecting").when((off <= 45) | (off >= 135), "longitudinal").otherwise("lateral")
+
+
+def lane_relation(lane: Column, other: Column, dx: Column, dy: Column, relation: Column) -> Column:
+    """same, adjacent (lateral, less than 5 aside and 20 along) or apart for two objects on lanes; null where one is on none, or where lanes differ and the relation is not lateral."""
+    near = (F.abs(dy) < 5) & (F.abs(dx) < 20)
+    return F.when(lane == other, "same").when((lane != other) & (relation == "lateral"), F.when(near, "adjacent").otherwise("apart"))
+
+
 def is_approaching(x: Column, y: Column, vx: Column, vy: Column) -> Column:
     """Whether an object moves towards the origin."""
     return -(x * vx + y * vy) > 0

@@ -86,6 +86,19 @@ def status_matches(status: Column, asked: Column, kind: Column) -> Column:
     return F.when(fold(asked) == "not standing", (kind == "pedestrian") & (fold(status) != "standing")).otherwise(fold(status) == fold(asked))
 
 
+def loosely_same_status(status: Column, asked: Column) -> Column:
+    """Equality of statuses where parked counts as stopped and moving as not standing; an unknown status fits nothing."""
+    fold = lambda c: F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit(" "))
+    name = lambda c: F.when(fold(c) == "parked", "stopped").when(fold(c) == "moving", "not standing").otherwise(fold(c))
+    return F.coalesce((name(status) == name(asked)) & ~fold(status).isin("", "unknown"), F.lit(False))
+
+
+def vehicle_matches(category: Column, asked: Column) -> Column:
+    """Whether a category is of the asked type: trailers by the word anywhere in it, trucks without trailers, other types by their name."""
+    low = F.lower(category)
+    return F.when(asked == "trailer", F.contains(low, F.lit("trailer"))).when(asked == "truck", F.contains(low, F.lit("truck")) & ~F.contains(low, F.lit("trailer"))).otherwise(F.contains(low, F.lower(asked)))
+
+
 def same_answer(a: Column, b: Column) -> Column:
     """Equality of answers: case, _ and spaces, and parked or stopped make no difference."""
     fold = lambda c: F.regexp_replace(F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit(" ")), r"^parked$", "stopped")

@@ -83,6 +83,40 @@ def family_quotas(total: int, ratios: dict[str, float]) -> dict[str, int]:
     return out
 
 
+def locked_curve(everything: DataFrame, hits: DataFrame) -> DataFrame:
+    """The coverage curve of the questions whose answer is unique (``hits`` with is_unique)."""
+    return coverage_curve(everything, hits.where("is_unique").drop("is_unique"))
+
+
+def gap_priority(new_l0: Column, new_l1: Column) -> Column:
+    """Edges weigh more than nodes, as they are rarer."""
+    return 10 * new_l0 + 15 * new_l1
+
+
+def leading_gaps(gaps: DataFrame, k: int, seed: int = 0, sure: float = 0.8) -> DataFrame:
+    """``gaps`` (frame, key, priority) that are taken, with ``chosen``: of ``k`` for each frame the share ``sure`` by priority (top), ties by key, and the rest by a seeded order of what is left (random)."""
+    top = int(k * sure)
+    placed = gaps.withColumn("_place", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("priority"), "key")))
+    count = F.count("*").over(Window.partitionBy("frame"))
+    first = placed.withColumn("_head", F.when(count > k, F.col("_place") <= top).otherwise(True))
+    order = Window.partitionBy("frame", "_head").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "key")), "key")
+    taken = first.withColumn("_turn", F.row_number().over(order)).where(F.col("_head") | (F.col("_turn") <= k - top))
+    return taken.withColumn("chosen", F.when(F.col("_head"), "top").otherwise("random")).drop("_place", "_head", "_turn")
+
+
+def eligible_families(gaps: DataFrame) -> DataFrame:
+    """``gaps`` (a, b, c as text, their types) with ``families``: those whose ends and types are known. The own vehicle as pivot is not asked for by a converging question."""
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    ids = there("a") & there("b") & there("c")
+    rules = {"converge": ids & there("b_type") & (F.col("b") != "ego"), "diverge": ids & there("a_type") & there("c_type"), "distance_chain": ids, "direction_chain": ids, "viewpoint": ids}
+    return gaps.withColumn("families", F.filter(F.array(*[F.when(ok, F.lit(f)) for f, ok in rules.items()]), lambda f: f.isNotNull()))
+
+
+def over_cap(used: Column, generated: Column, cap: Column | float) -> Column:
+    """Whether one more question would put a family above its share of all questions."""
+    return (used + 1) / (generated + 1) > cap
+
+
 def question_footprint(edges: DataFrame) -> DataFrame:
     """qid, level, key of the graph of each question (qid, src, dst as strings): nodes, edges and two-edge paths inside it."""
     near = edges.select("qid", F.col("src").alias("n"), F.col("dst").alias("o")).unionByName(edges.select("qid", F.col("dst").alias("n"), F.col("src").alias("o"))).distinct()

@@ -106,3 +106,11 @@ def tiles(rows: DataFrame, n: int, part: Column, *order: str) -> DataFrame:
 def seeded_order(key: Column, seed: int) -> Column:
     """A reproducible shuffle order."""
     return F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")))
+
+
+def camera_usage(calibrations: DataFrame, samples: DataFrame, sensors: DataFrame) -> DataFrame:
+    """channel, calibrations, keyframes: calibrated sensors and keyframes of each channel. calibrations: calibration, sensor; samples: calibration, is_key_frame; sensors: sensor, channel."""
+    named = calibrations.join(sensors, "sensor").select("calibration", "channel")
+    frames = samples.where("is_key_frame").groupBy("calibration").agg(F.count("*").alias("n"))
+    both = named.join(frames, "calibration", "left")
+    return both.groupBy("channel").agg(F.count("*").alias("calibrations"), F.coalesce(F.sum("n"), F.lit(0)).alias("keyframes"))

@@ -28,6 +28,17 @@ def records_in_patch(boxes: DataFrame, patch: tuple[float, float, float, float],
     return boxes.where((F.col("x0") <= c) & (F.col("x1") >= a) & (F.col("y0") <= d) & (F.col("y1") >= b))
 
 
+def sharing_nodes(records: DataFrame, others: DataFrame, every: bool = False) -> DataFrame:
+    """id, other, shared: pairs of records of both tables (id, nodes: an array) with exterior nodes in common: any, or all of the first one's.
+
+    The nodes are the join keys, so only records that meet are paired.
+    """
+    each = records.select("id", F.size(F.array_distinct("nodes")).alias("_n"), F.explode(F.array_distinct("nodes")).alias("node"))
+    met = each.join(others.select(F.col("id").alias("other"), F.explode(F.array_distinct("nodes")).alias("node")), "node")
+    pairs = met.groupBy("id", "other").agg(F.count("*").alias("shared"), F.first("_n").alias("_n"))
+    return (pairs.where("shared = _n") if every else pairs).drop("_n")
+
+
 def nearest_lane(poses: DataFrame, lane_points: DataFrame, reach: float) -> DataFrame:
     """id, lane, dist: the lane with the nearest point within ``reach``; the last lane on ties."""
     cell = lambda c: F.floor(F.col(c) / reach)

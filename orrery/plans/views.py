@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
-from orrery.operators import spatial
+from orrery.functions import text as T
+from orrery.operators import coverage, graph, relational, spatial
 from orrery.session import read_table
 
 from .evaluation import FOCAL, HEIGHT, WIDTH
-from .scene import NODES, nodes_of
+from .scene import EDGES, NODES, UNIVERSE, _asked, edges_of, nodes_of
 
 
 def image_rectangles(spark, sf_dir):
@@ -49,7 +50,72 @@ def off_road_rate(spark, sf_dir):
     return spatial.off_road_rate(modes, squares, 5.0).select("id", "modes", F.round("rate", 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (image_rectangles, lane_projection, off_road_rate)}
+def relation_types(spark, sf_dir):
+    """How the targets of edges lie to their sources, and on which lanes: every fifth node is in an intersection, lanes are strips."""
+    n = nodes_of(spark, sf_dir)
+    lane = F.when(F.col("id") % 4 > 0, F.floor(F.col("y") / 3))
+    a, b = (n.select("frame", F.col("id").alias(k), (F.col("id") % 5 == 0).alias(f"{k}_in"), lane.alias(f"{k}_lane")) for k in ("src", "dst"))
+    e = edges_of(spark, sf_dir).join(a, ["frame", "src"]).join(b, ["frame", "dst"])
+    e = e.withColumn("relation", G.relation_type(F.col("dx"), F.col("dy"), F.col("src_in") | F.col("dst_in")))
+    return e.groupBy("relation", G.lane_relation(F.col("src_lane"), F.col("dst_lane"), F.col("dx"), F.col("dy"), F.col("relation")).alias("lanes")).agg(F.count("*").alias("n"))
+
+
+def camera_usage(spark, sf_dir):
+    """Suppliers as calibrated sensors of their nation's channel, lines as samples."""
+    s, n, li = (read_table(spark, sf_dir, t) for t in ("supplier", "nation", "lineitem"))
+    return relational.camera_usage(s.select(F.col("s_suppkey").alias("calibration"), F.col("s_nationkey").alias("sensor")), li.select(F.col("l_suppkey").alias("calibration"), (F.col("l_linenumber") == 1).alias("is_key_frame")), n.select(F.col("n_nationkey").alias("sensor"), F.col("n_name").alias("channel")))
+
+
+def shared_parts(spark, sf_dir):
+    """Orders whose parts are all, or in part, those of another order: parts as nodes of the outlines of roads."""
+    o = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("nodes"))
+    any_, all_ = (spatial.sharing_nodes(o, o, every).where("id <> other") for every in (False, True))
+    return any_.groupBy("shared").agg(F.count("*").alias("n")).select(F.lit("any").alias("kind"), "shared", "n").unionByName(all_.groupBy("shared").agg(F.count("*").alias("n")).select(F.lit("all").alias("kind"), "shared", "n"))
+
+
+def family_eligibility(spark, sf_dir):
+    """How often each set of families fits a gap; the smallest node of a frame is the own vehicle, and every third type is unknown."""
+    n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
+    own = n.groupBy("frame").agg(F.min("id").alias("own"))
+    gaps = graph.pivot_universe(e).join(own, "frame")
+    ends = {k: F.when(F.col(c) == F.col("own"), "ego").otherwise(F.col(c).cast("string")).alias(k) for k, c in (("a", "a"), ("b", "pivot"), ("c", "c"))}
+    kinds = {f"{k}_type": F.when(F.col(c) % 3 > 0, "car").alias(f"{k}_type") for k, c in (("a", "a"), ("b", "pivot"), ("c", "c"))}
+    told = coverage.eligible_families(gaps.select("frame", *ends.values(), *kinds.values()))
+    return told.groupBy(F.array_join("families", "|").alias("families")).agg(F.count("*").alias("n"), F.count_if(coverage.over_cap(F.length("a"), F.length("c") * 4, 0.3)).alias("over"))
+
+
+def gap_priorities(spark, sf_dir):
+    """The ten gaps that each frame takes next: eight by priority, two by a seeded order."""
+    n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string").alias("b" if c == "pivot" else c)
+    paths = graph.pivot_universe(e).select("frame", *[text(c) for c in ("a", "pivot", "c")])
+    fresh = coverage.new_counts(paths, coverage.cascade(_asked(n, e)))
+    scored = fresh.select("frame", F.col("qid").alias("key"), coverage.gap_priority(F.col("new_l0"), F.col("new_l1")).alias("priority"))
+    return coverage.leading_gaps(scored, 10)
+
+
+def locked_curve(spark, sf_dir):
+    """Coverage by the asked paths whose pivot is the only one of its type in the frame."""
+    n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
+    asked = _asked(n, e)
+    single = n.groupBy("frame", "type").agg(F.count("*").alias("k"), F.min("id").cast("string").alias("b")).where("k <= 3").select("frame", "b", F.lit(True).alias("is_unique"))
+    hits = coverage.cascade(asked).join(asked.select("frame", "qid", "b").distinct(), ["frame", "qid"]).join(single, ["frame", "b"], "left").withColumn("is_unique", F.coalesce("is_unique", F.lit(False))).drop("b")
+    return coverage.locked_curve(coverage.universe(n, e), hits).select("frame", "level", "ord", "new_keys", "covered")
+
+
+def loose_statuses(spark, sf_dir):
+    """Pairs of statuses that fit loosely, and the categories that count as trucks and trailers."""
+    n = nodes_of(spark, sf_dir).groupBy("type", "status").agg(F.count("*").alias("n"))
+    asked = F.explode(F.array(F.lit("stopped"), F.lit("not_standing"), F.lit("standing"))).alias("asked")
+    told = n.select("type", "status", "n", asked).withColumn("fits", T.loosely_same_status(F.col("status"), F.col("asked")))
+    kind = F.concat(F.lit("vehicle."), "type", F.when(F.col("type") == "truck", "_with_trailer").otherwise(""))
+    return told.withColumns({"truck": T.vehicle_matches(kind, F.lit("truck")), "trailer": T.vehicle_matches(kind, F.lit("trailer"))})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (image_rectangles, lane_projection, off_road_rate, relation_types, camera_usage, shared_parts, family_eligibility, gap_priorities, locked_curve, loose_statuses)
+}
 
 _SIDE = "({1}u - {0}u) * ({2}v - {0}v) - ({1}v - {0}v) * ({2}u - {0}u)"
 _TURNS = ", ".join(_SIDE.format(a, b, "e.") for a, b in (("p.", "q."), ("q.", "r."), ("r.", "p.")))
@@ -66,4 +132,21 @@ ORACLE = {
     "off_road_rate": """WITH m AS (SELECT l_orderkey AS id, l_partkey % 3 AS mode, l_linenumber AS t, min(l_suppkey % 50 + l_discount) AS x, min(l_quantity / 10 + 0.013::DOUBLE) AS y FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM m WINDOW w AS (PARTITION BY id, mode ORDER BY t)),
         p AS (SELECT id, mode, x + (coalesce(nx, x) - x) * j / 8 AS x, y + (coalesce(ny, y) - y) * j / 8 AS y FROM s, range(8) r(j) WHERE nx IS NOT NULL OR j = 0),
         h AS (SELECT id, mode, bool_or(NOT (y > 0.001 AND y < 4.5007 AND x > -0.4987 AND x < 48.503 AND x + 0.4987 - floor((x + 0.4987) / 10) * 10 < 9.0017)) AS gone FROM p GROUP BY 1, 2) SELECT id, count(*) AS modes, round(avg(gone::INT), 6) AS rate FROM h GROUP BY 1""",
+    "relation_types": f"""WITH {EDGES}, r AS (SELECT e.dx, e.dy, e.src % 5 = 0 OR e.dst % 5 = 0 AS c, CASE WHEN a.id % 4 > 0 THEN floor(a.y / 3) END AS la, CASE WHEN b.id % 4 > 0 THEN floor(b.y / 3) END AS lb FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst),
+        t AS (SELECT *, CASE WHEN c THEN 'intersecting' WHEN abs(degrees(atan2(dy, dx))) <= 45 OR abs(degrees(atan2(dy, dx))) >= 135 THEN 'longitudinal' ELSE 'lateral' END AS relation FROM r)
+        SELECT relation, CASE WHEN la = lb THEN 'same' WHEN la <> lb AND relation = 'lateral' THEN CASE WHEN abs(dy) < 5 AND abs(dx) < 20 THEN 'adjacent' ELSE 'apart' END END AS lanes, count(*) AS n FROM t GROUP BY 1, 2""",
+    "camera_usage": "WITH k AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) SELECT n_name AS channel, count(*) AS calibrations, coalesce(sum(n), 0)::BIGINT AS keyframes FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN k ON l_suppkey = s_suppkey GROUP BY 1",
+    "shared_parts": """WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), z AS (SELECT o, count(*) AS n FROM p GROUP BY 1), m AS (SELECT a.o AS a, b.o AS b, count(*) AS shared FROM p a JOIN p b ON a.p = b.p AND a.o <> b.o GROUP BY 1, 2)
+        SELECT 'any' AS kind, shared, count(*) AS n FROM m GROUP BY 2 UNION ALL SELECT 'all', shared, count(*) FROM m JOIN z ON z.o = m.a AND z.n = shared GROUP BY 2""",
+    "family_eligibility": f"""WITH {UNIVERSE}, w AS (SELECT frame, min(id) AS own FROM nodes GROUP BY 1), g AS (SELECT CASE WHEN a = own THEN 'ego' ELSE a::VARCHAR END AS a, CASE WHEN mid = own THEN 'ego' ELSE mid::VARCHAR END AS b, CASE WHEN c = own THEN 'ego' ELSE c::VARCHAR END AS c, a % 3 > 0 AS ta, mid % 3 > 0 AS tb, c % 3 > 0 AS tc FROM pivots JOIN w USING (frame))
+        SELECT CASE WHEN tb AND b <> 'ego' THEN 'converge|' ELSE '' END || CASE WHEN ta AND tc THEN 'diverge|' ELSE '' END || 'distance_chain|direction_chain|viewpoint' AS families, count(*) AS n, count(*) FILTER ((length(a) + 1) / (length(c) * 4 + 1) > 0.3) AS over FROM g GROUP BY 1""",
+    "gap_priorities": f"""WITH {UNIVERSE}, h AS (SELECT DISTINCT frame, level, key FROM hits), p AS (SELECT frame, least(a::VARCHAR, c::VARCHAR) || '|' || mid || '|' || greatest(a::VARCHAR, c::VARCHAR) AS key, unnest([a::VARCHAR, mid::VARCHAR, c::VARCHAR, least(a::VARCHAR, mid::VARCHAR) || '|' || greatest(a::VARCHAR, mid::VARCHAR), least(c::VARCHAR, mid::VARCHAR) || '|' || greatest(c::VARCHAR, mid::VARCHAR)]) AS part,
+          unnest(['L0', 'L0', 'L0', 'L1', 'L1']) AS level FROM pivots), s AS (SELECT p.frame, p.key, sum(CASE WHEN h.key IS NOT NULL THEN 0 WHEN p.level = 'L0' THEN 10 ELSE 15 END)::BIGINT AS priority FROM p LEFT JOIN h ON h.frame = p.frame AND h.level = p.level AND h.key = p.part GROUP BY 1, 2),
+        r AS (SELECT *, count(*) OVER (PARTITION BY frame) <= 10 OR row_number() OVER (PARTITION BY frame ORDER BY priority DESC, key) <= 8 AS head FROM s) SELECT frame, key, priority, CASE WHEN head THEN 'top' ELSE 'random' END AS chosen FROM r QUALIFY head OR row_number() OVER (PARTITION BY frame, head ORDER BY md5('0:' || key), key) <= 2""",
+    "locked_curve": f"""WITH {UNIVERSE}, u AS (SELECT frame, min(id)::VARCHAR AS b FROM nodes GROUP BY frame, type HAVING count(*) <= 3), q AS (SELECT asked.* FROM asked JOIN u USING (frame, b)),
+        x AS (SELECT frame, ord, 'L0' AS level, unnest([a, b, c]) AS key FROM q UNION ALL SELECT frame, ord, 'L1', unnest([least(a, b) || '|' || greatest(a, b), least(b, c) || '|' || greatest(b, c)]) FROM q UNION ALL SELECT frame, ord, 'L2', least(a, c) || '|' || b || '|' || greatest(a, c) FROM q),
+        f AS (SELECT frame, level, key, min(ord) AS ord FROM x SEMI JOIN universe USING (frame, level, key) GROUP BY 1, 2, 3), s AS (SELECT DISTINCT frame, level, ord FROM x), k AS (SELECT s.frame, s.level, s.ord, count(f.key) AS new_keys FROM s LEFT JOIN f ON f.frame = s.frame AND f.level = s.level AND f.ord = s.ord GROUP BY 1, 2, 3)
+        SELECT *, sum(new_keys) OVER (PARTITION BY frame, level ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS covered FROM k""",
+    "loose_statuses": f"""WITH {NODES}, n AS (SELECT type, status, count(*) AS n FROM nodes GROUP BY 1, 2), a AS (SELECT *, unnest(['stopped', 'not_standing', 'standing']) AS asked FROM n)
+        SELECT type, status, n, asked, (asked = 'stopped' AND status IN ('stopped', 'parked')) OR (asked = 'not_standing' AND status = 'moving') OR (asked = 'standing' AND status = 'standing') AS fits, false AS truck, type IN ('truck', 'trailer') AS trailer FROM a""",
 }
