@@ -55,6 +55,41 @@ def question_family(text: Column) -> Column:
     return reduce(lambda acc, f: F.when(fits(f[1]), F.lit(f[0])).otherwise(acc), reversed(FAMILIES), F.lit("general"))
 
 
+#: Words that a question's pattern leaves open, by kind; longer ones are replaced first.
+OPEN_WORDS = {
+    "TYPE": ("car", "cars", "pedestrian", "pedestrians", "bicycle", "bicycles", "motorcycle", "motorcycles", "truck", "trucks", "bus", "buses", "trailer", "trailers", "barrier", "barriers", "traffic cone", "traffic cones", "construction vehicle", "construction vehicles", "thing", "things"),
+    "STATUS": ("moving", "stopped", "parked", "standing", "sitting", "not standing", "with rider", "without rider"),
+    "DIR": ("front left", "front right", "back left", "back right", "front", "back", "left", "right"),
+}
+
+
+def question_pattern(text: Column) -> Column:
+    """The text with {TYPE}, {STATUS} and {DIR} for the words of these kinds, wherever they stand."""
+    words = [(w, f"{{{kind}}}") for kind, own in OPEN_WORDS.items() for w in sorted(own, key=len, reverse=True)]
+    return reduce(lambda t, w: F.replace(t, F.lit(w[0]), F.lit(w[1])), words, text)
+
+
+def question_leaf(family: Column, pattern: Column) -> Column:
+    """One of the 24 leaves of the taxonomy of questions (fixed names): family, and how its pattern asks (by same status, near the own vehicle, near an object, globally)."""
+    p = F.lower(pattern)
+    has = lambda x: F.contains(p, F.lit(x))
+    times = F.size(F.split(p, r"to the \{dir\} of")) - 1
+    own, near = has("to the {dir} of me"), has("to the {dir} of")
+
+    def listed(name: str) -> Column:
+        same = F.when(has("to the {dir}"), f"{name}_same_status_directional").otherwise(f"{name}_same_status_global")
+        rest = F.when(has("{status}") & has("{type}"), f"{name}_status_type_global").when(has("{type}"), f"{name}_type_global").otherwise(f"{name}_other")
+        return F.when(has("same status"), same).when(own, f"{name}_type_near_ego").when(near, f"{name}_type_near_obj").otherwise(rest)
+
+    asked = {
+        "exist": listed("exist"), "count": listed("count"),
+        "status": F.when(own, "status_of_obj_near_ego").when(near, "status_of_obj_near_obj").otherwise("status_of_obj_global"),
+        "object": F.when(has("both to the") | (times >= 2), "object_multi_constraint").when(own, "object_near_ego").when(near, "object_near_obj").otherwise("object_global"),
+        "comparison": F.when(times >= 2, "comparison_both_directional").when(near, "comparison_one_directional").otherwise("comparison_global"),
+    }
+    return reduce(lambda acc, f: F.when(family == f[0], f[1]).otherwise(acc), asked.items(), F.concat(family, F.lit("_other")))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words without punctuation; - and / separate."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), DROPPED, ""), "[-/]", " ")

@@ -112,11 +112,37 @@ def loose_statuses(spark, sf_dir):
     return told.withColumns({"truck": T.vehicle_matches(kind, F.lit("truck")), "trailer": T.vehicle_matches(kind, F.lit("trailer"))})
 
 
+#: Questions about an edge, by templates: each with its family.
+TEMPLATES = (
+    ("exist", "Are there any {s} {t}s to the {d} of the {u}?"), ("exist", "Are there any other {t}s of the same status as the {u}?"), ("count", "How many {s} {t}s are there?"), ("count", "How many other things are in the same status as the {u} to the {d} of me?"),
+    ("status", "What is the status of the {t} to the {d} of me?"), ("object", "What is the {s} thing that is both to the {d} of the {u} and the {d} of me?"), ("object", "There is a {u} to the {d} of me; what is it?"), ("comparison", "Is the {t} to the {d} of the {u} the same status as the {s} {t} to the {d} of me?"), ("comparison", "Do the {t} and the {u} have the same status?"), ("general", "Why?"),
+)
+
+
+def question_taxonomy(spark, sf_dir):
+    """Leaves of the taxonomy, over questions about every edge."""
+    e = edges_of(spark, sf_dir)
+    k = (F.col("src") * 7 + F.col("dst")) % len(TEMPLATES)
+    told = F.element_at(F.array(*[F.lit(t) for _, t in TEMPLATES]), (k + 1).cast("int"))
+    spaced = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
+    for mark, value in (("{s}", F.col("dst_status")), ("{t}", spaced("dst_type")), ("{u}", spaced("src_type")), ("{d}", F.col("dir6"))):
+        told = F.replace(told, F.lit(mark), value)
+    family = F.element_at(F.array(*[F.lit(f) for f, _ in TEMPLATES]), (k + 1).cast("int"))
+    q = e.select(family.alias("family"), T.question_pattern(told).alias("pattern"))
+    return q.groupBy("family", T.question_leaf(F.col("family"), F.col("pattern")).alias("leaf"), "pattern").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (image_rectangles, lane_projection, off_road_rate, relation_types, camera_usage, shared_parts, family_eligibility, gap_priorities, locked_curve, loose_statuses)
+    for f in (question_taxonomy, image_rectangles, lane_projection, off_road_rate, relation_types, camera_usage, shared_parts, family_eligibility, gap_priorities, locked_curve, loose_statuses)
 }
 
+_PATTERN = "x"
+for _kind, _own in T.OPEN_WORDS.items():
+    for _w in sorted(_own, key=len, reverse=True):
+        _PATTERN = f"replace({_PATTERN}, '{_w}', '{{{_kind}}}')"
+_LISTED = "CASE WHEN contains(p, 'same status') THEN CASE WHEN contains(p, 'to the {dir}') THEN '_same_status_directional' ELSE '_same_status_global' END WHEN contains(p, 'to the {dir} of me') THEN '_type_near_ego' WHEN contains(p, 'to the {dir} of') THEN '_type_near_obj' WHEN contains(p, '{status}') AND contains(p, '{type}') THEN '_status_type_global' WHEN contains(p, '{type}') THEN '_type_global' ELSE '_other' END"
+_NEAR = "CASE WHEN contains(p, 'to the {dir} of me') THEN '_near_ego' WHEN contains(p, 'to the {dir} of') THEN '_near_obj' ELSE '_global' END"
 _SIDE = "({1}u - {0}u) * ({2}v - {0}v) - ({1}v - {0}v) * ({2}u - {0}u)"
 _TURNS = ", ".join(_SIDE.format(a, b, "e.") for a, b in (("p.", "q."), ("q.", "r."), ("r.", "p.")))
 
@@ -149,4 +175,8 @@ ORACLE = {
         SELECT *, sum(new_keys) OVER (PARTITION BY frame, level ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS covered FROM k""",
     "loose_statuses": f"""WITH {NODES}, n AS (SELECT type, status, count(*) AS n FROM nodes GROUP BY 1, 2), a AS (SELECT *, unnest(['stopped', 'not_standing', 'standing']) AS asked FROM n)
         SELECT type, status, n, asked, (asked = 'stopped' AND status IN ('stopped', 'parked')) OR (asked = 'not_standing' AND status = 'moving') OR (asked = 'standing' AND status = 'standing') AS fits, false AS truck, type IN ('truck', 'trailer') AS trailer FROM a""",
+    "question_taxonomy": f"""WITH {EDGES}, q AS (SELECT (src * 7 + dst) % {len(TEMPLATES)} AS k, replace(replace(replace(replace(([{', '.join(repr(t) for _, t in TEMPLATES)}])[(src * 7 + dst) % {len(TEMPLATES)} + 1], '{{s}}', dst_status), '{{t}}', replace(dst_type, '_', ' ')), '{{u}}', replace(src_type, '_', ' ')), '{{d}}', dir6) AS x FROM edges),
+        y AS (SELECT ([{', '.join(repr(f) for f, _ in TEMPLATES)}])[k + 1] AS family, {_PATTERN} AS pattern FROM q), z AS (SELECT family, pattern, lower(pattern) AS p, len(string_split(lower(pattern), 'to the {{dir}} of')) - 1 AS times FROM y)
+        SELECT family, family || CASE WHEN family IN ('exist', 'count') THEN {_LISTED} WHEN family = 'status' THEN '_of_obj' || {_NEAR} WHEN family = 'object' THEN CASE WHEN contains(p, 'both to the') OR times >= 2 THEN '_multi_constraint' ELSE {_NEAR} END
+          WHEN family = 'comparison' THEN CASE WHEN times >= 2 THEN '_both_directional' WHEN times = 1 THEN '_one_directional' ELSE '_global' END ELSE '_other' END AS leaf, pattern, count(*) AS n FROM z GROUP BY 1, 2, 3""",
 }
