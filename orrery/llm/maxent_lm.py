@@ -3,12 +3,15 @@
 The probability of a token is factored by class: P(class | history) P(token | class, history), each a softmax over hashed features of the history: the
 previous token, the previous two, and the token before the previous one (a skip). The most frequent tokens have a class each; the next ones are grouped, by their
 endings, into classes of ``MEMBERS`` tokens, among which the second softmax decides (its features are hashed together with the class); all others are in the class of
-their last two bytes, if these are among the most frequent endings, or in one class for the rest. In these last classes a token has its share of the
-class in training, with the class's share of tokens seen once set aside for unknown tokens.
+their last two bytes, if these are among the most frequent endings, or in one class for the rest. Below these last classes stands a tree of ``MEMBERS`` branches a node: a token's
+way is given by digits of its hash, and at each node a third softmax decides, from features that are hashed together with the node. The tree is as deep as the training
+vocabulary needs for some ``LEAF`` tokens a leaf, up to ``DEPTH`` levels (221,184 leaves). In a leaf a token has its share of the leaf in training; the class's share of
+tokens seen once is set aside for unknown tokens, which do not enter the tree. So every known token's probability depends on its history, and no task needs the vocabulary: a bitmap
+by hash (16 bits a token, ``MOST_BITS`` at most) tells known tokens, and each leaf has room for one of those that it takes for known by mistake.
 
 Weights come from distributed gradient updates in ``ROUNDS`` synchronous rounds, each over its own part of the training documents: small partitions are put together to
-shards of some megabytes, every shard runs adaptive gradient steps from the shared weights, and each row of weights becomes the mean of the shards' rows, weighted by
-how often the shards met the feature. So the number of shards follows from the text, not from the partitions, and no text shuffles. The table of
+shards of some megabytes, every shard runs adaptive gradient steps from the shared weights, and each row of weights moves by the mean of the shards' steps, weighted by
+how often the shards met the feature. Where they met it seldom, the steps are lengthened by up to the root of the number of shards, as steps over all gradients would be (``SELDOM``). So the number of shards follows from the text, not from the partitions, and no text shuffles. The table of
 weights grows with the training tokens up to a bound. Texts are scored in sparse numpy batches.
 
 Token counts cover all training documents. Each batch of documents is one chunk with an inverted index: a row for each distinct token holds its training count there
@@ -33,16 +36,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, plain_text
+from .common import BLOCK as BLOCK_BITS
+from .common import durable, filter_bits, plain_text
 
 #: Folds, the held-out remainder.
 FOLDS, HELD_OUT = 7, 2
 #: Classes of one token; classes of several, and tokens in each; classes of frequent endings; one more class takes the rest.
 HEADS, GROUPS, MEMBERS, ENDINGS = 8, 8, 24, 15
+#: Tokens wanted in a leaf below the other classes, levels of branches at most.
+LEAF, DEPTH = 8, 3
+#: A feature that shards met so often is moved half way between the mean of their steps and what their gradients together would move it.
+SELDOM = 1000.0
 #: Hashed feature slots of each template: one for so many training tokens, a power of two between two bounds.
 TOKENS_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 1 << 13, 1 << 13, 1 << 16
-#: Templates, tokens of a gradient step, step size, first sum of squares by round.
-TEMPLATES, STEP, RATE, SQUARES = 3, 16384, 0.15, (1e-2, 0.3)
+#: Templates, tokens of a gradient step, step size, first sum of squares by round, and for the tree, whose branches say less.
+TEMPLATES, STEP, RATE, SQUARES, TREE_SQUARES = 3, 16384, 0.15, (1e-2, 0.3), (3.0, 3.0)
 #: Synchronous rounds, least bytes of text in a shard of one round, tokens scored at a time.
 ROUNDS, SHARD, SCORED = len(SQUARES), 48 << 20, 4096
 #: Bytes of text in a chunk at most (a longer document is a chunk of its own), documents in a chunk, bytes of text trained or scored at a time.
@@ -61,6 +69,29 @@ class Table:
     heads: list[bytes]
     groups: list[list[bytes]]
     endings: list[bytes]
+    depth: int = 0
+
+    @property
+    def leaves(self) -> int:
+        return (self.classes - self.other) * MEMBERS**self.depth
+
+    def ways(self, kind: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(node, branch) on each level for tokens of the other classes, by their hash; at last (leaf, nothing)."""
+        at, first = kind - self.other, 0
+        for level in range(self.depth):
+            branch = code // MEMBERS**level % MEMBERS
+            yield first + at, branch
+            first += (self.classes - self.other) * MEMBERS**level
+            at = at * MEMBERS + branch
+        yield at, at[:0]
+
+    def leaf(self, kind: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The leaf of each token, -1 for those with a class or place of their own, and for unknown ones (code -1)."""
+        out = np.full(len(kind), -1)
+        at = np.flatnonzero((kind >= self.other) & (code >= 0))
+        for found, _ in self.ways(kind[at], code[at]):
+            out[at] = found
+        return out
 
     @property
     def classes(self) -> int:
@@ -76,14 +107,33 @@ class Table:
         return {w: (k, i) for k, group in enumerate([[w] for w in self.heads] + self.groups) for i, w in enumerate(group)}
 
 
+def has_bit(bits: np.ndarray, hashed):
+    """Whether the bit of a hash (or of each) is set; ``bits`` are bytes, a power of two of them, the lowest bit first."""
+    at = hashed & (8 * len(bits) - 1)
+    return bits[at >> 3] >> (at & 7) & 1 == 1
+
+
+def known_bits(counts: DataFrame) -> np.ndarray:
+    """The bitmap of the hashes of ``counts`` (word): one row of 4096 bytes for each block, of which there are 8192 at most."""
+    blocks = filter_bits(counts.count()) // BLOCK_BITS
+    h = F.crc32("word")
+    block = F.pmod(F.floor(h / BLOCK_BITS), F.lit(blocks)).cast("int")
+    rows = counts.select(block.alias("block"), (h % BLOCK_BITS).alias("bit")).groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
+    out = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
+    for r in rows:
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 class Classes(dict):
     """Numbers tokens as they are met, and keeps class, place in the class and hash of each."""
 
-    def __init__(self, table: Table):
+    def __init__(self, table: Table, known: np.ndarray | None = None):
         super().__init__()
+        self.bits = known
         self.listed = table.members()
         self.endings = {e: i for i, e in enumerate(table.endings, table.other)}
-        self.rest = table.classes - 1
+        self.rest, self.other = table.classes - 1, table.other
         self.forget(0)
 
     def forget(self, most: int = REMEMBERED) -> None:
@@ -104,8 +154,11 @@ class Classes(dict):
 
     def __missing__(self, word: bytes) -> int:
         self[word] = code = len(self)
-        kind, member = self.listed.get(word) or (self.endings.get(word[-2:], self.rest), 0)
-        self.known.append((kind, member, zlib.crc32(word)))
+        hashed = zlib.crc32(word)
+        kind, member = self.listed.get(word) or (self.endings.get(word[-2:], self.rest), hashed)
+        if self.bits is not None and kind >= self.other and not has_bit(self.bits, hashed):
+            member = -1
+        self.known.append((kind, member, hashed))
         return code
 
 
@@ -167,7 +220,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _histories(b: pa.RecordBatch, memo: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, place in the class, hashed history of each token by template, tokens of each document)."""
+    """(class of each token, place in the class or else its hash, hashed history of each token by template, tokens of each document)."""
     words, codes, lengths = _tokens(b)
     known = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
     kind, member, hashed = memo.columns()[:, known].take(codes, axis=1)
@@ -224,7 +277,7 @@ def _gradient_step(chosen: np.ndarray, slots: np.ndarray, weights: np.ndarray, s
 
 @dataclass
 class Model:
-    """Table of tokens, feature slots of a template, start values of both softmaxes (by class; by class and member), their weights."""
+    """Table of tokens, feature slots of a template, start values of the softmaxes (by class; by class and member, then by node and branch), the weights of the three."""
 
     table: Table
     slots: int
@@ -233,28 +286,38 @@ class Model:
     weights: list[np.ndarray]
 
     @classmethod
-    def start(cls, table: Table, counts: dict[bytes, int], mass: np.ndarray) -> Model:
-        """Without features, from training counts of the listed tokens and of the classes."""
+    def start(cls, table: Table, counts: dict[bytes, int], mass: np.ndarray, leaves: np.ndarray | None = None) -> Model:
+        """Without features, from training counts of the listed tokens, of the classes and of the leaves."""
         n = mass.sum()
         slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (max(int(n) // TOKENS_A_SLOT, 1) - 1).bit_length()))
         member_bias = np.full((table.classes, MEMBERS), -1e4, np.float32)
         for w, (k, i) in table.members().items():
             member_bias[k, i] = np.log(counts[w] / mass[k])
-        weights = [np.zeros((slots * TEMPLATES, width), np.float32) for width in (table.classes, MEMBERS)]
+        for level in range(table.depth):
+            below = leaves.reshape((table.classes - table.other) * MEMBERS**level, MEMBERS, -1).sum(axis=2) + 0.5
+            member_bias = np.concatenate([member_bias, np.log(below / below.sum(axis=1, keepdims=True)).astype(np.float32)])
+        weights = [np.zeros((slots * TEMPLATES, width), np.float32) for width in (table.classes, MEMBERS, *[MEMBERS] * (table.depth > 0))]
         return cls(table, slots, np.log((mass + 1) / (n + table.classes)).astype(np.float32), member_bias, weights)
 
-    def choices(self, kind: np.ndarray, member: np.ndarray, history: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(tokens concerned, choice, feature slots, bias) of both softmaxes; the second is for tokens of classes of several."""
-        yield np.arange(len(kind)), kind, _slots(history, self.slots), self.class_bias
+    def choices(self, kind: np.ndarray, member: np.ndarray, history: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which softmax, tokens concerned, choice, feature slots, bias): the class of all, then the token in classes of several, then the branch on each level below the other classes."""
+        yield 0, np.arange(len(kind)), kind, _slots(history, self.slots), self.class_bias
         at = np.flatnonzero((kind >= len(self.table.heads)) & (kind < self.table.other))
-        yield at, member[at], _slots(history[:, at], self.slots, kind[at] + 1), self.member_bias[kind[at]]
+        yield 1, at, member[at], _slots(history[:, at], self.slots, kind[at] + 1), self.member_bias[kind[at]]
+        if self.table.depth:
+            at = np.flatnonzero((kind >= self.table.other) & (member >= 0))
+            own = history[:, at]
+            for node, branch in self.table.ways(kind[at], member[at]):
+                if len(branch):
+                    row = self.table.classes + node
+                    yield 2, at, branch, _slots(own, self.slots, row + 1), self.member_bias[row]
 
     def log_probability(self, kind: np.ndarray, member: np.ndarray, history: np.ndarray) -> np.ndarray:
-        """Natural log of P(class | history), and times P(token | class, history) in classes of several."""
+        """Natural log of P(class | history), times P(token | class, history) in classes of several and P(leaf | class, history) in others."""
         out = np.zeros(len(kind))
-        for weights, (at, chosen, slots, bias) in zip(self.weights, self.choices(kind, member, history), strict=True):
+        for k, at, chosen, slots, bias in self.choices(kind, member, history):
             if len(at):
-                out[at] += _log_chosen(weights, bias, slots, chosen)
+                out[at] += _log_chosen(self.weights[k], bias, slots, chosen)
         return out
 
 
@@ -265,7 +328,9 @@ def frequent(counts: DataFrame) -> tuple[Table, dict[bytes, int]]:
     listed = counts.sparkSession.createDataFrame([(bytearray(w),) for w, _ in top], "word binary")
     tails = counts.join(F.broadcast(listed), "word", "left_anti").groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("c").alias("c"))
     endings = [bytes(r.e) for r in tails.orderBy(F.desc("c"), "e").limit(ENDINGS).collect()]
-    return Table([w for w, _ in top[:HEADS]], [rest[i : i + MEMBERS] for i in range(0, len(rest), MEMBERS)], endings), dict(top)
+    spread = counts.count() / (LEAF * (len(endings) + 1))
+    depth = min(DEPTH, max(0, int(np.floor(np.log(max(spread, 1)) / np.log(MEMBERS) + 0.5))))
+    return Table([w for w, _ in top[:HEADS]], [rest[i : i + MEMBERS] for i in range(0, len(rest), MEMBERS)], endings, depth), dict(top)
 
 
 def ending_class(table: Table) -> Column:
@@ -276,10 +341,18 @@ def ending_class(table: Table) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for i, w in enumerate(table.endings, table.other) for x in (w.hex().upper(), i)])[F.substring(F.hex("word"), -4, 4)], rest)
 
 
+def leaf_of(table: Table) -> Column:
+    """The leaf of the column ``word`` if it is not listed, as Table gives it."""
+    at = (ending_class(table) - table.other).cast("bigint")
+    for level in range(table.depth):
+        at = at * MEMBERS + F.expr(f"(crc32(word) div {MEMBERS**level}) % {MEMBERS}")
+    return at
+
+
 def classified(counts: DataFrame, table: Table) -> DataFrame:
-    """``counts`` with the class ``k`` of each word."""
+    """``counts`` with the class ``k`` of each word, and its ``leaf`` (-1 for listed ones)."""
     listed = counts.sparkSession.createDataFrame([(bytearray(w), k) for w, (k, _) in table.members().items()], "word binary, listed int")
-    return counts.join(F.broadcast(listed), "word", "left").withColumn("k", F.coalesce("listed", ending_class(table))).drop("listed")
+    return counts.join(F.broadcast(listed), "word", "left").withColumns({"k": F.coalesce("listed", ending_class(table)), "leaf": F.when(F.col("listed").isNull(), leaf_of(table)).otherwise(-1)}).drop("listed")
 
 
 def train_weights(rows: DataFrame, model: Model, shards: int) -> None:
@@ -289,14 +362,14 @@ def train_weights(rows: DataFrame, model: Model, shards: int) -> None:
     def train(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = Classes(model.table)
-            weights, squares = [w.copy() for w in model.weights], [np.full_like(w, SQUARES[turn]) for w in model.weights]
+            weights, squares = [w.copy() for w in model.weights], [np.full_like(w, (TREE_SQUARES if k == 2 else SQUARES)[turn]) for k, w in enumerate(model.weights)]
             seen = [np.zeros(n) for n in sizes]
             for b in _chunks(batches):
                 memo.forget()
                 kind, member, history, _ = _histories(b, memo)
                 for s in range(0, len(kind), STEP):
                     part = kind[s : s + STEP], member[s : s + STEP], history[:, s : s + STEP]
-                    for k, (at, chosen, slots, bias) in enumerate(model.choices(*part)):
+                    for k, at, chosen, slots, bias in model.choices(*part):
                         if len(at):
                             _gradient_step(chosen, slots, weights[k], squares[k], bias)
                             seen[k] += np.bincount(slots.ravel(), minlength=sizes[k])
@@ -312,11 +385,15 @@ def train_weights(rows: DataFrame, model: Model, shards: int) -> None:
         for b in batches:
             for k, s, n, w in zip(*(b.column(c).to_pylist() for c in names), strict=True):
                 n = np.frombuffer(n, "<f4").astype(np.float64)[:, None]
-                old = sums.setdefault((k, s), [0.0, 0.0])
+                old = sums.setdefault((k, s), [0.0, 0.0, 0.0])
                 old[0] = old[0] + n
+                old[2] = old[2] + n * n
                 old[1] = old[1] + n * np.frombuffer(w, "<f2").astype(np.float64).reshape(len(n), -1)
-        for (k, s), (n, w) in sums.items():
-            mean = np.where(n > 0, w / np.maximum(n, 1), model.weights[k][s : s + BLOCK])
+        for (k, s), (n, w, squared) in sums.items():
+            before = model.weights[k][s : s + BLOCK]
+            shards = n * n / np.maximum(squared, 1)  # as many even ones
+            longer = 1 + (np.sqrt(np.maximum(shards, 1)) - 1) * SELDOM / (SELDOM + squared / np.maximum(n, 1))
+            mean = np.where(n > 0, before + longer * (w / np.maximum(n, 1) - before), before)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s], pa.int32()), pa.array([b""], pa.binary()), pa.array([mean.astype("<f4").tobytes()], pa.binary())], names=names)
 
     names, schema = ["part", "row", "seen", "weights"], "part int, row int, seen binary, weights binary"
@@ -330,31 +407,36 @@ def train_weights(rows: DataFrame, model: Model, shards: int) -> None:
 
 @dataclass
 class Fitted:
-    """A trained model with the counts behind it; by class: whether tokens are told by their share, room for unknown ones, log10 of one over all."""
+    """A trained model with the counts behind it: bitmap of known tokens (None without a tree); by leaf, the last for tokens without one, room for unknown tokens and log10 of one over all; by class, log10 of the shares of known and unknown tokens."""
 
     model: Model
     n_train: int
     types: int
-    shared: np.ndarray
+    bits: np.ndarray | None
     room: np.ndarray
     within: np.ndarray
+    shares: np.ndarray
 
 
 def fit(rows: DataFrame, counts: DataFrame) -> tuple[Fitted, DataFrame]:
-    """The model, and ``counts`` (word, c: of all training tokens) with the class ``k`` of each word."""
+    """The model, and ``counts`` (word, c: of all training tokens) with the class ``k`` and the ``leaf`` of each word."""
     table, listed_counts = frequent(counts)
     counts = classified(counts, table)
-    sized = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("once")).collect()  # one row for each class
-    mass, once, types = np.zeros(table.classes), np.zeros(table.classes), 0
+    sized = counts.groupBy("k", "leaf").agg(F.sum("c").alias("c"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("once")).collect()  # one row for each class or leaf, whose number is bounded
+    mass, once, leaves, types = np.zeros(table.classes), np.zeros(table.classes), np.zeros(table.leaves), 0
     for r in sized:
-        mass[r.k], once[r.k], types = r.c, r.once, types + r.types
-    shared = np.arange(table.classes) >= table.other
-    room = np.where(shared, once + 1, 0.0)
-    within = np.where(shared, -np.log10(np.maximum(mass + room, 1e-300)), 0.0)
-    model = Model.start(table, listed_counts, mass)
+        mass[r.k], once[r.k], types = mass[r.k] + r.c, once[r.k] + r.once, types + r.types
+        if r.leaf >= 0:
+            leaves[r.leaf] = r.c
+    tree, other = table.depth > 0, np.arange(table.classes) >= table.other
+    room = np.r_[np.ones(table.leaves) if tree else once[other] + 1, 0.0]
+    within = np.r_[-np.log10(leaves + room[:-1]), 0.0]
+    whole = np.log10(mass + once + 1)
+    shares = np.where(other, [np.log10(np.maximum(mass, 1e-300)) - whole, np.log10(once + 1) - whole], 0.0) if tree else np.zeros((2, table.classes))
+    model = Model.start(table, listed_counts, mass, leaves)
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     train_weights(rows, model, max(1, size // (SHARD * ROUNDS)))
-    return Fitted(model, int(mass.sum()), types, shared, room, within), counts
+    return Fitted(model, int(mass.sum()), types, known_bits(counts) if tree else None, room, within, shares), counts
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -364,17 +446,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     listing = f"docs array<struct<doc_id:{kind},text_key:bigint,held_out:boolean,n_tokens:bigint>>"
     index = durable(rows.mapInArrow(_index, f"chunk bigint, word binary, n bigint, postings binary, {listing}"), "index")
     fitted, counts = fit(rows, durable(index.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts"))
-    model, table, shared, room, within = fitted.model, fitted.model.table, fitted.shared, fitted.room, fitted.within
+    model, table, bits, room, within, shares = fitted.model, fitted.model.table, fitted.bits, fitted.room, fitted.within, fitted.shares
 
     def class_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Classes(table)
+        memo = Classes(table, bits)
         for b in _chunks(batches):
             memo.forget()
             k, member, history, lengths = _histories(b, memo)
             logs = np.empty(len(k))
             for s in range(0, len(k), SCORED):
                 logs[s : s + SCORED] = model.log_probability(k[s : s + SCORED], member[s : s + SCORED], history[:, s : s + SCORED])
-            total = np.add.reduceat(logs / np.log(10) + within[k], np.r_[0, np.cumsum(lengths)[:-1]])
+            total = np.add.reduceat(logs / np.log(10) + within[table.leaf(k, member)] + shares[(member < 0).astype(int), k], np.r_[0, np.cumsum(lengths)[:-1]])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(total)], names=["doc_id", "text_key", "class_score"])
 
     def token_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,15 +475,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             c = b.column("c").to_numpy(zero_copy_only=False).astype(np.float64)
-            k = b.column("k").to_numpy(zero_copy_only=False)
-            spare = room[k]
+            leaf = b.column("leaf").to_numpy(zero_copy_only=False)
+            if bits is not None:
+                leaf = np.where((c > 0) | has_bit(bits, b.column("h").to_numpy(zero_copy_only=False)), leaf, -1)
+            spare = room[leaf]
             blob = b.column("postings")
             edges = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset :][: b.num_rows + 1]
             sizes = np.diff(edges) // 4
             post = np.frombuffer(blob.buffers()[2], "<u4", count=int(sizes.sum()), offset=int(edges[0]))
             times = (post & 65535).astype(np.float64)
             key = np.repeat(b.column("chunk").to_numpy(zero_copy_only=False), sizes) << 16 | (post >> 16).astype(np.int64)
-            each = (c > 0) * 1.0, np.log10(c + 1), np.where(shared[k], np.log10(np.where(c > 0, c, np.maximum(spare, 1e-300))), 0.0)
+            each = (c > 0) * 1.0, np.log10(c + 1), np.where(leaf >= 0, np.log10(np.maximum(np.where(c > 0, c, spare), 1e-300)), 0.0)
             held.append(summed([(key, *(times * np.repeat(x, sizes) for x in each))]))
             size += len(held[-1][0])
             if size > HELD:
@@ -414,7 +498,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             yield handed(*summed(held))
 
     words = index.where("word is not null").select("chunk", "word", "postings")
-    met = words.join(counts.hint("shuffle_hash"), "word", "left").select("chunk", "postings", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("k", ending_class(table)).alias("k"))
+    met = words.join(counts.hint("shuffle_hash"), "word", "left").select("chunk", "postings", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("leaf", leaf_of(table)).alias("leaf"), F.crc32("word").alias("h"))
     # by chunk first: else every task would hold a sum for nearly every document
     sums = met.repartition("chunk").mapInArrow(token_sums, "chunk bigint, doc bigint, n_known bigint, logs double, shares double")
     sums = sums.groupBy("chunk", "doc").agg(F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("shares").alias("shares"))

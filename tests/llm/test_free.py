@@ -375,8 +375,9 @@ def token_counts(rows):
     return words.groupBy(F.col("w").cast("binary").alias("word")).agg(F.count("*").alias("c"))
 
 
-def test_score_by_a_plain_version(spark, spoken):
-    """The score of every text from the trained weights, token by token, with dictionaries."""
+def test_score_by_a_plain_version(spark, spoken, monkeypatch):
+    """The score of every text from the trained weights, token by token, with dictionaries; a vocabulary that needs no tree."""
+    monkeypatch.setattr(maxent_lm, "LEAF", 1000)
     rows = maxent_lm._rows(spoken)
     counts = token_counts(rows)
     fitted, marked = maxent_lm.fit(rows, counts)
@@ -441,6 +442,82 @@ def test_choices_sum_to_one():
     assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-5)
 
 
+def test_tree_scores_by_a_plain_version(spark, spoken, monkeypatch):
+    """With two levels of branches: the share of known or unknown tokens of a class, the branches one by one, the share of a leaf; no known text's token is taken for unknown."""
+    monkeypatch.setattr(maxent_lm, "LEAF", 0.02)
+    rows = maxent_lm._rows(spoken)
+    fitted, marked = maxent_lm.fit(rows, token_counts(rows))
+    model, table = fitted.model, fitted.model.table
+    assert table.depth == 2 and len(model.weights) == 3
+    c = {bytes(r.word): (r.c, r.k, r.leaf) for r in marked.collect()}
+    members, m = table.members(), maxent_lm.MEMBERS
+    assert all(maxent_lm.has_bit(fitted.bits, zlib.crc32(w)) for w in c)
+
+    def softmax(weights, bias, history, salt):
+        z = np.array(bias, np.float64)
+        for t, h in enumerate(history):
+            z += weights[((h + salt * 0x27D4EB2F & 0xFFFFFFFF) * 0x2C1B3C6D >> 13) % model.slots + model.slots * t]
+        return z - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    mass, once, leaves = Counter(), Counter(), Counter()
+    for n, k, leaf in c.values():
+        mass[k] += n
+        once[k] += n == 1
+        leaves[leaf] += n
+    others = table.classes - table.other
+    texts = {r.doc_id: r.text for r in spoken.collect()}
+    got = {r.doc_id: r.score for r in maxent_lm.score_documents(spoken).collect()}
+    for i in sorted(texts)[:25]:
+        tokens = texts[i].encode().split() + [b"\n"]
+        total = 0.0
+        for at, w in enumerate(tokens):
+            one, two = (zlib.crc32(tokens[at - d]) if at >= d else 0 for d in (1, 2))
+            history = (one, (one * 0x9E3779B1 + two * 0x85EBCA77) & 0xFFFFFFFF, two)
+            k, place = members.get(w) or (table.endings.index(w[-2:]) + table.other if w[-2:] in table.endings else table.classes - 1, 0)
+            total += softmax(model.weights[0], model.class_bias, history, 0)[k]
+            if len(table.heads) <= k < table.other:
+                total += softmax(model.weights[1], model.member_bias[k], history, k + 1)[place]
+            elif k >= table.other:
+                h, o, room = zlib.crc32(w), k - table.other, once[k] + 1
+                if w not in c and not maxent_lm.has_bit(fitted.bits, h):
+                    total += math.log(room / (mass[k] + room))
+                    continue
+                total += math.log(mass[k] / (mass[k] + room))
+                for node, branch in ((o, h % m), (others + o * m + h % m, h // m % m)):
+                    total += softmax(model.weights[2], model.member_bias[table.classes + node], history, table.classes + node + 1)[branch]
+                leaf = (o * m + h % m) * m + h // m % m
+                assert w not in c or c[w][2] == leaf
+                total += math.log((c[w][0] if w in c else 1) / (leaves[leaf] + 1))
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4)
+
+
+def test_many_shards_learn(spoken, monkeypatch):
+    """From 1 and 8 shards: above the base score, and steps of seldom met features are not lost in the mean."""
+    size = spoken.agg(F.sum(F.octet_length("text"))).first()[0]
+
+    def held_out():
+        got = [r for r in maxent_lm.score_documents(spoken.repartition(64)).collect() if r.held_out]
+        return sum(r.score for r in got) / sum(r.n_tokens for r in got), sum(r.base_score for r in got) / sum(r.n_tokens for r in got)
+
+    one, base = held_out()
+    monkeypatch.setattr(maxent_lm, "SHARD", size // (8 * maxent_lm.ROUNDS))
+    many, _ = held_out()
+    monkeypatch.setattr(maxent_lm, "SELDOM", 0.001)
+    mean, _ = held_out()
+    assert one > base + 0.1 and many > base + 0.1 and many > mean
+
+
+def test_tree_choices_sum_to_one():
+    table = maxent_lm.Table([b"a"], [[b"b", b"c"]], [b"ed"], 1)
+    m = maxent_lm.MEMBERS
+    model = maxent_lm.Model.start(table, {b"a": 5, b"b": 3, b"c": 2}, np.array([5.0, 5.0, 4.0, 3.0]), np.arange(2.0 * m))
+    rng = np.random.default_rng(0)
+    model.weights = [rng.normal(size=w.shape) for w in model.weights]
+    history = rng.integers(0, 1 << 32, (3, 50))
+    kinds = [(0, 0), (1, 0), (1, 1), *((k, d) for k in (2, 3) for d in range(m))]
+    assert np.allclose(sum(np.exp(model.log_probability(np.full(50, k), np.full(50, d), history)) for k, d in kinds), 1, atol=1e-5)
+
+
 def test_chunks_hold_few_documents(monkeypatch):
     import pyarrow as pa
 
