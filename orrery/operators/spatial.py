@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
+from orrery.session import durable
 
 
 def containing_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
@@ -39,6 +40,37 @@ def sharing_nodes(records: DataFrame, others: DataFrame, every: bool = False) ->
     return (pairs.where("shared = _n") if every else pairs).drop("_n")
 
 
+def sharing_counts(records: DataFrame) -> DataFrame:
+    """kind (any, all), shared, n: how many ordered pairs of different records (id, one row each; nodes, an array) :func:`sharing_nodes` would list, by the number of nodes they share.
+
+    Pairs that share one node are not listed but counted from the records at each node; those that share more meet at pairs of nodes, of which a record (a bounded list) has few.
+    Records with equal nodes are one record with a weight, so copies make no pairs either.
+    """
+    same = records.where("id is not null").select("id", F.array_sort(F.array_distinct("nodes")).alias("nodes")).groupBy("nodes").agg(F.min("id").alias("id"), F.count("*").alias("m"))
+    known = F.array_compact("nodes")
+    kinds = durable(same.select("id", "m", F.size("nodes").alias("n"), F.size(known).alias("k"), known.alias("nodes")).where("k > 0"), "kinds")
+    # of records with equal nodes, and of those with one node, whoever else is there
+    equal = kinds.select(F.col("k").alias("shared"), (F.col("m") * (F.col("m") - 1)).alias("any"), F.when(F.col("k") == F.col("n"), F.col("m") * (F.col("m") - 1)).otherwise(0).alias("all"), F.lit(True).alias("equal"))
+    each = kinds.select("m", (F.col("n") == 1).alias("single"), F.explode("nodes").alias("node")).groupBy("node").agg(F.sum("m").alias("m"), F.sum(F.when(F.col("single"), F.col("m")).otherwise(0)).alias("single"))
+    met = each.select((F.col("m") * (F.col("m") - 1)).alias("any"), (F.col("single") * (F.col("m") - F.col("single"))).alias("all"))
+    two = F.flatten(F.transform("nodes", lambda p, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    pairs = kinds.where("k > 1").select("id", "m", "n", F.explode(two).alias("e")).select("e.p", "e.q", "id", "m", "n")
+    a, b = (pairs.select("p", "q", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "m", "n")]) for k in ("a", "b"))
+    both = a.join(b, ["p", "q"]).where("id_a < id_b").groupBy("id_a", "id_b", "m_a", "m_b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    # c pairs of nodes are those of s nodes
+    s = F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("int")
+    w = F.col("m_a") * F.col("m_b")
+    more = both.select(s.alias("shared"), (2 * w).alias("any"), (F.when(s == F.col("n_a"), w).otherwise(0) + F.when(s == F.col("n_b"), w).otherwise(0)).alias("all"), F.lit(False).alias("equal"))
+    listed = equal.unionByName(more).groupBy("shared", "equal").agg(F.sum("any").alias("any"), F.sum("all").alias("all"))
+    # of all meetings at nodes, those of pairs that share more
+    one = met.agg(F.sum("any").alias("any"), F.sum("all").alias("all")).select(F.lit(1).alias("shared"), "any", "all")
+    taken = listed.where("not equal or shared > 1").select(F.lit(1).alias("shared"), (-F.col("shared") * F.col("any")).alias("any"), F.lit(0).cast("bigint").alias("all"))
+    alone = listed.where("equal and shared = 1").select("shared", F.lit(0).cast("bigint").alias("any"), "all")
+    rest = listed.where("shared > 1").select("shared", "any", "all")
+    by = one.unionByName(taken).unionByName(alone).unionByName(rest).groupBy("shared").agg(F.sum("any").alias("any"), F.sum("all").alias("all"))
+    return by.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("shared").cast("bigint").alias("shared"), F.col(k).alias("n")) for k in ("any", "all")])).alias("r")).select("r.*").where("n > 0")
+
+
 def nearest_lane(poses: DataFrame, lane_points: DataFrame, reach: float) -> DataFrame:
     """id, lane, dist: the lane with the nearest point within ``reach``; the last lane on ties."""
     cell = lambda c: F.floor(F.col(c) / reach)

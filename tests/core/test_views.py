@@ -92,6 +92,19 @@ def test_off_road_rate(spark):
     assert got == {1: (2, 0.5), 2: (2, 0.5), 3: (1, 0.0)}
 
 
+def test_sharing_counts_equal_the_listed_pairs(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.randint(0, 25) for _ in range(rng.randint(0, 5))]) for i in range(150)] + [(200 + i, [3, 4, 9]) for i in range(7)] + [(300 + i, [5]) for i in range(4)] + [(400, [1, None, 2]), (401, [2, 1]), (402, [None])]
+    df = spark.createDataFrame(rows, "id bigint, nodes array<bigint>").repartition(3)
+    want = set()
+    for kind, every in (("any", False), ("all", True)):
+        want |= {(kind, r.shared, r.n) for r in spatial.sharing_nodes(df, df, every).where("id <> other").groupBy("shared").agg(F.count("*").alias("n")).collect()}
+    assert {tuple(r) for r in spatial.sharing_counts(df).collect()} == want
+    # many copies make no pairs: listed, these would be 1.6 billion
+    copies = spark.range(40000).select("id", F.array(F.lit(1), F.lit(2), F.lit(3)).alias("nodes"))
+    assert {tuple(r) for r in spatial.sharing_counts(copies).collect()} == {("any", 3, 40000 * 39999), ("all", 3, 40000 * 39999)}
+
+
 # --- selection
 
 
