@@ -36,6 +36,7 @@ def running_sums(rows: DataFrame, by: str | list[str], score: str, ties: list[Co
     """``rows`` with the running sums ``sums`` of each group by falling score, then by ``ties``, and ``all_<name>``, the sum over the group; with ``peers`` also ``first_<name>``: the running sum at the first row of equal score.
 
     Scores fall into ranges first: sums over whole ranges and a running sum inside one give the running sums, so a large group is spread over many tasks.
+    Groups are few (classes, thresholds): what is known of them and their ranges is broadcast, never the rows, which may be small on disk.
     """
     keys = _keys(by)
     placed = ranges(rows, by, score)
@@ -43,7 +44,7 @@ def running_sums(rows: DataFrame, by: str | list[str], score: str, ties: list[Co
     whole = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_whole_{n}") for n, c in sums.items()])
     above, group = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     before = whole.select(*keys, "_range", *[F.coalesce(F.sum(f"_whole_{n}").over(above), F.lit(0)).alias(f"_above_{n}") for n in sums], *[F.sum(f"_whole_{n}").over(group).alias(f"all_{n}") for n in sums])
-    out = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(before, [*keys, "_range"])
+    out = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), [*keys, "_range"])
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) + F.col(f"_above_{n}") for n in sums})
     if peers:
         out = out.withColumns({f"first_{n}": F.first(n).over(Window.partitionBy(*keys, "_range", score).orderBy(*ties)) for n in sums})
@@ -63,7 +64,7 @@ def ranges(rows: DataFrame, by: str | list[str], value: str, parts: int = 256) -
     """``rows`` with ``_range``: the part, of equal width between the group's least and largest ``value``, in which a row lies."""
     ends = rows.groupBy(*_keys(by)).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     place = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * parts)
-    return rows.join(ends, _keys(by)).withColumn("_range", F.least(place, F.lit(parts - 1))).drop("_low", "_high")
+    return rows.join(F.broadcast(ends), _keys(by)).withColumn("_range", F.least(place, F.lit(parts - 1))).drop("_low", "_high")
 
 
 def at_recalls(curve: DataFrame, by: str | list[str], value: str | list[str], bins: int = 101) -> DataFrame:

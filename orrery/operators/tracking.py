@@ -132,12 +132,14 @@ def associated(boxes: DataFrame, thresholds: dict[str, list[float]] | None, radi
 
 def score_thresholds(scores: DataFrame, positives: DataFrame, steps: int = STEPS, least_recall: float = LEAST_RECALL) -> DataFrame:
     """class, step, recall, threshold: the score, interpolated between matches, at which each recall is reached; null where it is not. scores: class, score of the matches; positives: class, n."""
-    ranks = running_sums(scores, "class", "score", [], {"k": F.lit(1)})
-    # equal scores make equal thresholds, so their order does not matter
-    place = ranks.select("class", F.col("k").cast("bigint").alias("m"), "score")
+    # a score belongs to a track, so the matches are counted by score before they are ranked; equal scores make equal thresholds, so their order does not matter
+    each = running_sums(scores.groupBy("class", "score").agg(F.count("*").alias("c")), "class", "score", [], {"k": F.col("c")})
     total = scores.groupBy("class").agg(F.count("*").alias("hits"))
     at = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.round(F.lit(least_recall) + k * (1 - least_recall) / (steps - 1), 12))
     wanted = positives.join(total, "class", "left").select("class", "n", "hits", F.posexplode(at).alias("step", "recall")).withColumn("m", F.floor(F.col("recall") * F.col("n") + 1e-9))
+    # the few ranks that are asked for go to the scores: a table of all ranks is small on disk but not in a driver
+    asked = wanted.select("class", F.explode(F.array(F.col("m"), F.col("m") + 1)).alias("m")).distinct()
+    place = each.join(F.broadcast(asked), "class").where((F.col("m") > F.col("k") - F.col("c")) & (F.col("m") <= F.col("k"))).select("class", "m", "score")
     low, high = place.withColumnRenamed("score", "low"), place.select("class", (F.col("m") - 1).alias("m"), F.col("score").alias("high"))
     met = wanted.join(low, ["class", "m"], "left").join(high, ["class", "m"], "left")
     value = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (F.col("recall") * F.col("n") - F.col("m")))

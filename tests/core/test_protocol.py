@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.operators import detection, tracking
 
@@ -261,3 +262,26 @@ def test_filling(spark):
     assert [g[:4] for g in got] == [(0, 1, "car", 1), (0, 2, "bus", 1), (0, 3, "bus", 1), (0, 4, "bus", 1), (1, 1, "car", 1)]
     # the later neighbour has the share of the time that is left until it
     assert [round(g[4], 6) for g in got] == [0.0, 6.0, 3.0, 9.0, 1.0]
+
+
+def test_thresholds_send_no_ranks_to_the_driver(spark, tmp_path):
+    # equal scores are small on disk, so a table of all ranks would be broadcast
+    n = 600_000
+    spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, "car").otherwise("bus").alias("class"), (F.floor(F.col("id") / 20000) / 100).cast("double").alias("score")).write.parquet(str(tmp_path / "s"))
+    positives = spark.createDataFrame([("car", n * 5 // 4), ("bus", n), ("van", 3)], "class string, n bigint")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48m")
+    try:
+        got = tracking.score_thresholds(spark.read.parquet(str(tmp_path / "s")), positives).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    falling = sorted((k // 20000 / 100 for k in range(0, 2 * n, 2)), reverse=True)
+    for r in got:
+        of = {"car": n * 5 // 4, "bus": n, "van": 3}[r["class"]]
+        at, share = divmod(r.recall * of + 1e-9, 1)
+        if r["class"] == "van" or r.recall > n / of + 1e-12:
+            assert r.threshold is None
+        else:
+            low, high = (falling[int(k) - 1] if 0 < k <= n else None for k in (at, at + 1))
+            want = high if low is None else low if high is None else low + (high - low) * share
+            assert r.threshold == pytest.approx(want, abs=1e-6)
+    assert len(got) == 3 * tracking.STEPS
