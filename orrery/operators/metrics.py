@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,26 +187,80 @@ def optimal_match(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
+#: Fixed value: the types that functions on groups return.
+_TYPES = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+
+
+def by_groups(rows: DataFrame, keys: list[str], order: list[str], fn: Callable[[tuple, dict[str, np.ndarray]], list[tuple]], schema: dict[str, str]) -> DataFrame:
+    """The rows (of ``schema``) that ``fn`` makes of the key and the columns, in ``order``, of each group of ``keys``; one group is held at a time.
+
+    Groups follow each other in sorted batches. A grouped pandas function takes longer to make a table of a small group than the group's own work takes.
+    """
+
+    def split(table: pa.Table) -> np.ndarray:
+        new = np.ones(len(table), bool)
+        same = np.ones(max(len(table) - 1, 0), bool)
+        for k in keys:
+            c = table[k].combine_chunks()
+            a, b = c.slice(1), c.slice(0, max(len(c) - 1, 0))
+            same &= pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+        new[1:] = ~same
+        return np.flatnonzero(new)
+
+    def made(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        columns = {c: table[c].to_numpy() for c in table.column_names}
+        names = list(zip(*[table[k].take(pa.array(starts)).to_pylist() for k in keys], strict=True))
+        out: list[tuple] = []
+        for key, a, z in zip(names, starts, [*starts[1:], len(table)], strict=True):
+            out += fn(key, {c: v[a:z] for c, v in columns.items()})
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], _TYPES[t]) for k, t in enumerate(schema.values())], names=list(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            if len(now):
+                # the last group may go on in the next batch
+                starts = split(now)
+                if len(starts) > 1:
+                    yield made(now.slice(0, starts[-1]), starts[:-1])
+                rest = now.slice(starts[-1])
+        if rest is not None and len(rest):
+            yield made(rest, np.array([0]))
+
+    # a fixed number of partitions, as small tables are long work here
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in schema.items()))
+
+
 def track_events(frames: DataFrame, threshold: float) -> DataFrame:
     """scene, frames, tp, fp, fn, switches, distance: CLEAR-MOT counts. A pair of the last frame stays while close; the rest is assigned at least total distance.
 
     frames: scene, t, kind ('gt' or 'pred'), id, x, y. A scene is sequential and one group; scenes run in parallel.
     """
 
-    def scene(pdf: pd.DataFrame) -> pd.DataFrame:
+    def scene(key: tuple, of: dict[str, np.ndarray]) -> list[tuple]:
         last: dict = {}
         tp = fp = fn = switches = 0
         far = 0.0
-        for t, now in pdf.sort_values("t").groupby("t"):
-            gt, pr = (now[now["kind"] == k].sort_values("id") for k in ("gt", "pred"))
-            g = {i: (x, y) for i, x, y in gt[["id", "x", "y"]].itertuples(index=False)}
-            p = {i: (x, y) for i, x, y in pr[["id", "x", "y"]].itertuples(index=False)}
-            close = lambda a, b: float(np.hypot(g[a][0] - p[b][0], g[a][1] - p[b][1]))  # noqa: B023, E731
+        cuts = np.flatnonzero(of["t"][1:] != of["t"][:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        for a0, z0 in zip(starts, [*starts[1:], len(of["t"])], strict=True):
+            t = of["t"][a0]
+            kind, ids, xs, ys = (of[c][a0:z0].tolist() for c in ("kind", "id", "x", "y"))
+            g, p = ({i: (x, y) for k, i, x, y in zip(kind, ids, xs, ys, strict=True) if k == which} for which in ("gt", "pred"))
+            gaps = np.array([*g.values()]).reshape(-1, 1, 2) - np.array([*p.values()]).reshape(1, -1, 2)
+            gap = np.hypot(gaps[..., 0], gaps[..., 1]).tolist()
+            row, column = {a: k for k, a in enumerate(g)}, {b: k for k, b in enumerate(p)}
+            close = lambda a, b: gap[row[a]][column[b]]  # noqa: B023, E731
             pairs: dict = {}
+            taken: set = set()
             for a, (b, _) in sorted(last.items(), key=lambda x: -x[1][1]):  # the newest pairs first, as a truth that comes back may find its partner taken
-                if a in g and b in p and b not in pairs.values() and close(a, b) < threshold:
+                if a in g and b in p and b not in taken and close(a, b) < threshold:
                     pairs[a] = b
-            rest, free = [a for a in g if a not in pairs], [b for b in p if b not in pairs.values()]
+                    taken.add(b)
+            rest, free = [a for a in g if a not in pairs], [b for b in p if b not in taken]
             if rest and free:
                 cost = np.array([[min(close(a, b), 1e3 * threshold) for b in free] for a in rest])
                 flip = len(rest) > len(free)
@@ -214,9 +272,10 @@ def track_events(frames: DataFrame, threshold: float) -> DataFrame:
             tp, fp, fn = tp + len(pairs), fp + len(p) - len(pairs), fn + len(g) - len(pairs)
             far += sum(close(a, b) for a, b in pairs.items())
             last |= {a: (b, t) for a, b in pairs.items()}
-        return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "frames": [pdf["t"].nunique()], "tp": [tp], "fp": [fp], "fn": [fn], "switches": [switches], "distance": [far]})
+        return [(*key, len(starts), tp, fp, fn, switches, far)]
 
-    return frames.groupBy("scene").applyInPandas(scene, "scene bigint, frames bigint, tp bigint, fp bigint, fn bigint, switches bigint, distance double")
+    counts = dict.fromkeys(("scene", "frames", "tp", "fp", "fn", "switches"), "bigint")
+    return by_groups(frames.select("scene", "t", "kind", "id", "x", "y").where("t is not null"), ["scene"], ["t", "id"], scene, counts | {"distance": "double"})
 
 
 def mot_summary(events: DataFrame) -> DataFrame:

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.session import durable
 
-from .metrics import optimal_match, running_sums
+from .metrics import by_groups, optimal_match, running_sums
 
 #: Recalls, distance of a match, seconds of a frame, and the worst values, which stand for what is not reached.
 STEPS, LEAST_RECALL, RADIUS, SECONDS = 40, 0.1, 2.0, 0.5
@@ -48,15 +47,16 @@ def filled_tracks(boxes: DataFrame, frames: DataFrame) -> DataFrame:
     return both.select("scene", "i", F.col("r.class").alias("class"), "track", mixed("x"), mixed("y"), F.col("r.score").alias("score"))
 
 
-def _frames(pdf: pd.DataFrame) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
-    """Per frame, in order: ids of truths, ids and scores of guesses, and all distances between them."""
-    rows = pdf.sort_values(["i", "track"])
-    gt, track, score, at = rows["gt"].to_numpy(bool), rows["track"].to_numpy(), rows["score"].to_numpy(float), rows[["x", "y"]].to_numpy(float)
-    cuts = np.flatnonzero(np.diff(rows["i"].to_numpy())) + 1
-    for own in np.split(np.arange(len(rows)), cuts):
-        a, b = own[gt[own]], own[~gt[own]]
+def _frames(of: dict[str, np.ndarray]) -> Iterator[tuple[list, list, list, np.ndarray, list]]:
+    """Per frame, in order: ids of truths, ids and scores of guesses, and all distances between them, also as lists; ``of``: the columns by i and track."""
+    gt, track, score, at = of["gt"].astype(bool), of["track"], of["score"].astype(float), np.stack([of["x"], of["y"]], axis=1).astype(float)
+    cuts = np.flatnonzero(np.diff(of["i"])) + 1
+    for a0, z0 in zip([0, *cuts], [*cuts, len(gt)], strict=True):
+        own = np.arange(a0, z0)
+        a, b = own[gt[a0:z0]], own[~gt[a0:z0]]
         gap = at[a][:, None, :] - at[b][None, :, :]
-        yield track[a].tolist(), track[b].tolist(), score[b], np.hypot(gap[..., 0], gap[..., 1])
+        far = np.hypot(gap[..., 0], gap[..., 1])
+        yield track[a].tolist(), track[b].tolist(), score[b].tolist(), far, far.tolist()
 
 
 def _assigned(far: np.ndarray, radius: float) -> list[tuple[int, int]]:
@@ -74,7 +74,7 @@ def _assigned(far: np.ndarray, radius: float) -> list[tuple[int, int]]:
 def _followed(frames: list[tuple], kept: set, radius: float) -> tuple[dict, dict, int, int, list[float]]:
     """States and distances of the true tracks, false guesses, frames and scores of plain matches, with the guessed tracks ``kept``."""
     last, states, distance, false, seen, scores = {}, {}, {}, 0, 0, []
-    for gt, pr, score, far in frames:
+    for gt, pr, score, matrix, far in frames:
         here = [j for j, p in enumerate(pr) if p in kept]
         if not len(gt) and not here:
             continue
@@ -83,12 +83,12 @@ def _followed(frames: list[tuple], kept: set, radius: float) -> tuple[dict, dict
         pairs, used = {}, set()
         for i, g in enumerate(gt):
             j = place.get(last.get(g))
-            if j is not None and j not in used and far[i, j] < radius:
+            if j is not None and j not in used and far[i][j] < radius:
                 pairs[i] = (j, 1)
                 used.add(j)
         rest, free = [i for i in range(len(gt)) if i not in pairs], [j for j in here if j not in used]
-        if rest and free:
-            for a, b in _assigned(far[np.ix_(rest, free)], radius):
+        if any(far[i][j] < radius for i in rest for j in free):
+            for a, b in _assigned(matrix[np.ix_(rest, free)], radius):
                 i, j = rest[a], free[b]
                 pairs[i] = (j, 2 if gt[i] in last and last[gt[i]] != pr[j] else 1)
         for i, g in enumerate(gt):
@@ -97,9 +97,9 @@ def _followed(frames: list[tuple], kept: set, radius: float) -> tuple[dict, dict
             distance.setdefault(g, 0.0)
             if j is not None:
                 last[g] = pr[j]
-                distance[g] += float(far[i, j])
+                distance[g] += far[i][j]
                 if state == 1:
-                    scores.append(float(score[j]))
+                    scores.append(score[j])
         false += len(here) - len(pairs)
     return states, distance, false, seen, scores
 
@@ -112,10 +112,11 @@ def associated(boxes: DataFrame, thresholds: dict[str, list[float]] | None, radi
     A score belongs to a track, so thresholds that keep the same tracks of a scene are followed once.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, of: dict[str, np.ndarray]) -> list[tuple]:
         scene, klass = key
-        score_of = dict(pdf.loc[~pdf["gt"], ["track", "score"]].itertuples(index=False, name=None))
-        frames, done, out = list(_frames(pdf)), {}, []
+        guessed = ~of["gt"].astype(bool)
+        score_of = dict(zip(of["track"][guessed].tolist(), of["score"][guessed].tolist(), strict=True))
+        frames, done, out = list(_frames(of)), {}, []
         for threshold in [None] if thresholds is None else thresholds.get(klass, []):
             kept = frozenset(t for t, s in score_of.items() if threshold is None or s >= threshold)
             if kept not in done:
@@ -123,11 +124,10 @@ def associated(boxes: DataFrame, thresholds: dict[str, list[float]] | None, radi
             states, distance, false, seen, scores = done[kept]
             out += [(scene, klass, threshold, g, s, distance[g], None, None, None) for g, s in states.items()]
             out.append((scene, klass, threshold, None, None, None, false, seen, scores if threshold is None else []))
-        frame = pd.DataFrame(out, columns=["scene", "class", "threshold", "gt", "states", "distance", "false", "frames", "scores"])
-        return frame.astype({"gt": "Int64", "false": "Int64", "frames": "Int64"})
+        return out
 
-    schema = "scene bigint, class string, threshold double, gt bigint, states array<int>, distance double, false bigint, frames bigint, scores array<double>"
-    return boxes.groupBy("scene", "class").applyInPandas(run, schema)
+    schema = {"scene": "bigint", "class": "string", "threshold": "double", "gt": "bigint", "states": "array<int>", "distance": "double", "false": "bigint", "frames": "bigint", "scores": "array<double>"}
+    return by_groups(boxes.select("scene", "class", "i", "gt", "track", F.col("x").cast("double"), F.col("y").cast("double"), F.col("score").cast("double")), ["scene", "class"], ["i", "track"], run, schema)
 
 
 def score_thresholds(scores: DataFrame, positives: DataFrame, steps: int = STEPS, least_recall: float = LEAST_RECALL) -> DataFrame:

@@ -299,3 +299,16 @@ def test_text_questions(spark):
     texts = ["How many things are to the front left of the moving car?", "Is the bus the same status as the truck?", "What status is the thing to the back of the car?", "How many objects are there?"]
     q = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "frame int, qid int, text string")
     assert [r.answer for r in questions.answered(q, nodes, edges).orderBy("qid").collect()] == ["1", "no", "parked", "3"]
+
+
+def test_groups_go_on_over_batches(spark):
+    from orrery.operators import metrics
+
+    rows = spark.range(5000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 2 == 0, "x").alias("b"), (F.col("id") * 7 % 5000).alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = metrics.by_groups(rows, ["a", "b"], ["v"], lambda key, of: [(*key, len(of["v"]), bool((of["v"][1:] > of["v"][:-1]).all()) * 1, int(of["v"].sum()))], {"a": "bigint", "b": "string", "n": "bigint", "sorted": "bigint", "sum": "bigint"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.lit(1).cast("bigint").alias("sorted"), F.sum("v").alias("sum")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 6
