@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
@@ -14,11 +14,19 @@ def containing_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> D
 
     points: id, x, y. polygons: poly, ring array<struct<x,y>>. A polygon stands in every cell that its bounding box meets.
     """
+    met = points.withColumns(_cells(cell)).join(_boxes(polygons, cell), ["gx", "gy"])
+    return met.where(G.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("id").agg(F.min("poly").alias("poly"))
+
+
+def _cells(cell: float) -> dict[str, Column]:
+    return {k: F.floor(F.col(c) / cell).cast("int") for k, c in (("gx", "x"), ("gy", "y"))}
+
+
+def _boxes(polygons: DataFrame, cell: float) -> DataFrame:
+    """polygons with gx, gy: a row for each cell that the bounding box of one meets."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     c = lambda v: F.floor(v / cell).cast("int")
-    boxes = polygons.withColumn("gx", F.explode(F.sequence(c(F.array_min(xs)), c(F.array_max(xs))))).withColumn("gy", F.explode(F.sequence(c(F.array_min(ys)), c(F.array_max(ys)))))
-    met = points.withColumns({"gx": c(F.col("x")), "gy": c(F.col("y"))}).join(boxes, ["gx", "gy"])
-    return met.where(G.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("id").agg(F.min("poly").alias("poly"))
+    return polygons.withColumn("gx", F.explode(F.sequence(c(F.array_min(xs)), c(F.array_max(xs))))).withColumn("gy", F.explode(F.sequence(c(F.array_min(ys)), c(F.array_max(ys)))))
 
 
 def records_in_patch(boxes: DataFrame, patch: tuple[float, float, float, float], within: bool) -> DataFrame:
@@ -137,9 +145,11 @@ def off_road_rate(modes: DataFrame, polygons: DataFrame, size: float, between: i
     steps = modes.select("id", "mode", "t", "x", "y", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
     at = steps.withColumn("j", F.explode(F.when(F.col("nx").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(between - 1)))))
     share = F.col("j") / between
-    spots = at.select("mode", F.struct("id", "mode", "t", "j").alias("id"), (F.col("x") + (F.coalesce("nx", "x") - F.col("x")) * share).alias("x"), (F.col("y") + (F.coalesce("ny", "y") - F.col("y")) * share).alias("y"))
-    held = containing_polygon(spots.select("id", "x", "y"), polygons, size).select("id").distinct().withColumn("on", F.lit(True))
-    told = spots.join(held, "id", "left").groupBy(F.col("id.id").alias("id"), "mode").agg(F.bool_or(F.col("on").isNull()).alias("left"))
+    spots = at.select("id", "mode", (F.col("x") + (F.coalesce("nx", "x") - F.col("x")) * share).alias("x"), (F.col("y") + (F.coalesce("ny", "y") - F.col("y")) * share).alias("y"))
+    # one row for each cell, so that places meet their polygons where they stand
+    rings = _boxes(polygons, size).groupBy("gx", "gy").agg(F.collect_list("ring").alias("_rings"))
+    on = F.coalesce(F.exists("_rings", lambda r: G.point_in_ring(F.col("x"), F.col("y"), r)), F.lit(False))
+    told = spots.withColumns(_cells(size)).join(rings, ["gx", "gy"], "left").groupBy("id", "mode").agg(F.bool_or(~on).alias("left"))
     return told.groupBy("id").agg(F.count("*").alias("modes"), F.avg(F.col("left").cast("double")).alias("rate"))
 
 

@@ -90,6 +90,9 @@ def test_off_road_rate(spark):
     df = spark.createDataFrame([(i, m, t, x, y) for (i, m), ps in modes.items() for t, (x, y) in enumerate(ps)], "id int, mode int, t int, x double, y double")
     got = {r.id: (r.modes, r.rate) for r in spatial.off_road_rate(df, polygons, 4.0).collect()}
     assert got == {1: (2, 0.5), 2: (2, 0.5), 3: (1, 0.0)}
+    # places between points are looked up where they arise: nothing is dealt out by place
+    plan = spatial.off_road_rate(df, polygons, 4.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 3
 
 
 def test_sharing_counts_equal_the_listed_pairs(spark):
