@@ -236,7 +236,10 @@ def clipped_hull(points: Column, width: float, height: float) -> Column:
     """
     spot = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
     on = lambda p: (p["u"] >= 0) & (p["u"] <= width) & (p["v"] >= 0) & (p["v"] <= height)
-    pairs = F.flatten(F.transform(points, lambda p, i: F.transform(F.slice(points, i + 2, F.size(points)), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    # a value with a name is computed once, as the only element of an array
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    later = lambda ps, k: F.slice(ps, k + 2, F.size(ps))
+    joined = lambda ps: F.flatten(F.transform(ps, lambda p, i: F.transform(later(ps, i), lambda q, j: F.struct(p.alias("p"), q.alias("q"), (i + j + 1).alias("k")))))
 
     def crossings(s: Column) -> Column:
         p, q = s["p"], s["q"]
@@ -256,11 +259,17 @@ def clipped_hull(points: Column, width: float, height: float) -> Column:
         return (side(p, q, r) != 0) & ((F.least(*turns) >= 0) | (F.greatest(*turns) <= 0))
 
     corners = F.array(*[spot(F.lit(u), F.lit(v)) for u in (0.0, width) for v in (0.0, height)])
-    held = F.filter(corners, lambda c: F.exists(pairs, lambda s: F.exists(points, lambda r: inside(c, s["p"], s["q"], r))))
-    spots = F.concat(F.transform(F.filter(points, on), lambda p: spot(p["u"], p["v"])), F.filter(F.flatten(F.transform(pairs, crossings)), lambda x: x.isNotNull()), held)
-    us, vs = F.transform(spots, lambda x: x["u"]), F.transform(spots, lambda x: x["v"])
-    ends = [F.array_min(us).alias("u0"), F.array_min(vs).alias("v0"), F.array_max(us).alias("u1"), F.array_max(vs).alias("v1")]
-    return F.when(F.size(spots) > 0, F.struct(*ends))
+
+    def seen(ps: Column, pairs: Column) -> Column:
+        # each triangle once
+        held = F.filter(corners, lambda c: F.exists(pairs, lambda s: F.exists(later(ps, s["k"]), lambda r: inside(c, s["p"], s["q"], r))))
+        return F.concat(F.transform(F.filter(ps, on), lambda p: spot(p["u"], p["v"])), F.filter(F.flatten(F.transform(pairs, crossings)), lambda x: x.isNotNull()), held)
+
+    def extent(spots: Column) -> Column:
+        us, vs = F.transform(spots, lambda x: x["u"]), F.transform(spots, lambda x: x["v"])
+        return F.when(F.size(spots) > 0, F.struct(F.array_min(us).alias("u0"), F.array_min(vs).alias("v0"), F.array_max(us).alias("u1"), F.array_max(vs).alias("v1")))
+
+    return once(points, lambda ps: once(once(joined(ps), lambda pairs: seen(ps, pairs)), extent))
 
 
 def destination(lat: Column, lon: Column, bearing_deg: Column, metres: Column, radius: float = 6_378_137.0) -> tuple[Column, Column]:

@@ -46,6 +46,8 @@ def test_clipped_hull(spark):
     for k, points in rows:
         want = clip(hull(points), 100.0, 50.0) if points else None
         assert got[k] is None if want is None else tuple(got[k]) == pytest.approx(want, abs=1e-9), k
+    # points are paired once, and each pair meets the later points
+    assert df.select(G.clipped_hull(F.col("p"), 100.0, 50.0).alias("b"))._jdf.queryExecution().optimizedPlan().toString().count("slice(") == 2
     # the corner of the hull outside does not widen the extent
     assert tuple(got[900]) == pytest.approx((0, 0, 10, 10))
 
