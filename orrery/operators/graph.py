@@ -26,11 +26,17 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over all shuffle partitions: a number that is given is never lowered to fit the bytes, which tell nothing of the pairs that a row will make."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def build_edges(nodes: DataFrame, reach: float = 100.0, directed: bool = True) -> DataFrame:
     """All pairs of nodes of a frame within ``reach``: an equi-join on the frame, so work grows with the number of frames.
 
     nodes: frame, id, type, status, x, y, yaw, vx, vy. Edges: frame, src, dst, both types and statuses, dx, dy, dist, angle (in the source's frame), dir4, dir6, dir8, level.
     """
+    nodes = spread(nodes, "frame")
     a, b = prefixed(nodes, "a_"), prefixed(nodes, "b_")
     order = F.col("a_id") != F.col("b_id") if directed else F.col("a_id") < F.col("b_id")
     met = a.join(b, (F.col("a_frame") == F.col("b_frame")) & order)

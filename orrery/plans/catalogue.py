@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators import kinds
+from orrery.operators import graph, kinds
+from orrery.session import durable
 
-from .scene import _FRAMES, ASK, EDGES, edges_of, nodes_of
+from .scene import _FRAMES, ASK, EDGES, REACH, nodes_of
 
 
 def _of(type: str | None = None, status: str | None = None, *seen: tuple[str, str]) -> str:
@@ -141,7 +142,8 @@ MEANINGS = {
 def _family(name: str):
     def ask(spark, sf_dir) -> DataFrame:
         """kind, frame, answer for every kind of the family."""
-        n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
+        n = durable(graph.spread(nodes_of(spark, sf_dir).drop("vec"), "frame"), "nodes")
+        e = durable(graph.build_edges(n, REACH).select("frame", "src", "dst", "dir6", "dist"), "edges")
         each = [kinds.answer(k, n, e, ASK).select(F.lit(k).alias("kind"), "frame", "answer") for k in MEANINGS[name]]
         return reduce(DataFrame.unionByName, each)
 
