@@ -8,7 +8,8 @@ list spreads over many files. A posting adds weight x impact to its document's s
    and with less than t/m for each list that did not give the document they are upper bounds; documents whose upper bound is below the k-th best lower bound are out;
 3. for those that remain, all their postings are looked up and summed exactly.
 
-Step 2 gathers what the lists give by document (one shuffle of light rows); a task sums one document after another and keeps candidates only. Queries are taken in
+Step 2 gathers what the lists give by document (a shuffle of light rows), twice: a task sums one document after another and gives its k best lower bounds, then, with the
+k-th best of all tasks, candidates only. Queries are taken in
 blocks of ``BLOCK`` (item, term) rows, so what goes to the tasks is bounded; the index is built once for all of them. Postings of terms that no query uses are mostly
 left out by a bitmap of query terms (16 bits a term, 32 MB at most); what it lets through in error makes lists that nobody reads.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -196,37 +197,43 @@ class _Lists:
         floor[item[kth]] = np.maximum(floor[item[kth]], low[kth])
         return floor
 
-    def candidates(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor, held, size, rest = self.floor, [], 0, None
-        empty = (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
-
-        def pruned() -> tuple[np.ndarray, ...]:
-            nonlocal floor
-            item, row, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
-            floor = self.raised(item, low, floor)
-            stay = high >= floor[item]
-            return item[stay], row[stay], low[stay], high[stay]
-
-        def out() -> pa.RecordBatch:
-            item, row, low, high = held[0]
-            return pa.RecordBatch.from_arrays([pa.array(self.items[item]), pa.array(row), pa.array(low), pa.array(high)], names=["item", "row", "low", "high"])
-
+    def _documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """The sums of whole documents of sorted postings, batch by batch."""
+        rest, empty = None, (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
         for b in _with_end(batches):
             new = empty if b is None else tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("term", "row", "impact"))
             term, row, impact = new if rest is None else (np.concatenate(x) for x in zip(rest, new, strict=True))
             # the last document may go on in the next batch
             cut = len(row) if b is None or not len(row) else int(np.searchsorted(row, row[-1]))
             rest = term[cut:], row[cut:], impact[cut:]
-            found = self.sums(term[:cut], row[:cut], impact[:cut])
-            stay = found[3] >= floor[found[0]]
-            held.append(tuple(x[stay] for x in found))
+            yield self.sums(term[:cut], row[:cut], impact[:cut])
+
+    def best(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best lower bounds of each item in this task, of those that reach its bound."""
+        floor, held, size = self.floor, [(np.empty(0, np.int64),) * 2], 0
+
+        def pruned() -> tuple[np.ndarray, ...]:
+            item, low = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((-low, item))
+            item, low = item[order], low[order]
+            top = np.arange(len(item)) - np.searchsorted(item, np.arange(len(floor)))[item] < self.k
+            return item[top], low[top]
+
+        for item, _, low, _ in self._documents(batches):
+            stay = low >= floor[item]
+            held.append((item[stay], low[stay]))
             size += int(stay.sum())
-            if size > HELD or b is None:
-                held = [pruned()]
-                size = len(held[0][0])
-                if size > HELD // 2 or b is None:
-                    yield out()
-                    held, size = [], 0
+            if size > HELD:
+                floor = self.raised(*(np.concatenate(x) for x in zip(*held, strict=True)), floor)
+                held, size = [pruned()], 0
+        item, low = pruned()
+        yield pa.RecordBatch.from_arrays([pa.array(self.items[item]), pa.array(low)], names=["item", "low"])
+
+    def candidates(self, floor: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents whose upper bound reaches the floor of their item."""
+        for item, row, _, high in self._documents(batches):
+            stay = high >= floor[item]
+            yield pa.RecordBatch.from_arrays([pa.array(self.items[item[stay]]), pa.array(row[stay])], names=["item", "row"])
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -256,10 +263,11 @@ def top_documents(index: Index, terms: DataFrame, k: int = 20) -> DataFrame:
         # as many rows as the block has terms
         floors = F.broadcast(terms.sparkSession.createDataFrame(sums.terms, "term string, place int, floor bigint"))
         given = index.postings.join(floors, "term").where("impact >= floor").select(F.col("place").alias("term"), "row", "impact")
-        met = given.repartition("row").sortWithinPartitions("row").mapInArrow(sums.candidates, "item bigint, row bigint, low bigint, high bigint")
-        met = durable(met, "met")
-        second = _kth(met, k, "low")
-        left = durable(met.join(second, "item", "left").where("high >= coalesce(kth, 0)").select("item", "row"), "candidates")
+        # the lists are summed twice: once for the k-th best lower bound of all tasks, which one task alone knows badly, and once for what reaches it
+        by_row = given.repartition("row").sortWithinPartitions("row")
+        second = dict(_kth(by_row.mapInArrow(sums.best, "item bigint, low bigint"), k, "low").collect())  # one row an item
+        floor = np.maximum(sums.floor, np.array([second.get(i, 0) for i in sums.items.tolist()], np.int64))
+        left = durable(by_row.mapInArrow(partial(sums.candidates, floor), "item bigint, row bigint"), "candidates")
         exact = index.postings.join(left, "row").join(block, ["item", "term"]).groupBy("item", "row").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
         found.append(durable(exact, "scores"))
     if not found:

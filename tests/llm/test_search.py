@@ -68,3 +68,28 @@ def test_odd_tables(spark):
     for d, i in (([], items), (docs, []), ([(1, None)], items), ([], [])):
         got = ls.search(*frames(spark, d, i))
         assert got.columns == ["item_id", "rank", "doc_id", "score"] and got.collect() == []
+
+
+def test_candidates_do_not_grow_with_tasks(spark, tables, monkeypatch):
+    counts = []
+
+    def counted(df, name, plain=ls.durable):
+        out = plain(df, name)
+        if name in ("met", "candidates"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ls, "durable", counted)
+    shuffled, most = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            counts.clear()
+            got = ls.search(*frames(spark, *tables), k=3)
+            assert sorted(map(tuple, got.collect())) == plain(*tables, 3)
+            most.append(max(counts))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most[0] == most[1]
