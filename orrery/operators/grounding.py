@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as G
 from orrery.functions import text as T
+from orrery.session import durable
 
 from .graph import edge_key
 from .questions import DIRECTIONS, _fits, parsed
@@ -23,15 +24,16 @@ def grounded(questions: DataFrame, nodes: DataFrame, edges: DataFrame, own: Data
     partial (an object or status that no target has: all targets stand); grounded (a comparison with targets in a direction that it names); unparsed, without
     an anchor or rule. A right no stands on the anchor alone.
     """
-    low = F.lower(T.normalised_question(F.col("text")))
+    questions = questions.withColumn("_normal", F.lower(T.normalised_question(F.col("text"))))
+    low = F.col("_normal")
     ways = "|".join(DIRECTIONS)
     mine = F.nullif(F.regexp_extract(low, rf"to the ({ways}) of me\b", 1), F.lit(""))
     q = parsed(questions).withColumns({"of_me": mine.isNotNull() & F.col("direction").isNull(), "way": F.coalesce("direction", mine), "ways": F.array_distinct(F.regexp_extract_all(low, F.lit(rf"to the ({ways}) of"), 1)), "told": F.lower(F.trim("answer"))})
-    q = q.select("frame", "qid", "family", "told", "type", "status", "ref_type", "ref_status", "of_me", "way", "ways")
+    q = durable(q.select("frame", "qid", "family", "told", "type", "status", "ref_type", "ref_status", "of_me", "way", "ways"), "parsed")  # texts are read once
     kind = nodes.select("frame", "id", F.col("type").alias("kind"), F.col("status").alias("state"))
     anchors = q.where("of_me").join(own.select("frame", F.col("id").alias("anchor")), "frame").select("frame", "qid", "anchor")
     named = q.where("way is not null and not of_me and ref_type is not null").join(kind, "frame").where(_fits(F.col("kind"), F.col("state"), F.col("ref_type"), F.col("ref_status")))
-    q = q.join(anchors.unionByName(named.groupBy("frame", "qid").agg(F.min("id").alias("anchor"))), ["frame", "qid"], "left")
+    q = durable(q.join(anchors.unionByName(named.groupBy("frame", "qid").agg(F.min("id").alias("anchor"))), ["frame", "qid"], "left"), "anchored")
 
     seen = edges.select("frame", F.col("src").alias("anchor"), F.col("dst").alias("id"), F.replace("dir6", F.lit("_"), F.lit(" ")).alias("seen"), F.col("dst_type").alias("kind"), F.col("dst_status").alias("state"))
     compared = F.col("family") == "comparison"

@@ -22,19 +22,22 @@ def parsed(questions: DataFrame) -> DataFrame:
 
     The first noun is what is asked for, in questions "There is a ...; what ... of it" the one after the semicolon.
     """
-    q = F.lower(T.normalised_question(F.col("text")))
+    # columns of their own, so that each is computed once and not at each place that names it
+    told = questions.withColumn("_told", T.normalised_question(F.col("text"))).withColumn("_low", F.lower("_told"))
+    q = F.col("_low")
     part = lambda p, k, of=q: F.nullif(F.regexp_extract(of, p, k), F.lit(""))
     # what the questions says before a comparison and after it
-    left = F.substring_index(q, "same status as", 1)
+    told = told.withColumn("_left", F.substring_index(q, "same status as", 1))
+    left = F.col("_left")
     right = F.when(q.contains("same status as"), F.substring_index(q, "same status as", -1))
     second = rf"{_TO}.* and {_TO}"
     both = left.rlike(second)
-    return questions.withColumns({
-        "family": T.question_family(T.normalised_question(F.col("text"))),
+    return told.withColumns({
+        "family": T.question_family(F.col("_told")),
         "status": part(_NOUN, 1, left), "type": part(_NOUN, 2, left), "direction": part(_TO, 1, left), "ref_status": part(_TO, 2, left), "ref_type": part(_TO, 3, left),
         "direction2": F.when(both, part(second, 4, left)), "ref2_status": F.when(both, part(second, 5, left)), "ref2_type": F.when(both, part(second, 6, left)),
         "same_status": part(_NOUN, 1, right), "same_type": part(_NOUN, 2, right),
-    })
+    }).drop("_told", "_low", "_left")
 
 
 def _fits(kind: Column, status: Column, asked_kind: Column, asked_status: Column) -> Column:

@@ -21,3 +21,8 @@ def test_edges_use_all_partitions(spark):
 def test_kinds_read_one_graph(spark):
     q = plans.QUERIES["kinds_existence"](spark, SF)
     assert "embedding" not in q._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_questions_are_parsed_once(spark):
+    for name in ("grounded_questions", "grounded_coverage"):
+        assert "regexp_extract" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
