@@ -54,9 +54,9 @@ TEMPLATES, STEP, RATE, SQUARES, TREE_SQUARES = 3, 16384, 0.15, (1e-2, 0.3), (3.0
 #: Synchronous rounds, least bytes of text in a shard of one round, tokens scored at a time.
 ROUNDS, SHARD, SCORED = len(SQUARES), 48 << 20, 4096
 #: Bytes of text in a chunk at most (a longer document is a chunk of its own), documents in a chunk, bytes of text trained or scored at a time.
-CHUNK, CHUNK_DOCS, AT_ONCE = 20 << 20, 1 << 16, 6 << 20
+CHUNK, CHUNK_DOCS, AT_ONCE = 20 << 20, 1 << 16, 2 << 20
 #: Tokens that a task remembers, sums of documents that it holds.
-REMEMBERED, HELD = 400_000, 2_000_000
+REMEMBERED, HELD = 150_000, 2_000_000
 #: Rows of a block of weights.
 BLOCK = 256
 END = b"\n"  # no word, so it can stand for the end of a text
@@ -229,7 +229,14 @@ def _histories(b: pa.RecordBatch, memo: Classes) -> tuple[np.ndarray, np.ndarray
     one[first] = 0
     two[first] = 0
     two[(first + 1)[lengths > 1]] = 0
-    return kind, member, np.stack([one, (one * 0x9E3779B1 + two * 0x85EBCA77) & 0xFFFFFFFF, two]), lengths
+    history = np.empty((TEMPLATES, len(hashed)), np.uint32)  # hashes have 32 bits
+    history[0], history[2] = one, two
+    one *= 0x9E3779B1
+    two *= 0x85EBCA77
+    one += two
+    one &= 0xFFFFFFFF
+    history[1] = one
+    return kind, member, history, lengths
 
 
 def _slots(history: np.ndarray, slots: int, salt: np.ndarray | int = 0) -> np.ndarray:

@@ -531,3 +531,25 @@ def test_no_documents(nothing, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for out in (best_fit_packing.pack_documents(nothing), simhash_anchors.near_duplicates(nothing), simhash_anchors.near_dedup(nothing), quality_bayes.quality_verdicts(nothing, labels), quality_bayes.quality_filter(nothing, labels), maxent_lm.score_documents(nothing)):
         assert out.count() == 0
+
+
+def test_training_memory():
+    """Reading texts for a gradient step holds a few MB of them, and few tokens are remembered."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from orrery.llm import maxent_lm
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(300_000)}" for _ in range(400)).encode() for _ in range(4500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    memo = maxent_lm.Classes(maxent_lm.Table([b"w1"], [], [b"00"], 0))
+    tracemalloc.start()
+    for b in maxent_lm._chunks(iter([batch])):
+        memo.forget()
+        maxent_lm._histories(b, memo)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6, peak  # 62.6 MB, 120.3 MB with 6 MB of text at a time and 400,000 tokens
