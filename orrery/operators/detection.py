@@ -88,7 +88,7 @@ def class_metrics(truth: DataFrame, guess: DataFrame, classes: tuple[str, ...],
 
 def detection_report(truth: DataFrame, guess: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     """The rows of :func:`class_metrics` and one without class: mean AP, mean errors over the classes that have them, and ``score``, (5 mAP + the sum of what each error leaves of one) / 10."""
-    by = class_metrics(truth, guess, classes)
+    by = durable(class_metrics(truth, guess, classes), "classes")  # read twice: as it is, and for the means
     means = by.agg(F.avg("ap").alias("ap"), *[F.avg(c).alias(c) for c in by.columns if c.startswith("ap_")], *[F.avg(e).alias(e) for e in ERRORS])
     score = metrics.detection_score(F.col("ap"), *[F.col(e) for e in ERRORS])
     whole = means.select(F.lit(None).cast("string").alias("class"), *[F.round(c, 4).alias(c) for c in by.columns[1:]], F.round(score, 4).alias("score"))

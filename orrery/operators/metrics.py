@@ -71,16 +71,23 @@ def ranges(rows: DataFrame, by: str | list[str], value: str, parts: int = 256) -
     return rows.join(F.broadcast(ends), _keys(by)).withColumn("_range", F.least(place, F.lit(parts - 1))).drop("_low", "_high")
 
 
+def _asked(wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tp: the numbers of hits m and m + 1 of each row of ``wanted``, which are a few for each group."""
+    return wanted.select(*keys, F.explode(F.array("m", F.col("m") + 1)).alias("tp")).distinct()
+
+
 def at_recalls(curve: DataFrame, by: str | list[str], value: str | list[str], bins: int = 101) -> DataFrame:
     """by, bin, m, values: each value linearly interpolated at evenly many recalls; beyond the largest recall nothing (zero to the reader), before the first one its value.
 
     A recall lies between the m-th hit and the next. Of the points that share m hits the last bounds the span above it and the first the span below it, so two joins on the number of hits replace windows over the curve.
     """
     keys, values = _keys(by), _keys(value)
-    points = curve.where("positives > 0").groupBy(*keys, "tp").agg(F.min_by(F.struct(*values), "k").alias("_first"), F.max_by(F.struct(*values), "k").alias("_last"), F.first("positives").alias("_n"))
-    groups = points.groupBy(*keys).agg(F.max("tp").alias("_hits"), F.first("_n").alias("_n"))
     steps = bins - 1
+    counted = curve.where("positives > 0")
+    groups = counted.groupBy(*keys).agg(F.max("tp").alias("_hits"), F.first("positives").alias("_n"))
     wanted = groups.select(*keys, "_hits", "_n", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin")).withColumn("m", F.expr(f"(bin * _n) div {steps}"))
+    # a few points of the curve are asked for: only they are gathered by their number of hits
+    points = counted.join(F.broadcast(_asked(wanted, keys)), [*keys, "tp"], "left_semi").groupBy(*keys, "tp").agg(F.min_by(F.struct(*values), "k").alias("_first"), F.max_by(F.struct(*values), "k").alias("_last"))
     here = points.select(*keys, F.col("tp").alias("m"), "_last")
     after = points.select(*keys, (F.col("tp") - 1).alias("m"), "_first")
     met = wanted.join(here, [*keys, "m"], "left").join(after, [*keys, "m"], "left")
@@ -116,7 +123,7 @@ def true_positive_errors(curve: DataFrame, by: str | list[str], score: str, erro
     keys, first = _keys(by), int(round((bins - 1) * least_recall)) + 1
     conf = (at_recalls(curve, by, score, bins) if at is None else at).where((F.col("bin") >= first) & (F.col(score) != 0)).select(*keys, "bin", "m", F.col(score).alias("_c"))
     sums = {f"_s_{e}": F.coalesce(e, F.lit(0.0)) for e in errors} | {f"_n_{e}": F.when(F.col(e).isNotNull(), 1).otherwise(0) for e in errors}
-    hits = running_sums(curve.where(F.col(hit)), by, score, [F.asc("k")], sums, peers=True)
+    hits = running_sums(curve.where(F.col(hit)), by, score, [F.asc("k")], sums, peers=True).join(F.broadcast(_asked(conf, keys)), [*keys, "tp"], "left_semi")
     mean = lambda e, first: F.when(F.col(f"all__n_{e}") == 0, 1.0).when(F.col(f"{first}_n_{e}") == 0, 0.0).otherwise(F.try_divide(F.col(f"{first}_s_{e}"), F.col(f"{first}_n_{e}"))).alias(e)
     known = hits.select(*keys, F.col("tp").cast("bigint").alias("m"), F.struct(F.col(score).alias("score"), F.struct(*[mean(e, "") for e in errors]).alias("mean"), F.struct(*[mean(e, "first_") for e in errors]).alias("tied")).alias("_h"))
     low = known.withColumnRenamed("_h", "_low")

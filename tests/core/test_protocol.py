@@ -285,3 +285,22 @@ def test_thresholds_send_no_ranks_to_the_driver(spark, tmp_path):
             want = high if low is None else low if high is None else low + (high - low) * share
             assert r.threshold == pytest.approx(want, abs=1e-6)
     assert len(got) == 3 * tracking.STEPS
+
+
+def test_few_points_are_gathered(spark, monkeypatch):
+    """Recalls ask for a few points of a curve: the others are not gathered by their number of hits, and the classes are computed once."""
+    from pyspark.sql import functions as F
+
+    from orrery.operators import metrics
+
+    curve = spark.range(2000).select(F.lit("car").alias("class"), (F.col("id") + 1).alias("k"), (F.col("id") + 1).alias("tp"), F.lit(2000).cast("bigint").alias("positives"), (1 - F.col("id") / 4000).alias("score"))
+    at = metrics.at_recalls(curve, "class", "score")
+    assert "LeftSemi" in at._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.bin: r.score for r in at.collect()}
+    assert len(got) == 101 and got[0] == 1 and abs(got[50] - (1 - 999 / 4000)) < 1e-12
+    written, durable = [], detection.durable
+    monkeypatch.setattr(detection, "durable", lambda df, name: written.append(name) or durable(df, name))
+    columns = "sample bigint, class string, box bigint, x double, y double, length double, width double, height double, yaw double, vx double, vy double, attribute string"
+    row = (1, "car", 1, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, None)
+    report = detection.detection_report(spark.createDataFrame([row], columns), spark.createDataFrame([(*row, 0.5)], columns + ", score double"), ("car",))
+    assert written[-1] == "classes" and report.count() == 2
