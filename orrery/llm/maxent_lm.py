@@ -55,8 +55,10 @@ TEMPLATES, STEP, RATE, SQUARES, TREE_SQUARES = 3, 16384, 0.15, (1e-2, 0.3), (3.0
 ROUNDS, SHARD, SCORED = len(SQUARES), 48 << 20, 4096
 #: Bytes of text in a chunk at most (a longer document is a chunk of its own), documents in a chunk, bytes of text trained or scored at a time.
 CHUNK, CHUNK_DOCS, AT_ONCE = 20 << 20, 1 << 16, 2 << 20
-#: Tokens that a task remembers, sums of documents that it holds.
-REMEMBERED, HELD = 150_000, 2_000_000
+#: Sums of documents that a task holds.
+HELD = 2_000_000
+#: Largest exponent of a softmax, rows of a run that are summed one after the other, rows that are worked on while they are in the cache.
+LARGEST, PIECE, NEAR = 60.0, 8, 1024
 #: Rows of a block of weights.
 BLOCK = 256
 END = b"\n"  # no word, so it can stand for the end of a text
@@ -125,57 +127,51 @@ def known_bits(counts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-class Classes(dict):
-    """Numbers tokens as they are met, and keeps class, place in the class and hash of each."""
+class Classes:
+    """Class, place in the class (else its hash) and hash of tokens, all tokens of a chunk at once; nothing is kept from one chunk to the next."""
 
     def __init__(self, table: Table, known: np.ndarray | None = None):
-        super().__init__()
         self.bits = known
-        self.listed = table.members()
-        self.endings = {e: i for i, e in enumerate(table.endings, table.other)}
+        listed = table.members()
+        self.listed = pa.array(list(listed), pa.binary())
+        self.own = np.array(list(listed.values()), np.int64).reshape(-1, 2)
+        self.endings = pa.array(table.endings, pa.binary())
         self.rest, self.other = table.classes - 1, table.other
-        self.forget(0)
-
-    def forget(self, most: int = REMEMBERED) -> None:
-        if len(self) >= most:
-            self.clear()
-            self.known: list[tuple[int, int, int]] = []
-            self.seen = np.empty((3, 1 << 16), np.int64)
-            self.filled = 0
-
-    def columns(self) -> np.ndarray:
-        """class, place, hash by code."""
-        if len(self) > self.seen.shape[1]:
-            self.seen = np.concatenate([self.seen, np.empty((3, len(self)), np.int64)], axis=1)
-        if self.known:
-            self.seen[:, self.filled : len(self)] = np.array(self.known, np.int64).T
-            self.filled, self.known = len(self), []
-        return self.seen
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        hashed = zlib.crc32(word)
-        kind, member = self.listed.get(word) or (self.endings.get(word[-2:], self.rest), hashed)
-        if self.bits is not None and kind >= self.other and not has_bit(self.bits, hashed):
-            member = -1
-        self.known.append((kind, member, hashed))
-        return code
-
-
-def _tokens(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+
+    def forget(self) -> None:
+        """No chunk leaves anything behind."""
+
+    def columns(self, words: pa.Array) -> np.ndarray:
+        """class, place, hash of each of ``words``."""
+        out = np.empty((3, len(words)), np.int64)
+        out[2] = np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words))
+        out[1] = out[2]
+        ending = pc.fill_null(pc.index_in(pc.binary_slice(words, -2), value_set=self.endings), -1).to_numpy()
+        out[0] = np.where(ending < 0, self.rest, ending + self.other)
+        place = pc.fill_null(pc.index_in(words, value_set=self.listed), -1).to_numpy()
+        at = np.flatnonzero(place >= 0)
+        out[:2, at] = self.own[place[at]].T
+        if self.bits is not None:
+            out[1, (out[0] >= self.other) & ~has_bit(self.bits, out[2])] = -1
+        return out
+
+
+def _tokens(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct tokens of all texts, the end last; code of each token in order; tokens of each text). A-Z are lower-cased, ASCII white space separates."""
     text = pc.ascii_trim_whitespace(pc.ascii_lower(b.column("text").cast(pa.string(), safe=False)))
     some = pc.binary_length(text).to_numpy() > 0
-    parts = pc.ascii_split_whitespace(text.filter(pa.array(some)))
+    text = text.filter(pa.array(some))  # one name: of large chunks only the last copy is held
+    text = pc.ascii_split_whitespace(text)
     lengths = np.ones(len(some), np.int64)
-    lengths[some] += pc.list_value_length(parts).to_numpy()
-    found = parts.flatten().dictionary_encode()
-    words = found.dictionary.cast(pa.binary()).to_pylist()
+    lengths[some] += pc.list_value_length(text).to_numpy()
+    found = text.flatten().dictionary_encode()
+    del text
+    words = found.dictionary.cast(pa.binary())
     code = np.full(lengths.sum(), len(words), np.int64)
     inner = np.ones(len(code), bool)
     inner[np.cumsum(lengths) - 1] = False
     code[inner] = found.indices.to_numpy()
-    return [*words, END], code, lengths
+    return pa.concat_arrays([words, pa.array([END], pa.binary())]), code, lengths
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -200,30 +196,37 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 24
     for k, b in enumerate(_chunks(batches, CHUNK)):
         listing = pa.list_(pa.struct([("doc_id", b.schema.field("doc_id").type), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]))
-        words, codes, lengths = _tokens(b)
-        key, times = np.unique(codes << 16 | np.repeat(np.arange(b.num_rows), lengths), return_counts=True)
+        words, key, lengths = _tokens(b)
+        key <<= 16
+        key |= np.repeat(np.arange(b.num_rows, dtype=np.uint16), lengths)
+        key.sort()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        times = np.diff(np.r_[starts, len(key)])
+        key = key[starts]
         while (times > 65535).any():  # an entry holds 16 bits
             over = times > 65535
             key, times = np.r_[key, key[over]], np.r_[np.minimum(times, 65535), times[over] - 65535]
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], times[order]
-        word, doc = key >> 16, key & 65535
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+        word, doc = (key >> 16).astype(np.int32), (key & 65535).astype(np.uint16)
+        del key, starts
         train = ~b.column("held_out").to_numpy(zero_copy_only=False)
         n = np.bincount(word, weights=times * train[doc], minlength=len(words)).astype(np.int64)
         entries = np.bincount(word, minlength=len(words))
-        post = (doc << 16 | times).astype("<u4").tobytes()
+        post = (doc.astype("<u4") << 16 | times.astype("<u4")).tobytes()
         blobs = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.r_[0, np.cumsum(entries) * 4].astype(np.int32).tobytes()), pa.py_buffer(post)])
         chunk = pa.array(np.full(len(words), base + k))
-        yield pa.RecordBatch.from_arrays([chunk, pa.array(words, pa.binary()), pa.array(n), blobs, pa.nulls(len(words), listing)], names=names)
+        yield pa.RecordBatch.from_arrays([chunk, words, pa.array(n), blobs, pa.nulls(len(words), listing)], names=names)
         listed = [dict(zip(("doc_id", "text_key", "held_out", "n_tokens"), x, strict=True)) for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_key", "held_out")), lengths.tolist(), strict=True)]
+        del words, word, doc, times, n, entries, post, blobs
+        pa.default_memory_pool().release_unused()  # else the worker keeps what the largest chunk took, also in later stages
         yield pa.RecordBatch.from_arrays([chunk.slice(0, 1), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([listed], listing)], names=names)
 
 
 def _histories(b: pa.RecordBatch, memo: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(class of each token, place in the class or else its hash, hashed history of each token by template, tokens of each document)."""
     words, codes, lengths = _tokens(b)
-    known = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-    kind, member, hashed = memo.columns()[:, known].take(codes, axis=1)
+    kind, member, hashed = memo.columns(words).take(codes, axis=1)
     first = np.r_[0, np.cumsum(lengths)[:-1]]
     one, two = np.r_[0, hashed[:-1]], np.r_[0, 0, hashed[:-2]][: len(hashed)]
     one[first] = 0
@@ -245,41 +248,71 @@ def _slots(history: np.ndarray, slots: int, salt: np.ndarray | int = 0) -> np.nd
 
 
 def _powers(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Exponents of a softmax, shifted so that the largest is zero."""
-    z = weights[slots[0]]
+    """Exponents of a softmax, kept between ``-LARGEST`` and ``LARGEST``, so that none overflows."""
+    z = weights.take(slots[0], axis=0)
     for s in slots[1:]:
-        z += weights[s]
+        z += weights.take(s, axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    return z
+    return np.clip(z, -LARGEST, LARGEST, out=z)
 
 
 def _log_chosen(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log probability of what was chosen for each token."""
     z = _powers(weights, bias, slots)
     own = z[np.arange(len(chosen)), chosen]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-
-def _gradient_step(chosen: np.ndarray, slots: np.ndarray, weights: np.ndarray, squares: np.ndarray, bias: np.ndarray) -> None:
-    """One adaptive gradient step over some tokens, in place."""
-    g = _powers(weights, bias, slots)
-    np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
+def _run_sums(rows: np.ndarray, order: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs in some order, their sums): ``rows`` are taken in ``order``, each run is that many of them; runs are summed in pieces of ``PIECE`` rows, then the pieces likewise."""
+    while True:
+        ends = np.cumsum(times)
+        first, size = ends - times, times
+        if times.max(initial=0) > PIECE:
+            pieces = (times + (PIECE - 1)) // PIECE
+            first = np.repeat(first - PIECE * (np.cumsum(pieces) - pieces), pieces) + PIECE * np.arange(pieces.sum())
+            size = np.minimum(np.repeat(ends, pieces) - first, PIECE)
+        size = size.astype(np.int8)
+        by = np.argsort(-size, kind="stable")  # the longest first, so that all that have a next row stand in front
+        first = first[by]
+        sums = rows.take(order[first], axis=0)
+        for k, n in enumerate(np.cumsum(np.bincount(size, minlength=PIECE + 1)[::-1])[::-1][2:].tolist(), 1):
+            if n:
+                sums[:n] += rows.take(order[first[:n] + k], axis=0)
+        if len(by) == len(times):
+            return by, sums
+        rows, order, times = sums, np.empty_like(by), pieces
+        order[by] = np.arange(len(by))
+
+
+def _gradient_step(chosen: np.ndarray, slots: np.ndarray, weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, seen: np.ndarray) -> None:
+    """One adaptive gradient step over some tokens, in place; ``seen`` counts how often each row was met."""
+    g = np.empty((len(chosen), weights.shape[1]), weights.dtype)
+    ones = np.ones(weights.shape[1], weights.dtype)
+    for s in range(0, len(g), NEAR):  # what is near is still in the cache
+        part = _powers(weights, bias[s : s + NEAR] if bias.ndim > 1 else bias, slots[:, s : s + NEAR])
+        np.exp(part, out=part)
+        np.divide(part, (part @ ones)[:, None], out=g[s : s + NEAR])
     g[np.arange(len(chosen)), chosen] -= 1
     for rows in slots:
         order = np.argsort(rows)
         own = rows[order]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        total = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
-        own = own[starts]
-        square = squares[own]
-        square += total * total
-        squares[own] = square
-        np.sqrt(square, out=square)
-        total /= square
-        total *= RATE
-        weights[own] -= total
+        times = np.diff(np.r_[starts, len(own)])
+        by, total = _run_sums(g, order, times)
+        own = own[starts[by]]
+        seen[own] += times[by]
+        for s in range(0, len(own), NEAR):
+            at, change = own[s : s + NEAR], total[s : s + NEAR]
+            square = squares.take(at, axis=0)
+            square += change * change
+            squares[at] = square
+            np.sqrt(square, out=square)
+            change /= square
+            change *= RATE
+            after = weights.take(at, axis=0)
+            after -= change
+            weights[at] = after
 
 
 @dataclass
@@ -310,14 +343,14 @@ class Model:
         """(which softmax, tokens concerned, choice, feature slots, bias): the class of all, then the token in classes of several, then the branch on each level below the other classes."""
         yield 0, np.arange(len(kind)), kind, _slots(history, self.slots), self.class_bias
         at = np.flatnonzero((kind >= len(self.table.heads)) & (kind < self.table.other))
-        yield 1, at, member[at], _slots(history[:, at], self.slots, kind[at] + 1), self.member_bias[kind[at]]
+        yield 1, at, member[at], _slots(history[:, at], self.slots, kind[at] + 1), self.member_bias.take(kind[at], axis=0)
         if self.table.depth:
             at = np.flatnonzero((kind >= self.table.other) & (member >= 0))
             own = history[:, at]
             for node, branch in self.table.ways(kind[at], member[at]):
                 if len(branch):
                     row = self.table.classes + node
-                    yield 2, at, branch, _slots(own, self.slots, row + 1), self.member_bias[row]
+                    yield 2, at, branch, _slots(own, self.slots, row + 1), self.member_bias.take(row, axis=0)
 
     def log_probability(self, kind: np.ndarray, member: np.ndarray, history: np.ndarray) -> np.ndarray:
         """Natural log of P(class | history), times P(token | class, history) in classes of several and P(leaf | class, history) in others."""
@@ -372,14 +405,12 @@ def train_weights(rows: DataFrame, model: Model, shards: int) -> None:
             weights, squares = [w.copy() for w in model.weights], [np.full_like(w, (TREE_SQUARES if k == 2 else SQUARES)[turn]) for k, w in enumerate(model.weights)]
             seen = [np.zeros(n) for n in sizes]
             for b in _chunks(batches):
-                memo.forget()
                 kind, member, history, _ = _histories(b, memo)
                 for s in range(0, len(kind), STEP):
                     part = kind[s : s + STEP], member[s : s + STEP], history[:, s : s + STEP]
                     for k, at, chosen, slots, bias in model.choices(*part):
                         if len(at):
-                            _gradient_step(chosen, slots, weights[k], squares[k], bias)
-                            seen[k] += np.bincount(slots.ravel(), minlength=sizes[k])
+                            _gradient_step(chosen, slots, weights[k], squares[k], bias, seen[k])
             for k, (w, n) in enumerate(zip(weights, seen, strict=True)):
                 for s in range(0, len(w), BLOCK):
                     if (part := n[s : s + BLOCK]).any():
@@ -458,7 +489,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def class_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Classes(table, bits)
         for b in _chunks(batches):
-            memo.forget()
             k, member, history, lengths = _histories(b, memo)
             logs = np.empty(len(k))
             for s in range(0, len(k), SCORED):
@@ -505,7 +535,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
             yield handed(*summed(held))
 
     words = index.where("word is not null").select("chunk", "word", "postings")
-    met = words.join(counts.hint("shuffle_hash"), "word", "left").select("chunk", "postings", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("leaf", leaf_of(table)).alias("leaf"), F.crc32("word").alias("h"))
+    # of words that training has, only whether they have a leaf matters, so that leaf and hash take no room in the shuffle
+    unmet = F.col("c").isNull()
+    leaf, hashed = F.when(unmet, leaf_of(table)).otherwise(F.least("leaf", F.lit(0))), F.when(unmet, F.crc32("word")).otherwise(F.lit(0))
+    met = words.join(counts.hint("shuffle_hash"), "word", "left").select("chunk", "postings", F.coalesce("c", F.lit(0)).alias("c"), leaf.cast("bigint").alias("leaf"), hashed.cast("bigint").alias("h"))
     # by chunk first: else every task would hold a sum for nearly every document
     sums = met.repartition("chunk").mapInArrow(token_sums, "chunk bigint, doc bigint, n_known bigint, logs double, shares double")
     sums = sums.groupBy("chunk", "doc").agg(F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("shares").alias("shares"))

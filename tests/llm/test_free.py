@@ -553,3 +553,34 @@ def test_training_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 90e6, peak  # 62.6 MB, 120.3 MB with 6 MB of text at a time and 400,000 tokens
+
+
+def test_index_memory(monkeypatch):
+    """The lists of a chunk are made in place."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(maxent_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)).encode() for _ in range(4500)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(texts, pa.binary())], names=["doc_id", "text_key", "held_out", "text"])
+    tracemalloc.start()
+    met = sum(int(out.column("n").to_numpy(zero_copy_only=False).sum()) for out in maxent_lm._index(iter([batch])) if out.column("n").null_count == 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met == 401 * n
+    assert peak < 85e6, peak  # 64.4 MB, 109.4 MB before
+
+
+def test_runs_are_summed_as_one_by_one():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(3000, 7))
+    run = np.sort(np.minimum(rng.zipf(1.4, 3000), 400))
+    _, times = np.unique(run, return_counts=True)
+    order = rng.permutation(3000)
+    by, sums = maxent_lm._run_sums(rows, order, times)
+    assert times.max() > maxent_lm.PIECE**2 and sorted(by) == list(range(len(times)))
+    assert np.allclose(sums, [rows[order][e - t : e].sum(axis=0) for e, t in zip(np.cumsum(times)[by], times[by], strict=True)])
