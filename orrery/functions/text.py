@@ -12,7 +12,7 @@ FAMILIES = (
     ("exist", (r"^(Are|Is) there", r"^(Are|Is) any", r"^(Do|Does) .+ exist", r"^Can you see")),
     ("count", (r"^How many", r"^What number of", r"^What is the number of")),
     ("status", (r"^What (is|are) the status", r"^What status (is|are)", r"what (is|are) .+ status")),
-    ("object", (r"^What (is|are) the .+ thing", r"^What (is|are) .+ that", r"^The .+ (is|are) what", r".+ is what\?$", r"^There is .+what is it\??$", r"what is it\??$")),
+    ("object", (r"^What (is|are) the .+ thing", r"^What (is|are) .+ that", r"^The .+ (is|are) what", r". is what\?$", r"^There is .+what is it\??$", r"what is it\??$")),
     ("comparison", (r"same (status|type) as", r"same as", r"(is|are) .+ the same")),
 )
 #: Synonyms that questions are freed of, in this order; those of directions are replaced inside words too.
@@ -50,9 +50,10 @@ def normalised_question(text: Column) -> Column:
 
 
 def question_family(text: Column) -> Column:
-    """The first family of which a pattern fits the text, else general."""
-    fits = lambda patterns: reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in patterns])
-    return reduce(lambda acc, f: F.when(fits(f[1]), F.lit(f[0])).otherwise(acc), reversed(FAMILIES), F.lit("general"))
+    """The first family of which a pattern fits the text, else general. The text is computed once, as the variable of a transform, not once for each pattern."""
+    fits = lambda t, patterns: reduce(lambda a, b: a | b, [t.rlike(f"(?i){p}") for p in patterns])
+    told = lambda t: reduce(lambda acc, f: F.when(fits(t, f[1]), F.lit(f[0])).otherwise(acc), reversed(FAMILIES), F.lit("general"))
+    return F.get(F.transform(F.array(text), told), F.lit(0))
 
 
 #: Words that a question's pattern leaves open, by kind; longer ones are replaced first.

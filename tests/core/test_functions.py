@@ -133,3 +133,16 @@ def test_destination(spark):
     lat, lon = G.destination(F.lit(0.0), F.lit(10.0), F.lit(90.0), F.lit(math.pi * 6_378_137.0 / 180))
     got = one(spark, lat, lon)
     assert abs(got[0]) < 1e-9 and math.isclose(got[1], 11.0)
+
+
+def test_question_family_reads_the_text_once(spark):
+    """The plan holds the expression of the text once, and no pattern takes time in the square of the text's length."""
+    import time
+
+    long = spark.createDataFrame([("word " * 20_000,), ("word " * 20_000 + " is what?",), (" is what?",), ("a is what?",), (None,)], "q string")
+    family = T.question_family(T.normalised_question(F.col("q")))
+    told = long.select(family.alias("f"))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("construction vehicles") == 1
+    began = time.perf_counter()
+    assert [r.f for r in told.collect()] == ["general", "object", "general", "object", "general"]
+    assert time.perf_counter() - began < 20
