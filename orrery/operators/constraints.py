@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,20 +68,33 @@ def _chosen(left: set, kept: dict[int, set], most: int, without: set) -> tuple[l
 
 
 def _planned(views: DataFrame, plan: Callable[[set, dict[int, set]], list[tuple[list[int], set]]], schema: str, numbered: bool) -> DataFrame:
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = {r: set(g.loc[g["agrees"], "candidate"]) for r, g in pdf.groupby("ref")}
-        rows = [{"frame": pdf["frame"].iloc[0], "target": pdf["target"].iloc[0], "plan": k, "rounds": len(refs), "left": len(left), "refs": "|".join(map(str, refs))} for k, (refs, left) in enumerate(plan(set(pdf["candidate"]), kept))]
-        out = pd.DataFrame(rows)
-        return out if numbered else out.drop(columns="plan")
-
-    return views.groupBy("frame", "target").applyInPandas(choose, schema)
+    names = ["frame", "target", *["plan"] * numbered, "rounds", "left", "refs"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.list_value_length(b.column("views")).to_numpy()).tolist()
+            refs, candidates, agrees = (x.to_numpy(zero_copy_only=False).tolist() for x in b.column("views").flatten().flatten())
+            rows, start = [], 0
+            for frame, target, end in zip(b.column("frame").to_pylist(), b.column("target").to_pylist(), ends, strict=True):
+                kept: dict[int, set] = {}
+                for r, c, same in zip(refs[start:end], candidates[start:end], agrees[start:end], strict=True):
+                    own = kept.setdefault(r, set())
+                    if same:
+                        own.add(c)
+                chosen = plan(set(candidates[start:end]), kept)
+                rows += [(frame, target, *[k] * numbered, len(taken), len(left), "|".join(map(str, taken))) for k, (taken, left) in enumerate(chosen)]
+                start = end
+            types = {"plan": pa.int32(), "rounds": pa.int32(), "left": pa.int32(), "refs": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types.get(n, pa.int64())) for k, n in enumerate(names)], names=names)
+
+    return views.groupBy("frame", "target").agg(F.collect_list(F.struct("ref", "candidate", "agrees")).alias("views")).mapInArrow(choose, schema)
 
 
 def greedy_references(views: DataFrame, most: int = 3) -> DataFrame:
     """frame, target, rounds, left, refs: references chosen one by one, each removing the most candidates; stops when none gains.
 
     views: frame, target, ref, candidate, agrees (whether the reference sees the candidate as it sees the target). The choice is sequential for
-    one target, whose candidates are the few nodes of its frame, so each target is one small group.
+    one target, whose candidates are the few nodes of its frame, so each target is one small row, and a batch of rows is read at a time.
     """
     return _planned(views, lambda left, kept: [_chosen(left, kept, most, set())], "frame bigint, target bigint, rounds int, left int, refs string", False)
 

@@ -312,3 +312,21 @@ def test_groups_go_on_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.lit(1).cast("bigint").alias("sorted"), F.sum("v").alias("sum")).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 6
+
+
+def test_references_are_chosen_a_batch_at_a_time(spark):
+    """Many small targets: rows of a batch, not a pandas frame for each."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(t // 8, t, r, c, rng.random() < 0.5) for t in range(600) for r in range(100, 100 + rng.randint(1, 5)) for c in range(rng.randint(1, 6))]
+    views = spark.createDataFrame(rows, "frame bigint, target bigint, ref bigint, candidate bigint, agrees boolean")
+    got = constraints.greedy_references(views)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for t in range(600):
+        own = [r for r in rows if r[1] == t]
+        kept = {r[2]: {x[3] for x in own if x[2] == r[2] and x[4]} for r in own}
+        refs, left = constraints._chosen({r[3] for r in own}, kept, 3, set())
+        want.append((t // 8, t, len(refs), len(left), "|".join(map(str, refs))))
+    assert sorted(tuple(r) for r in got.collect()) == want
