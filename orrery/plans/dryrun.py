@@ -16,15 +16,15 @@ def _gaps(edges):
 
 def dry_runs(spark, sf_dir):
     """Every question of both families over every gap."""
-    n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
-    return dryrun.dry_runs(_gaps(e), n, e)
+    n, e = nodes_of(spark, sf_dir), durable(edges_of(spark, sf_dir), "edges")
+    return dryrun.dry_runs(durable(_gaps(e), "gaps"), n, e)
 
 
 def balanced_selection(spark, sf_dir):
     """Two phases over all gaps: converging plans and what they cover, then slots by distance, direction and viewpoint."""
-    n, e = nodes_of(spark, sf_dir), edges_of(spark, sf_dir)
-    gaps = _gaps(e).withColumn("key", coverage.path_key(*[F.col(p).cast("string") for p in "abc"]))
-    plans = durable(dryrun.converge_plans(_gaps(e), n, e).where("plan = 0 and mode = 'object'").select("frame", "key", "refs"), "plans")
+    n, e = nodes_of(spark, sf_dir), durable(edges_of(spark, sf_dir), "edges")
+    gaps = durable(_gaps(e).withColumn("key", coverage.path_key(*[F.col(p).cast("string") for p in "abc"])), "gaps")
+    plans = durable(dryrun.converge_plans(gaps.drop("key"), n, e, most=1).where("plan = 0 and mode = 'object'").select("frame", "key", "refs"), "plans")
     both = gaps.join(plans, ["frame", "key"], "left")
     ends = F.array_distinct(F.concat(F.array(F.col("a").cast("string"), F.col("c").cast("string")), F.filter(F.split("refs", "[|]"), lambda r: r != "")))
     # all paths through the pivot between the ends of the question's graph

@@ -330,3 +330,21 @@ def test_references_are_chosen_a_batch_at_a_time(spark):
         refs, left = constraints._chosen({r[3] for r in own}, kept, 3, set())
         want.append((t // 8, t, len(refs), len(left), "|".join(map(str, refs))))
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_dry_runs_choose_once(spark):
+    """No filter repeats the fold over references, and both branches of a gap come from one computation."""
+    from orrery.operators import dryrun
+
+    nodes = spark.createDataFrame([], "frame bigint, id bigint, type string, status string")
+    edges = spark.createDataFrame([], "frame bigint, src bigint, dst bigint, dst_type string, dir6 string, dist double")
+    gaps = spark.createDataFrame([], "frame bigint, a bigint, b bigint, c bigint")
+    seen = []
+    original = dryrun.candidate_rows
+    try:
+        dryrun.candidate_rows = lambda t, e: seen.append(1) or original(t, e)
+        plan = dryrun.diverge_plans(gaps, nodes, edges)._jdf.queryExecution().analyzed().toString()
+    finally:
+        dryrun.candidate_rows = original
+    assert len(seen) == 1 and plan.count("aggregate(") == 1
+    assert not [line for line in plan.splitlines() if "Filter" in line and "lambdafunction(" in line]
