@@ -154,19 +154,24 @@ def two_phase_selection(gaps: DataFrame, share: float = 0.25, window: int = 10,
     gives each remaining gap the slot with the fewest questions so far, phase 1 counting for the first slot, or the next one that has a plan; ties by slot.
     """
 
-    def one_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["key", "score", "plans"]].itertuples(index=False, name=None), key=lambda r: (-r[1], r[0]))
+    def one_frame(table: pa.Table) -> pa.Table:
+        frame = table.column("frame")[0].as_py()
+        own = table.column("plans").combine_chunks()
+        each = dict(zip([f.name for f in own.type.value_type], own.flatten().flatten(), strict=True))
+        lists, named = (np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy())].tolist() for x in (own, each["covers"]))
+        asks, paths = each["slot"].to_pylist(), each["covers"].flatten().to_numpy(zero_copy_only=False).tolist()
+        rows = sorted(zip(table.column("key").to_pylist(), table.column("score").to_pandas().tolist(), range(len(own)), strict=True), key=lambda r: (-r[1], r[0]))
         plans: dict[str, dict] = {}
-        for k, _, own in rows:
+        for k, _, at in rows:
             plans[k] = {}
-            for p in own:
-                plans[k].setdefault(p["slot"], set(p["covers"]))
+            for p in range(lists[at], lists[at + 1]):
+                plans[k].setdefault(asks[p], paths[named[p] : named[p + 1]])
         every, covered, out, streak, reason = set(plans), set(), [], 0, "exhausted"
 
         def ask(key: str, slot: str, phase: int) -> int:
-            new = (plans[key][slot] & every) - covered
+            new = every.intersection(plans[key][slot]) - covered
             covered.update(new)
-            out.append((pdf["frame"].iloc[0], len(out) + 1, phase, key, slot, len(new)))
+            out.append((frame, len(out) + 1, phase, key, slot, len(new)))
             return len(new)
 
         for k, _, _ in rows:
@@ -177,10 +182,13 @@ def two_phase_selection(gaps: DataFrame, share: float = 0.25, window: int = 10,
                 streak = streak + 1 if ask(k, first, 1) <= 1 else 0
         asked = dict.fromkeys(slots, 0) | {first: len(out)}
         for k, _, _ in rows:
-            slot = next((s for s in sorted(slots, key=lambda s: (asked[s], s)) if s in plans[k]), None)
-            if k not in covered and slot is not None:
+            if k in covered:
+                continue
+            slot = min((s for s in slots if s in plans[k]), key=lambda s: (asked[s], s), default=None)
+            if slot is not None:
                 ask(k, slot, 2)
                 asked[slot] += 1
-        return pd.DataFrame(out, columns=["frame", "step", "phase", "key", "slot", "delta"]).assign(reason=reason)
+        types = {"frame": pa.int64(), "step": pa.int32(), "phase": pa.int32(), "key": pa.string(), "slot": pa.string(), "delta": pa.int32(), "reason": pa.string()}
+        return pa.table({name: pa.array([(*r, reason)[i] for r in out], kind) for i, (name, kind) in enumerate(types.items())})
 
-    return gaps.groupBy("frame").applyInPandas(one_frame, "frame bigint, step int, phase int, key string, slot string, delta int, reason string")
+    return gaps.groupBy("frame").applyInArrow(one_frame, "frame bigint, step int, phase int, key string, slot string, delta int, reason string")

@@ -348,3 +348,11 @@ def test_dry_runs_choose_once(spark):
         dryrun.candidate_rows = original
     assert len(seen) == 1 and plan.count("aggregate(") == 1
     assert not [line for line in plan.splitlines() if "Filter" in line and "lambdafunction(" in line]
+
+
+def test_selection_reads_frames_as_arrow(spark):
+    """Nested plans of a frame are not made pandas objects one by one."""
+    gaps = spark.createDataFrame([(1, "x", 5, [("A", ["x", "y"]), ("A", ["z"])]), (1, "y", 4, [("B", ["y"])]), (1, "z", 3, [("B", ["z"]), ("A", ["q"])]), (2, "k", 1, [])], "frame bigint, key string, score int, plans array<struct<slot:string,covers:array<string>>>")
+    got = constraints.two_phase_selection(gaps)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1, "x", "A", 2, "share"), (1, 2, 2, "z", "B", 1, "share")]
