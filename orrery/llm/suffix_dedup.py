@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, plain_text
+from .common import durable, plain_text, small_batches
 
 #: Primitive polynomials over two elements, by degree.
 PRIMITIVE = {3: 0b1011, 6: 0b1000011, 9: 0b1000010001, 12: 0b1000001010011}
 #: Bytes of text in a chunk; names in a bucket.
 CHUNK, NAME_BUCKET = 4 << 20, 1 << 19
-#: Most suffixes in one piece of text, bytes of text sorted at a time, bytes of a bucket that is split.
-PIECE, AT_ONCE, HOT = 1024, 1 << 19, 6 << 20
+#: Most suffixes in one piece of text, bytes of text sorted at a time, bytes of a bucket that is split; sorting takes a hundred times the bytes.
+PIECE, AT_ONCE, HOT = 1024, 1 << 19, 3 << 19
 #: For hot buckets: parts in which equal pieces are merged first; one piece of SAMPLE is read for its short strings, of which COMMON are taken last if LEAST pieces read have them.
 SALTS, SAMPLE, COMMON, LEAST = 64, 8, 1 << 16, 64
 
@@ -133,7 +133,7 @@ def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([base + k]), ids, sizes, pa.array([b"".join(texts[lo:hi])], pa.binary())], names=["chunk", "ids", "sizes", "data"])
                 k += 1
 
-    return durable(rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, data binary"), "chunks")
+    return durable(rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, data binary"), "chunks", large_rows=True)
 
 
 def shared_names(chunks: DataFrame, length: int) -> DataFrame:
@@ -178,7 +178,8 @@ def shared_names(chunks: DataFrame, length: int) -> DataFrame:
             yield repeated(held)
 
     sent = chunks.select("chunk", "sizes", "data").mapInArrow(send, "bucket bigint, chunk bigint, names binary")
-    return durable(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "chunk bigint, names binary"), "names")
+    with small_batches(chunks.sparkSession):
+        return durable(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "chunk bigint, names binary"), "names")
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -344,9 +345,9 @@ class Blocks:
         return done
 
 
-def repeats(rows: list[tuple[bytes, int, int, int, bytes]], depths: tuple[int, ...]) -> pa.RecordBatch:
-    """Whole buckets of (piece_id, offset, n, times, piece): their suffixes are sorted, and the runs of those given that tie with another, by depth."""
-    ids, offset, n, times, pieces = zip(*rows, strict=True)
+def repeats(rows: list[tuple[list[tuple[bytes, int]], int, int, bytes]], depths: tuple[int, ...]) -> pa.RecordBatch:
+    """Whole buckets of (its places as piece_id and offset, n, times, piece): their suffixes are sorted, and the runs of those given that tie with another, by depth, at each place."""
+    places, n, times, pieces = zip(*rows, strict=True)
     size, n = np.array([len(p) for p in pieces]), np.array(n)
     text = np.frombuffer(b"".join(pieces), np.uint8)
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -366,10 +367,13 @@ def repeats(rows: list[tuple[bytes, int, int, int, bytes]], depths: tuple[int, .
         begin = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
         stop = np.flatnonzero(again & (last | ~np.r_[again[1:], False])) + 1
         own = piece[begin]
-        out.append((own, np.array(offset)[own] + nth[begin], stop - begin, np.full(len(own), level)))
+        out.append((own, nth[begin], stop - begin, np.full(len(own), level)))
         some = np.flatnonzero(again)  # a longer tie is one of these
     own, begin, count, level = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in own.tolist()], pa.binary()), pa.array(begin), pa.array(count), pa.array(level.astype(np.int32))], names=["piece_id", "at", "many", "level"])
+    each = np.array([len(x) for x in places], np.int64)[own]
+    begin, count, level = (np.repeat(x, each) for x in (begin, count, level))
+    ids, offset = zip(*[x for k in own.tolist() for x in places[k]], strict=True) if len(own) else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(begin + np.array(offset, np.int64)), pa.array(count), pa.array(level.astype(np.int32))], names=["piece_id", "at", "many", "level"])
 
 
 def dealt_anew(pieces: DataFrame, depths: tuple[int, ...], hot: int) -> DataFrame:
@@ -413,21 +417,24 @@ def repeated_starts(pieces: DataFrame, depths: tuple[int, ...], hot: int = HOT)
     """chunk, refs, at, many, level: at each of the positions ``refs`` + ``at`` of the chunk's text ``many`` neighbours start a repeated string of ``depths[level]`` bytes."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        held: dict[tuple, list] = {}  # by text: what many pieces have in common is sorted once
         now, size = None, 0
         for b in batches:
             for key, i, offset, n, times, piece in zip(*(b.column(c).to_pylist() for c in ("key", "piece_id", "offset", "n", "times", "piece")), strict=True):
                 if key != now and size > AT_ONCE:
-                    yield repeats([tuple(x) for x in held.values()], depths)
+                    yield sort(held)
                     held, size = {}, 0
                 now = key
-                if own := held.get((i, offset)):
-                    own[3] += times
-                else:
-                    held[i, offset] = [i, offset, n, times, piece]
+                if (own := held.get((n, piece))) is None:
+                    own = held[n, piece] = [{}, 0]
                     size += len(piece)
+                own[0][i, offset] = None
+                own[1] += times
         if held:
-            yield repeats([tuple(x) for x in held.values()], depths)
+            yield sort(held)
+
+    def sort(held: dict[tuple, list]) -> pa.RecordBatch:
+        return repeats([(list(places), n, times, piece) for (n, piece), (places, times) in held.items()], depths)
 
     dealt = dealt_anew(pieces, depths, hot)
     met = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "piece_id binary, at bigint, many bigint, level int")
@@ -480,7 +487,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: tuple[int, int]
         return pa.concat_tables([pa.table({f.name: t.column(f.name) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in full}, schema=full) for t in out]) if out else full.empty_table()
 
     made = chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(send, f"chunk bigint, ids array<{kind}>, key bigint, piece_id binary, refs array<bigint>, n int, piece binary, sizes array<bigint>, starts array<bigint>, data binary, sha array<string>")
-    made = durable(made, "pieces")
+    made = durable(made, "pieces", large_rows=True)
     starts = repeated_starts(made.where("key is not null").select("chunk", "key", "piece_id", "refs", "n", "piece"), depths, hot)
     zero = F.lit(0).cast("bigint")
     done = made.where("sha is not null").select(F.explode(F.arrays_zip("ids", "sizes", "sha")).alias("x"))

@@ -42,9 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it is computed once, the lineage ends there, and a lost executor costs nothing."""
+#: For rows of megabytes: Parquet looks at the size of a page and of a row group after 100 rows only, and a row group is read as one batch.
+_LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "16", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
+
+
+def durable(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it is computed once, the lineage ends there, and a lost executor costs nothing.
+
+    With ``large_rows`` (of megabytes) few of them are held at a time by those who write and read the table, however many a task has.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(_LARGE_ROWS if large_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
