@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, plain_text
+from .common import durable, fresh, plain_text, small_batches
 from .suffix_dedup import _sliding_least
 
 #: Bytes of text of a chunk, and of what a bucket receives.
@@ -44,6 +44,8 @@ CHUNK, BUCKET = 1 << 22, 1 << 22
 GRAM = 5
 #: An anchor with this many extents in one chunk is spread over the buckets; so many anchors at most, which bounds what tasks are told.
 MANY, MOST = 32, 1 << 16
+#: Words whose hashes a task remembers.
+REMEMBERED = 150_000
 #: Odd numbers that hashes are multiplied by.
 ODD, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 #: Bits of a place in a chunk; the rest of a word's bits orders anchors, ties by place.
@@ -54,7 +56,7 @@ class _Hashes(dict):
     """word -> 64-bit hash; forgets all when it holds many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -171,7 +173,7 @@ def _table(**columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if v and isinstance(v[0], bytes) else None if v else pa.null()) for v in columns.values()], names=list(columns))
 
 
-def _each(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+def _each(b: pa.RecordBatch | pa.Table, *names: str) -> Iterator[tuple]:
     return zip(*(b.column(c).to_pylist() for c in names), strict=True)
 
 
@@ -212,7 +214,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
         if texts:
             yield done()
 
-    return durable(rows.mapInArrow(run, CHUNKS), "chunks")
+    return durable(rows.mapInArrow(run, CHUNKS), "chunks", large_rows=True)
 
 
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -332,17 +334,17 @@ class _Steps:
         return _buckets_met(batches, self.compare)
 
 
-def _marks(spans: list[dict] | None, n: int) -> np.ndarray:
+def _marks(spans: pa.Table, n: int) -> np.ndarray:
     """Which of a chunk's words are removed."""
     change = np.zeros(n + 1, np.int64)
-    for s in spans or []:
-        start, stop = np.frombuffer(s["spans"], np.int32).reshape(2, -1)
+    for s in spans.column("spans"):
+        start, stop = np.frombuffer(s.as_py(), np.int32).reshape(2, -1)
         change += np.bincount(start, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
     return np.cumsum(change[:n]) > 0
 
 
-def marked_chunks(docs: DataFrame, words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chunks, with ``spans``: starts and ends, in words of the chunk, of what is to be removed."""
+def marked_chunks(docs: DataFrame, words: int, id_col: str, text_col: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``run`` makes of each chunk and of the ``spans``, starts and ends in words of the chunk, of what is to be removed."""
     chunks = _chunks(docs, id_col, text_col, words)
     size = chunks.agg(F.sum(F.octet_length("data").cast("bigint"))).first()[0] or 0
     many = chunks.select(F.explode("many").alias("anchor")).groupBy("anchor").count().orderBy(F.desc("count"), "anchor").limit(MOST).collect()
@@ -350,28 +352,30 @@ def marked_chunks(docs: DataFrame, words: int = 20, id_col: str = "doc_id", text
     steps = _Steps(words, max(12, size * 24 // 50 // BUCKET + 1), np.sort(np.array([r["anchor"] for r in many], np.int64).astype(np.uint64)))
     texts = chunks.select("chunk", "ids", "sizes", "data")
     sent = texts.mapInArrow(steps.send, "bucket bigint, chunk bigint, anchor binary, extent binary, id binary")
-    status = durable(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(steps.met, "bucket bigint, chunk bigint, status binary"), "status")
+    with small_batches(docs.sparkSession):
+        status = durable(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(steps.met, "bucket bigint, chunk bigint, status binary"), "status")
     replies = status.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "status")).alias("replies"))
     extended = texts.join(replies.hint("shuffle_hash"), "chunk", "left").mapInArrow(steps.extend, "bucket bigint, chunk bigint, key binary, anchor binary, id binary, at binary")
-    extended = durable(extended, "windows")
+    with small_batches(docs.sparkSession):
+        extended = durable(extended, "windows")
     compared = extended.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(steps.compared, "chunk bigint, spans binary")
     spans = extended.where("bucket < 0").select("chunk", F.col("at").alias("spans")).unionByName(compared)
-    spans = durable(spans, "spans").groupBy("chunk").agg(F.collect_list(F.struct("spans")).alias("spans"))
-    return texts.join(spans.hint("shuffle_hash"), "chunk", "left")
+    spans = durable(spans, "spans")
+    # one chunk at a time, as the caller's write runs outside small_batches
+    return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray]]:
+def _kept(chunk: pa.Table, spans: pa.Table) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray]]:
     """Per chunk: ids, kept words, numbers of words and of removed words of its documents."""
-    for b in batches:
-        for ids, bytes_, data, spans in _each(b, "ids", "sizes", "data", "spans"):
-            words, sizes = _split(data, bytes_)
-            gone = _marks(spans, len(words))
-            end = np.cumsum(sizes)
-            removed = np.r_[0, np.cumsum(gone)][np.r_[end]] - np.r_[0, np.cumsum(gone)][end - sizes]
-            kept = []
-            for lo, hi, r in zip((end - sizes).tolist(), end.tolist(), removed.tolist(), strict=True):
-                kept.append(words[lo:hi] if not r else [] if r == hi - lo else [words[i] for i in (np.flatnonzero(~gone[lo:hi]) + lo).tolist()])
-            yield ids, kept, sizes, removed
+    for ids, bytes_, data in _each(chunk, "ids", "sizes", "data"):
+        words, sizes = _split(data, bytes_)
+        gone = _marks(spans, len(words))
+        end = np.cumsum(sizes)
+        removed = np.r_[0, np.cumsum(gone)][np.r_[end]] - np.r_[0, np.cumsum(gone)][end - sizes]
+        kept = []
+        for lo, hi, r in zip((end - sizes).tolist(), end.tolist(), removed.tolist(), strict=True):
+            kept.append(words[lo:hi] if not r else [] if r == hi - lo else [words[i] for i in (np.flatnonzero(~gone[lo:hi]) + lo).tolist()])
+        yield ids, kept, sizes, removed
 
 
 def _back(ids: list[int], kind: pa.DataType) -> pa.Array:
@@ -381,45 +385,51 @@ def _back(ids: list[int], kind: pa.DataType) -> pa.Array:
 def substring_report(docs: DataFrame, words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, kept, sizes, removed in _kept(batches):
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+    def run(chunk: pa.Table, spans: pa.Table) -> pa.Table:
+        rows = []
+        for ids, kept, sizes, removed in _kept(chunk, spans):
             sha = [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([_back(ids, pa.int64()), pa.array(sizes), pa.array(removed), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            rows.append(pa.Table.from_arrays([_back(ids, pa.int64()), pa.array(sizes), pa.array(removed), pa.array(sha, pa.string())], names=names))
+        return pa.concat_tables(rows)
 
-    return marked_chunks(docs, words, id_col, text_col).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return marked_chunks(docs, words, id_col, text_col, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def substring_spans(docs: DataFrame, words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop: the maximal runs of removed words, in words of the document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, bytes_, data, spans in _each(b, "ids", "sizes", "data", "spans"):
-                _, sizes = _split(data, bytes_)
-                gone = _marks(spans, int(sizes.sum()))
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                edge = np.r_[True, np.diff(doc) != 0] if len(doc) else gone
-                at = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
-                stop = np.flatnonzero(gone & np.r_[edge[1:] | ~gone[1:], True]) + 1 if len(doc) else at
-                base = (np.cumsum(sizes) - sizes)[doc[at]]
-                yield pa.RecordBatch.from_arrays([_back([ids[i] for i in doc[at]], pa.int64()), pa.array(at - base), pa.array(stop - base)], names=["doc_id", "start", "stop"])
+    def run(chunk: pa.Table, spans: pa.Table) -> pa.Table:
+        rows = []
+        for ids, bytes_, data in _each(chunk, "ids", "sizes", "data"):
+            _, sizes = _split(data, bytes_)
+            gone = _marks(spans, int(sizes.sum()))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            edge = np.r_[True, np.diff(doc) != 0] if len(doc) else gone
+            at = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
+            stop = np.flatnonzero(gone & np.r_[edge[1:] | ~gone[1:], True]) + 1 if len(doc) else at
+            base = (np.cumsum(sizes) - sizes)[doc[at]]
+            rows.append(pa.Table.from_arrays([_back([ids[i] for i in doc[at]], pa.int64()), pa.array(at - base), pa.array(stop - base)], names=["doc_id", "start", "stop"]))
+        return pa.concat_tables(rows)
 
-    return marked_chunks(docs, words, id_col, text_col).mapInArrow(run, "doc_id bigint, start bigint, stop bigint")
+    return marked_chunks(docs, words, id_col, text_col, run, "doc_id bigint, start bigint, stop bigint")
 
 
 def drop_substrings(docs: DataFrame, words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, texts that lose words as their kept words joined by a space; rows of equal id and text all lose what the first of them loses."""
     key, cut = fresh(docs, "text_key"), fresh(docs, "cut_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data, bytes_, (ids, kept, _, removed) in zip(b.column("data").to_pylist(), b.column("sizes").to_pylist(), _kept([b]), strict=True):
-                end = np.cumsum(bytes_)
-                sha = [hashlib.sha256(data[z - n : z]).hexdigest() for n, z in zip(bytes_, end, strict=True)]
-                texts = [b" ".join(k) if r else None for k, r in zip(kept, removed, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "sha", "cut"])
+    def run(chunk: pa.Table, spans: pa.Table) -> pa.Table:
+        rows = []
+        for data, bytes_, (ids, kept, _, removed) in zip(chunk.column("data").to_pylist(), chunk.column("sizes").to_pylist(), _kept(chunk, spans), strict=True):
+            end = np.cumsum(bytes_)
+            sha = [hashlib.sha256(data[z - n : z]).hexdigest() for n, z in zip(bytes_, end, strict=True)]
+            texts = [b" ".join(k) if r else None for k, r in zip(kept, removed, strict=True)]
+            rows.append(pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "sha", "cut"]))
+        return pa.concat_tables(rows)
 
-    rows = marked_chunks(docs, words, id_col, text_col).mapInArrow(run, "id bigint, sha string, cut string")
+    rows = marked_chunks(docs, words, id_col, text_col, run, "id bigint, sha string, cut string")
     # the first of repeated rows has lost least
     least = F.when(F.count("cut") == F.count("*"), F.max_by("cut", F.length("cut")))
     texts = durable(rows.groupBy("id", "sha").agg(least.alias("cut")).where("cut is not null").select(F.struct("id", "sha").alias(key), F.col("cut").alias(cut)), "cut-texts")

@@ -1,11 +1,11 @@
-"""What tasks of operator 4 hold at a time does not grow with what they have to do."""
+"""What tasks of operators 4 and 12 hold at a time does not grow with what they have to do."""
 
 import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from orrery.llm import suffix_dedup
+from orrery.llm import substring_dedup, suffix_dedup
 from orrery.llm.common import BATCH, durable, small_batches
 from orrery.llm.suffix_dedup import chunked
 
@@ -25,7 +25,7 @@ def test_tables_of_large_rows_have_small_row_groups(spark):
 
 def test_chunks_are_written_so(spark):
     docs = large(spark).selectExpr("id AS doc_id", "decode(data, 'utf-8') AS text")
-    for table in (chunked(docs, 1 << 20),):
+    for table in (chunked(docs, 1 << 20), substring_dedup._chunks(docs, "doc_id", "text", 20)):
         files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")) for f in table.inputFiles()]
         assert max(f.metadata.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)) < 40 << 20
 
@@ -43,6 +43,14 @@ def test_batches_of_large_rows_are_small(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
+def test_hashes_remembered():
+    hashes = substring_dedup._Hashes()
+    for k in range(400_000):
+        hashes[b"w%d" % k]
+    assert len(hashes) <= 200_000
+    assert hashes[b"w5"] == substring_dedup.xxhash.xxh3_64_intdigest(b"w5")
+
+
 def test_a_passage_in_many_surroundings_is_sorted_once(spark, monkeypatch, tmp_path):
     """A split bucket holds what its pieces have in common once, however many they are."""
     from .test_suffix import brute, key
