@@ -36,8 +36,8 @@ def _keys(by: str | list[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def running_sums(rows: DataFrame, by: str | list[str], score: str, ties: list[Column], sums: dict[str, Column], peers: bool = False) -> DataFrame:
-    """``rows`` with the running sums ``sums`` of each group by falling score, then by ``ties``, and ``all_<name>``, the sum over the group; with ``peers`` also ``first_<name>``: the running sum at the first row of equal score.
+def running_sums(rows: DataFrame, by: str | list[str], score: str, ties: list[Column], sums: dict[str, Column], peers: bool | Column = False) -> DataFrame:
+    """``rows`` with the running sums ``sums`` of each group by falling score, then by ``ties``, and ``all_<name>``, the sum over the group; with ``peers`` also ``first_<name>``: the running sum at the first row of equal score (that meets the condition ``peers``).
 
     Scores fall into ranges first: sums over whole ranges and a running sum inside one give the running sums, so a large group is spread over many tasks.
     Groups are few (classes, thresholds): what is known of them and their ranges is broadcast, never the rows, which may be small on disk.
@@ -48,10 +48,12 @@ def running_sums(rows: DataFrame, by: str | list[str], score: str, ties: list[Co
     whole = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_whole_{n}") for n, c in sums.items()])
     above, group = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     before = whole.select(*keys, "_range", *[F.coalesce(F.sum(f"_whole_{n}").over(above), F.lit(0)).alias(f"_above_{n}") for n in sums], *[F.sum(f"_whole_{n}").over(group).alias(f"all_{n}") for n in sums])
-    out = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), [*keys, "_range"])
+    # dealt before the windows, else what is summed travels beside the columns that it is made of
+    out = placed.repartition(*keys, "_range").withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(before), [*keys, "_range"])
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) + F.col(f"_above_{n}") for n in sums})
-    if peers:
-        out = out.withColumns({f"first_{n}": F.first(n).over(Window.partitionBy(*keys, "_range", score).orderBy(*ties)) for n in sums})
+    if peers is not False:
+        one = lambda n: F.first(n) if peers is True else F.first(F.when(peers, F.col(n)), ignorenulls=True)
+        out = out.withColumns({f"first_{n}": one(n).over(Window.partitionBy(*keys, "_range", score).orderBy(*ties)) for n in sums})
     return out.drop("_range", *[f"_above_{n}" for n in sums])
 
 
@@ -76,18 +78,21 @@ def _asked(wanted: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.select(*keys, F.explode(F.array("m", F.col("m") + 1)).alias("tp")).distinct()
 
 
-def at_recalls(curve: DataFrame, by: str | list[str], value: str | list[str], bins: int = 101) -> DataFrame:
-    """by, bin, m, values: each value linearly interpolated at evenly many recalls; beyond the largest recall nothing (zero to the reader), before the first one its value.
-
-    A recall lies between the m-th hit and the next. Of the points that share m hits the last bounds the span above it and the first the span below it, so two joins on the number of hits replace windows over the curve.
-    """
-    keys, values = _keys(by), _keys(value)
+def wanted_recalls(groups: DataFrame, keys: list[str], bins: int = 101) -> DataFrame:
+    """keys, _hits, _n, bin, m: the evenly many recalls of each row of ``groups`` (keys, _hits, _n), and the number of hits below each."""
     steps = bins - 1
-    counted = curve.where("positives > 0")
-    groups = counted.groupBy(*keys).agg(F.max("tp").alias("_hits"), F.first("positives").alias("_n"))
-    wanted = groups.select(*keys, "_hits", "_n", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin")).withColumn("m", F.expr(f"(bin * _n) div {steps}"))
+    return groups.select(*keys, "_hits", "_n", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin")).withColumn("m", F.expr(f"(bin * _n) div {steps}"))
+
+
+def recall_points(curve: DataFrame, wanted: DataFrame, keys: list[str], values: list[str | Column]) -> DataFrame:
+    """keys, tp, _first, _last: the values at the first and last of the points that share a number of hits which ``wanted`` asks for."""
     # a few points of the curve are asked for: only they are gathered by their number of hits
-    points = counted.join(F.broadcast(_asked(wanted, keys)), [*keys, "tp"], "left_semi").groupBy(*keys, "tp").agg(F.min_by(F.struct(*values), "k").alias("_first"), F.max_by(F.struct(*values), "k").alias("_last"))
+    return curve.join(F.broadcast(_asked(wanted, keys)), [*keys, "tp"], "left_semi").groupBy(*keys, "tp").agg(F.min_by(F.struct(*values), "k").alias("_first"), F.max_by(F.struct(*values), "k").alias("_last"))
+
+
+def between_points(points: DataFrame, wanted: DataFrame, keys: list[str], values: list[str], bins: int = 101) -> DataFrame:
+    """:func:`at_recalls` from :func:`recall_points` and :func:`wanted_recalls`."""
+    steps = bins - 1
     here = points.select(*keys, F.col("tp").alias("m"), "_last")
     after = points.select(*keys, (F.col("tp") - 1).alias("m"), "_first")
     met = wanted.join(here, [*keys, "m"], "left").join(after, [*keys, "m"], "left")
@@ -102,6 +107,17 @@ def at_recalls(curve: DataFrame, by: str | list[str], value: str | list[str], bi
     return met.select(*keys, "bin", "m", *[between(v).alias(v) for v in values]).where(F.col(values[0]).isNotNull())
 
 
+def at_recalls(curve: DataFrame, by: str | list[str], value: str | list[str], bins: int = 101) -> DataFrame:
+    """by, bin, m, values: each value linearly interpolated at evenly many recalls; beyond the largest recall nothing (zero to the reader), before the first one its value.
+
+    A recall lies between the m-th hit and the next. Of the points that share m hits the last bounds the span above it and the first the span below it, so two joins on the number of hits replace windows over the curve.
+    """
+    keys, values = _keys(by), _keys(value)
+    counted = curve.where("positives > 0")
+    wanted = wanted_recalls(counted.groupBy(*keys).agg(F.max("tp").alias("_hits"), F.first("positives").alias("_n")), keys, bins)
+    return between_points(recall_points(counted, wanted, keys, values), wanted, keys, values, bins)
+
+
 def average_precision(curve: DataFrame, by: str | list[str], bins: int = 101, least_recall: float = 0.1, least_precision: float = 0.1) -> DataFrame:
     """by, ap: precision interpolated at ``bins`` recalls, clipped and averaged over bins above ``least_recall``."""
     keys = _keys(by)
@@ -120,12 +136,35 @@ def true_positive_errors(curve: DataFrame, by: str | list[str], score: str, erro
 
     Unknown (null) errors are skipped: a running mean is 0 before the first known one, and 1 throughout where none is known. ``at``: :func:`at_recalls` of the score, where it is at hand.
     """
-    keys, first = _keys(by), int(round((bins - 1) * least_recall)) + 1
-    conf = (at_recalls(curve, by, score, bins) if at is None else at).where((F.col("bin") >= first) & (F.col(score) != 0)).select(*keys, "bin", "m", F.col(score).alias("_c"))
-    sums = {f"_s_{e}": F.coalesce(e, F.lit(0.0)) for e in errors} | {f"_n_{e}": F.when(F.col(e).isNotNull(), 1).otherwise(0) for e in errors}
-    hits = running_sums(curve.where(F.col(hit)), by, score, [F.asc("k")], sums, peers=True).join(F.broadcast(_asked(conf, keys)), [*keys, "tp"], "left_semi")
+    keys = _keys(by)
+    at = at_recalls(curve, by, score, bins) if at is None else at
+    conf = asked_confidences(at, keys, score, bins, least_recall)
+    hits = running_sums(curve.where(F.col(hit)), by, score, [F.asc("k")], error_sums(errors), peers=True).join(F.broadcast(_asked(conf, keys)), [*keys, "tp"], "left_semi")
+    known = hits.select(*keys, F.col("tp").cast("bigint").alias("m"), F.struct(F.col(score).alias("score"), *error_means(errors)).alias("_h"))
+    found = errors_between(known, conf, keys, errors)
+    return curve.select(*keys).distinct().join(found, keys, "left").select(*keys, *[F.round(F.coalesce(e, F.lit(1.0)), 6).alias(e) for e in errors])
+
+
+def asked_confidences(at: DataFrame, keys: list[str], score: str, bins: int = 101, least_recall: float = 0.1) -> DataFrame:
+    """keys, bin, m, _c: the scores at the recalls from ``least_recall`` on, from :func:`at_recalls`."""
+    first = int(round((bins - 1) * least_recall)) + 1
+    return at.where((F.col("bin") >= first) & (F.col(score) != 0)).select(*keys, "bin", "m", F.col(score).alias("_c"))
+
+
+def error_sums(errors: list[str], hit: Column | None = None) -> dict[str, Column]:
+    """What :func:`running_sums` sums for :func:`error_means`: each error and how often it is known, of the rows that meet ``hit``."""
+    known = lambda e: F.col(e).isNotNull() & (F.lit(True) if hit is None else hit)
+    return {f"_s_{e}": F.when(known(e), F.col(e)).otherwise(0.0) for e in errors} | {f"_n_{e}": F.when(known(e), 1).otherwise(0) for e in errors}
+
+
+def error_means(errors: list[str]) -> list[Column]:
+    """``mean`` and ``tied``: the running means of the errors at a hit, and at the first one of equal score, from :func:`error_sums`."""
     mean = lambda e, first: F.when(F.col(f"all__n_{e}") == 0, 1.0).when(F.col(f"{first}_n_{e}") == 0, 0.0).otherwise(F.try_divide(F.col(f"{first}_s_{e}"), F.col(f"{first}_n_{e}"))).alias(e)
-    known = hits.select(*keys, F.col("tp").cast("bigint").alias("m"), F.struct(F.col(score).alias("score"), F.struct(*[mean(e, "") for e in errors]).alias("mean"), F.struct(*[mean(e, "first_") for e in errors]).alias("tied")).alias("_h"))
+    return [F.struct(*[mean(e, "") for e in errors]).alias("mean"), F.struct(*[mean(e, "first_") for e in errors]).alias("tied")]
+
+
+def errors_between(known: DataFrame, conf: DataFrame, keys: list[str], errors: list[str]) -> DataFrame:
+    """keys, errors: the running means ``known`` (keys, m, _h: score, mean, tied) at the m-th hits, interpolated at the confidences ``conf`` and averaged."""
     low = known.withColumnRenamed("_h", "_low")
     high = known.select(*keys, (F.col("m") - 1).alias("m"), F.col("_h").alias("_high"))
     met = conf.join(low, [*keys, "m"], "left").join(high, [*keys, "m"], "left")
@@ -135,8 +174,7 @@ def true_positive_errors(curve: DataFrame, by: str | list[str], score: str, erro
         mean, tied, below = F.col(f"_low.mean.{e}"), F.col(f"_low.tied.{e}"), F.col(f"_high.mean.{e}")
         return F.when(F.col("_low").isNull(), below).when(F.col("_low.score") == F.col("_c"), tied).when(F.col("_high").isNull(), mean).otherwise(below + (mean - below) * share)
 
-    found = met.groupBy(*keys).agg(*[F.avg(value(e)).alias(e) for e in errors])
-    return curve.select(*keys).distinct().join(found, keys, "left").select(*keys, *[F.round(F.coalesce(e, F.lit(1.0)), 6).alias(e) for e in errors])
+    return met.groupBy(*keys).agg(*[F.avg(value(e)).alias(e) for e in errors])
 
 
 def true_positive_error(curve: DataFrame, by: str | list[str], score: str, error: str, hit: str, bins: int = 101, least_recall: float = 0.1) -> DataFrame:

@@ -13,30 +13,34 @@ DETECTED = tuple(dict.fromkeys(T.DETECTION_CLASSES.values()))
 
 
 def _boxes(spark, sf_dir):
-    """Lines as boxes of ten classes in samples of eight orders, and noisy, partly missing and partly false detections of them."""
-    li = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    """Lines as boxes of ten classes in samples of eight orders, and noisy, partly missing and partly false detections of them: one table, see ``detection.together``."""
+    # lines are dealt once, by sample: what is grouped below stays where it is, and truths and detections are made of the same row
+    li = read_table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 8").alias("sample"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    li = li.repartition("sample").groupBy("sample", "l_orderkey", "l_linenumber")
     li = li.agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.round(F.max("l_extendedprice") * 100).cast("bigint").alias("e"), F.min("l_discount").alias("d"), F.min("l_returnflag").alias("f"))
-    base = li.select(F.expr("l_orderkey div 8").alias("sample"), F.element_at(F.array(*[F.lit(c) for c in DETECTED]), (F.col("p") % 10 + 1).cast("int")).alias("class"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box"), "p", "s", "q", "e", "d", "f", "l_linenumber")
+    base = li.select("sample", F.element_at(F.array(*[F.lit(c) for c in DETECTED]), (F.col("p") % 10 + 1).cast("int")).alias("class"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box"), "p", "s", "q", "e", "d", "f", "l_linenumber")
     base = base.withColumns({"x": F.col("p") % 31 + F.col("q") / 100, "y": F.col("s") % 13 + F.col("d") * 3, "length": 1 + F.col("q") / 10, "width": 1 + F.col("p") % 5 / 4, "height": F.lit(1.5), "yaw": (F.col("p") * 7 % 360 - 180).cast("double")})
-    truth = base.withColumns({"vx": F.when(F.col("p") % 11 > 0, F.col("q") / 10), "vy": F.col("d") * 10, "attribute": F.when(F.col("p") % 4 == 1, "moving").when(F.col("p") % 4 > 1, "stopped")})
-    noisy = base.withColumns({
-        "x": F.col("x") + (F.col("q") % 9 - 4) * 0.3, "y": F.col("y") + (F.col("e") % 7 - 3) * 0.25, "score": F.col("e") % 997 / 1000, "length": F.col("length") * 1.1, "width": F.col("width") * (1 + F.col("s") % 3 / 10),
-        "yaw": F.col("yaw") + (F.col("e") % 40 - 20) * 3, "vx": F.col("q") / 10 + F.col("s") % 5 / 10, "vy": F.col("d") * 10, "attribute": F.when(F.col("s") % 3 == 0, "moving").otherwise("stopped"),
-    })
-    kept = noisy.where("f <> 'A' or p % 3 = 0").withColumn("box", F.col("box") * 2)
-    false = noisy.where("l_linenumber = 1").withColumns({"box": F.col("box") * 2 + 1, "x": F.col("x") + 6, "score": F.col("e") % 613 / 1000})
-    columns = ["sample", "class", *detection.BOX]
-    return truth.select(*columns), kept.unionByName(false).select(*columns, "score")
+    columns = {c: F.col(c) for c in detection.BOX[:7]}
+    truth = columns | {"vx": F.when(F.col("p") % 11 > 0, F.col("q") / 10), "vy": F.col("d") * 10, "attribute": F.when(F.col("p") % 4 == 1, "moving").when(F.col("p") % 4 > 1, "stopped"), "score": F.lit(None).cast("double"), "is_truth": F.lit(True)}
+    noisy = columns | {
+        "x": F.col("x") + (F.col("q") % 9 - 4) * 0.3, "y": F.col("y") + (F.col("e") % 7 - 3) * 0.25, "length": F.col("length") * 1.1, "width": F.col("width") * (1 + F.col("s") % 3 / 10),
+        "yaw": F.col("yaw") + (F.col("e") % 40 - 20) * 3, "vx": F.col("q") / 10 + F.col("s") % 5 / 10, "vy": F.col("d") * 10, "attribute": F.when(F.col("s") % 3 == 0, "moving").otherwise("stopped"), "score": F.col("e") % 997 / 1000, "is_truth": F.lit(False),
+    }
+    kept = noisy | {"box": F.col("box") * 2}
+    false = noisy | {"box": F.col("box") * 2 + 1, "x": noisy["x"] + 6, "score": F.col("e") % 613 / 1000}
+    made = lambda of: F.struct(*[c.alias(n) for n, c in of.items()])
+    boxes = F.array(made(truth), F.when(F.expr("f <> 'A' or p % 3 = 0"), made(kept)), F.when(F.col("l_linenumber") == 1, made(false)))
+    return base.select("sample", "class", F.explode(boxes).alias("b")).where("b is not null").select("sample", "class", "b.*")
 
 
 def detection_protocol(spark, sf_dir):
     """AP at four distances and five errors of each class, and the score of all."""
-    return detection.detection_report(*_boxes(spark, sf_dir), DETECTED)
+    return detection.report_of(_boxes(spark, sf_dir), DETECTED)
 
 
 def detection_matches(spark, sf_dir):
     """Matches of every class at every threshold."""
-    m = detection.matched(*_boxes(spark, sf_dir)).where("hit")
+    m = detection.matched_boxes(_boxes(spark, sf_dir)).where("hit")
     return m.select("class", "threshold", "sample", "box", "gt", *[F.round(e, 6).alias(e) for e in detection.ERRORS])
 
 

@@ -304,3 +304,20 @@ def test_few_points_are_gathered(spark, monkeypatch):
     row = (1, "car", 1, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, None)
     report = detection.detection_report(spark.createDataFrame([row], columns), spark.createDataFrame([(*row, 0.5)], columns + ", score double"), ("car",))
     assert written[-1] == "classes" and report.count() == 2
+
+
+def test_protocol_deals_lines_once(spark, monkeypatch, tmp_path):
+    """Lines travel once, and of the curves only the points that recalls ask for are written: a detection is one row, not one for each threshold."""
+    from orrery.plans import protocol
+
+    written, durable = {}, detection.durable
+    monkeypatch.setattr(detection, "durable", lambda df, name: written.setdefault(name, durable(df, name)))
+    boxes = protocol._boxes(spark, "/root/testdata/sf0.001")
+    rows = detection.matched_once(boxes, detection.THRESHOLDS, 2.0)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    report = protocol.detection_protocol(spark, "/root/testdata/sf0.001")
+    guesses = boxes.where("not is_truth").count()
+    assert written["matches"].where("found").count() == guesses and "curve" not in written
+    assert written["matches"].agg({"truths": "sum"}).first()[0] == boxes.where("is_truth").count()
+    assert written["points"].count() <= 2 * 101 * 10 * 4 and report.count() == 11
